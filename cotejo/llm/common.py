@@ -2,27 +2,44 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The shared folder made where the session names none.
+OWN: dict[str, str] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """Makes checkpoint() usable: the cluster's shared folder, or one of our own if none is named."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cotejo-"))
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the cluster names it; one of our own if none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return named or OWN.setdefault("folder", tempfile.mkdtemp(prefix="cotejo-"))
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the shared checkpoint folder."""
-    use_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df written to the shared folder and read again, which cuts its lineage.
+
+    The files go when the session's Python process ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/cotejo-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(removed, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def fold(doc_id: Column, n: int) -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, near_dedup
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,13 +19,18 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document, at a similarity of 0.85."""
+    return near_dedup.classes(table(spark, sf_dir, "documents"), percent=85).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer())
 
 
 def queries() -> dict[str, Query]:
-    return {"op8_bpe": op8_bpe}
+    return {"op5_near_dedup": op5_near_dedup, "op8_bpe": op8_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
