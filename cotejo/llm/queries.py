@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, near_dedup
+from . import bpe, near_dedup, repeats
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,19 +19,55 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the sentences that stood before, and how many those are."""
+    return repeats.without_repeated_sentences(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_units", "n_removed")
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document, at a similarity of 0.85."""
     return near_dedup.classes(table(spark, sf_dir, "documents"), percent=85).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that stood before in runs of three, and how many those are."""
+    return repeats.without_repeated_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_units", "n_removed")
+
+
+LINES_SQL = """
+WITH lines AS (
+  SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS line
+  FROM documents
+), solid AS (
+  SELECT doc_id, pos, trim(line, ' ' || chr(9) || chr(13)) AS bare FROM lines
+  WHERE trim(line, ' ' || chr(9) || chr(13)) <> ''
+), runs AS (
+  SELECT doc_id, pos AS first_pos,
+         lead(pos, 2) OVER w AS last_pos,
+         bare || chr(10) || lead(bare, 1) OVER w || chr(10) || lead(bare, 2) OVER w AS run
+  FROM solid WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+), ranked AS (
+  SELECT doc_id, first_pos, last_pos, row_number() OVER (PARTITION BY run ORDER BY doc_id, first_pos) AS k
+  FROM runs WHERE run IS NOT NULL
+), covered AS (
+  SELECT DISTINCT l.doc_id, l.pos FROM lines l JOIN ranked r ON l.doc_id = r.doc_id AND l.pos BETWEEN r.first_pos AND r.last_pos AND r.k > 1
+)
+SELECT l.doc_id,
+       coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (c.pos IS NULL), '') AS text,
+       CASE WHEN max(length(l.line)) = 0 AND count(*) = 1 THEN 0 ELSE count(*) END AS n_units, count(c.pos) AS n_removed
+FROM lines l LEFT JOIN covered c ON l.doc_id = c.doc_id AND l.pos = c.pos
+GROUP BY l.doc_id
+"""
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer())
 
 
 def queries() -> dict[str, Query]:
-    return {"op5_near_dedup": op5_near_dedup, "op8_bpe": op8_bpe}
+    return {"op4_substring_dedup": op4_substring_dedup, "op5_near_dedup": op5_near_dedup, "op7_line_dedup": op7_line_dedup, "op8_bpe": op8_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_line_dedup": LINES_SQL}
