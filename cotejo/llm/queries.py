@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, near_dedup, repeats
+from . import bpe, near_dedup, repeats, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,28 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"), percent=85).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best other vectors of every vector whose id is divisible by 50."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+TOPK_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_dot_product(CAST(q.x AS DOUBLE[]), CAST(c.x AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+) WHERE rank <= 5
+"""
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that stood before in runs of three, and how many those are."""
     return repeats.without_repeated_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_units", "n_removed")
@@ -66,8 +88,8 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op4_substring_dedup": op4_substring_dedup, "op5_near_dedup": op5_near_dedup, "op7_line_dedup": op7_line_dedup, "op8_bpe": op8_bpe}
+    return {"op4_substring_dedup": op4_substring_dedup, "op5_near_dedup": op5_near_dedup, "op6_topk": op6_topk, "op7_line_dedup": op7_line_dedup, "op8_bpe": op8_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": LINES_SQL}
+    return {"op6_topk": TOPK_SQL, "op7_line_dedup": LINES_SQL}
