@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, near_dedup, quality, repeats, topk, wrapper
+from . import bpe, decontaminate, language_id, near_dedup, quality, repeats, topk, wrapper
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,30 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document contains."""
+    found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_shared", "n_item")
+
+
+CONTAINED_SQL = r"""
+WITH words AS (
+  SELECT 'd' AS side, doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+  UNION ALL
+  SELECT 'b', item_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda w: w <> '') FROM benchmark
+), runs AS (
+  SELECT DISTINCT side, id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i : i + 4], ' '))) AS run
+  FROM words WHERE len(w) > 0
+), items AS (
+  SELECT id, run, count(*) OVER (PARTITION BY id) AS n_item FROM runs WHERE side = 'b'
+)
+SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared, i.n_item
+FROM items i JOIN runs d ON d.side = 'd' AND d.run = i.run
+GROUP BY d.id, i.id, i.n_item
+HAVING count(*) * 100 >= 80 * i.n_item
+"""
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the sentences that stood before, and how many those are."""
     return repeats.without_repeated_sentences(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_units", "n_removed")
@@ -109,8 +133,8 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_quality": op1_quality, "op4_substring_dedup": op4_substring_dedup, "op5_near_dedup": op5_near_dedup, "op6_topk": op6_topk, "op7_line_dedup": op7_line_dedup, "op8_bpe": op8_bpe, "op9_language": op9_language, "op10_html": op10_html}
+    return {"op1_quality": op1_quality, "op2_decontamination": op2_decontamination, "op4_substring_dedup": op4_substring_dedup, "op5_near_dedup": op5_near_dedup, "op6_topk": op6_topk, "op7_line_dedup": op7_line_dedup, "op8_bpe": op8_bpe, "op9_language": op9_language, "op10_html": op10_html}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_topk": TOPK_SQL, "op7_line_dedup": LINES_SQL}
+    return {"op2_decontamination": CONTAINED_SQL, "op6_topk": TOPK_SQL, "op7_line_dedup": LINES_SQL}
