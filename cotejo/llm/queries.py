@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, near_dedup, quality, repeats, topk, wrapper
+from . import bpe, decontaminate, language_id, near_dedup, pii, quality, repeats, topk, wrapper
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,14 @@ HAVING count(*) * 100 >= 80 * i.n_item
 """
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of personal data in every document; counts and digest are those of the base patterns."""
+    found = pii.spans(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    count = lambda kind: F.size(F.filter("base", lambda c: c["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(kind) for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the sentences that stood before, and how many those are."""
     return repeats.without_repeated_sentences(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_units", "n_removed")
@@ -133,7 +141,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_quality": op1_quality, "op2_decontamination": op2_decontamination, "op4_substring_dedup": op4_substring_dedup, "op5_near_dedup": op5_near_dedup, "op6_topk": op6_topk, "op7_line_dedup": op7_line_dedup, "op8_bpe": op8_bpe, "op9_language": op9_language, "op10_html": op10_html}
+    return {"op1_quality": op1_quality, "op2_decontamination": op2_decontamination, "op3_pii": op3_pii, "op4_substring_dedup": op4_substring_dedup, "op5_near_dedup": op5_near_dedup, "op6_topk": op6_topk, "op7_line_dedup": op7_line_dedup, "op8_bpe": op8_bpe, "op9_language": op9_language, "op10_html": op10_html}
 
 
 def oracle_sql() -> dict[str, str]:
