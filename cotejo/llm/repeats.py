@@ -145,7 +145,7 @@ def without_repeated_lines(docs: DataFrame, lines: int = 3, text: str = "text",
     """docs with every line removed that a later occurrence of a run of three lines covers.
 
     Lines are compared without spaces, tabs and carriage returns at their ends.  Lines that
-    hold nothing else are not part of runs and stay.  A text of fewer other lines stays as
+    hold nothing else are not part of runs; they go only between lines of a removed run.  A text of fewer other lines stays as
     it is, as does an empty one; null stays null.  A text that loses all lines becomes ''.
     Adds n_units (lines) and n_removed.  An empty table gives an empty result.
     """
