@@ -260,7 +260,7 @@ def natural_key(c: Column) -> Column:
     """A key under which names sort without regard to case and with runs of digits by value."""
     tokens = F.regexp_extract_all(F.lower(c), F.lit(r"[0-9]+|[^0-9]+"), 0)
     padded = F.transform(tokens, lambda t: F.when(F.rlike(t, F.lit("^[0-9]")), F.concat(F.lpad(F.length(F.ltrim(t, F.lit("0"))).cast("string"), 4, "0"), F.ltrim(t, F.lit("0")))).otherwise(t))
-    return F.array_join(padded, "\u0001")
+    return F.array_join(padded, "")
 
 
 def transcoded(c: Column, charset: str) -> Column:

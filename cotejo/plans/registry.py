@@ -434,7 +434,7 @@ def sql_digits(x: str) -> str:
     return f"lpad(CAST(length(ltrim({x}, '0')) AS VARCHAR), 4, '0') || ltrim({x}, '0')"
 
 
-@query(f"SELECT p_partkey, 'track ' || chr(1) || {sql_digits('CAST(p_partkey % 10 AS VARCHAR)')} || chr(1) || ' no ' || chr(1) || {sql_digits('CAST(p_partkey AS VARCHAR)')} AS key FROM part")
+@query(f"SELECT p_partkey, 'track ' || {sql_digits('CAST(p_partkey % 10 AS VARCHAR)')} || ' no ' || {sql_digits('CAST(p_partkey AS VARCHAR)')} AS key FROM part")
 def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("Track "), (F.col("p_partkey") % 10).cast("string"), F.lit(" no "), F.col("p_partkey").cast("string"))
     return read(spark, sf_dir, "part").select("p_partkey", T.natural_key(name).alias("key")).orderBy("key")

@@ -1,0 +1,323 @@
+"""Reading and writing a few tags of audio files of four formats.
+
+Files are rows of (path, content); each is parsed in the task that reads it.  The helpers
+below know only what containers look like: ID3 frames, Vorbis comments, MP4 atoms and AIFF
+chunks.  Everything else of a file is carried over byte for byte.
+"""
+
+from __future__ import annotations
+
+import re
+import struct
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+
+#: Where each tag stands in each format.
+ID3 = {"title": "TIT2", "artist": "TPE1", "bpm": "TBPM", "composer": "TCOM", "original_name": "TOFN", "genre": "TCON", "lyrics": "USLT"}
+VORBIS = {"title": "TITLE", "artist": "ARTIST", "bpm": "BPM", "composer": "COMPOSER", "original_name": "ORIGINALNAME", "genre": "GENRE", "lyrics": "LYRICS"}
+MP4 = {"title": b"\xa9nam", "artist": b"\xa9ART", "bpm": b"tmpo", "composer": b"\xa9wrt", "genre": b"\xa9gen", "lyrics": b"\xa9lyr"}
+OLD_FRAMES = {"TT2": "TIT2", "TP1": "TPE1", "TBP": "TBPM", "TCM": "TCOM", "TOF": "TOFN", "TCO": "TCON", "ULT": "USLT", "TAL": "TALB", "TYE": "TYER", "TRK": "TRCK", "COM": "COMM", "PIC": "APIC"}
+CONTAINERS = frozenset((b"moov", b"udta", b"meta", b"ilst", b"trak", b"mdia", b"minf", b"stbl", b"edts"))
+PADDING = 1024
+FIELDS = tuple(ID3)
+SCHEMA = "path string, format string, " + ", ".join(f"{f} string" for f in FIELDS) + ", error string"
+
+Frames = list[tuple[str, int, bytes]]
+
+
+def synchsafe(b: bytes) -> int:
+    return b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3] if max(b) < 128 else int.from_bytes(b)
+
+
+def id3_frames(data: bytes) -> tuple[int, Frames, int]:
+    """Version, frames (id, flags, payload) and the tag's whole length; no tag: (3, [], 0)."""
+    if data[:3] != b"ID3" or len(data) < 10:
+        return 3, [], 0
+    version, flags, size = data[3], data[5], synchsafe(data[6:10])
+    if version not in (2, 3, 4):
+        raise ValueError(f"ID3v2.{version}")
+    body = data[10 : 10 + size]
+    if flags & 0x80 and version < 4:
+        body = body.replace(b"\xff\x00", b"\xff")
+    at = 0
+    if flags & 0x40 and version > 2:
+        at = synchsafe(body[:4]) if version == 4 else 4 + int.from_bytes(body[:4])
+    head = 6 if version == 2 else 10
+    frames: Frames = []
+    while at + head <= len(body) and re.fullmatch(rb"[A-Z0-9]+", name := body[at : at + (3 if version == 2 else 4)]):
+        n = int.from_bytes(body[at + 3 : at + 6]) if version == 2 else synchsafe(body[at + 4 : at + 8]) if version == 4 else int.from_bytes(body[at + 4 : at + 8])
+        bits = 0 if version == 2 else int.from_bytes(body[at + 8 : at + 10])
+        name = OLD_FRAMES.get(name.decode(), name.decode()) if version == 2 else name.decode()
+        frames.append((name, bits, body[at + head : at + head + n]))
+        at += head + n
+    return max(version, 3), frames, 10 + size + (10 if flags & 0x10 else 0)
+
+
+def id3_bytes(version: int, frames: Frames) -> bytes:
+    out = b""
+    for name, bits, payload in frames:
+        n = len(payload)
+        size = bytes((n >> s) & 127 for s in (21, 14, 7, 0)) if version == 4 else n.to_bytes(4)
+        out += name.encode().ljust(4)[:4] + size + bits.to_bytes(2) + payload
+    out += bytes(PADDING)
+    return b"ID3" + bytes((version, 0, 0)) + bytes((len(out) >> s) & 127 for s in (21, 14, 7, 0)) + out
+
+
+def decoded(payload: bytes) -> str:
+    coding = ("latin-1", "utf-16", "utf-16-be", "utf-8")[payload[0] if payload and payload[0] < 4 else 3]
+    return payload[1:].decode(coding, "replace").rstrip("\0")
+
+
+def lyrics_text(payload: bytes) -> str:
+    """A lyrics frame's text, behind its language and description."""
+    wide = payload[:1] in (b"\x01", b"\x02")
+    end = b"\0\0" if wide else b"\0"
+    at = 4
+    while at < len(payload) and payload[at : at + len(end)] != end:
+        at += len(end)
+    return decoded(payload[:1] + payload[at + len(end) :])
+
+
+def lyrics_frame(version: int, language: str, name: str, text: str) -> tuple[str, int, bytes]:
+    if version == 4:
+        return "USLT", 0, b"\x03" + language.encode() + name.encode() + b"\0" + text.encode()
+    wide = lambda s: b"\xff\xfe" + s.encode("utf-16-le")
+    return "USLT", 0, b"\x01" + language.encode() + wide(name) + b"\0\0" + wide(text)
+
+
+def with_id3_lyrics(data: bytes, translations: list[dict], overwrite: bool) -> bytes | None:
+    version, frames, size = id3_frames(data)
+    if any(f[0] == "USLT" for f in frames) and not overwrite:
+        return None
+    kept = [f for f in frames if f[0] != "USLT"]
+    return id3_bytes(version, kept + [lyrics_frame(version, t["language"], t["name"], t["body"]) for t in translations]) + data[size:]
+
+
+def flac_blocks(data: bytes) -> tuple[int, list[tuple[int, bytes]], int]:
+    """Where the stream starts, metadata blocks (kind, payload), and where audio starts."""
+    start = id3_frames(data)[2]
+    if data[start : start + 4] != b"fLaC":
+        raise ValueError("not a FLAC stream")
+    at, blocks, last = start + 4, [], False
+    while not last:
+        last, kind, n = data[at] >> 7, data[at] & 127, int.from_bytes(data[at + 1 : at + 4])
+        blocks.append((kind, data[at + 4 : at + 4 + n]))
+        at += 4 + n
+    return start, blocks, at
+
+
+def comments(payload: bytes) -> tuple[bytes, list[tuple[str, str]]]:
+    n = int.from_bytes(payload[:4], "little")
+    vendor, at = payload[4 : 4 + n], 8 + n
+    found = []
+    for _ in range(int.from_bytes(payload[4 + n : 8 + n], "little")):
+        size = int.from_bytes(payload[at : at + 4], "little")
+        key, equals, value = payload[at + 4 : at + 4 + size].decode("utf-8", "replace").partition("=")
+        if equals:
+            found.append((key, value))
+        at += 4 + size
+    return vendor, found
+
+
+def with_flac_lyrics(data: bytes, value: str, overwrite: bool) -> bytes | None:
+    start, blocks, audio = flac_blocks(data)
+    vendor, found = next((comments(p) for k, p in blocks if k == 4), (b"", []))
+    old = [v for k, v in found if k.upper() == "LYRICS"]
+    if old == [value]:
+        return data
+    if old and not overwrite:
+        return None
+    found = [(k, v) for k, v in found if k.upper() != "LYRICS"] + [("LYRICS", value)]
+    made = [f"{k}={v}".encode() for k, v in found]
+    payload = len(vendor).to_bytes(4, "little") + vendor + len(made).to_bytes(4, "little") + b"".join(len(m).to_bytes(4, "little") + m for m in made)
+    rest = [(k, p) for k, p in blocks if k not in (1, 4)]
+    new = [*rest[:1], (4, payload), *rest[1:], (1, bytes(PADDING))]
+    return data[:start] + b"fLaC" + b"".join(bytes(((i + 1 == len(new)) << 7 | k,)) + len(p).to_bytes(3) + p for i, (k, p) in enumerate(new)) + data[audio:]
+
+
+def atoms(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int, int]]:
+    """(kind, start, start of the payload, end) of neighbouring atoms."""
+    while at + 8 <= end:
+        n, kind, head = int.from_bytes(data[at : at + 4]), data[at + 4 : at + 8], 8
+        if n == 1:
+            n, head = int.from_bytes(data[at + 8 : at + 16]), 16
+        n = n or end - at
+        if n < head or at + n > end:
+            raise ValueError("an atom reaches beyond its parent")
+        yield kind, at, at + head, at + n
+        at += n
+
+
+def inside(data: bytes, kind: bytes, body: int) -> int:
+    """Where an atom's own atoms start; 'meta' may or may not have a version before them."""
+    return body + 4 if kind == b"meta" and data[body + 4 : body + 8] != b"hdlr" else body
+
+
+def flat_atoms(data: bytes) -> list[tuple[str, int, bytes, int, int, int]]:
+    """(path, depth, kind, start, payload, end) of all atoms in containers, parents first."""
+    out = []
+
+    def walk(path: str, depth: int, at: int, end: int) -> None:
+        for kind, start, body, stop in atoms(data, at, end):
+            name = f"{path}/{kind.decode('latin-1')}"
+            out.append((name, depth, kind, start, body, stop))
+            if kind in CONTAINERS:
+                walk(name, depth + 1, inside(data, kind, body), stop)
+
+    walk("", 0, 0, len(data))
+    return out
+
+
+def mp4_value(data: bytes, kind: bytes) -> str | None:
+    for name, _, k, _, body, end in flat_atoms(data):
+        if k == kind and "/ilst/" in name:
+            for inner, _, at, stop in atoms(data, body, end):
+                if inner == b"data":
+                    return str(int.from_bytes(data[at + 8 : stop])) if kind == b"tmpo" else data[at + 8 : stop].decode("utf-8", "replace")
+    return None
+
+
+def atom(kind: bytes, payload: bytes) -> bytes:
+    return (len(payload) + 8).to_bytes(4) + kind + payload
+
+
+def with_mp4_lyrics(data: bytes, value: str, overwrite: bool) -> bytes | None:
+    if mp4_value(data, MP4["lyrics"]) is not None and not overwrite:
+        return None
+    item = atom(MP4["lyrics"], atom(b"data", (1).to_bytes(4) + bytes(4) + value.encode()))
+    handler = atom(b"hdlr", bytes(8) + b"mdirappl" + bytes(9))
+    chain = [b"moov", b"udta", b"meta", b"ilst"]
+
+    def put(part: bytes, depth: int) -> bytes:
+        """The atoms of one level with the item in the chain's atom, which is made if it is missing."""
+        out, done = b"", False
+        for kind, start, body, end in atoms(part, 0, len(part)):
+            if depth == len(chain):
+                out += b"" if kind == MP4["lyrics"] else part[start:end]
+            elif kind == chain[depth] and not done:
+                first = inside(part, kind, body)
+                out += atom(kind, part[body:first] + put(part[first:end], depth + 1))
+                done = True
+            else:
+                out += part[start:end]
+        if depth == len(chain):
+            return out + item
+        if not done:
+            if depth == 0:
+                raise ValueError("no moov atom")
+            out += atom(chain[depth], (bytes(4) + handler if chain[depth] == b"meta" else b"") + put(b"", depth + 1))
+        return out
+
+    out = bytearray(put(data, 0))
+    old_end = next(end for kind, _, _, end in atoms(data, 0, len(data)) if kind == b"moov")
+    delta = len(out) - len(data)
+    for _, _, kind, _, body, _ in flat_atoms(bytes(out)):
+        if kind in (b"stco", b"co64"):
+            width = 4 if kind == b"stco" else 8
+            for i in range(int.from_bytes(out[body + 4 : body + 8])):
+                at = body + 8 + i * width
+                if (where := int.from_bytes(out[at : at + width])) >= old_end:
+                    if (moved := where + delta) >= 1 << 8 * width:
+                        raise ValueError("an offset does not fit")
+                    out[at : at + width] = moved.to_bytes(width)
+    return bytes(out)
+
+
+def chunks(data: bytes) -> list[tuple[bytes, bytes]]:
+    if data[:4] != b"FORM" or data[8:12] not in (b"AIFF", b"AIFC"):
+        raise ValueError("not an AIFF file")
+    at, out = 12, []
+    while at + 8 <= len(data):
+        n = int.from_bytes(data[at + 4 : at + 8])
+        out.append((data[at : at + 4], data[at + 8 : at + 8 + n]))
+        at += 8 + n + n % 2
+    return out
+
+
+def with_aiff_lyrics(data: bytes, translations: list[dict], overwrite: bool) -> bytes | None:
+    parts = chunks(data)
+    old = next((c for k, c in parts if k in (b"ID3 ", b"id3 ")), b"")
+    new = with_id3_lyrics(old, translations, overwrite)
+    if new is None:
+        return None
+    parts = [(k, c) for k, c in parts if k not in (b"ID3 ", b"id3 ")] + [(b"ID3 ", new)]
+    body = data[8:12] + b"".join(k + len(c).to_bytes(4) + c + bytes(len(c) % 2) for k, c in parts)
+    return b"FORM" + len(body).to_bytes(4) + body
+
+
+def fields_of(data: bytes, kind: str) -> dict[str, str | None]:
+    if kind == "mp4":
+        return {f: mp4_value(data, MP4[f]) if f in MP4 else None for f in FIELDS}
+    found: dict[str, str | None] = dict.fromkeys(FIELDS)
+    if kind == "flac":
+        by_name = {k.upper(): v for _, p in flac_blocks(data)[1][::-1] if _ == 4 for k, v in comments(p)[1][::-1]}
+        found |= {f: by_name.get(VORBIS[f]) for f in FIELDS}
+        data = data[: flac_blocks(data)[0]]
+    elif kind == "aiff":
+        data = next((c for k, c in chunks(data) if k in (b"ID3 ", b"id3 ")), b"")
+    for name, _, payload in id3_frames(data)[1]:
+        for f, frame in ID3.items():
+            if frame == name and found[f] is None:
+                found[f] = lyrics_text(payload) if f == "lyrics" else decoded(payload)
+    return found
+
+
+def tags(files: DataFrame) -> DataFrame:
+    """(path, format, one column for each tag, error) of files (path, content); what can't be parsed has an error and no tags."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, kind, content in zip(batch["path"], batch["format"], batch["content"]):
+                row = dict.fromkeys(FIELDS) | {"path": path, "format": kind, "error": None}
+                try:
+                    row |= fields_of(bytes(content), kind)
+                except (ValueError, IndexError, struct.error) as e:
+                    row["error"] = str(e)
+                rows.append(row)
+            yield pd.DataFrame(rows, columns=["path", "format", *FIELDS, "error"])
+
+    known = files.select("path", T.file_format(F.col("path")).alias("format"), "content").where("format is not null")
+    return known.mapInPandas(run, SCHEMA)
+
+
+def with_lyrics(files: DataFrame, lyrics: DataFrame, overwrite: bool = False) -> DataFrame:
+    """(path, outcome, message, content): files (path, content) with translations put in.
+
+    lyrics: path, pos, name, language (three letters) and contents.  A file that has lyrics
+    is skipped unless overwrite is set; one that has the same (FLAC only), or for which
+    there is nothing to write, is unchanged; content is null unless it was written.  A file's
+    translations are one array, so they must fit a task.
+    """
+    body = T.lyrics_body(F.col("name"), F.col("contents"))
+    grouped = lyrics.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("pos", "language", "name", body.alias("body")))).alias("translations"))
+    rows = files.join(grouped, "path", "left").select("path", T.file_format(F.col("path")).alias("format"), "content", "translations")
+
+    def written(kind: str | None, data: bytes, found: list[dict]) -> tuple[str, str | None, bytes | None]:
+        if kind is None:
+            return "unsupported", None, None
+        if not found:
+            return "unchanged", None, None
+        whole = "\r\n\r\n".join(t["body"].strip("\r\n") for t in found)
+        try:
+            if kind == "mp4":
+                new = with_mp4_lyrics(data, whole, overwrite)
+            elif kind == "flac":
+                new = with_flac_lyrics(data, whole, overwrite)
+            else:
+                new = (with_aiff_lyrics if kind == "aiff" else with_id3_lyrics)(data, found, overwrite)
+        except (ValueError, IndexError, StopIteration) as e:
+            return "failed", str(e), None
+        return ("skipped", None, None) if new is None else ("unchanged", None, None) if new == data else ("written", None, new)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [written(k, bytes(c), [] if t is None else [dict(x) for x in t]) for k, c, t in zip(batch["format"], batch["content"], batch["translations"])]
+            yield pd.DataFrame({"path": batch["path"], "outcome": [o for o, _, _ in out], "message": [m for _, m, _ in out], "content": [c for _, _, c in out]})
+
+    return rows.mapInPandas(run, "path string, outcome string, message string, content binary")
