@@ -31,7 +31,7 @@ def code_points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     kinds, back = np.unique(points, return_inverse=True)
     points = np.where(np.array([chr(c).isalpha() for c in kinds])[back], points, 32).astype(np.uint64)
     kept = np.ones(len(points), bool)
-    kept[1:] = (points[1:] != 32) | (points[:-1] != 32)
+    kept[1:] = (points[1:] != 32) | (points[:-1] != 32) | (rows[1:] != rows[:-1])
     return points[kept], rows[kept]
 
 
