@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
+from zlib import crc32
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,8 @@ from .common import saved, slices
 Cut = tuple[list[tuple[int, int]], list[tuple[int, int, int]]]
 
 ID, LATER = "_cotejo_id", "_cotejo_later"
-#: A sentence with its end marks and the white space behind it, or what stands before a line's end.
+#: A word; a sentence with its end marks and the white space behind it, or what stands before a line's end.
+WORD = re.compile(r"\S+")
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?=\s|$)\s*|[.!?]+|\n\s*|$)")
 
 
@@ -47,7 +49,23 @@ def line_runs(text: str, lines: int = 3) -> Cut:
     return units, runs
 
 
-def sentence_runs(text: str, sentences: int = 3, words: int = 30, longest: int = 15) -> Cut:
+def cut_behind(words: list[str], longest: int) -> list[int]:
+    """Where a long sentence is cut, as numbers of words: behind words that a hash picks, or else after ``longest``.
+
+    The words themselves say where to cut, so a passage inside of different sentences is
+    cut alike but for its ends.
+    """
+    out, last = [], 0
+    for k, w in enumerate(words, 1):
+        if k - last >= longest or k - last >= 3 and crc32(w.encode()) % 6 == 0:
+            out.append(k)
+            last = k
+    if out and out[-1] == len(words):
+        out.pop()
+    return out
+
+
+def sentence_runs(text: str, sentences: int = 3, words: int = 20, longest: int = 15) -> Cut:
     """From each sentence on, the shortest run of at least so many sentences and words.
 
     A sentence of more than ``longest`` words counts as several of at most as many.  Words
@@ -62,10 +80,11 @@ def sentence_runs(text: str, sentences: int = 3, words: int = 30, longest: int =
             units.append((m.start(), m.end()))
             bags.append(whole)
             continue
-        marks = [w.start() for w in re.finditer(r"\S+", m[0])][::longest]
-        for k, (a, b) in enumerate(zip(marks, [*marks[1:], len(m[0])])):
-            units.append((m.start() + (a if k else 0), m.start() + b))
-            bags.append(whole[k * longest : (k + 1) * longest])
+        starts = [w.start() for w in WORD.finditer(m[0])]
+        edges = [0, *cut_behind(whole, longest), len(whole)]
+        for a, b in zip(edges, edges[1:]):
+            units.append((m.start() + (starts[a] if a else 0), m.start() + (starts[b] if b < len(whole) else len(m[0]))))
+            bags.append(whole[a:b])
     runs, j, total, solid = [], 0, 0, 0
     for i in range(len(units)):
         while j < len(units) and (total < words or solid < sentences):
@@ -152,7 +171,7 @@ def without_repeated_lines(docs: DataFrame, lines: int = 3, text: str = "text",
     return without_repeats(docs, lambda t: line_runs(t, lines), text, key)
 
 
-def without_repeated_sentences(docs: DataFrame, sentences: int = 3, words: int = 30, text: str = "text", key: str = "doc_id") -> DataFrame:
+def without_repeated_sentences(docs: DataFrame, sentences: int = 3, words: int = 20, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with every sentence removed that a run of sentences covers which stood before.
 
     See sentence_runs for what a run is.  Texts shorter than a run stay as they are; null

@@ -76,6 +76,17 @@ def test_passages_of_fifty_words_are_found(documents):
         assert passage[:100] not in found[2].text and len(found[2].text.split()) < 25
 
 
+def test_passages_inside_of_sentences_are_found(documents):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    for _ in range(8):
+        passage = " ".join(word() for _ in range(55))
+        rows = [(k, " ".join([*(word() for _ in range(r.randint(0, 40))), passage, *(word() for _ in range(r.randint(0, 40)))])) for k in range(3)]
+        found = {x.doc_id: x for x in repeats.without_repeated_sentences(documents(rows)).collect()}
+        assert found[0].n_removed == 0
+        assert all(passage not in found[k].text and found[k].n_removed for k in (1, 2))
+
+
 def test_empty_table(documents):
     assert repeats.without_repeated_lines(documents([(1, "a")]).limit(0)).count() == 0
     assert repeats.without_repeated_sentences(documents([(1, "a")]).limit(0)).count() == 0
