@@ -57,7 +57,7 @@ def cut_behind(words: list[str], longest: int) -> list[int]:
     """
     out, last = [], 0
     for k, w in enumerate(words, 1):
-        if k - last >= longest or k - last >= 3 and crc32(w.encode()) % 6 == 0:
+        if k - last >= longest or crc32(w.encode()) % 4 == 0:
             out.append(k)
             last = k
     if out and out[-1] == len(words):
