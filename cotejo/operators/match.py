@@ -6,6 +6,8 @@ test; neither side is broadcast by force, and no pair is listed that shares no k
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,11 +34,17 @@ def grams(c: Column, n: int = GRAM) -> Column:
     return F.when(F.length(c) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
-def rarest(titles: DataFrame, keyed_titles: DataFrame, keyed_names: DataFrame) -> DataFrame:
-    """(title, key): of each title's keys the one that fewest names have; titles of which a key is in no name are left out."""
-    counts = keyed_names.join(keyed_titles.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count("*").alias("names"))
-    best = keyed_titles.join(counts, "key", "left").groupBy("title").agg(F.min(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "key")).alias("best"))
-    return best.where("best.names > 0").select("title", F.col("best.key").alias("key"))
+def candidates(names: DataFrame, titles: DataFrame, name: str, title_keys: Callable[[Column], Column], name_keys: Callable[[Column], Column]) -> DataFrame:
+    """(_row, title): titles with the rows of names that have the title's rarest key.
+
+    names has a hash of the name in _row; only hashes and keys are shuffled here.
+    """
+    of_titles = titles.select("title", F.explode(title_keys(F.col("title"))).alias("key"))
+    of_names = names.select("_row", F.explode(name_keys(F.col(name))).alias("key")).join(of_titles.select("key").distinct(), "key", "left_semi")
+    counts = of_names.groupBy("key").agg(F.count("*").alias("rows"))
+    best = of_titles.join(counts, "key", "left").groupBy("title").agg(F.min(F.struct(F.coalesce("rows", F.lit(0)).alias("rows"), "key")).alias("best"))
+    rarest = best.where("best.rows > 0").select("title", F.col("best.key").alias("key"))
+    return of_names.join(rarest, "key").select("_row", "title").distinct()
 
 
 def containment(names: DataFrame, titles: DataFrame, name: str, title: str) -> DataFrame:
@@ -47,26 +55,18 @@ def containment(names: DataFrame, titles: DataFrame, name: str, title: str) -> D
     shorter one has a run of GRAM characters.  The rarest such key joins.  Titles that
     are shorter than that are few by their kind and are compared with all names.
     """
-    distinct_titles = titles.select(F.col(title).alias("title")).where("title is not null").distinct()
-    distinct_names = names.select(F.col(name).alias("name")).where("name is not null").distinct()
-    worded = distinct_titles.where(F.size(interior(F.col("title"))) > 0)
-    short = distinct_titles.where(F.size(interior(F.col("title"))) == 0)
+    given = titles.select(F.col(title).alias("title")).where("title is not null").distinct()
+    keyed = names.where(F.col(name).isNotNull()).withColumn("_row", F.xxhash64(name))
+    worded = F.size(interior(F.col("title"))) > 0
+    short = given.where(~worded)
     by_gram, tiny = short.where(F.length("title") >= GRAM), short.where(F.length("title") < GRAM)
-
-    def joined(part: DataFrame, title_keys, name_keys) -> DataFrame:
-        keyed_names = distinct_names.select("name", F.explode(name_keys(F.col("name"))).alias("key"))
-        keyed = rarest(part, part.select("title", F.explode(title_keys(F.col("title"))).alias("key")), keyed_names)
-        return keyed_names.join(keyed, "key").select("name", "title")
-
-    pairs = (
-        joined(worded, interior, word_keys)
-        .union(joined(by_gram, grams, grams))
-        .union(distinct_names.join(tiny, F.contains("name", "title")).select("name", "title"))
-        .where(F.contains("name", "title"))
-    )
-    found = pairs.select(F.col("name").alias("_name"), F.col("title").alias("_title"))
-    both = names.join(found, names[name] == found["_name"])
-    return both.join(titles, both["_title"] == titles[title]).drop("_name", "_title")
+    found = candidates(keyed, given.where(worded), name, interior, word_keys)
+    if not by_gram.isEmpty():
+        found = found.union(candidates(keyed, by_gram, name, grams, grams))
+    both = keyed.join(found.withColumnRenamed("title", "_title"), "_row").where(F.contains(name, "_title"))
+    if not tiny.isEmpty():
+        both = both.unionByName(keyed.join(tiny.withColumnRenamed("title", "_title"), F.contains(name, "_title")))
+    return both.join(titles, both["_title"] == titles[title]).drop("_title", "_row")
 
 
 def pieces(c: Column) -> Column:
