@@ -4,7 +4,8 @@
    different generators may overlap.  Four of them are the base patterns, whose matches
    stay if they pass their kind's test (octets, Luhn sum, number of digits).
 2. Every candidate has a few coarse features of its format and its context.  A candidate is
-   taken as a positive example if it is a base match that passes or overlaps one that does.
+   taken as a positive example if it is a base match that passes or overlaps one that does,
+   or if it passes a test of its own form (SOUND).
    Counts of examples by feature values, over all documents, are one bounded table.
 3. Boosted trees are fitted on that table's even half (by a hash of the text), and each
    kind's threshold is the lowest score from which on the odd half's candidates are positive
@@ -47,6 +48,14 @@ NEEDS = {"email": "instr({t}, '@') > 0", "email_spelt": "{t} rlike '(?i)[ (\\\\[
 #: Words before a candidate that tell its context.
 CONTEXT = (("mail|contact|write", 1), ("tel|phone|call|fax|mobile", 2), ("card|visa|credit|pay", 3), ("host|server|addr|client|ip", 4), ("token|key|secret|sha|hash|version|order|isbn", 5))
 
+#: Tests that make a candidate of the other generators a positive example: SQL over the match and the text before it.
+SOUND = {
+    "email_spelt": "{m} rlike '(?i)(com|org|net|edu|gov|info|io|eu|de|fr|es|uk)$'",
+    "ip_v6": "true",
+    "card_spaced": "length(regexp_replace({m}, '[^0-9]', '')) BETWEEN 13 AND 19 AND " + "{luhn}",
+    "phone_local": "{before} rlike '(?i)(tel|phone|call|fax|mobile)[^a-z0-9]*$'",
+}
+
 FEATURES = ("generator", "digits", "marks", "before", "after", "context", "check")
 
 
@@ -104,6 +113,7 @@ def candidates(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
         m = f"m_{n}[i]"
         fields = {
             "start": "s", "end": f"s + length({m})", "valid": passes(kind, m) if n == kind else "false",
+            "sound": SOUND.get(n, "false").format(m=m, before=f"right(g_{n}[i], 24)", luhn=LUHN.format(d=f"regexp_replace({m}, '[^0-9]', '')")),
             "generator": str(k), "digits": f"least(20, length(regexp_replace({m}, '[^0-9]', '')))", "marks": f"least(6, length(regexp_replace({m}, '[A-Za-z0-9]', '')))",
             "before": character(f"right(g_{n}[i], 1)"), "after": character(f"left(g_{n}[i + 1], 1)"), "context": context(f"right(g_{n}[i], 24)"), "check": check(kind, m),
         }
@@ -124,7 +134,7 @@ def examples(found: DataFrame) -> list[dict]:
     """How many candidates have which features, by label and half: a table whose size the features bound."""
 
     def labelled(name: str, kind: str) -> Column:
-        label = lambda c: c["valid"] if name == kind else overlaps(c, base(kind))
+        label = lambda c: c["valid"] if name == kind else c["sound"] | overlaps(c, base(kind))
         return F.transform(F.col(name), lambda c: F.struct(*(c[f].cast("int").alias(f) for f in FEATURES), label(c).alias("label")))
 
     every = F.concat(*(labelled(n, kind) for n, kind, _ in GENERATORS))

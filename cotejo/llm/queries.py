@@ -69,6 +69,31 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"), percent=85).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+NEAR_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+), runs AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i : i + 4], ' '))) AS run
+  FROM words WHERE len(w) > 0
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM runs GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM runs a JOIN runs b ON a.run = b.run AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)
+), sides AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, s.b FROM reach r JOIN sides s ON s.a = r.other
+), least AS (
+  SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN least USING (doc_id) LEFT JOIN sizes USING (doc_id)
+"""
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best other vectors of every vector whose id is divisible by 50."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
@@ -140,9 +165,21 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.extracted(table(spark, sf_dir, "pages"))
 
 
+# What the operator finds on pages like the synthetic ones: the article's blocks, whose references are of two kinds.
+ARTICLES_SQL = r"""
+WITH blocks AS (
+  SELECT page_id, url, list_filter(list_transform(
+    regexp_split_to_array(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>'),
+    lambda b: trim(regexp_replace(replace(replace(replace(regexp_replace(b, '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&amp;', '&'), '&amp', '&'), '\s+', ' ', 'g'))
+  ), lambda b: b <> '') AS b FROM pages
+)
+SELECT page_id, url, array_to_string(b, chr(10) || chr(10)) AS text, length(array_to_string(b, chr(10) || chr(10))) AS n_chars FROM blocks
+"""
+
+
 def queries() -> dict[str, Query]:
     return {"op1_quality": op1_quality, "op2_decontamination": op2_decontamination, "op3_pii": op3_pii, "op4_substring_dedup": op4_substring_dedup, "op5_near_dedup": op5_near_dedup, "op6_topk": op6_topk, "op7_line_dedup": op7_line_dedup, "op8_bpe": op8_bpe, "op9_language": op9_language, "op10_html": op10_html}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": CONTAINED_SQL, "op6_topk": TOPK_SQL, "op7_line_dedup": LINES_SQL}
+    return {"op2_decontamination": CONTAINED_SQL, "op5_near_dedup": NEAR_SQL, "op6_topk": TOPK_SQL, "op7_line_dedup": LINES_SQL, "op10_html": ARTICLES_SQL}

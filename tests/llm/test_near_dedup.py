@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cotejo.llm import near_dedup, shingles
 from cotejo.llm.graph import components
+from cotejo.llm.queries import NEAR_SQL, op5_near_dedup
 
 
 def plain_set(text):
@@ -110,3 +111,7 @@ def test_bands_follow_from_the_threshold():
     for percent in (80, 85, 95):
         assert (1 - (percent / 100) ** near_dedup.ROWS) ** near_dedup.n_bands(percent) <= near_dedup.MISS * (1 + 1e-9)
         assert math.isfinite(near_dedup.n_bands(percent))
+
+
+def test_query_equals_sql(same):
+    same(op5_near_dedup, NEAR_SQL)

@@ -75,6 +75,12 @@ def test_added_spans(documents):
     assert [s.kind for s in found[1000]] == ["phone"] and found[1001] == []
 
 
+def test_spelt_addresses_are_added_once_there_are_enough(documents):
+    rows = [(i, f"write to user{i} at mail{i % 7} dot com please") for i in range(200)] + [(1000, "look at the house")]
+    found = {x.doc_id: x.spans for x in pii.spans(documents(rows), ["doc_id"]).collect()}
+    assert [tuple(s) for s in found[5]] == [("email", 9, 31)] and found[1000] == []
+
+
 def test_redacted(documents):
     rows = [(1, "mail a@b.com or 1.2.3.4 é"), (2, None), (3, "clean")]
     found = {r.doc_id: r.text for r in pii.redacted(documents(rows)).collect()}
