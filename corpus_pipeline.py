@@ -19,19 +19,29 @@ from cotejo.llm.queries import tokenizer
 LEAST_QUALITY, ALIKE = 0.3, 80
 
 
+def aside(docs: DataFrame, *names: str) -> DataFrame:
+    """docs with columns renamed that an operator would put its own in the place of."""
+    return docs.withColumnsRenamed({n: f"_own_{n}" for n in names})
+
+
+def back(docs: DataFrame, columns: list[str], *names: str) -> DataFrame:
+    return docs.drop(*names).withColumnsRenamed({f"_own_{n}": n for n in names}).select(*columns)
+
+
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the vote of labelled neighbours does not reject; texts without words stay."""
     model = quality.fitted(docs, table(spark, sf_dir, "labels"), "doc_id", "quality", "text")
     blank = F.coalesce(F.trim("text"), F.lit("")) == ""
-    return quality.scored(docs, model).where((F.col("score") >= LEAST_QUALITY) | blank).drop("score")
+    kept = quality.scored(aside(docs, "score"), model).where((F.col("score") >= LEAST_QUALITY) | blank)
+    return back(kept, docs.columns, "score")
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that stood before in runs of three; those of which nothing is left go."""
-    cut = repeats.without_repeated_lines(docs).where("n_removed = 0 or trim(text) <> ''")
+    cut = repeats.without_repeated_lines(aside(docs, "n_units", "n_removed")).where("n_removed = 0 or trim(text) <> ''")
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return cut.select(*docs.columns)
+    return back(cut, docs.columns, "n_units", "n_removed")
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
