@@ -39,6 +39,22 @@ def any_column_has(columns: Iterable[str], part: str) -> Column:
     return reduce(lambda a, b: a | b, [F.coalesce(F.contains(F.lower(F.col(c).cast("string")), F.lit(part.lower())), F.lit(False)) for c in columns])
 
 
+def holds(c: Column, part: str) -> Column:
+    """Whether a name or path has a part, in any case."""
+    return F.contains(F.lower(c), F.lit(part.lower()))
+
+
+def match_counts(matches: DataFrame) -> DataFrame:
+    """One row: how many matches there are, and how many of them are near ones only."""
+    return matches.agg(F.count("*").alias("total"), F.count_if(F.col("distance").isNotNull()).alias("fuzzy"))
+
+
+def without_translation(documents: DataFrame, translations: DataFrame, key: str = "file", wanted: str = "spa") -> DataFrame:
+    """One row: how many documents have no translation in the wanted language, and so nothing to write."""
+    has = translations.where(in_language(F.col("language"), wanted)).select(key).distinct()
+    return documents.join(has, key, "left_anti").agg(F.count("*").alias("without"))
+
+
 def in_language(language: Column, wanted: str = "spa") -> Column:
     """Whether a language is the wanted one; none counts as it."""
     given = F.trim(F.coalesce(language, F.lit("")))

@@ -117,3 +117,12 @@ def test_report_line(spark):
     report = rollup.write_report(rows)
     assert report.first().first_failure == "late"
     assert report.select(rollup.report_line("Write all").alias("x")).first().x == "Write all: 1 written, 1 skipped (already tagged), 2 failed — late."
+
+
+def test_counts(spark):
+    rows = spark.createDataFrame([("a", None), ("b", 1)], "name string, distance int")
+    assert tuple(rollup.match_counts(rows).first()) == (2, 1)
+    assert [r.name for r in rows.where(rollup.holds(F.col("name"), "B")).collect()] == ["b"]
+    docs = spark.createDataFrame([("x",), ("y",), ("z",)], "file string")
+    lyrics = spark.createDataFrame([("x", ""), ("y", "eng"), ("z", "SPA")], "file string, language string")
+    assert rollup.without_translation(docs, lyrics).first()["without"] == 1

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from cotejo.sources import messages
 from cotejo.streaming import sessions, tempo
 
 
@@ -69,6 +70,11 @@ def test_repeats_and_validity(spark):
     assert [r.at for r in kept] == [0, 3, 4, 5, 6, 7, 8]
 
 
+def test_parsed(spark):
+    rows = messages.parsed(spark.createDataFrame([("A - b | Tango",), ("x | pause",)], "text string")).collect()
+    assert [(r.artist, r.display, r.code) for r in rows] == [("A", "A - b", "T"), ("x | pause", "x", "")]
+
+
 def test_images(spark):
     rows = spark.createDataFrame([("Ána",), ("Bob",)], "artist string")
     images = spark.createDataFrame([("Ana.jpg",), ("default.jpg",)], "file string")
