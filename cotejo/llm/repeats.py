@@ -24,7 +24,7 @@ from .common import saved, slices
 #: (start, end) of each unit in the text, and (hash, first unit, last unit) of each run.
 Cut = tuple[list[tuple[int, int]], list[tuple[int, int, int]]]
 
-ID, LATER = "_cotejo_id", "_cotejo_later"
+ID, SAME, OWN, LATER = "_cotejo_id", "_cotejo_same", "_cotejo_own", "_cotejo_later"
 #: A word; a sentence with its end marks and the white space behind it, or what stands before a line's end.
 WORD = re.compile(r"\S+")
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?=\s|$)\s*|[.!?]+|\n\s*|$)")
@@ -106,58 +106,68 @@ def with_order(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def runs_of(docs: DataFrame, cut: Callable[[str], Cut], text: str) -> DataFrame:
-    """(run, doc): the distinct runs of each row."""
+    """(id, text, n_units, own, runs) of each row: a hash of its text, its units, whether it repeats itself, and its distinct runs."""
     import numpy as np
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                ids = part.column(0).to_numpy()
-                found = [list({h for h, _, _ in cut(t)[1]}) if t else [] for t in part.column(1).to_pylist()]
-                hashes = np.fromiter((h for x in found for h in x), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(np.repeat(ids, [len(x) for x in found]))], names=["run", "doc"])
+                n_units, own, runs = [], [], []
+                for t in part.column(2).to_pylist():
+                    units, found = cut(t) if t else ([], [])
+                    hashes = np.array(list({h for h, _, _ in found}), np.int64)
+                    n_units.append(len(units))
+                    own.append(len(hashes) < len(found))
+                    runs.append(hashes)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(n_units, pa.int64()), pa.array(own, pa.bool_()), pa.array(runs, pa.list_(pa.int64()))],
+                    names=[ID, SAME, "n_units", OWN, "runs"],
+                )
 
-    return docs.select(ID, text).mapInArrow(run, "run long, doc long")
+    return docs.select(ID, SAME, text).mapInArrow(run, f"{ID} long, {SAME} long, n_units long, {OWN} boolean, runs array<long>")
 
 
 def without_repeats(docs: DataFrame, cut: Callable[[str], Cut], text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with its text cut, and n_units and n_removed (units) added."""
+    """docs with its text cut, and n_units and n_removed (units) added.
+
+    Texts are cut into runs once, and once more where a run has to go.
+    """
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    docs = with_order(docs.drop("n_units", "n_removed"), key, text)
-    runs = runs_of(docs, cut, text)
-    shared = saved(runs.groupBy("run").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("run", "first"))
-    later = runs.join(shared, "run").where("doc > first").groupBy(F.col("doc").alias(ID)).agg(F.collect_set("run").alias(LATER))
-    names = [c for c in docs.columns if c != ID]
+    docs = with_order(docs.drop("n_units", "n_removed"), key, text).withColumn(SAME, F.xxhash64(text))
+    found = saved(runs_of(docs, cut, text))
+    runs = found.select(ID, F.explode("runs").alias("run"))
+    shared = saved(runs.groupBy("run").agg(F.min(ID).alias("first"), F.max(ID).alias("last")).where("first < last").select("run", "first"))
+    later = runs.join(shared, "run").where(F.col(ID) > F.col("first")).groupBy(ID).agg(F.collect_set("run").alias(LATER))
+    known = found.select(ID, SAME, "n_units", OWN).distinct().join(later, ID, "left")
+    names = [c for c in docs.columns if c not in (ID, SAME)]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    at = names.index(text)
+    at, n = names.index(text), len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                texts, n_units, n_removed = [], [], []
-                for t, gone in zip(part.column(at).to_pylist(), part.column(len(names)).to_pylist()):
-                    units, found = cut(t) if t else ([], [])
+                texts, n_removed = part.column(at).to_pylist(), [0] * part.num_rows
+                for k, (own, gone) in enumerate(zip(part.column(n + 1).to_pylist(), part.column(n + 2).to_pylist())):
+                    if not own and not gone:
+                        continue
+                    units, runs = cut(texts[k])
                     gone, met, covered = set(gone or ()), set(), set()
-                    for h, i, j in found:
+                    for h, i, j in runs:
                         if h in gone or h in met:
                             covered.update(range(i, j + 1))
                         met.add(h)
-                    if covered:
-                        t = "".join(t[a:b] for k, (a, b) in enumerate(units) if k not in covered)
-                        if len(units) - 1 in covered and t.endswith("\n"):
-                            t = t[:-1]
-                    texts.append(t)
-                    n_units.append(len(units))
-                    n_removed.append(len(covered))
-                columns = [part.column(i) for i in range(len(names))]
+                    left = "".join(texts[k][a:b] for u, (a, b) in enumerate(units) if u not in covered)
+                    texts[k] = left[:-1] if len(units) - 1 in covered and left.endswith("\n") else left
+                    n_removed[k] = len(covered)
+                columns = [part.column(i) for i in range(n + 1)]
                 columns[at] = pc.cast(pa.array(texts, pa.string()), part.column(at).type)
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(n_units, pa.int64()), pa.array(n_removed, pa.int64())], names=[*names, "n_units", "n_removed"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n_removed, pa.int64())], names=[*names, "n_units", "n_removed"])
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "n_units long, n_removed long"])
-    return docs.join(later, ID, "left").select(*(f"`{c}`" for c in names), LATER).mapInArrow(run, schema)
+    return docs.join(known, [ID, SAME]).select(*(f"`{c}`" for c in names), "n_units", OWN, LATER).mapInArrow(run, schema)
 
 
 def without_repeated_lines(docs: DataFrame, lines: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
