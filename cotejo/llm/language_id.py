@@ -74,7 +74,8 @@ def fitted(docs: DataFrame, key: str = "doc_id", label: str = "lang", text: str
     docs = docs.where(F.col(label).isNotNull()).select(F.col(key).alias("_key"), F.col(label).alias("_label"), F.col(text).alias("_text"))
     df, n = features.frequencies(docs, "_text", gram_counts, features.GRAMS)
     idf = features.inverse(df, n)
-    rows = features.counted_rows(features.sampled(docs, "_key", "_label", EACH), ["_key", "_label"], "_text", gram_counts)
+    chosen = features.sampled(docs.select("_key", "_label"), "_key", "_label", EACH).select("_key").distinct()
+    rows = features.counted_rows(docs.join(F.broadcast(chosen), "_key", "left_semi"), ["_key", "_label"], "_text", gram_counts)
     rows = sorted((r for r in rows if r["at"]), key=lambda r: (str(r["_key"]), r["at"], r["n"]))
     names = sorted({r["_label"] for r in rows})
     if not names:
