@@ -37,8 +37,9 @@ def fitted(docs: DataFrame, labels: DataFrame, key: str, label: str, text: str)
     rows = features.counted_rows(own.join(F.broadcast(chosen), "_key"), ["_key", "_label"], "_text", features.style)
     rows.sort(key=lambda r: (r["_key"], r["at"], r["n"]))
     x = features.tf_idf(features.dense(rows, features.STYLE), idf)
-    values, vectors = np.linalg.eigh(x.T @ x)
-    directions = vectors[:, ::-1][:, :DIMS]
+    met = np.flatnonzero(x.any(0))
+    directions = np.zeros((features.STYLE, min(DIMS, len(met))))
+    directions[met] = np.linalg.eigh(x[:, met].T @ x[:, met])[1][:, ::-1][:, :DIMS]
     return {"idf": idf, "directions": directions, "vectors": unit(x @ directions), "labels": np.array([r["_label"] for r in rows], float)}
 
 
