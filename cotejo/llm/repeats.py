@@ -71,32 +71,34 @@ def sentence_runs(text: str, sentences: int = 3, words: int = 20, longest: int =
     A sentence of more than ``longest`` words counts as several of at most as many.  Words
     are compared lower-cased and without regard to the white space between them.
     """
-    units, bags = [], []
+    units, said, sizes = [], [], []
     for m in SENTENCE.finditer(text):
         if m.start() == m.end():
             continue
         whole = m[0].lower().split()
         if len(whole) <= longest:
-            units.append((m.start(), m.end()))
-            bags.append(whole)
+            units.append(m.span())
+            said.append(" ".join(whole))
+            sizes.append(len(whole))
             continue
         starts = [w.start() for w in WORD.finditer(m[0])]
         edges = [0, *cut_behind(whole, longest), len(whole)]
         for a, b in zip(edges, edges[1:]):
             units.append((m.start() + (starts[a] if a else 0), m.start() + (starts[b] if b < len(whole) else len(m[0]))))
-            bags.append(whole[a:b])
+            said.append(" ".join(whole[a:b]))
+            sizes.append(b - a)
     runs, j, total, solid = [], 0, 0, 0
     for i in range(len(units)):
         while j < len(units) and (total < words or solid < sentences):
-            total += len(bags[j])
-            solid += bool(bags[j])
+            total += sizes[j]
+            solid += sizes[j] > 0
             j += 1
         if total < words or solid < sentences:
             break
-        if bags[i]:
-            runs.append((digest(" ".join(w for b in bags[i:j] for w in b)), i, j - 1))
-        total -= len(bags[i])
-        solid -= bool(bags[i])
+        if sizes[i]:
+            runs.append((digest(" ".join(filter(None, said[i:j]))), i, j - 1))
+        total -= sizes[i]
+        solid -= sizes[i] > 0
     return units, runs
 
 
