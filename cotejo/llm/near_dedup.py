@@ -114,13 +114,16 @@ def rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     tokens = nodes.join(sets, "id").select("id", "component", F.size("items").alias("n"), F.explode("items").alias("token"))
     common = saved(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
     # A token that no other node has can't be shared; it only shortens what can be.
-    ranked = (
+    # Rarest first: a list is at most as long as its set.
+    ranked = saved(
         tokens.join(common, "token")
         .groupBy("id", "component", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens"))
-        .select("id", "component", "n", F.posexplode("tokens").alias("place", "item"))
+        .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("items"))
+        .select("id", "component", F.col("n").cast("long").alias("n"), F.col("items.token").alias("tokens"))
     )
-    ranked = with_left(ranked)
+    # left: how many tokens a set still has from a place on, its own included.
+    left = (F.size("tokens") - F.col("place")).cast("long").alias("left")
+    ranked = ranked.select("id", "component", "n", "tokens", F.posexplode("tokens").alias("place", "token")).select("id", "component", "n", "token", left)
     band = lambda size: F.floor(F.log(size) / math.log(BAND))
     records = ranked.where(F.col("left") >= F.ceil(F.col("n") * t - 1e-9))
     small = records.where(F.col("left") >= overlap(percent, F.col("n"), F.col("n"))).withColumn("band", band(F.col("n")))
@@ -145,16 +148,6 @@ def rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return on(small.where("not main"), large).union(on(small.where("main"), large.where("not main_b"))).distinct()
 
 
-def with_left(ranked: DataFrame) -> DataFrame:
-    """left: how many tokens a set still has from a place on, its own included.
-
-    Shared tokens are sorted by how common they are and stand after the sole ones, so at
-    the i-th of m shared ones m - i are left.
-    """
-    most = ranked.groupBy("id").agg(F.max("place").alias("last"))
-    return ranked.join(most, "id").select("id", "component", F.col("n").cast("long").alias("n"), F.col("item.token").alias("token"), (F.col("last") - F.col("place") + 1).cast("long").alias("left"))
-
-
 def classes(docs: DataFrame, percent: int = 80, text: str = "text") -> DataFrame:
     """Of every row of docs: doc_id, n_shingles and component_id.
 
