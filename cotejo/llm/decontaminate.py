@@ -25,7 +25,7 @@ from .repeats import ID, with_order
 WORDS = 5
 #: Chance to miss a match, and how many powers of two documents may be larger than items for MinHash.
 MISS, FAR = 1e-8, 2
-#: Item shingles that are broadcast at most; more are joined by shuffling.
+#: Item shingles, and MinHash values of items, that are broadcast at most; more are joined by shuffling.
 BROADCAST = 2_000_000
 
 
@@ -74,9 +74,10 @@ def matches(docs: DataFrame, items: DataFrame, percent: int = 80, text: str = "t
         .withColumn("item_class", size_class(F.col("n_item")))
     )
     sets = saved(sets)
-    least, total = sets.agg(F.min("n_item"), F.sum("n_item")).first()
+    least, total, n_sets = sets.agg(F.min("n_item"), F.sum("n_item"), F.count("*")).first()
     asked = saved(sets.select(F.explode("shingles").alias("shingle")).distinct())
-    bounded = F.broadcast if (total or 0) <= BROADCAST else lambda df: df
+    few = (total or 0) <= BROADCAST
+    bounded = lambda df, each=1: F.broadcast(df) if few and each * n_sets <= BROADCAST else df
     own = (
         shingled(docs, [ID, key], text)
         .join(bounded(asked), "shingle", "left_semi")
@@ -91,7 +92,7 @@ def matches(docs: DataFrame, items: DataFrame, percent: int = 80, text: str = "t
     doc_values = values(own.select(ID, "doc_class", "shingles"), most)
     apart = F.col("doc_class") - F.col("item_class")
     enough = F.coalesce(*(F.when(apart <= d, F.col("at") < n_values(d, percent)) for d in range(FAR + 1)), F.lit(False))
-    near = doc_values.join(bounded(item_values), ["at", "value"]).where(enough).select(ID, "item")
+    near = doc_values.join(bounded(item_values, most), ["at", "value"]).where(enough).select(ID, "item")
     far = (
         own.select(ID, "doc_class", F.explode("shingles").alias("shingle"))
         .join(bounded(sets.select("item", "item_class", F.explode("shingles").alias("shingle"))), "shingle")
