@@ -34,38 +34,44 @@ def grams(c: Column, n: int = GRAM) -> Column:
     return F.when(F.length(c) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
-def candidates(names: DataFrame, titles: DataFrame, name: str, title_keys: Callable[[Column], Column], name_keys: Callable[[Column], Column]) -> DataFrame:
-    """(_row, title): titles with the rows of names that have the title's rarest key.
+def candidates(names: DataFrame, titles: DataFrame, name: str, title_keys: Callable[[Column], Column], name_keys: Callable[[Column], Column], within: tuple[str, ...] = ()) -> DataFrame:
+    """(_row, within, title): titles with the rows of names that have the title's rarest key.
 
     names has a hash of the name in _row; only hashes and keys are shuffled here.
     """
-    of_titles = titles.select("title", F.explode(title_keys(F.col("title"))).alias("key"))
-    of_names = names.select("_row", F.explode(name_keys(F.col(name))).alias("key")).join(of_titles.select("key").distinct(), "key", "left_semi")
-    counts = of_names.groupBy("key").agg(F.count("*").alias("rows"))
-    best = of_titles.join(counts, "key", "left").groupBy("title").agg(F.min(F.struct(F.coalesce("rows", F.lit(0)).alias("rows"), "key")).alias("best"))
-    rarest = best.where("best.rows > 0").select("title", F.col("best.key").alias("key"))
-    return of_names.join(rarest, "key").select("_row", "title").distinct()
+    on = [*within, "key"]
+    of_titles = titles.select(*within, "title", F.explode(title_keys(F.col("title"))).alias("key"))
+    of_names = names.select(*within, "_row", F.explode(name_keys(F.col(name))).alias("key")).join(of_titles.select(*on).distinct(), on, "left_semi")
+    counts = of_names.groupBy(*on).agg(F.count("*").alias("rows"))
+    best = of_titles.join(counts, on, "left").groupBy(*within, "title").agg(F.min(F.struct(F.coalesce("rows", F.lit(0)).alias("rows"), "key")).alias("best"))
+    rarest = best.where("best.rows > 0").select(*within, "title", F.col("best.key").alias("key"))
+    return of_names.join(rarest, on).select("_row", *within, "title").distinct()
 
 
-def containment(names: DataFrame, titles: DataFrame, name: str, title: str) -> DataFrame:
+def containment(names: DataFrame, titles: DataFrame, name: str, title: str, within: tuple[str, ...] = ()) -> DataFrame:
     """Rows of names with rows of titles whose title is part of the name.
 
+    within: columns of both sides that must be equal as well, and are once in the result.
     Null titles and names match nothing; the empty title is part of every name.  A title
     of at least three words has an interior word, which a name must have as a word; a
     shorter one has a run of GRAM characters.  The rarest such key joins.  Titles that
     are shorter than that are few by their kind and are compared with all names.
     """
-    given = titles.select(F.col(title).alias("title")).where("title is not null").distinct()
+    given = titles.select(*within, F.col(title).alias("title")).where("title is not null").distinct()
     keyed = names.where(F.col(name).isNotNull()).withColumn("_row", F.xxhash64(name))
     worded = F.size(interior(F.col("title"))) > 0
     short = given.where(~worded)
     by_gram, tiny = short.where(F.length("title") >= GRAM), short.where(F.length("title") < GRAM)
-    found = candidates(keyed, given.where(worded), name, interior, word_keys)
+    found = candidates(keyed, given.where(worded), name, interior, word_keys, within)
     if not by_gram.isEmpty():
-        found = found.union(candidates(keyed, by_gram, name, grams, grams))
-    both = keyed.join(found.withColumnRenamed("title", "_title"), "_row").where(F.contains(name, "_title"))
+        found = found.union(candidates(keyed, by_gram, name, grams, grams, within))
+    both = keyed.join(found.withColumnRenamed("title", "_title"), ["_row", *within]).where(F.contains(name, "_title"))
     if not tiny.isEmpty():
-        both = both.unionByName(keyed.join(tiny.withColumnRenamed("title", "_title"), F.contains(name, "_title")))
+        few = tiny.withColumnRenamed("title", "_title")
+        pairs = keyed.join(few, list(within)).where(F.contains(name, "_title")) if within else keyed.join(few, F.contains(name, "_title"))
+        both = both.unionByName(pairs)
+    if within:
+        return both.join(titles.withColumn("_title", F.col(title)), ["_title", *within]).drop("_title", "_row")
     return both.join(titles, both["_title"] == titles[title]).drop("_title", "_row")
 
 
@@ -115,17 +121,20 @@ def occurrences(c: Column, part: Column) -> Column:
     return F.size(F.filter(starts, lambda i: F.substring(c, i, F.length(part)) == part))
 
 
-def catalogue_pairs(tracks: DataFrame, files: DataFrame, orchestra: str) -> DataFrame:
-    """Tracks of one orchestra's catalogue with the files whose names hold title, genre, singer and year.
+def catalogue_pairs(tracks: DataFrame, files: DataFrame, orchestra: str | None = None) -> DataFrame:
+    """Tracks of an orchestra's catalogue with its files whose names hold title, genre, singer and year.
 
-    tracks: id, name, vocal, genre and year; files: file.  The file's simplified name must
+    tracks: id, name, vocal, genre and year; files: file.  Both are of the one orchestra
+    that is given, or else of any number, which the column orchestra of both names.  The file's simplified name must
     hold the title or its alternative, the singer, and the year; a title that holds its
     genre's name needs it twice.  The orchestra's name is taken out of file names first,
     unless the singer's holds it.
     """
-    o = T.simplify(F.lit(orchestra))
+    named = F.col("orchestra") if orchestra is None else F.lit(orchestra)
+    o = T.simplify(F.col("_orchestra"))
     simple = tracks.select(
         *tracks.columns,
+        named.alias("_orchestra"),
         T.simplify(T.first_title(F.col("name"))).alias("n1"),
         T.simplify(T.second_title(F.col("name"))).alias("n2"),
         T.simplify(F.col("vocal")).alias("v"),
@@ -133,19 +142,23 @@ def catalogue_pairs(tracks: DataFrame, files: DataFrame, orchestra: str) -> Data
         F.substring("year", 1, 4).alias("y"),
     )
     wanted = simple.select("*", F.explode(F.array_distinct(F.when(F.col("n2") != "", F.array("n1", "n2")).otherwise(F.array("n1")))).alias("wanted"))
-    whole = files.select("file", F.lower(T.simplify(F.col("file"))).alias("fn"))
+    whole = files.select(named.alias("_orchestra"), "file", F.lower(T.simplify(F.col("file"))).alias("fn"))
     cut = whole.withColumn("fn", T.removed(F.col("fn"), o))
     sings = F.contains("v", o)
-    pairs = containment(whole, wanted.where(sings), "fn", "wanted").unionByName(containment(cut, wanted.where(~sings), "fn", "wanted"))
+    within = ("_orchestra",)
+    pairs = containment(whole, wanted.where(sings), "fn", "wanted", within).unionByName(containment(cut, wanted.where(~sings), "fn", "wanted", within))
     fits = ((~F.contains("n1", "g")) | (occurrences(F.col("fn"), F.col("g")) >= 2)) & F.contains("fn", "v") & F.contains("fn", "y")
     return pairs.where(fits).select(*tracks.columns, "file").distinct()
 
 
-def catalogue_assigned(tracks: DataFrame, files: DataFrame, orchestra: str, ident: str = "id") -> DataFrame:
-    """Each matched file's one track: the one with the longest name, then the longest singer, then the smallest id."""
+def catalogue_assigned(tracks: DataFrame, files: DataFrame, orchestra: str | None = None, ident: str = "id") -> DataFrame:
+    """Each matched file's one track: the one with the longest name, then the longest singer, then the smallest id.
+
+    Without one orchestra given, a file is each orchestra's own, and orchestra is the first column.
+    """
     rank = [-F.length("name"), -F.length("vocal"), F.col(ident)]
     pairs = catalogue_pairs(tracks, files, orchestra)
-    return first_owner(pairs, ["file"], rank, [ident, "name", "vocal"])
+    return first_owner(pairs, ["orchestra", "file"] if orchestra is None else ["file"], rank, [ident, "name", "vocal"])
 
 
 def fuzzy_title(c: Column) -> Column:

@@ -281,11 +281,11 @@ ORCHESTRA = "Brand#11"
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     year = (1900 + F.col("p_size")).cast("string")
-    return read(spark, sf_dir, "part").where(F.col("p_brand") == ORCHESTRA).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("vocal"), F.lit("tango").alias("genre"), year.alias("year"))
+    return read(spark, sf_dir, "part").select(F.col("p_brand").alias("orchestra"), F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("vocal"), F.lit("tango").alias("genre"), year.alias("year"))
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "part").where(F.col("p_brand") == ORCHESTRA).select(F.concat_ws(" - ", "p_brand", "p_type", "p_name", (1900 + F.col("p_size")).cast("string"), F.lit("tango.mp3")).alias("file")).distinct()
+    return read(spark, sf_dir, "part").select(F.col("p_brand").alias("orchestra"), F.concat_ws(" - ", "p_brand", "p_type", "p_name", (1900 + F.col("p_size")).cast("string"), F.lit("tango.mp3")).alias("file")).distinct()
 
 
 CATALOGUE = f"""WITH t AS (SELECT p_partkey AS id, p_name AS name, p_type AS vocal, 'tango' AS g, CAST(1900 + p_size AS VARCHAR) AS y, {sql_simplify('p_name')} AS n1, {sql_simplify('p_type')} AS v FROM part WHERE p_brand = '{ORCHESTRA}'),
@@ -296,7 +296,20 @@ pairs AS (SELECT * FROM t JOIN c ON contains(fn, n1) AND contains(fn, v) AND con
 
 @query(f"{CATALOGUE} SELECT file, id, name, vocal FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY length(name) DESC, length(vocal) DESC, id) AS k FROM pairs) WHERE k = 1")
 def catalogue_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.catalogue_assigned(tracks(spark, sf_dir), files(spark, sf_dir), ORCHESTRA)
+    """One orchestra's catalogue; catalogue_match_all has those of all."""
+    one = F.col("orchestra") == ORCHESTRA
+    return match.catalogue_assigned(tracks(spark, sf_dir).where(one), files(spark, sf_dir).where(one)).drop("orchestra")
+
+
+CATALOGUES = f"""WITH t AS (SELECT p_brand AS orchestra, p_partkey AS id, p_name AS name, p_type AS vocal, 'tango' AS g, CAST(1900 + p_size AS VARCHAR) AS y, {sql_simplify('p_name')} AS n1, {sql_simplify('p_type')} AS v FROM part),
+f AS (SELECT DISTINCT p_brand AS orchestra, p_brand || ' - ' || p_type || ' - ' || p_name || ' - ' || CAST(1900 + p_size AS VARCHAR) || ' - tango.mp3' AS file FROM part),
+c AS (SELECT orchestra, file, replace({sql_simplify('file')}, {sql_simplify('orchestra')}, '') AS fn FROM f),
+pairs AS (SELECT * FROM t JOIN c USING (orchestra) WHERE contains(fn, n1) AND contains(fn, v) AND contains(fn, y) AND NOT contains(n1, g))"""
+
+
+@query(f"{CATALOGUES} SELECT orchestra, file, id, name, vocal FROM (SELECT *, row_number() OVER (PARTITION BY orchestra, file ORDER BY length(name) DESC, length(vocal) DESC, id) AS k FROM pairs) WHERE k = 1")
+def catalogue_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.catalogue_assigned(tracks(spark, sf_dir), files(spark, sf_dir))
 
 
 # Display, filters and templates.

@@ -90,6 +90,21 @@ def test_catalogue_join_rules(spark):
     assert {(r.file, r.id) for r in match.catalogue_assigned(tracks, files, "Orq").collect()} == {(f, i) for i, f in found}
 
 
+def test_catalogue_join_of_all_orchestras(spark):
+    tracks = spark.createDataFrame(
+        [("Orq", 1, "Uno", "Roberto", "", "1941"), ("Otra", 2, "Uno", "Roberto", "", "1941"), ("Otra", 3, "La otra noche", "Orq", "", "1950"), ("Otra", 4, "Ay", "", "", ""), (None, 5, "Uno", "", "", "")],
+        "orchestra string, id int, name string, vocal string, genre string, year string",
+    )
+    rows = [("Orq", "Orq - Roberto - Uno - 1941"), ("Otra", "Otra - Roberto - Uno - 1941"), ("Otra", "Otra - Orq - La otra noche - 1950"), ("Otra", "La ay"), ("Orq", "La ay"), (None, "Uno")]
+    files = spark.createDataFrame(rows, "orchestra string, file string")
+    found = {(r.orchestra, r.id, r.file) for r in match.catalogue_assigned(tracks, files).collect()}
+    alone = set()
+    for o in ("Orq", "Otra"):
+        mine = match.catalogue_assigned(tracks.where(F.col("orchestra") == o).drop("orchestra"), files.where(F.col("orchestra") == o).select("file"), o)
+        alone |= {(o, r.id, r.file) for r in mine.collect()}
+    assert found == alone and {("Orq", 1, rows[0][1]), ("Otra", 2, rows[1][1]), ("Otra", 4, "La ay")} <= found
+
+
 def test_catalogue_fuzzy_takes_the_singer_out(spark):
     tracks = spark.createDataFrame([(1, "Nostalgias (a)", "Charlo"), (2, "Malena", "")], "id int, name string, vocal string")
     files = spark.createDataFrame([("f1", "Nostalgia Charlo (1936)"), ("f2", "Melena"), ("f3", "Milonga")], "file string, title string")
