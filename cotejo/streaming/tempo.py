@@ -13,43 +13,55 @@ from ..functions.numbers import FASTEST, RESET
 STATE = "count long, last long, total double, bpm double, resets long"
 
 
-def fold(gaps: Column, scale: float) -> Column:
-    """The state after taps at ordered positions (an array of longs): count, last, total, bpm and resets.
-
-    scale / gap is a tap's tempo, no more than FASTEST.  A tap whose tempo is more than
-    RESET times as fast or slow as the mean drops all state, itself included.
-    """
-    start = F.struct(F.lit(0).cast("long").alias("count"), F.lit(0).cast("long").alias("last"), F.lit(0.0).alias("total"), F.lit(0.0).alias("bpm"), F.lit(0).cast("long").alias("resets"))
-
-    def step(s: Column, t: Column) -> Column:
-        bpm = F.least(F.lit(FASTEST), F.coalesce(F.try_divide(F.lit(float(scale)), (t - s["last"]).cast("double")), F.lit(FASTEST)))
-        total = s["total"] + bpm
-        mean = total / s["count"].cast("double")
-        off = F.greatest(bpm, mean) > RESET * F.least(bpm, mean)
-        first = F.struct(F.lit(1).cast("long").alias("count"), t.alias("last"), F.lit(0.0).alias("total"), F.lit(0.0).alias("bpm"), s["resets"].alias("resets"))
-        again = F.struct(F.lit(0).cast("long").alias("count"), F.lit(0).cast("long").alias("last"), F.lit(0.0).alias("total"), F.lit(0.0).alias("bpm"), (s["resets"] + 1).alias("resets"))
-        more = F.struct((s["count"] + 1).alias("count"), t.alias("last"), total.alias("total"), bpm.alias("bpm"), s["resets"].alias("resets"))
-        return F.when(s["count"] == 0, first).when(off, again).otherwise(more)
-
-    return F.aggregate(gaps, start, step)
-
-
 def tempo(taps: DataFrame, key: str, at: Column, order: list[str], scale: float = 60000.0) -> DataFrame:
     """Of each key: count, total, last tap's bpm and resets after all its taps.
 
-    at: a tap's time as a long; a key's taps are one array, so a key must not have more of
-    them than a task can hold (one person's taps).
+    at: a tap's time as a long.  Rows are dealt by key, sorted, and folded as they come: a
+    task holds one key's state and a batch of rows, however many taps a key has.  The
+    taps of a key follow each other in one task, as a tap's effect depends on all before.
     """
-    rows = taps.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, at.cast("long").alias("_at")))), lambda r: r["_at"]).alias("_taps"))
-    return rows.select(key, fold(F.col("_taps"), scale).alias("s")).select(key, F.col("s.count").alias("taps"), F.col("s.total").alias("total_bpm"), F.col("s.bpm").alias("last_bpm"), F.col("s.resets").alias("resets"))
-
-
-def step(state: tuple, at: int, scale: float) -> tuple:
-    """The state after one more tap; plain Python for streams."""
+    import pyarrow as pa
+
+    kind = taps.select(key).schema[0].dataType.simpleString()
+    rows = taps.select(key, at.cast("long").alias("_at"), *(F.col(c).alias(f"_order{i}") for i, c in enumerate(order)))
+    rows = rows.repartition(F.col(key)).sortWithinPartitions(key, *(f"_order{i}" for i in range(len(order))), "_at").select(key, "_at")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none, done, state = (0, 0, 0.0, 0.0, 0), [], None
+        schema = []
+
+        def packed() -> pa.RecordBatch:
+            columns = [pa.array(x, t) for x, t in zip(zip(*done), [schema[0], pa.int64(), pa.float64(), pa.float64(), pa.int64()])]
+            done.clear()
+            return pa.RecordBatch.from_arrays(columns, names=[key, "taps", "total_bpm", "last_bpm", "resets"])
+
+        def end() -> None:
+            done.append((owner, state[0], *state[2:]))
+
+        owner = None
+        for batch in batches:
+            schema[:] = [batch.schema.field(0).type]
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if state is None or k != owner:
+                    if state is not None:
+                        end()
+                    owner, state = k, none
+                state = step(state, t, scale)
+            if done:
+                yield packed()
+        if state is not None:
+            end()
+            yield packed()
+
+    return rows.mapInArrow(run, f"`{key}` {kind}, taps long, total_bpm double, last_bpm double, resets long")
+
+
+def step(state: tuple, at: int | None, scale: float) -> tuple:
+    """The state after one more tap, in plain Python."""
     count, last, total, bpm, resets = state
     if count == 0:
         return 1, at, 0.0, 0.0, resets
-    bpm = min(FASTEST, scale / (at - last)) if at != last else FASTEST
+    bpm = FASTEST if at is None or last is None or at == last else min(FASTEST, scale / (at - last))
     total += bpm
     mean = total / count
     if max(bpm, mean) > RESET * min(bpm, mean):

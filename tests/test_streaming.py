@@ -109,3 +109,15 @@ def test_display_stream(spark, tmp_path):
     rows = streamed(spark, tmp_path, "key long, at long, text string", batches, sessions.display_stream, "display_out")
     found = [(r.at, r.sessions) for r in sorted(rows, key=lambda r: r.at)]
     assert found == [(0, "T"), (3, "T"), (6, "TM"), (7, "TM"), (8, "TM")]
+
+
+def test_tempo_needs_no_array_of_a_keys_taps(spark):
+    taps = spark.range(30000).select((F.col("id") % 3 % 2).alias("k"), (F.col("id") * 300 + F.col("id") % 7).alias("t"), "id")
+    found = tempo.tempo(taps, "k", F.col("t"), ["id"])
+    plan = found._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
+    wanted = {}
+    for i in range(30000):
+        k = i % 3 % 2
+        wanted[k] = tempo.step(wanted.get(k, (0, 0, 0.0, 0.0, 0)), i * 300 + i % 7, 60000.0)
+    assert {r.k: (r.taps, r.total_bpm, r.last_bpm, r.resets) for r in found.collect()} == {k: (s[0], *s[2:]) for k, s in wanted.items()}
