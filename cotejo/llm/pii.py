@@ -12,6 +12,10 @@
    in at least ``PRECISION`` of cases.
 4. The trees are then an expression of ``CASE WHEN``; candidates at or above their kind's
    threshold that overlap no base span of the kind are added to the base spans.
+
+A kind has a threshold only if at least ``LEAST`` positives stand in the odd half.  On a table
+with fewer nothing is added to its base spans, so spelt addresses, IPv6, dotted cards and local
+phones that the trees would add on a larger table stay out of ``spans`` and are not redacted.
 """
 
 from __future__ import annotations
