@@ -21,18 +21,36 @@ def setting(spark: SparkSession, name: str) -> str:
     return spark.conf.get(f"cotejo.{name}", SETTINGS[name])
 
 
-def tempo_rows(files: DataFrame) -> DataFrame:
-    """What a tempo export lists: files with a whole number of beats, a track's files from last to first.
+def quoted(c: Column) -> Column:
+    """A text as the value of an XML attribute."""
+    for mark, name in (("&", "amp"), ("<", "lt"), (">", "gt"), ('"', "quot")):
+        c = F.replace(c, F.lit(mark), F.lit(f"&{name};"))
+    return c
 
-    files: track_pos, file_pos, file, bpm.
+
+def tempo_lines(files: DataFrame) -> DataFrame:
+    """(orchestra, n, line): the lines of each orchestra's tempo export as XML, in order by n and then by what follows it.
+
+    files: orchestra, track_pos, file_pos, file, bpm.  An orchestra without any file to list has the empty element.
     """
-    return files.where("bpm <> '' and not contains(bpm, '.')").orderBy("track_pos", F.desc("file_pos")).select(F.col("file").alias("_name"), F.col("bpm").alias("_bpm"))
+    names = files.select("orchestra").distinct()
+    mark = lambda track, n, line: [F.lit(track).cast("long").alias("track"), F.lit(n).cast("long").alias("n"), line.alias("line")]
+    first = names.select("orchestra", *mark(-1, 0, F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<bpm orchestra="'), quoted(F.col("orchestra")), F.lit('">'))))
+    last = names.select("orchestra", *mark((1 << 62), 0, F.lit("</bpm>")))
+    line = F.concat(F.lit('    <file name="'), quoted(F.col("file")), F.lit('" bpm="'), quoted(F.col("bpm")), F.lit('"/>'))
+    rows = files.where("bpm <> '' and not contains(bpm, '.')").select("orchestra", F.col("track_pos").cast("long").alias("track"), (-F.col("file_pos")).cast("long").alias("n"), line.alias("line"))
+    return first.unionAll(rows).unionAll(last)
+
+
+def tempo_documents(files: DataFrame) -> DataFrame:
+    """(orchestra, xml): one document for each orchestra; an orchestra's catalogue is one small file."""
+    rows = tempo_lines(files).groupBy("orchestra").agg(F.array_sort(F.collect_list(F.struct("track", "n", "line"))).alias("rows"))
+    return rows.select("orchestra", F.array_join(F.col("rows.line"), "\n").alias("xml"))
 
 
-def write_tempo(files: DataFrame, orchestra: str, path: str) -> None:
-    """The tempo export as XML; one orchestra's list is small and goes to one file in order."""
-    name = orchestra.replace("&", "&amp;").replace('"', "&quot;").replace("<", "&lt;")
-    tempo_rows(files).coalesce(1).write.format("xml").options(rootTag=f'bpm orchestra="{name}"', rowTag="file", attributePrefix="_").mode("overwrite").save(path)
+def write_tempo(files: DataFrame, path: str) -> None:
+    """Each orchestra's tempo export as a file of its own below path, in a folder that is named after it."""
+    tempo_documents(files).write.partitionBy("orchestra").mode("overwrite").text(path)
 
 
 def pages(translations: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Readers, tag containers and exports, on files made here."""
 
 import datetime
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -150,10 +151,14 @@ def test_library(spark, tmp_path):
 
 
 def test_exports(spark, tmp_path):
-    rows = spark.createDataFrame([(0, 0, "a.mp3", "120"), (0, 1, "b.mp3", "121"), (1, 0, "c.mp3", "12.5"), (2, 0, "d.mp3", "")], "track_pos int, file_pos int, file string, bpm string")
-    sinks.write_tempo(rows, "O & P", str(tmp_path / "bpm"))
-    text = "".join(p.read_text() for p in (tmp_path / "bpm").glob("part*"))
-    assert text.index("b.mp3") < text.index("a.mp3") and 'orchestra="O &amp; P"' in text and "12.5" not in text
+    rows = [("O & 'P' \"Q\" <R", 0, 0, "a & b.mp3", "120"), ("O & 'P' \"Q\" <R", 0, 1, 'b "x".mp3', "121"), ("O & 'P' \"Q\" <R", 1, 0, "c.mp3", "12.5"), ("S", 2, 0, "d.mp3", "")]
+    rows = spark.createDataFrame(rows, "orchestra string, track_pos int, file_pos int, file string, bpm string")
+    sinks.write_tempo(rows, str(tmp_path / "bpm"))
+    found = {}
+    for p in (tmp_path / "bpm").glob("*/part*"):
+        document = ElementTree.fromstring(p.read_text().strip().encode())
+        found[document.get("orchestra")] = [(x.get("name"), x.get("bpm")) for x in document]
+    assert found == {"O & 'P' \"Q\" <R": [('b "x".mp3', "121"), ("a & b.mp3", "120")], "S": []}
     lyrics = spark.createDataFrame([("a", 0, "T", "x\n\ny"), ("a", 1, "U", "z"), ("b", 0, "T", "w")], "file string, pos int, name string, contents string")
     assert [r.html for r in sinks.pages(lyrics).collect()] == ["<h3>T</h3><p>x</p><p>y</p>\n<h4>U</h4><p>z</p>"]
 
