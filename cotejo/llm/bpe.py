@@ -187,7 +187,7 @@ def coded(docs: DataFrame, tokenizer: str, digests: bool, keep: list[str], text:
             model.value["encoder"] = Encoder(model.value)
         encoder = model.value["encoder"]
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, len(keep)):
                 texts = part.column(len(keep)).to_pylist()
                 n, ids, decoded = [], [], []
                 for t in texts:

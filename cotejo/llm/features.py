@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +52,29 @@ def grams(texts: list[str | None]) -> np.ndarray:
     return out
 
 
+def by_pieces(count: Callable, texts, dims: int, size: int = 1 << 20) -> np.ndarray:
+    """count's rows for Arrow texts; one of more than so many bytes is counted in pieces, which bounds memory.
+
+    Pieces end before white space and depend on the text alone; what stands across two of them is not counted.
+    """
+    data, offsets = shingles.buffers(texts)
+    if not len(offsets) - 1 or np.diff(offsets).max() <= size:
+        return count(texts)
+    out = np.zeros((len(offsets) - 1, dims), np.int64)
+    short = np.flatnonzero(np.diff(offsets) <= size)
+    if len(short):
+        out[short] = count(texts.take(pa.array(short)))
+    for i in np.flatnonzero(np.diff(offsets) > size):
+        a, end = int(offsets[i]), int(offsets[i + 1])
+        while a < end:
+            b = end if a + size >= end else shingles.cut_after(data, np.array([end]), a + size)
+            while b < end and data[b] & 0xC0 == 0x80:
+                b += 1
+            out[i] += count(pa.array([data[a:b].tobytes().decode(errors="replace")]))[0]
+            a = b
+    return out
+
+
 def byte_kinds() -> np.ndarray:
     """What a byte counts as in a word's shape: lower case, upper case, digit, mark, or a symbol of its own."""
     kinds = np.arange(256)
@@ -66,6 +90,10 @@ KINDS = byte_kinds()
 
 def style(texts) -> np.ndarray:
     """Counts of word shapes (runs of one kind of character count once), of pairs of them, and of repetition."""
+    return by_pieces(piece_style, texts, STYLE)
+
+
+def piece_style(texts) -> np.ndarray:
     data, offsets = shingles.buffers(texts)
     n = len(offsets) - 1
     hashes, before = shingles.word_hashes(texts)
@@ -107,12 +135,10 @@ def frequencies(docs: DataFrame, text: str, count: Callable, dims: int) -> tuple
 
     Each task sends one row per feature, so what is summed has a fixed width.
     """
-    import pyarrow as pa
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(dims, np.int64), 0
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 0):
                 total += (count(part.column(0)) > 0).sum(0)
                 n += part.num_rows
         at = np.flatnonzero(total)
@@ -139,13 +165,11 @@ def tf_idf(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 def counted_rows(docs: DataFrame, names: list[str], text: str, count: Callable) -> list:
     """Rows (names, at, n) with the sparse feature counts of docs, which the caller has bounded."""
-    import pyarrow as pa
-
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, len(names)):
                 counts = count(part.column(len(names)))
                 at = [np.flatnonzero(c).astype(np.int32) for c in counts]
                 yield pa.RecordBatch.from_arrays(

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import discarded, saved
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) for every node of links (a, b): the smallest node it can reach.
+    """(node, component, moved) for every node of links (a, b), as a saved table: the smallest node it can reach.
 
     Each round takes the smallest label among a node's neighbours and then that label's own
     label, so paths halve; the table of labels is cut off its lineage after each round.
@@ -29,6 +29,9 @@ def components(links: DataFrame) -> DataFrame:
             closer.join(far, F.col("closer") == F.col("via"))
             .select("node", F.least("closer", "far").alias("component"), (F.least("closer", "far") != F.col("component")).alias("moved"))
         )
-        if step.where("moved").isEmpty():
-            return step.select("node", "component")
-        labels = step.select("node", "component")
+        done = step.where("moved").isEmpty()
+        discarded(labels)
+        if done:
+            discarded(both)
+            return step
+        labels = step

@@ -87,7 +87,7 @@ def fitted(docs: DataFrame, key: str = "doc_id", label: str = "lang", text: str
 
 
 def gram_counts(texts):
-    return features.grams(texts.to_pylist())
+    return features.by_pieces(lambda part: features.grams(part.to_pylist()), texts, features.GRAMS)
 
 
 def predicted(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
@@ -107,7 +107,7 @@ def predicted(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = known.value
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, at):
                 counts = gram_counts(part.column(at))
                 names, best = [UNKNOWN] * len(counts), np.zeros(len(counts))
                 if m["names"]:

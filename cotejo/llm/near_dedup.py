@@ -1,12 +1,13 @@
 """Near-duplicate documents by fast similarity sketching.
 
-1. Texts with equal shingle sets fall into one class, which its smallest id stands for.
+1. Texts with equal shingle sets fall into one class, which its smallest id stands for;
+   sets are equal if their sizes and two 64-bit sums over all of their shingles are.
 2. Each class's set is sketched (shingles.sketch) and cut into bands; classes that agree in
    a band share a bucket.  The number of bands follows from the threshold, so that a pair
    at the threshold shares no bucket with a chance below ``MISS``.
 3. In each bucket every class is compared with the smallest one only, on full sets.  That
    links most groups with as many pairs as members.
-4. Classes that still are in different components but share a bucket are compared exactly
+4. Other classes of a bucket that still are in different components are compared exactly
    without listing all pairs of a bucket: a prefix-filter join on their rarest shingles.
    Two sets as similar as asked must share one of their rarest shingles, at places and
    with sizes that bound the pair's overlap; the bound is part of the join's key, so that
@@ -26,13 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import saved, slices
+from .common import discarded, saved, slices
 from .graph import components
 
 #: Rows of a band, and the chance that a pair at the threshold shares no band.
 ROWS, MISS = 4, 1e-8
 #: Sets of one size band differ by this factor at most.
 BAND = 1.03
+#: Ids that are broadcast at most, to keep texts of which no set is needed out of a shuffle; more are joined by shuffling.
+BROADCAST = 2_000_000
 
 
 def n_bands(percent: int) -> int:
@@ -48,7 +51,7 @@ def sketches(docs: DataFrame, percent: int, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 1):
                 sets = shingles.shingle_sets(part.column(1))
                 keys = [[int(x.sum().astype("i8")), int(np.bitwise_xor.reduce(shingles.mixed(x ^ shingles.STEP)).astype("i8"))] if len(x) else [0, 0] for x in sets]
                 marks = [shingles.bands(x, bands, ROWS).astype("i8") if len(x) else None for x in sets]
@@ -66,7 +69,7 @@ def full_sets(docs: DataFrame, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 1):
                 sets = [x.astype("i8") for x in shingles.shingle_sets(part.column(1))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "items"])
 
@@ -108,11 +111,11 @@ def overlap(percent: int, a, b):
     return F.ceil((a + b) * percent / F.lit(100.0 + percent) - 1e-9)
 
 
-def rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes (id, component) of different components that could be as similar as asked."""
+def rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs (a, b) of nodes (id, component) of different components that could be as similar as asked, and two saved tables they are read from."""
     t = percent / 100
     tokens = nodes.join(sets, "id").select("id", "component", F.size("items").alias("n"), F.explode("items").alias("token"))
-    common = saved(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
+    common = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     # A token that no other node has can't be shared; it only shortens what can be.
     # Rarest first: a list is at most as long as its set.
     ranked = saved(
@@ -123,9 +126,9 @@ def rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
     # left: how many tokens a set still has from a place on, its own included.
     left = (F.size("tokens") - F.col("place")).cast("long").alias("left")
-    ranked = ranked.select("id", "component", "n", "tokens", F.posexplode("tokens").alias("place", "token")).select("id", "component", "n", "token", left)
+    placed = ranked.select("id", "component", "n", "tokens", F.posexplode("tokens").alias("place", "token")).select("id", "component", "n", "token", left)
     band = lambda size: F.floor(F.log(size) / math.log(BAND))
-    records = ranked.where(F.col("left") >= F.ceil(F.col("n") * t - 1e-9))
+    records = placed.where(F.col("left") >= F.ceil(F.col("n") * t - 1e-9))
     small = records.where(F.col("left") >= overlap(percent, F.col("n"), F.col("n"))).withColumn("band", band(F.col("n")))
     most = F.least(F.col("n"), F.floor(F.col("left") * (1 + t) / t + 1e-9) - F.col("n"))
     large = (
@@ -145,7 +148,8 @@ def rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         & (F.least("la", "lb") >= overlap(percent, F.col("na"), F.col("nb")))
     )
     on = lambda x, y: x.join(y, [x[k] == y[k] for k in key] + [fits]).select("a", "b")
-    return on(small.where("not main"), large).union(on(small.where("main"), large.where("not main_b"))).distinct()
+    discarded(ranked, mixed)
+    return on(small.where("not main"), large).union(on(small.where("main"), large.where("not main_b"))).distinct(), small, large
 
 
 def classes(docs: DataFrame, percent: int = 80, text: str = "text") -> DataFrame:
@@ -159,27 +163,35 @@ def classes(docs: DataFrame, percent: int = 80, text: str = "text") -> DataFrame
     one document.  An empty table gives an empty result.
     """
     marks = saved(sketches(docs, percent, text))
+    same = ["n_shingles", "k1", "k2"]
     known = marks.where("n_shingles > 0 and doc_id is not null")
-    reps = saved(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
-    rows = saved(reps.select("rep", F.explode("bands").alias("bucket")))
-    stars = saved(rows.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last").select("bucket", "a"))
-    pairs = saved(rows.join(stars, "bucket").where("rep > a").select("a", F.col("rep").alias("b")).distinct())
+    reps = saved(known.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
+    rows = reps.select("rep", F.explode("bands").alias("bucket"))
+    stars = rows.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last").select("bucket", "a")
+    # Every class but the first of its bucket; classes that are alone in theirs are left out.
+    members = saved(rows.join(stars, "bucket").where("rep > a").select("bucket", "a", F.col("rep").alias("b")))
+    pairs = saved(members.select("a", "b").distinct())
     nodes = pairs.select("a").union(pairs.select("b")).distinct()
+    if pairs.count() <= BROADCAST // 2:
+        nodes = F.broadcast(nodes)
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text))
     sets = saved(full_sets(whole.join(nodes, whole["doc_id"] == nodes["a"], "left_semi"), text))
     links = saved(confirmed(pairs, sets, percent))
     labels = components(links)
 
-    labelled = rows.join(stars.select("bucket"), "bucket").join(labels, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-    labelled = saved(labelled)
-    open_ = saved(labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket"))
-    loose = saved(labelled.join(open_, "bucket").select(F.col("rep").alias("id"), "component").distinct())
-    more = rare_pairs(loose, sets, percent)
-    links = links.union(confirmed(more.join(pairs, ["a", "b"], "left_anti"), sets, percent))
-    labels = components(links)
-
-    named = reps.select("k1", "k2", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
-    known = known.join(named, ["k1", "k2"]).select("doc_id", "n_shingles", "component_id")
+    # The first class of a bucket was compared with all others, so only these can lack a link among themselves.
+    placed = members.join(labels, F.col("b") == F.col("node"), "left").select("bucket", "b", F.coalesce("component", "b").alias("component"))
+    open_ = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    loose = saved(placed.join(open_, "bucket").select(F.col("b").alias("id"), "component").distinct())
+    discarded(members, labels)
+    near, *read = rare_pairs(loose, sets, percent)
+    more = saved(confirmed(near.join(pairs, ["a", "b"], "left_anti"), sets, percent))
+    discarded(loose, pairs, sets, *read)
+    labels = components(links.union(more))
+    discarded(links, more)
+
+    named = reps.join(labels, F.col("rep") == F.col("node"), "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
+    known = known.join(named, same).select("doc_id", "n_shingles", "component_id")
     rest = marks.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return known.union(rest)
 

@@ -114,7 +114,7 @@ def runs_of(docs: DataFrame, cut: Callable[[str], Cut], text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 2):
                 n_units, own, runs = [], [], []
                 for t in part.column(2).to_pylist():
                     units, found = cut(t) if t else ([], [])
@@ -150,7 +150,7 @@ def without_repeats(docs: DataFrame, cut: Callable[[str], Cut], text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, at):
                 texts, n_removed = part.column(at).to_pylist(), [0] * part.num_rows
                 for k, (own, gone) in enumerate(zip(part.column(n + 1).to_pylist(), part.column(n + 2).to_pylist())):
                     if not own and not gone:

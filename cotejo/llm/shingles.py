@@ -41,28 +41,51 @@ def powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def word_hashes(texts) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words, one text after the other, and the number of words before each text."""
+def word_hashes(texts, size: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words, one text after the other, and the number of words before each text.
+
+    The bytes are taken in pieces of about so many, cut between words.
+    """
     data, offsets = buffers(texts)
+    hashes, starts, a = [np.empty(0, U)], [np.empty(0, np.int64)], 0
+    edges = offsets[:-1][offsets[:-1] < offsets[1:]]
+    while a < len(data):
+        b = len(data) if a + size >= len(data) else cut_after(data, edges, a + size)
+        found, at = words_of(data[a:b], edges[(edges >= a) & (edges < b)] - a)
+        hashes.append(found)
+        starts.append(at + a)
+        a = b
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets)
+
+
+def cut_after(data: np.ndarray, edges: np.ndarray, at: int) -> int:
+    """The first place from at on where a word cannot go on: white space, or the start of a text, or the end."""
+    nearest = np.searchsorted(edges, at)
+    end = int(edges[nearest]) if nearest < len(edges) else len(data)
+    while at < end:
+        gap = np.flatnonzero(BYTES[data[at : min(at + 4096, end)]] == 0)
+        if len(gap):
+            return at + int(gap[0])
+        at += 4096
+    return end
+
+
+def words_of(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words in some bytes, and where they start; edges: where texts start that are not empty."""
     values = BYTES[data]
     solid = values != 0
     starts = solid.copy()
     starts[1:] &= ~solid[:-1]
-    first = offsets[:-1][offsets[:-1] < offsets[1:]]
-    starts[first] = solid[first]
+    starts[edges] = solid[edges]
     at = np.flatnonzero(starts)
-    before = np.searchsorted(at, offsets)
     if not len(at):
-        return np.empty(0, U), before
-    place = np.arange(len(data)) - np.repeat(at, np.diff(np.append(at, len(data)))) if at[0] == 0 else None
-    if place is None:
-        values, solid = values[at[0] :], solid[at[0] :]
-        at = at - at[0]
-        place = np.arange(len(values)) - np.repeat(at, np.diff(np.append(at, len(values))))
+        return np.empty(0, U), at
+    values, solid, own = values[at[0] :], solid[at[0] :], at - at[0]
+    place = np.arange(len(values)) - np.repeat(own, np.diff(np.append(own, len(values))))
     # White space adds nothing, so its place does not matter; cap it by the longest word.
     place[~solid] = 0
-    sums = np.add.reduceat(values * powers(int(place.max()) + 1)[place], at)
-    return mixed(sums), before
+    sums = np.add.reduceat(values * powers(int(place.max()) + 1)[place], own)
+    return mixed(sums), at
 
 
 def shingle_sets(texts, words: int = 5) -> list[np.ndarray]:

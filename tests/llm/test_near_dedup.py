@@ -61,6 +61,26 @@ def test_shingle_sets_equal_plain_ones():
             assert len(np.intersect1d(sets[i], sets[j])) == len(plain_set(a) & plain_set(b))
 
 
+def test_words_are_hashed_alike_in_pieces():
+    texts = pa.array([*families(1, 5), None, "", " \t", "x" * 50, "One  two", "  a ", "é b c" * 30])
+    whole = shingles.word_hashes(texts)
+    for size in (1, 7, 64):
+        pieces = shingles.word_hashes(texts, size)
+        assert (pieces[0] == whole[0]).all() and (pieces[1] == whole[1]).all()
+
+
+def test_long_texts_and_a_large_cluster(documents):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    long = [word() for _ in range(300_000)]
+    other = [*long[:100_000], "changed", *long[100_000:]]
+    base = [word() for _ in range(200)]
+    rows = [(1, " ".join(long)), (2, " ".join(other)), *((10 + i, " ".join([*base[: i % 190], word(), *base[i % 190 + 1 :]])) for i in range(400))]
+    found = {x.doc_id: x for x in near_dedup.classes(documents(rows), 85).collect()}
+    assert found[1].component_id == found[2].component_id == 1 and found[1].n_shingles == len(plain_set(rows[0][1]))
+    assert {found[10 + i].component_id for i in range(400)} == {10}
+
+
 @pytest.mark.parametrize("n", [1, 3, 50, 2000])
 def test_sketch_fills_all_bins_and_tells_similarity(n):
     items = shingles.mixed(np.arange(n).astype(np.uint64))
@@ -86,7 +106,7 @@ def test_rare_pairs_find_all_similar_pairs(spark, documents):
     texts = sorted(set(families(5, 16)))
     sets = near_dedup.full_sets(documents(list(enumerate(texts))), "text")
     nodes = sets.select("id", F.col("id").alias("component"))
-    found = {tuple(sorted((r.a, r.b))) for r in near_dedup.rare_pairs(nodes, sets, 85).collect()}
+    found = {tuple(sorted((r.a, r.b))) for r in near_dedup.rare_pairs(nodes, sets, 85)[0].collect()}
     plain = [plain_set(t) for t in texts]
     wanted = {(i, j) for i in range(len(plain)) for j in range(i + 1, len(plain)) if 100 * len(plain[i] & plain[j]) >= 85 * len(plain[i] | plain[j])}
     assert wanted <= found
