@@ -4,92 +4,161 @@ A pivot p at distance d(q, p) of a query and d(x, p) of a candidate says that th
 at least |d(q, p) - d(x, p)| apart; the largest such bound over all pivots bounds the inner
 product from above, as 2 <q, x> = |q|^2 + |x|^2 - d(q, x)^2.  Candidates are evaluated in
 the order of that bound, and evaluation stops where the bound falls below the k-th best
-score found, so results are exact.
-
-Candidates are dealt in blocks of ``BLOCK`` rows and queries in blocks of ``QUERIES``; each
-pair of blocks is one row, so neither side is ever whole in one place.  Pivots are a
-bounded choice of ``PIVOTS`` vectors out of a bounded sample.
+score known, so results are exact.
+
+1. Every row's distances to the pivots are worked out once and saved beside the vector, in
+   blocks of about ``BLOCK`` rows that have the same nearest pivot.
+2. Queries are taken ``QUERIES`` at a time: a broadcast of bounded size, which all blocks are
+   read past; no block is copied or shuffled for it.  A query's k-th best score among the
+   rows that pivots were chosen from is where its search begins, and a task carries
+   each query's best scores from block to block.
+3. A block whose distances to some pivot all lie too far from the query's is left out
+   whole; in others candidates are evaluated in bound order.
+
+Pivots are a bounded choice of ``PIVOTS`` vectors out of a bounded sample of ``SAMPLE``; only
+which bounds are tight depends on them, never the result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import discarded, saved
 
-#: Rows of a block of candidates and of queries, pivots, and the rows they are chosen from.
-BLOCK, QUERIES, PIVOTS, SAMPLE = 4096, 1024, 24, 2048
+#: Rows of a block, queries at a time, pivots, the rows they are chosen from, and candidates evaluated at a time.
+BLOCK, QUERIES, PIVOTS, SAMPLE, STEP = 1024, 16384, 48, 2048, 64
+#: The sum of squares from which on a vector takes no part, as its products could exceed 64 bits.
+LONGEST = float(1 << 62)
 
 
 def usable(vectors: DataFrame, key: str, vector: str, is_query: Column) -> DataFrame:
-    """(id, v, q): rows with an id and a vector whose components are all finite, each times 256 and rounded down."""
+    """(id, v, q): one row for each id with a vector whose components are all finite, each times 256 and rounded down.
+
+    Of several vectors of one id the smallest counts, by its first different component; q
+    holds if it does for any row of the id.
+    """
     v = F.col(vector)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return (
-        vectors.where(F.col(key).isNotNull() & v.isNotNull() & ~bad)
-        .select(F.col(key).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * 256).cast("long")).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    )
+    scaled = F.transform(v, lambda x: F.floor(x.cast("double") * 256).try_cast("long"))
+    rows = vectors.where(F.col(key).isNotNull() & v.isNotNull() & ~bad).select(F.col(key).cast("long").alias("id"), F.when(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x.cast("double") * 256) ** 2) < LONGEST, scaled).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    return rows.where("v is not null").groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
+
 
+def filled(lists, dims: int, kind: str):
+    """An Arrow array of lists as a matrix; shorter lists are filled up with zeros."""
+    import numpy as np
 
-def blocked(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """One row for each block of at most about ``size`` rows: its number, ids and vectors."""
-    n = max(1, -(-rows.count() // size))
-    return (
-        rows.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-        .groupBy(name)
-        .agg(F.collect_list(F.struct("id", "v")).alias(f"{name}_rows"))
-    )
+    offsets, values = np.asarray(lists.offsets), np.asarray(lists.values)
+    sizes = np.diff(offsets)
+    out = np.zeros((len(sizes), dims), kind)
+    out[np.repeat(np.arange(len(sizes)), sizes), np.arange(offsets[0], offsets[-1]) - np.repeat(offsets[:-1], sizes)] = values[offsets[0] : offsets[-1]]
+    return out
 
 
-def matrix(rows: list[dict], dims: int):
-    """Ids and a matrix of vectors; shorter ones are filled up with zeros."""
+def matrix(rows: list, dims: int):
+    """Ids and a matrix of the vectors of collected rows; shorter ones are filled up with zeros."""
     import numpy as np
 
-    out = np.zeros((len(rows), dims))
+    out = np.zeros((len(rows), dims), np.int64)
     for i, r in enumerate(rows):
-        out[i, : len(r["v"])] = r["v"]
-    return np.array([r["id"] for r in rows], np.int64), out
+        out[i, : len(r.v)] = r.v
+    return np.array([r.id for r in rows], np.int64), out
 
 
-def pivots_of(rows: DataFrame, dims: int):
-    """Vectors far from each other: each next one is the farthest from those chosen before."""
+def farthest(x, n: int):
+    """At most n of the vectors, far from each other: each next one is the farthest from those chosen before."""
     import numpy as np
 
-    sample = [r.asDict() for r in rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()]
-    _, x = matrix(sample, dims)
     if not len(x):
         return x
     chosen, far = [0], ((x - x[0]) ** 2).sum(1)
-    while len(chosen) < min(PIVOTS, len(x)) and far.max() > 0:
+    while len(chosen) < min(n, len(x)) and far.max() > 0:
         chosen.append(int(far.argmax()))
         far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(1))
     return x[chosen]
 
 
-def best_of_block(ids, x, table, norms, q_id, q, q_table, k: int):
-    """The k best (score, id) of a block for one query, evaluated in bound order until no bound can reach them."""
+def distances(x, pivots):
+    """Of each vector to each pivot."""
+    import numpy as np
+
+    out = np.empty((len(x), len(pivots)))
+    for j, p in enumerate(pivots):
+        out[:, j] = np.sqrt(((x - p) ** 2).sum(1))
+    return out
+
+
+def placed(rows: DataFrame, pivots, dims: int) -> DataFrame:
+    """rows with d, the distances to all pivots, and near, which pivot is the nearest."""
+    import pyarrow as pa
+
+    known = rows.sparkSession.sparkContext.broadcast(pivots)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                d = distances(filled(part.column("v"), dims, "f8"), known.value)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(d), pa.list_(pa.float64())), pa.array(d.argmin(1), pa.int32())], names=[*part.schema.names, "d", "near"])
+
+    return rows.select("id", "v", "q").mapInArrow(run, "id long, v array<long>, q boolean, d array<double>, near int")
+
+
+def products(x, q):
+    """Exact inner products: in floating point while that is exact, or else in 64-bit integers."""
     import numpy as np
 
-    low = np.abs(table - q_table).max(1)
-    bound = np.floor((q @ q + norms - low * low) / 2 + 1e-3)
-    order = np.argsort(-bound, kind="stable")
-    scores, seen, step, kth = [], [], max(64, 4 * k), -np.inf
-    for at in range(0, len(order), step):
-        part = order[at : at + step]
-        if bound[part[0]] < kth:
-            break
-        part = part[ids[part] != q_id]
-        scores.append(x[part] @ q)
-        seen.append(ids[part])
-        got = np.concatenate(scores)
-        if len(got) >= k:
-            kth = np.partition(got, -k)[-k]
-    score, found = np.concatenate(scores), np.concatenate(seen)
-    top = np.lexsort((found, -score))[:k]
-    return score[top].astype(np.int64), found[top]
+    if float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * x.shape[1] < 2.0**53:
+        return (x.astype("f8") @ q.astype("f8")).astype(np.int64)
+    return x @ q
+
+
+class Best:
+    """The k best (score, id) of each query that a task has met so far, and the score that its next one must reach."""
+
+    def __init__(self, n: int, k: int, least):
+        import numpy as np
+
+        self.k, self.least = k, least.copy()
+        self.scores = [np.empty(0, np.int64)] * n
+        self.ids = [np.empty(0, np.int64)] * n
+
+    def add(self, i: int, scores, ids) -> None:
+        import numpy as np
+
+        scores, ids = np.concatenate([self.scores[i], scores]), np.concatenate([self.ids[i], ids])
+        top = np.lexsort((ids, -scores))[: self.k]
+        self.scores[i], self.ids[i] = scores[top], ids[top]
+        if len(top) == self.k:
+            self.least[i] = max(self.least[i], int(scores[top[-1]]))
+
+
+def search(best: Best, q_ids, q, q_d, ids, x, d) -> int:
+    """Puts a block's candidates past all queries in bound order; returns how many products that took."""
+    import numpy as np
+
+    norms, q_norms = (x.astype("f8") ** 2).sum(1), (q.astype("f8") ** 2).sum(1)
+    low, high, longest, taken = d.min(0), d.max(0), norms.max(), 0
+    away = np.maximum(0, np.maximum(low - q_d, q_d - high)).max(1)
+    slack = 1e-9 * (q_norms + longest) + 1
+    hopeful = (q_norms + longest - away**2) / 2 + slack >= best.least
+    for i in np.flatnonzero(hopeful):
+        gap = np.abs(d - q_d[i]).max(1)
+        bound = (q_norms[i] + norms - gap * gap) / 2 + slack[i]
+        order = np.argsort(-bound, kind="stable")
+        for at in range(0, len(order), STEP):
+            part = order[at : at + STEP]
+            part = part[bound[part] >= best.least[i]]
+            if not len(part):
+                break
+            taken += len(part)
+            part = part[ids[part] != q_ids[i]]
+            best.add(i, products(x[part], q[i]), ids[part])
+    return taken
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -98,35 +167,52 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     Queries are the rows for which is_query holds; candidates are all rows but the query's
     own id.  Components are taken times 256 and rounded down; score is the inner product.
     Ties go to the smaller id.  Rows without id, without vector, or with a component that is
-    null or not finite take no part; vectors of unequal length are filled up with zeros.
-    Repeated rows are one row.  With fewer than k candidates all are returned; an empty table
+    null or not finite take no part, and neither do vectors whose products could exceed 64
+    bits (LONGEST); vectors of unequal length are filled up with zeros.  Rows that share an
+    id are one row (usable).  With fewer than k candidates all are returned; an empty table
     gives an empty result.
     """
     import numpy as np
     import pyarrow as pa
 
-    rows = saved(usable(vectors, key, vector, is_query).dropDuplicates(["id"]))
-    dims = rows.agg(F.max(F.size("v"))).first()[0] or 0
-    chosen = vectors.sparkSession.sparkContext.broadcast(pivots_of(rows.select("id", "v"), dims))
-    candidates, queries = blocked(rows.select("id", "v"), BLOCK, "c"), blocked(rows.where("q").select("id", "v"), QUERIES, "b")
-    queries = saved(queries)
-    n_blocks = max(1, queries.count())
-    pairs = candidates.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(queries, "b").select("b_rows", "c_rows")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                q_ids, q = matrix(batch.column(0)[i].as_py(), dims)
-                ids, x = matrix(batch.column(1)[i].as_py(), dims)
-                away = lambda m: np.sqrt(np.maximum(0, ((m[:, None, :] - chosen.value[None]) ** 2).sum(2)))
-                table = np.concatenate([away(x[a : a + 512]) for a in range(0, len(x), 512)])
-                q_table, norms = np.concatenate([away(q[a : a + 512]) for a in range(0, len(q), 512)]), (x * x).sum(1)
-                found = [best_of_block(ids, x, table, norms, a, b, c, k) for a, b, c in zip(q_ids, q, q_table)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(q_ids, [len(s) for s, _ in found])), pa.array(np.concatenate([f for _, f in found])), pa.array(np.concatenate([s for s, _ in found]))],
-                    names=["query_id", "vec_id", "score"],
-                )
-
-    best = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    spark = vectors.sparkSession
+    rows = saved(usable(vectors, key, vector, is_query))
+    dims, n_queries = rows.agg(F.max(F.size("v")), F.count_if("q")).first()
+    dims = dims or 0
+    sample_ids, sample = matrix(rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("id", "v").collect(), dims)
+    pivots = farthest(sample.astype("f8"), PIVOTS)
+    table = saved(placed(rows, pivots, dims))
+    sizes = {r.near: r["count"] for r in table.groupBy("near").count().collect()}
+    parts = F.coalesce(*(F.when(F.col("near") == at, -(-n // BLOCK)) for at, n in sizes.items()), F.lit(1))
+    blocks = saved(table.groupBy("near", F.pmod(F.xxhash64("id"), parts).alias("part")).agg(F.collect_list(F.struct("id", "v", "d")).alias("rows")).select("rows"))
+    discarded(rows)
+
+    def best_of(chosen: DataFrame) -> DataFrame:
+        found = chosen.orderBy("id").collect()
+        q_ids, q = matrix(found, dims)
+        q_d = distances(q.astype("f8"), pivots)
+        least = np.full(len(q), np.iinfo(np.int64).min)
+        for i in range(len(q)):
+            scores = products(sample[sample_ids != q_ids[i]], q[i])
+            if len(scores) >= k:
+                least[i] = np.partition(scores, -k)[-k]
+        known = spark.sparkContext.broadcast((q_ids, q, q_d, least))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q_ids, q, q_d, least = known.value
+            best = Best(len(q), k, least)
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    block = batch.column(0)[i].values
+                    ids = block.field("id").to_numpy(zero_copy_only=False)
+                    search(best, q_ids, q, q_d, ids, filled(block.field("v"), dims, "i8"), filled(block.field("d"), len(pivots), "f8"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, [len(x) for x in best.ids])), pa.array(np.concatenate([*best.ids, np.empty(0, np.int64)])), pa.array(np.concatenate([*best.scores, np.empty(0, np.int64)]))], names=["query_id", "vec_id", "score"])
+
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        found = blocks.mapInArrow(run, "query_id long, vec_id long, score long")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    n_parts = max(1, -(-n_queries // QUERIES))
+    turn = F.pmod(F.xxhash64("id", F.lit("turn")), F.lit(n_parts))
+    turns = [best_of(table.where(F.col("q") & (turn == i)).select("id", "v")) for i in range(n_parts)]
+    return turns[0] if n_parts == 1 else reduce(DataFrame.unionAll, map(saved, turns))

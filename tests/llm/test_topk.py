@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cotejo.llm import topk
@@ -36,5 +37,31 @@ def test_few_and_none(spark):
     assert topk.top_k(vectors.limit(0), F.col("vec_id") % 5 == 0).count() == 0
 
 
+def test_large_numbers_and_shared_ids(spark):
+    """Products beyond 2^53 are exact; vectors too long for 64 bits take no part; of one id's vectors the smallest counts."""
+    r = random.Random(2)
+    rows = [(i, [float(r.randrange(1 << 20)) + r.random() for _ in range(3)]) for i in range(40)] + [(50, [1e30, 0.0, 0.0]), (55, [3e9, 0.0, 0.0])]
+    rows += [(60, [2.0, 5.0, 1.0]), (60, [2.0, -5.0, 1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = topk.top_k(vectors, F.col("vec_id") % 5 == 0).collect()
+    left = [(i, v) for i, v in rows if i < 45] + [(60, [2.0, -5.0, 1.0]), (55, [3e9, 0.0, 0.0])]
+    left = [(i, v) for i, v in left if sum((256 * x) ** 2 for x in v) < 2.0**62]
+    assert sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in found) == brute(left, 5)
+
+
+def test_far_blocks_are_left_out():
+    """Of two far clusters only the one near the query is evaluated."""
+    r = np.random.default_rng(3)
+    x = np.concatenate([r.integers(0, 20, (500, 8)) + 1000, r.integers(0, 20, (500, 8)) - 1000])
+    pivots = topk.farthest(x.astype(float), 4)
+    d = topk.distances(x.astype(float), pivots)
+    best = topk.Best(1, 5, np.full(1, np.iinfo(np.int64).min))
+    taken = [topk.search(best, np.array([0]), x[:1], d[:1], np.arange(a, a + 500), x[a : a + 500], d[a : a + 500]) for a in (0, 500)]
+    scores = x @ x[0]
+    wanted = sorted((-int(s), i) for i, s in enumerate(scores) if i)[:5]
+    assert list(zip((-best.scores[0]).tolist(), best.ids[0].tolist())) == wanted
+    assert taken[0] <= 500 and taken[1] == 0
+
+
 def test_query_equals_sql(same):
     same(op6_topk, TOPK_SQL)
