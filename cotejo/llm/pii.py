@@ -2,10 +2,12 @@
 
 1. Generators, one regular expression each, propose spans with a high recall; spans of
    different generators may overlap.  Four of them are the base patterns, whose matches
-   stay if they pass their kind's test (octets, Luhn sum, number of digits).
+   stay if they pass their kind's test (octets, Luhn sum, number of digits).  The others
+   propose what these miss: spelt addresses, IPv6, cards and local numbers in other
+   spellings, and secrets (keys, tokens, passwords), a kind without a base pattern.
 2. Every candidate has a few coarse features of its format and its context.  A candidate is
    taken as a positive example if it is a base match that passes or overlaps one that does,
-   or if it passes a test of its own form (SOUND).
+   or if it passes a test of its own form (SOUND), which the features tell only in part.
    Counts of examples by feature values, over all documents, are one bounded table.
 3. Boosted trees are fitted on that table's even half (by a hash of the text), and each
    kind's threshold is the lowest score from which on the odd half's candidates are positive
@@ -13,9 +15,9 @@
 4. The trees are then an expression of ``CASE WHEN``; candidates at or above their kind's
    threshold that overlap no base span of the kind are added to the base spans.
 
-A kind has a threshold only if at least ``LEAST`` positives stand in the odd half.  On a table
-with fewer nothing is added to its base spans, so spelt addresses, IPv6, dotted cards and local
-phones that the trees would add on a larger table stay out of ``spans`` and are not redacted.
+The share of positives is that of the odd half's candidates together with ``PRIOR`` imagined
+ones of which ``PRECISION`` are positive, whatever the table's size.  A kind without any
+positive in the odd half has no threshold, and nothing is added to its base spans.
 """
 
 from __future__ import annotations
@@ -28,10 +30,12 @@ from pyspark.sql import functions as F
 from .common import saved
 
 KINDS = ("email", "ip", "card", "phone")
-#: Share of positives that added candidates must have among held-back ones, and how many of those there must be.
-PRECISION, LEAST = 0.95, 20
+#: Those and the kind that has no base pattern; spans are listed in this order.
+ALL = (*KINDS, "secret")
+#: Share of positives that added candidates must have among held-back ones, and how many imagined ones count with these.
+PRECISION, PRIOR = 0.95, 10
 #: Trees, their depth, step size, and the least examples on either side of a split.
-TREES, DEPTH, STEP, LEAF = 16, 3, 0.3, 5
+TREES, DEPTH, STEP, LEAF = 16, 3, 0.3, 1
 
 #: Generators: name, kind, pattern.  Matches start where a run starts (or where the last
 #: match ended) and take runs whole, which matches the same spans as without that, in
@@ -45,22 +49,28 @@ GENERATORS = (
     ("ip_v6", "ip", r"(?i)(?:\G|(?<![0-9a-z:]))(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}(?![0-9a-z:])"),
     ("card_spaced", "card", r"(?:\G|(?<![0-9]))[0-9]{4}(?:[ .-][0-9]{3,6}){2,4}(?![0-9])"),
     ("phone_local", "phone", r"(?:\G|(?<![0-9]))(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
+    ("secret_named", "secret", r"(?i)(?<=(?:token|secret|password|passwd|key|auth|credential)[\x22\x27]? {0,2}[=:] {0,2}[\x22\x27]?)(?<![A-Za-z0-9_+/.-])[A-Za-z0-9_+/.-]{8,}+"),
+    ("secret_run", "secret", r"(?:\G|(?<![A-Za-z0-9_+/-]))(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{20,}+"),
 )
 #: A text without this has no match of the generator.
-NEEDS = {"email": "instr({t}, '@') > 0", "email_spelt": "{t} rlike '(?i)[ (\\\\[]dot[ )\\\\]]'", "ip_v6": "instr({t}, ':') > 0", "phone": "instr({t}, '+') > 0"}
+NEEDS = {"email": "instr({t}, '@') > 0", "email_spelt": "{t} rlike '(?i)[ (\\\\[]dot[ )\\\\]]'", "ip_v6": "instr({t}, ':') > 0", "phone": "instr({t}, '+') > 0", "secret_named": "{t} rlike '[=:]'", "secret_run": "{t} rlike '[A-Za-z0-9_+/-]{{20}}'"}
 
 #: Words before a candidate that tell its context.
-CONTEXT = (("mail|contact|write", 1), ("tel|phone|call|fax|mobile", 2), ("card|visa|credit|pay", 3), ("host|server|addr|client|ip", 4), ("token|key|secret|sha|hash|version|order|isbn", 5))
+CONTEXT = (("mail|contact|write", 1), ("tel|phone|call|fax|mobile", 2), ("card|visa|credit|pay", 3), ("host|server|addr|client|ip", 4), ("token|key|secret|pass|auth|credential", 5), ("sha|hash|version|order|isbn|commit", 6))
 
 #: Tests that make a candidate of the other generators a positive example: SQL over the match and the text before it.
 SOUND = {
     "email_spelt": "{m} rlike '(?i)(com|org|net|edu|gov|info|io|eu|de|fr|es|uk)$'",
     "ip_v6": "true",
     "card_spaced": "length(regexp_replace({m}, '[^0-9]', '')) BETWEEN 13 AND 19 AND " + "{luhn}",
+    "secret_named": "length({m}) >= 16 AND {m} rlike '[0-9]' AND {m} rlike '[A-Za-z]' AND {varied}",
+    "secret_run": "{varied} AND ({m} rlike '^([0-9a-f]{{32}}|[0-9a-f]{{40}}|[0-9a-f]{{64}})$' OR {before} rlike '(?i)(token|secret|password|passwd|key|auth|credential)[^A-Za-z0-9]{{1,6}}$')",
     "phone_local": "{before} rlike '(?i)(tel|phone|call|fax|mobile)[^a-z0-9]*$'",
 }
 
-FEATURES = ("generator", "digits", "marks", "before", "after", "context", "check")
+FEATURES = ("generator", "length", "digits", "marks", "before", "after", "context", "check")
+#: Whether a match has at least eight different characters.
+VARIED = "size(array_distinct(split({m}, ''))) >= 8"
 
 
 def literal(pattern: str) -> str:
@@ -117,8 +127,8 @@ def candidates(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
         m = f"m_{n}[i]"
         fields = {
             "start": "s", "end": f"s + length({m})", "valid": passes(kind, m) if n == kind else "false",
-            "sound": SOUND.get(n, "false").format(m=m, before=f"right(g_{n}[i], 24)", luhn=LUHN.format(d=f"regexp_replace({m}, '[^0-9]', '')")),
-            "generator": str(k), "digits": f"least(20, length(regexp_replace({m}, '[^0-9]', '')))", "marks": f"least(6, length(regexp_replace({m}, '[A-Za-z0-9]', '')))",
+            "sound": SOUND.get(n, "false").format(m=m, before=f"right(g_{n}[i], 24)", luhn=LUHN.format(d=f"regexp_replace({m}, '[^0-9]', '')"), varied=VARIED.format(m=m)),
+            "generator": str(k), "length": f"least(16, cast(length({m}) / 4 as int))", "digits": f"least(20, length(regexp_replace({m}, '[^0-9]', '')))", "marks": f"least(6, length(regexp_replace({m}, '[A-Za-z0-9]', '')))",
             "before": character(f"right(g_{n}[i], 1)"), "after": character(f"left(g_{n}[i + 1], 1)"), "context": context(f"right(g_{n}[i], 24)"), "check": check(kind, m),
         }
         made = ", ".join(f"'{f}', {e}" for f, e in fields.items())
@@ -138,7 +148,7 @@ def examples(found: DataFrame) -> list[dict]:
     """How many candidates have which features, by label and half: a table whose size the features bound."""
 
     def labelled(name: str, kind: str) -> Column:
-        label = lambda c: c["valid"] if name == kind else c["sound"] | overlaps(c, base(kind))
+        label = lambda c: c["valid"] if name == kind else c["sound"] if kind not in KINDS else c["sound"] | overlaps(c, base(kind))
         return F.transform(F.col(name), lambda c: F.struct(*(c[f].cast("int").alias(f) for f in FEATURES), label(c).alias("label")))
 
     every = F.concat(*(labelled(n, kind) for n, kind, _ in GENERATORS))
@@ -186,7 +196,10 @@ def column_of(tree, c: Column) -> Column:
 
 
 def fitted(table: list[dict]) -> dict:
-    """Trees and each kind's threshold, from a table of counted examples."""
+    """Trees and each kind's threshold, from a table of counted examples.
+
+    held_back: of each kind how many positives and negatives of the odd half are chosen, and how many positives are not.
+    """
     merged: dict[tuple, list] = {}
     for r in table:
         m = merged.setdefault(tuple(r[f] for f in FEATURES), [[0, 0], [0, 0]])
@@ -206,39 +219,41 @@ def fitted(table: list[dict]) -> dict:
         trees.append(tree)
         for x in order:
             score[x] += STEP * value_of(tree, x)
-    thresholds = {}
-    for kind in KINDS:
+    thresholds, held_back = {}, {}
+    for kind in ALL:
         own = sorted(((score[x], *merged[x][1]) for x in order if GENERATORS[x[0]][1] == kind), reverse=True)
         no = yes = 0
         for i, (s, a, b) in enumerate(own):
             no, yes = no + a, yes + b
             last = i + 1 == len(own) or own[i + 1][0] < s
-            if last and yes >= LEAST and yes >= PRECISION * (no + yes):
-                thresholds[kind] = s
-    return {"trees": trees, "thresholds": thresholds}
+            if last and yes and yes + PRECISION * PRIOR >= PRECISION * (no + yes + PRIOR):
+                thresholds[kind], held_back[kind] = s, (yes, no, sum(b for *_, b in own) - yes)
+    return {"trees": trees, "thresholds": thresholds, "held_back": held_back}
 
 
 def added(kind: str, model: dict) -> Column:
     """The kind's candidates that the trees select beside the base spans; of overlapping ones the first."""
     if kind not in model["thresholds"]:
-        return F.filter(F.col(kind), lambda c: F.lit(False))
+        return F.filter(F.col(next(n for n, k, _ in GENERATORS if k == kind)), lambda c: F.lit(False))
     score = lambda c: sum((column_of(t, c) * STEP for t in model["trees"]), F.lit(0.0))
-    chosen = F.concat(*(F.filter(F.col(n), lambda c: (score(c) >= model["thresholds"][kind] - 1e-9) & ~overlaps(c, base(kind))) for n, k, _ in GENERATORS if k == kind))
+    free = lambda c: ~overlaps(c, base(kind)) if kind in KINDS else F.lit(True)
+    chosen = F.concat(*(F.filter(F.col(n), lambda c: (score(c) >= model["thresholds"][kind] - 1e-9) & free(c)) for n, k, _ in GENERATORS if k == kind))
     return F.filter(chosen, lambda c: ~F.exists(chosen, lambda o: (o["start"] < c["end"]) & (c["start"] < o["end"]) & ((o["start"] < c["start"]) | ((o["start"] == c["start"]) & ((o["end"] > c["end"]) | ((o["end"] == c["end"]) & (o["generator"] < c["generator"])))))))
 
 
 def spans(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """keep's columns and base and spans, arrays of (kind, start, end) in code points, by kind as listed, then start.
 
-    base: matches of the four base patterns that pass; spans: these and what the trees add.
+    base: matches of the four base patterns that pass; spans: these and what the trees add,
+    secrets behind the kinds that have base patterns.
     A null text is empty and has none.  Repeated rows stay; an empty table gives an empty
     result.
     """
     found = saved(candidates(docs, text, keep))
     model = fitted(examples(found))
     short = lambda kind, a: F.transform(F.array_sort(F.transform(a, lambda c: F.struct(c["start"], c["end"]))), lambda c: F.struct(F.lit(kind).alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
-    rows = found.select(*keep, *(short(k, base(k)).alias(f"base_{k}") for k in KINDS), *(short(k, F.concat(base(k), added(k, model))).alias(f"all_{k}") for k in KINDS))
-    return rows.select(*keep, F.concat(*(f"base_{k}" for k in KINDS)).alias("base"), F.concat(*(f"all_{k}" for k in KINDS)).alias("spans"))
+    rows = found.select(*keep, *(short(k, base(k)).alias(f"base_{k}") for k in KINDS), *(short(k, F.concat(base(k), added(k, model)) if k in KINDS else added(k, model)).alias(f"all_{k}") for k in ALL))
+    return rows.select(*keep, F.concat(*(f"base_{k}" for k in KINDS)).alias("base"), F.concat(*(f"all_{k}" for k in ALL)).alias("spans"))
 
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:

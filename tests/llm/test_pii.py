@@ -1,7 +1,10 @@
 import hashlib
+import os
 import random
 import re
 
+import pytest
+
 from cotejo.llm import pii
 from cotejo.llm.queries import op3_pii
 
@@ -53,17 +56,26 @@ def test_base_spans_equal_plain_matching(documents):
         assert base == plain(by_id[r.doc_id]), by_id[r.doc_id][:200]
         spans = [tuple(s) for s in r.spans]
         assert set(base) <= set(spans)
-        assert spans == sorted(spans, key=lambda s: (pii.KINDS.index(s[0]), s[1]))
+        assert spans == sorted(spans, key=lambda s: (pii.ALL.index(s[0]), s[1]))
 
 
 def test_trees_learn_and_thresholds_hold():
     """A format that is personal data nearly always is selected, one that is not is left out."""
-    row = lambda g, after, label, half, n: {"generator": g, "digits": 10, "marks": 2, "before": 1, "after": after, "context": 0, "check": 0, "label": label, "half": half, "n": n}
+    row = lambda g, after, label, half, n: {"generator": g, "length": 3, "digits": 10, "marks": 2, "before": 1, "after": after, "context": 0, "check": 0, "label": label, "half": half, "n": n}
     table = [row(7, 1, 1, h, 400) for h in (0, 1)] + [row(7, 1, 0, h, 4) for h in (0, 1)] + [row(7, 4, 0, h, 300) for h in (0, 1)]
     model = pii.fitted(table)
-    score = lambda after: sum(pii.STEP * pii.value_of(t, (7, 10, 2, 1, after, 0, 0)) for t in model["trees"])
+    score = lambda after: sum(pii.STEP * pii.value_of(t, (7, 3, 10, 2, 1, after, 0, 0)) for t in model["trees"])
     assert score(1) >= model["thresholds"]["phone"] > score(4)
-    assert pii.fitted([]) == {"trees": [], "thresholds": {}}
+    chosen, wrong, missed = model["held_back"]["phone"]
+    assert (chosen, wrong, missed) == (400, 4, 0)
+    assert pii.fitted([]) == {"trees": [], "thresholds": {}, "held_back": {}}
+
+
+@pytest.mark.parametrize("times", [1, 1000])
+def test_thresholds_do_not_depend_on_the_number_of_rows(times):
+    row = lambda after, label, half, n: {"generator": 7, "length": 3, "digits": 10, "marks": 2, "before": 1, "after": after, "context": 0, "check": 0, "label": label, "half": half, "n": n * times}
+    model = pii.fitted([row(1, 1, 0, 3), row(1, 1, 1, 3), row(4, 0, 0, 3), row(4, 0, 1, 3)])
+    assert model["held_back"]["phone"] == (3 * times, 0, 0)
 
 
 def test_added_spans(documents):
@@ -81,6 +93,27 @@ def test_spelt_addresses_are_added_once_there_are_enough(documents):
     assert [tuple(s) for s in found[5]] == [("email", 9, 31)] and found[1000] == []
 
 
+def test_secrets_are_added(spark, documents):
+    """Tokens are learned from those that are named; hexadecimal ones stand out without a name, other long words don't."""
+    r = random.Random(5)
+    token = lambda n=40: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    rows = [(i, f'so ist token = "{token()}" gewesen') for i in range(60)] + [(100 + i, f"see https://example.com/a-{i}/{'wordy-path-' * 3}") for i in range(60)]
+    rows += [(1000, 'password: "hunter2hunter2X9"'), (1001, "nothing to see here"), (1002, f"lost {token(64)} here")]
+    found = {x.doc_id: [tuple(s) for s in x.spans] for x in pii.spans(documents(rows), ["doc_id"]).collect()}
+    assert all(found[i] == [("secret", 16, 56)] for i in range(60)) and not any(found[100 + i] for i in range(60))
+    assert found[1001] == [] and found[1002] == [("secret", 5, 69)]
+
+
+def test_added_spans_of_the_tables_are_right(spark, small):
+    """Every named token of the real documents is found, and nothing else is added."""
+    larger = os.path.join(os.path.dirname(small), "sf0.01", "documents.parquet")
+    named = re.compile(r'token = "([0-9a-f]{40})"')
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(larger).collect()}
+    found = {r.doc_id: [tuple(s) for s in r.spans if s not in r.base] for r in pii.spans(spark.read.parquet(larger), ["doc_id"]).collect()}
+    assert found == {i: [("secret", m.start(1), m.end(1)) for m in named.finditer(t)] for i, t in docs.items()}
+    assert any(found.values())
+
+
 def test_redacted(documents):
     rows = [(1, "mail a@b.com or 1.2.3.4 é"), (2, None), (3, "clean")]
     found = {r.doc_id: r.text for r in pii.redacted(documents(rows)).collect()}
