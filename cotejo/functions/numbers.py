@@ -36,6 +36,12 @@ def deviation(value: Column, mean: Column) -> Column:
     return F.try_divide(F.greatest(value, mean), F.least(value, mean))
 
 
+def verdict(value: Column, mean: Column) -> Column:
+    """What becomes of a tap: 'reset' if it is too far from the mean, 'warn' if it is far, or 'accept'."""
+    apart = deviation(value, mean)
+    return F.when(apart > RESET, "reset").when(apart > WARN, "warn").otherwise("accept")
+
+
 def rounded(c: Column, places: int = 0) -> Column:
     """Half away from zero."""
     return F.round(c, places)

@@ -1,21 +1,19 @@
 """Linking catalogue titles with file names.
 
 Every join here is an equi-join on keys that a match must share, followed by the exact
-test; neither side is broadcast by force, and no pair is listed that shares no key.
+test; what is broadcast has a checked size, and no pair is listed that shares no key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numbers
 from ..functions import text as T
 
-#: Characters of a key of titles with too few words.
-GRAM = 3
+#: Characters of a key of titles with too few words, and how many titles' keys go into a query as they are.
+GRAM, FEW = 3, 1000
 
 
 def interior(c: Column) -> Column:
@@ -34,18 +32,19 @@ def grams(c: Column, n: int = GRAM) -> Column:
     return F.when(F.length(c) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
-def candidates(names: DataFrame, titles: DataFrame, name: str, title_keys: Callable[[Column], Column], name_keys: Callable[[Column], Column], within: tuple[str, ...] = ()) -> DataFrame:
-    """(_row, within, title): titles with the rows of names that have the title's rarest key.
+def kind(c: Column) -> Column:
+    """What keys a title has: 'w' (interior words), '3' to '1' (runs of so many characters), or '0' for the empty one."""
+    return F.when(F.size(interior(c)) > 0, "w").otherwise(F.least(F.length(c), F.lit(GRAM)).cast("string"))
 
-    names has a hash of the name in _row; only hashes and keys are shuffled here.
-    """
-    on = [*within, "key"]
-    of_titles = titles.select(*within, "title", F.explode(title_keys(F.col("title"))).alias("key"))
-    of_names = names.select(*within, "_row", F.explode(name_keys(F.col(name))).alias("key")).join(of_titles.select(*on).distinct(), on, "left_semi")
-    counts = of_names.groupBy(*on).agg(F.count("*").alias("rows"))
-    best = of_titles.join(counts, on, "left").groupBy(*within, "title").agg(F.min(F.struct(F.coalesce("rows", F.lit(0)).alias("rows"), "key")).alias("best"))
-    rarest = best.where("best.rows > 0").select(*within, "title", F.col("best.key").alias("key"))
-    return of_names.join(rarest, on).select("_row", *within, "title").distinct()
+
+def keys(c: Column, of: str, title: bool) -> Column:
+    """The keys of one kind that a title or a name has, marked with the kind."""
+    runs = (interior(c) if title else word_keys(c)) if of == "w" else F.array(F.lit("")) if of == "0" else grams(c, int(of))
+    return F.transform(runs, lambda k: F.concat(F.lit(of), k))
+
+
+def title_keys(c: Column, kinds: list[str]) -> Column:
+    return F.coalesce(*(F.when(kind(c) == k, keys(c, k, True)) for k in kinds))
 
 
 def containment(names: DataFrame, titles: DataFrame, name: str, title: str, within: tuple[str, ...] = ()) -> DataFrame:
@@ -54,42 +53,69 @@ def containment(names: DataFrame, titles: DataFrame, name: str, title: str, with
     within: columns of both sides that must be equal as well, and are once in the result.
     Null titles and names match nothing; the empty title is part of every name.  A title
     of at least three words has an interior word, which a name must have as a word; a
-    shorter one has a run of GRAM characters.  The rarest such key joins.  Titles that
-    are shorter than that are few by their kind and are compared with all names.
+    shorter one has a run of characters, GRAM of them or as many as it has.
+
+    Of up to FEW titles each goes by one key, its longest: names keep those of their keys
+    that are among these, and meet the titles in a broadcast join, so names are read once
+    and not shuffled.  More titles go by the key that fewest names have (rare_candidates).
     """
-    given = titles.select(*within, F.col(title).alias("title")).where("title is not null").distinct()
-    keyed = names.where(F.col(name).isNotNull()).withColumn("_row", F.xxhash64(name))
-    worded = F.size(interior(F.col("title"))) > 0
-    short = given.where(~worded)
-    by_gram, tiny = short.where(F.length("title") >= GRAM), short.where(F.length("title") < GRAM)
-    found = candidates(keyed, given.where(worded), name, interior, word_keys, within)
-    if not by_gram.isEmpty():
-        found = found.union(candidates(keyed, by_gram, name, grams, grams, within))
-    both = keyed.join(found.withColumnRenamed("title", "_title"), ["_row", *within]).where(F.contains(name, "_title"))
-    if not tiny.isEmpty():
-        few = tiny.withColumnRenamed("title", "_title")
-        pairs = keyed.join(few, list(within)).where(F.contains(name, "_title")) if within else keyed.join(few, F.contains(name, "_title"))
-        both = both.unionByName(pairs)
+    on = [*within, "_key"]
+    given = titles.select(*within, F.col(title).alias("_title")).where("_title is not null").distinct()
+    kinds = {r.kind: r.n for r in given.groupBy(kind(F.col("_title")).alias("kind")).agg(F.count("*").alias("n")).collect()}
+    if not kinds:
+        kinds = {"w": 0}
+    of_names = F.concat(*(keys(F.col(name), k, False) for k in kinds))
+    every = title_keys(F.col("_title"), list(kinds))
+    if sum(kinds.values()) <= FEW:
+        best = F.array_sort(every, lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
+        keyed = given.withColumn("_key", F.get(best, F.lit(0)))
+        wanted = [r[0] for r in keyed.select("_key").distinct().collect()]
+        own = F.array_intersect(of_names, F.array(*map(F.lit, wanted)).cast("array<string>"))
+        found = names.where(F.col(name).isNotNull()).withColumn("_key", F.explode(own)).join(F.broadcast(keyed), on).where(F.contains(name, "_title")).drop("_key")
+    else:
+        marked = names.where(F.col(name).isNotNull()).withColumn("_row", F.xxhash64(name))
+        pairs = rare_candidates(marked.select(*within, "_row", F.explode(of_names).alias("_key")), given.select(*within, "_title", F.explode(every).alias("_key")), list(within))
+        found = marked.join(pairs, [*within, "_row"]).where(F.contains(name, "_title")).drop("_row")
     if within:
-        return both.join(titles.withColumn("_title", F.col(title)), ["_title", *within]).drop("_title", "_row")
-    return both.join(titles, both["_title"] == titles[title]).drop("_title", "_row")
+        return found.join(titles.withColumn("_title", F.col(title)), ["_title", *within]).drop("_title")
+    return found.join(titles, found["_title"] == titles[title]).drop("_title")
+
+
+def rare_candidates(of_names: DataFrame, of_titles: DataFrame, within: list[str]) -> DataFrame:
+    """(within, _row, _title): titles with the rows of names that have the title's rarest key.
+
+    of_names has (within, _row, _key) and of_titles (within, _title, _key); a row is the hash of a name.
+    """
+    on = [*within, "_key"]
+    shared = of_names.join(of_titles.select(*on).distinct(), on, "left_semi")
+    counts = shared.groupBy(*on).agg(F.count("*").alias("rows"))
+    best = of_titles.join(counts, on, "left").groupBy(*within, "_title").agg(F.min(F.struct(F.coalesce("rows", F.lit(0)).alias("rows"), "_key")).alias("best"))
+    rarest = best.where("best.rows > 0").select(*within, "_title", F.col("best._key").alias("_key"))
+    return shared.join(rarest, on).select(*within, "_row", "_title").distinct()
 
 
 def pieces(c: Column) -> Column:
-    """Parts of a title of which a name within a fifth of its length in edits must have one as it stands.
+    """(key, at): parts of a title of which a name within a fifth of its length in edits must have one as it stands.
 
-    With at most d edits one of d + 1 parts stays whole.  A title of up to five characters
-    allows no edit and has itself as its only part.
+    With at most d edits one of d + 1 parts stays whole and moves by d characters at most.
+    A title of up to five characters allows no edit and has itself as its only part.
     """
     n = F.length(c)
-    d = F.floor((n - 1) / 5).cast("int")
+    d = edits(c)
     at = lambda i: F.floor(i * n / (d + 1)).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), F.greatest(d, F.lit(0))), lambda i: F.substring(c, at(i) + 1, at(i + 1) - at(i)))
-    return F.when(n > 5, F.array_distinct(parts)).otherwise(F.array(F.concat(F.lit("="), c)))
+    parts = F.transform(F.sequence(F.lit(0), d), lambda i: F.struct(F.substring(c, at(i) + 1, at(i + 1) - at(i)).alias("key"), at(i).alias("at")))
+    return F.when(n > 5, parts).otherwise(F.array(F.struct(F.concat(F.lit("="), c).alias("key"), F.lit(0).alias("at"))))
+
+
+def edits(c: Column) -> Column:
+    """How many edits are less than a fifth of a title's length."""
+    return F.greatest(F.floor((F.length(c) - 1) / 5), F.lit(0)).cast("int")
 
 
 def piece_keys(c: Column) -> Column:
-    return F.array_distinct(F.concat(F.array(F.concat(F.lit("="), c)), grams(c, 3), grams(c, 4), grams(c, 5)))
+    """(key, at): a name itself, and its runs of three to five characters with their places."""
+    runs = lambda n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(0), F.length(c) - n), lambda i: F.struct(F.substring(c, i + 1, F.lit(n)).alias("key"), i.alias("at")))).otherwise(F.array().cast("array<struct<key:string,at:int>>"))
+    return F.concat(F.array(F.struct(F.concat(F.lit("="), c).alias("key"), F.lit(0).alias("at"))), runs(3), runs(4), runs(5))
 
 
 def fuzzy(names: DataFrame, titles: DataFrame, name: str, title: str) -> DataFrame:
@@ -97,11 +123,11 @@ def fuzzy(names: DataFrame, titles: DataFrame, name: str, title: str) -> DataFra
 
     Empty titles and nulls match nothing.  Lengths and edits count code points.
     """
-    n = names.select(F.col(name).alias("name")).where("name is not null").distinct().select("name", F.explode(piece_keys(F.col("name"))).alias("key"))
-    t = titles.select(F.col(title).alias("title")).where("title <> ''").distinct().select("title", F.explode(pieces(F.col("title"))).alias("key"))
-    near = 5 * F.abs(F.length("name") - F.length("title")) < F.length("title")
+    n = names.select(F.col(name).alias("name")).where("name is not null").distinct().select("name", F.inline(piece_keys(F.col("name")))).withColumnRenamed("at", "_at")
+    t = titles.select(F.col(title).alias("title")).where("title <> ''").distinct().select("title", F.inline(pieces(F.col("title"))))
+    near = (5 * F.abs(F.length("name") - F.length("title")) < F.length("title")) & (F.abs(F.col("at") - F.col("_at")) <= edits(F.col("title")))
     pairs = n.join(t, "key").where(near).select("name", "title").distinct()
-    return pairs.withColumn("distance", F.levenshtein("name", "title")).where(numbers.close(F.col("distance"), F.length("title")))
+    return pairs.withColumn("distance", F.call_function("levenshtein", "name", "title", edits(F.col("title")))).where("distance >= 0")
 
 
 def first_owner(pairs: DataFrame, owned: list[str], rank: list[Column], owner: list[str]) -> DataFrame:
@@ -141,12 +167,10 @@ def catalogue_pairs(tracks: DataFrame, files: DataFrame, orchestra: str | None =
         F.lower("genre").alias("g"),
         F.substring("year", 1, 4).alias("y"),
     )
-    wanted = simple.select("*", F.explode(F.array_distinct(F.when(F.col("n2") != "", F.array("n1", "n2")).otherwise(F.array("n1")))).alias("wanted"))
-    whole = files.select(named.alias("_orchestra"), "file", F.lower(T.simplify(F.col("file"))).alias("fn"))
-    cut = whole.withColumn("fn", T.removed(F.col("fn"), o))
-    sings = F.contains("v", o)
-    within = ("_orchestra",)
-    pairs = containment(whole, wanted.where(sings), "fn", "wanted", within).unionByName(containment(cut, wanted.where(~sings), "fn", "wanted", within))
+    wanted = simple.select("*", F.contains("v", o).alias("_sings"), F.explode(F.array_distinct(F.when(F.col("n2") != "", F.array("n1", "n2")).otherwise(F.array("n1")))).alias("wanted"))
+    whole = files.select(named.alias("_orchestra"), "file", F.lower(T.simplify(F.col("file"))).alias("fn"), F.lit(True).alias("_sings"))
+    cut = whole.withColumns({"fn": T.removed(F.col("fn"), o), "_sings": F.lit(False)})
+    pairs = containment(whole.unionAll(cut), wanted, "fn", "wanted", ("_orchestra", "_sings"))
     fits = ((~F.contains("n1", "g")) | (occurrences(F.col("fn"), F.col("g")) >= 2)) & F.contains("fn", "v") & F.contains("fn", "y")
     return pairs.where(fits).select(*tracks.columns, "file").distinct()
 

@@ -513,3 +513,6 @@ def word_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lcs_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words each part's name has in common, in order, with its type's."""
     return read(spark, sf_dir, "part").select("p_partkey", diff.lcs_length(F.split("p_name", ""), F.split("p_type", "")).alias("shared"))
+
+
+from . import more  # noqa: E402, F401  (it registers its queries here)

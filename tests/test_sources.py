@@ -1,6 +1,7 @@
 """Readers, tag containers and exports, on files made here."""
 
 import datetime
+import random
 from xml.etree import ElementTree
 
 import pytest
@@ -180,11 +181,55 @@ def test_replace_files(spark, tmp_path):
     assert (tmp_path / "a").read_bytes() == b"new" and len(list(tmp_path.iterdir())) == 1
 
 
+#: Pairs of texts and their differences, worked out by hand from the rules.
+DIFFERENCES = [
+    ("one two three", "one too three", "one {+too +}[-two -]three"),
+    ("Uno", "uno", "{+u+}[-U-]no"),
+    ("", "", ""),
+    ("", "q r", "{+q r+}"),
+    ("q r", "", "[-q r-]"),
+    ("a b c", "a c d", "a [-b -]c{+ d+}"),
+    ("one two", "one  two", "one{+ +} two"),
+    ("one\ttwo", "one two", "one[-\t-]{+ +}two"),
+    ("Hello World", "hello big world", "{+h+}[-H-]ello {+big w+}[-W-]orld"),
+    (" a", "a", "[- -]a"),
+    ("a b", "b a", "{+b +}a[- b-]"),
+    ("12 a", "13 a", "1[-2-]{+3+} a"),
+]
+
+
+@pytest.mark.parametrize("old, new, wanted", DIFFERENCES)
+def test_differences(old, new, wanted):
+    assert diff.marked(diff.differences(old, new), diff.MARKS) == wanted
+
+
+def test_differences_give_both_texts_back():
+    r = random.Random(1)
+    for _ in range(300):
+        old, new = ("".join(r.choice(["a", "B", "b", " ", ", ", "1", "é"]) for _ in range(r.randint(0, 9))) for _ in range(2))
+        parts = diff.differences(old, new)
+        assert "".join(t for k, t in parts if k != "+") == old or old.lower() != old
+        assert "".join(t for k, t in parts if k != "-") == new
+        assert all(x[0] != y[0] for x, y in zip(parts, parts[1:]))
+
+
+def test_alignments_are_longest():
+    r = random.Random(2)
+
+    def longest(a, b):
+        return 0 if not a or not b else longest(a[1:], b[1:]) + 1 if a[0] == b[0] else max(longest(a[1:], b), longest(a, b[1:]))
+
+    for _ in range(60):
+        a, b = ([r.choice("abc") for _ in range(r.randint(0, 7))] for _ in range(2))
+        assert sum(k == "=" for k, _, _ in diff.aligned(a, b)) == longest(a, b)
+
+
 def test_word_diff(spark):
-    marked = lambda a, b: spark.range(1).select(diff.word_diff(F.lit(a), F.lit(b)).alias("x")).first().x
-    assert marked("one two three", "one too three") == "one [-two-]{+too+} three"
-    assert marked("Uno", "uno") == "[-U-]{+u+}no"
-    assert marked("", "") == ""
-    assert diff.marked("a<b", "a<c", ("(", ")", "[", "]"), True) == "a&lt;[b](c)"
+    marked = lambda a, b, **o: spark.range(1).select(diff.word_diff(F.lit(a), F.lit(b), **o).alias("x")).first().x
+    assert marked("one two three", "one too three") == "one {+too +}[-two -]three"
+    assert marked("a<b", "a<c", as_html=True) == 'a&lt;<font style="background-color:#99CCFF;color:black">c</font><font style="background-color:#FF9999;color:black">b</font>'
+    words = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
+    assert spark.range(1).select(diff.list_diff(words("a", "B", "c"), words("a", "b", "c")).alias("x")).first().x == "a{+b+}[-B-]c"
+    assert spark.range(1).select(diff.list_diff(words(), words("x", "y")).alias("x")).first().x == "{+xy+}"
     length = spark.range(1).select(diff.lcs_length(F.array(*map(F.lit, "abcbdab")), F.array(*map(F.lit, "bdcaba"))).alias("n")).first().n
     assert length == 4
