@@ -66,39 +66,41 @@ def cut_behind(words: list[str], longest: int) -> list[int]:
 
 
 def sentence_runs(text: str, sentences: int = 3, words: int = 20, longest: int = 15) -> Cut:
-    """From each sentence on, the shortest run of at least so many sentences and words.
+    """From each sentence on, the shortest run of at least so many sentences.
 
-    A sentence of more than ``longest`` words counts as several of at most as many.  Words
-    are compared lower-cased and without regard to the white space between them.
+    A sentence of more than ``longest`` words counts as several of at most as many, so that
+    passages inside of long sentences are found, too.  These parts can be very short, so a
+    run that has any of them needs ``words`` words as well; one that has a quarter more
+    words than that may have one sentence less.  Words are compared lower-cased and
+    without regard to the white space between them.
     """
-    units, said, sizes = [], [], []
+    units, said, sizes, whole = [], [], [], []
     for m in SENTENCE.finditer(text):
         if m.start() == m.end():
             continue
-        whole = m[0].lower().split()
-        if len(whole) <= longest:
+        own = m[0].lower().split()
+        if len(own) <= longest:
             units.append(m.span())
-            said.append(" ".join(whole))
-            sizes.append(len(whole))
+            said.append(" ".join(own))
+            sizes.append(len(own))
+            whole.append(True)
             continue
         starts = [w.start() for w in WORD.finditer(m[0])]
-        edges = [0, *cut_behind(whole, longest), len(whole)]
+        edges = [0, *cut_behind(own, longest), len(own)]
         for a, b in zip(edges, edges[1:]):
-            units.append((m.start() + (starts[a] if a else 0), m.start() + (starts[b] if b < len(whole) else len(m[0]))))
-            said.append(" ".join(whole[a:b]))
+            units.append((m.start() + (starts[a] if a else 0), m.start() + (starts[b] if b < len(own) else len(m[0]))))
+            said.append(" ".join(own[a:b]))
             sizes.append(b - a)
-    runs, j, total, solid = [], 0, 0, 0
-    for i in range(len(units)):
-        while j < len(units) and (total < words or solid < sentences):
-            total += sizes[j]
-            solid += sizes[j] > 0
-            j += 1
-        if total < words or solid < sentences:
-            break
-        if sizes[i]:
-            runs.append((digest(" ".join(filter(None, said[i:j]))), i, j - 1))
-        total -= sizes[i]
-        solid -= sizes[i] > 0
+            whole.append(False)
+    solid = [u for u in range(len(units)) if sizes[u]]
+    runs = []
+    for at, first in enumerate(solid):
+        total, parts = 0, False
+        for n, u in enumerate(solid[at : at + max(sentences, words)], 1):
+            total, parts = total + sizes[u], parts or not whole[u]
+            if n >= sentences and (total >= words or not parts) or n >= sentences - 1 and 4 * total >= 5 * words:
+                runs.append((digest(" ".join(said[v] for v in solid[at : at + n])), first, u))
+                break
     return units, runs
 
 
@@ -178,7 +180,8 @@ def without_repeated_lines(docs: DataFrame, lines: int = 3, text: str = "text",
     Lines are compared without spaces, tabs and carriage returns at their ends.  Lines that
     hold nothing else are not part of runs; they go only between lines of a removed run.  A text of fewer other lines stays as
     it is, as does an empty one; null stays null.  A text that loses all lines becomes ''.
-    Adds n_units (lines) and n_removed.  An empty table gives an empty result.
+    Adds n_units (lines) and n_removed in the place of columns of these names.  An empty
+    table gives an empty result.
     """
     return without_repeats(docs, lambda t: line_runs(t, lines), text, key)
 
@@ -187,7 +190,7 @@ def without_repeated_sentences(docs: DataFrame, sentences: int = 3, words: int =
     """docs with every sentence removed that a run of sentences covers which stood before.
 
     See sentence_runs for what a run is.  Texts shorter than a run stay as they are; null
-    stays null.  Adds n_units (sentences) and n_removed.  An empty table gives an empty
-    result.
+    stays null.  Adds n_units (sentences) and n_removed in the place of columns of these
+    names.  An empty table gives an empty result.
     """
     return without_repeats(docs, lambda t: sentence_runs(t, sentences, words), text, key)

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -56,6 +57,23 @@ def test_sentences_equal_one_pass_in_order(documents, seed):
     assert {(r.doc_id): r.n_removed for r in found} == {i: n for (i, _), n in brute(rows, repeats.sentence_runs).items()}
 
 
+def plain_removed(rows):
+    """Of texts of short sentences: how many sentences stand in a run of three that stood before; by listing all runs."""
+    split = {i: [" ".join(x.lower().split()) for x in re.findall(r"[^.]+[.]", t)] for i, t in rows}
+    places = sorted((tuple(s[k : k + 3]), i, k) for i, s in split.items() for k in range(len(s) - 2))
+    later = {(i, k + d) for (run, i, k), (before, *_) in zip(places[1:], places) if run == before for d in range(3)}
+    return {i: sum((i, k) in later for k in range(len(s))) for i, s in split.items()}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_short_sentences_equal_all_runs(documents, seed):
+    """Runs of three short sentences count whatever their length; the cut here is the test's own."""
+    rows = random_texts(lambda r: " ".join(r.choice(["uno", "dos", "tres"]) for _ in range(r.choice([1, 2, 4]))) + ".", " ", seed)
+    found = repeats.without_repeated_sentences(documents(rows)).collect()
+    assert {r.doc_id: r.n_removed for r in found} == plain_removed(rows)
+    assert sum(r.n_removed for r in found) > 0
+
+
 def test_units_cover_the_text():
     r = random.Random(3)
     for _ in range(300):
