@@ -31,7 +31,8 @@ def fitted(docs: DataFrame, labels: DataFrame, key: str, label: str, text: str)
 
     df, n = features.frequencies(docs, text, features.style, features.STYLE)
     idf = features.inverse(df, n)
-    known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).cast("long").alias("_key")).agg(F.max(F.col(label).cast("int")).alias("_label"))
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("_key")).agg(F.max(F.col(label).cast("int")).alias("_label"))
+    share = known.agg(F.avg("_label")).first()[0]
     chosen = features.sampled(known, "_key", "_label", EACH)
     own = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
     rows = features.counted_rows(own.join(F.broadcast(chosen), "_key"), ["_key", "_label"], "_text", features.style)
@@ -40,7 +41,7 @@ def fitted(docs: DataFrame, labels: DataFrame, key: str, label: str, text: str)
     met = np.flatnonzero(x.any(0))
     directions = np.zeros((features.STYLE, min(DIMS, len(met))))
     directions[met] = np.linalg.eigh(x[:, met].T @ x[:, met])[1][:, ::-1][:, :DIMS]
-    return {"idf": idf, "directions": directions, "vectors": unit(x @ directions), "labels": np.array([r["_label"] for r in rows], float)}
+    return {"idf": idf, "directions": directions, "vectors": unit(x @ directions), "labels": np.array([r["_label"] for r in rows], float), "share": 0.5 if share is None else float(share)}
 
 
 def unit(x):
@@ -49,25 +50,38 @@ def unit(x):
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def nearest(alike, k: int):
+    """The places of each row's k largest values, in order of place; of equal values the first."""
+    import numpy as np
+
+    least = np.partition(alike, -k, axis=1)[:, -k][:, None]
+    above, equal = alike > least, alike == least
+    chosen = above | equal & (np.cumsum(equal, 1) <= k - above.sum(1, keepdims=True))
+    return np.nonzero(chosen)[1].reshape(-1, k)
+
+
 def votes(model: dict, counts):
-    """The share of label 1 among each row's neighbours, by similarity; 0.5 without any neighbour."""
+    """The share of label 1 among each row's neighbours, by similarity; of a row without terms, the share among all that was learned from.
+
+    Of equally similar neighbours those with the smaller keys vote.
+    """
     import numpy as np
 
     if not len(model["labels"]):
-        return np.full(len(counts), 0.5)
+        return np.full(len(counts), model["share"])
     own = unit(features.tf_idf(counts, model["idf"]) @ model["directions"])
     alike = own @ model["vectors"].T
     k = min(NEIGHBOURS, alike.shape[1])
-    near = np.argpartition(-alike, k - 1, axis=1)[:, :k]
+    near = nearest(alike, k)
     weights = np.maximum(np.take_along_axis(alike, near, 1), 1e-3) ** POWER
-    return (weights * model["labels"][near]).sum(1) / weights.sum(1)
+    return np.where(counts.any(1), (weights * model["labels"][near]).sum(1) / weights.sum(1), model["share"])
 
 
 def scored(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """Every row of docs with score (0 to 1, higher: label 1 likelier) added.
 
-    A null or empty text has no terms; it gets the vote of arbitrary but fixed neighbours.
-    With nothing to learn from, every score is 0.5.  Repeated rows stay; a column of docs
+    A null or empty text has no terms; its score is the share of label 1 among all labelled
+    rows.  With nothing to learn from, every score is 0.5.  Repeated rows stay; a column of docs
     that is named score is left out.
     """
     import pyarrow as pa

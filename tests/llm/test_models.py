@@ -63,12 +63,94 @@ def test_quality_edges(spark):
     rows = quality.scored(docs, model).collect()
     assert len(rows) == 6 and all(0 <= r.score <= 1 for r in rows)
     score = {r.doc_id: r.score for r in rows}
-    assert score[1] > 0.9 and score[2] < 0.1
+    assert score[1] > 0.9 and score[2] < 0.1 and score[3] == score[4] == pytest.approx(2 / 3)
     nothing = quality.fitted(docs, labels.limit(0), "doc_id", "quality", "text")
     assert {r.score for r in quality.scored(docs, nothing).collect()} == {0.5}
     assert quality.scored(docs.limit(0), model).count() == 0
 
 
+def test_votes_equal_all_cosines(spark):
+    """Document frequencies, vectors, neighbours and votes, one document after the other."""
+    r = random.Random(7)
+    words = ["good", "Bad!!", "x1", "Some-word", "or,", "THE", "end.", "12"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(1, 12))) for _ in range(60)] + ["", "good good", "good good"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int("good" in t)) for i, t in enumerate(texts) if i % 2 and t], "doc_id long, quality int")
+    model = quality.fitted(docs, labels, "doc_id", "quality", "text")
+    counts = [features.style(pa.array([t]))[0] for t in texts]
+    df = np.sum([c > 0 for c in counts], axis=0)
+    vector = lambda c: np.log1p(c) * (np.log((1 + len(texts)) / (1 + df)) + 1)
+    unit = lambda v: v / np.linalg.norm(v) if v.any() else v
+    latent = lambda c: unit(unit(vector(c)) @ model["directions"])
+    known = [(i, latent(counts[i]), int("good" in t)) for i, t in enumerate(texts) if i % 2 and t]
+    found = {x.doc_id: x.score for x in quality.scored(docs, model).collect()}
+    for i, c in enumerate(counts):
+        if not c.any():
+            assert found[i] == sum(y for *_, y in known) / len(known)
+            continue
+        near = sorted(((-round(float(latent(c) @ v), 9), j, y) for j, v, y in known))[: quality.NEIGHBOURS]
+        weights = [max(-s, 1e-3) ** quality.POWER for s, *_ in near]
+        # Rows of equal text and so of equal similarity may swap where rounding differs; all of them have one label.
+        assert found[i] == pytest.approx(sum(w * y for w, (*_, y) in zip(weights, near)) / sum(weights), abs=1e-6)
+
+
+def test_ties_go_to_the_first():
+    alike = np.array([[1.0, 3.0, 2.0, 2.0, 2.0], [0.0, 0.0, 0.0, 0.0, 0.0]])
+    assert quality.nearest(alike, 3).tolist() == [[1, 2, 3], [0, 1, 2]]
+
+
+def test_training_equals_steps_one_by_one():
+    """Follow-the-regularised-leader on a small set, a coordinate at a time."""
+    r = np.random.default_rng(5)
+    x, y, n = (r.random((12, 4)) * (r.random((12, 4)) < 0.6)), r.integers(0, 3, 12), 3
+    rows = np.hstack([x, np.ones((12, 1))])
+    z, g2 = [[0.0] * n for _ in range(5)], [[0.0] * n for _ in range(5)]
+
+    def weight(f, c):
+        l1 = language_id.L1 if f < 4 else 0.0
+        if abs(z[f][c]) <= l1:
+            return 0.0
+        sign = 1 if z[f][c] > 0 else -1
+        return -(z[f][c] - sign * l1) / ((language_id.BETA + g2[f][c] ** 0.5) / language_id.ALPHA + language_id.L2)
+
+    order = np.random.default_rng(1)
+    for _ in range(language_id.PASSES):
+        for i in order.permutation(12):
+            w = {(f, c): weight(f, c) for f in range(5) for c in range(n) if rows[i, f]}
+            e = np.exp([sum(rows[i, f] * w[f, c] for f in range(5) if rows[i, f]) for c in range(n)])
+            p = e / e.sum()
+            for f in range(5):
+                for c in range(n):
+                    if rows[i, f]:
+                        g = rows[i, f] * (p[c] - (y[i] == c))
+                        z[f][c] += g - ((g2[f][c] + g * g) ** 0.5 - g2[f][c] ** 0.5) / language_id.ALPHA * w[f, c]
+                        g2[f][c] += g * g
+    assert np.allclose(language_id.trained(x, y, n), [[weight(f, c) for c in range(n)] for f in range(5)])
+
+
+def test_predictions_equal_plain_products(spark):
+    r = random.Random(3)
+    rows = [(i, prose(r, "xy"[i % 2]), "xy"[i % 2]) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fitted(docs)
+    for x in language_id.predicted(docs, model).collect():
+        counts = features.grams([x.text])[0]
+        v = np.log1p(counts) * model["idf"]
+        logits = (v / np.linalg.norm(v)) @ model["weights"][:-1] + model["weights"][-1]
+        p = np.exp(logits / model["temperature"])
+        assert x.lang_pred == model["names"][int(p.argmax())] and x.score == pytest.approx(p.max() / p.sum())
+
+
+def test_long_texts_are_counted_in_pieces():
+    """Pieces end between words; only pairs across them are missing."""
+    text = " ".join(["Uno, dos"] * 300)
+    whole, pieces = (features.by_pieces(lambda t: features.piece_style(t), pa.array([text, "a b"]), features.STYLE, size) for size in (1 << 20, 100))
+    assert (whole[1] == pieces[1]).all() and (whole[0, : features.SHAPES] == pieces[0, : features.SHAPES]).all()
+    assert 0 < whole[0, features.SHAPES : 2 * features.SHAPES].sum() - pieces[0, features.SHAPES : 2 * features.SHAPES].sum() < 30
+    accents = features.by_pieces(lambda t: features.grams(t.to_pylist()), pa.array(["é" * 3000]), features.GRAMS, 101)
+    assert accents.sum() > 8000
+
+
 def test_features_do_not_depend_on_slices():
     r = random.Random(3)
     texts = ["".join(r.choice("aB1!é .\n|") for _ in range(r.randint(0, 60))) for _ in range(60)] + [None, "", "  ", " x", "word word word word"]
