@@ -215,11 +215,6 @@ def in_segment(name: Column, title: Column, start: Column, end: Column) -> Colum
     return (title != "") & F.contains(name, title) & F.regexp_like(name, pattern)
 
 
-def segment_distance(name: Column, title: Column) -> Column:
-    """The least edit distance of a title to a name or one of its segments."""
-    return F.array_min(F.transform(T.segments(name), lambda s: F.levenshtein(s, title)))
-
-
 def tiered(names: DataFrame, titles: DataFrame, always: bool = False, allow_fuzzy: bool = True) -> DataFrame:
     """(name, title, distance): literal matches without a distance, then near ones with it.
 

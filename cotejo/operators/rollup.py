@@ -104,30 +104,29 @@ def most_popular(c: Column) -> Column:
     return F.greatest(F.max(c), F.lit(0))
 
 
-def largest_deviation(expected: Column, durations: Column) -> Column:
-    """The largest difference in seconds between a duration and those of files; what is no duration differs by 0."""
-    return F.coalesce(F.array_max(F.transform(durations, lambda d: F.coalesce(F.abs(numbers.seconds(d) - numbers.seconds(expected)), F.lit(0)))), F.lit(0))
+def largest_deviation(expected: Column, duration: Column) -> Column:
+    """Aggregate: the largest difference in seconds between a duration and those of files; what is no duration differs by 0."""
+    return F.max(F.coalesce(F.abs(numbers.seconds(duration) - numbers.seconds(expected)), F.lit(0)))
 
 
 REMARK = r" \([a-z0-9 \-]+\)"
 
 
-def status(name: Column, genre: Column, expected: Column, durations: Column, exact: Column, fuzzy: Column, composer: Column, file_composers: Column) -> Column:
+def status(name: Column, genre: Column, deviation: Column, exact: Column, fuzzy: Column, composer: Column, file_composers: Column) -> Column:
     """A row's flags, each with a space behind it.
 
-    name: the display name; durations: those of the files, null if they were not read;
-    exact and fuzzy: file names.
+    name: the display name; deviation: the largest one of the files' durations, 0 if none is
+    expected, null if they were not read; exact and fuzzy: file names.
     """
     lacks = lambda files: F.exists(files, lambda f: ~F.contains(F.lower(f), F.lower(genre)))
     plain = lambda c: T.simplify(F.regexp_replace(c, REMARK, ""))
-    apart = F.when(durations.isNotNull() & (expected != ""), largest_deviation(expected, durations)).otherwise(0)
     rename = F.when(F.size(exact) > 0, plain(T.stem(F.get(exact, F.lit(0)))) != plain(name)).otherwise(False)
-    retag = durations.isNotNull() & ~F.startswith(F.coalesce(file_composers, F.lit("")), composer)
+    retag = deviation.isNotNull() & ~F.startswith(F.coalesce(file_composers, F.lit("")), composer)
     flag = lambda test, text: F.when(test, text).otherwise("")
     return F.concat(
         flag(lacks(exact), NO_GENRE),
         flag(lacks(fuzzy), NO_GENRE),
-        F.when(apart >= 10, F.format_string(TIME, apart)).otherwise(""),
+        F.when(deviation >= 10, F.format_string(TIME, deviation)).otherwise(""),
         flag(F.size(fuzzy) > 0, FUZZY),
         flag(~lacks(exact) & rename, RENAME),
         flag(~lacks(exact) & retag, RETAG),

@@ -376,7 +376,7 @@ def fuzzy_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows without exact files, half of which have a near one, of which a third lack the genre in its name."""
     none = F.array().cast("array<string>")
     near = F.when(F.col("p_size") % 2 == 0, F.array(F.concat("p_name", F.when(F.col("p_size") % 3 == 0, ".mp3").otherwise(" tango.mp3")))).otherwise(none)
-    flags = rollup.status(F.col("p_name"), F.lit("tango"), F.lit(""), F.lit(None).cast("array<string>"), none, near, F.lit(""), F.lit(None).cast("string"))
+    flags = rollup.status(F.col("p_name"), F.lit("tango"), F.lit(None).cast("int"), none, near, F.lit(""), F.lit(None).cast("string"))
     return read(spark, sf_dir, "part").where("p_size % 3 > 0 or p_size % 2 = 0").select("p_partkey", flags.alias("status"))
 
 

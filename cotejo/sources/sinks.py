@@ -132,12 +132,18 @@ def replace_files(written: DataFrame) -> DataFrame:
 
 
 def send_batches(stream: DataFrame, send, checkpoint: str):
-    """A streaming query that hands each micro-batch's rows to send(rows, batch id), and each batch id once only in order."""
-    seen: dict[str, int] = {"last": -1}
+    """A streaming query that hands each micro-batch's rows to send(rows, batch id).
+
+    A batch that was sent has a mark in the checkpoint's folder, so one that is replayed
+    after a restart is left out.  A run that ends between sending and marking sends again.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        if batch_id > seen["last"]:
+        spark = batch.sparkSession
+        mark = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint.rstrip('/')}/sent/{batch_id}")
+        files = mark.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not files.exists(mark):
             send(batch, batch_id)
-            seen["last"] = batch_id
+            files.create(mark, True).close()
 
     return stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(each).start()

@@ -21,6 +21,12 @@ from ..functions import text as T
 ID3 = {"title": "TIT2", "artist": "TPE1", "bpm": "TBPM", "composer": "TCOM", "original_name": "TOFN", "genre": "TCON", "lyrics": "USLT"}
 VORBIS = {"title": "TITLE", "artist": "ARTIST", "bpm": "BPM", "composer": "COMPOSER", "original_name": "ORIGINALNAME", "genre": "GENRE", "lyrics": "LYRICS"}
 MP4 = {"title": b"\xa9nam", "artist": b"\xa9ART", "bpm": b"tmpo", "composer": b"\xa9wrt", "genre": b"\xa9gen", "lyrics": b"\xa9lyr"}
+#: The standard tags that are written; of a format that has none for a tag nothing is written.
+ID3_TEXT = {"title": "TIT2", "artist": "TPE1", "album_artist": "TPE2", "genre": "TCON", "date": "TDRC", "composer": "TCOM", "lyricist": "TEXT", "publisher": "TPUB", "original_album": "TOAL", "original_name": "TOFN", "bpm": "TBPM"}
+VORBIS_TEXT = {"title": "TITLE", "artist": "ARTIST", "album_artist": "ALBUMARTIST", "genre": "GENRE", "date": "DATE", "composer": "COMPOSER", "lyricist": "LYRICIST", "original_album": "ORIGINAL ALBUM", "original_name": "ORIGINALNAME", "bpm": "BPM"}
+MP4_TEXT = {"title": b"\xa9nam", "artist": b"\xa9ART", "genre": b"\xa9gen", "date": b"\xa9day", "composer": b"\xa9wrt", "bpm": b"tmpo"}
+#: Tags that are written only where there is none, and the item that MP4 files lose when others are written.
+ONCE, DROPPED = frozenset(("original_album", "original_name")), b"aART"
 OLD_FRAMES = {"TT2": "TIT2", "TP1": "TPE1", "TBP": "TBPM", "TCM": "TCOM", "TOF": "TOFN", "TCO": "TCON", "ULT": "USLT", "TAL": "TALB", "TYE": "TYER", "TRK": "TRCK", "COM": "COMM", "PIC": "APIC"}
 CONTAINERS = frozenset((b"moov", b"udta", b"meta", b"ilst", b"trak", b"mdia", b"minf", b"stbl", b"edts"))
 PADDING = 1024
@@ -98,6 +104,16 @@ def with_id3_lyrics(data: bytes, translations: list[dict], overwrite: bool) -> b
     return id3_bytes(version, kept + [lyrics_frame(version, t["language"], t["name"], t["body"]) for t in translations]) + data[size:]
 
 
+def with_id3_fields(data: bytes, fields: dict[str, str]) -> bytes:
+    version, frames, size = id3_frames(data)
+    has = {name: decoded(payload) for name, _, payload in frames[::-1] if name[0] == "T"}
+    wanted = {ID3_TEXT[f]: v for f, v in fields.items() if f in ID3_TEXT and not (f in ONCE and ID3_TEXT[f] in has)}
+    if all(has.get(name) == v for name, v in wanted.items()):
+        return data
+    text = lambda v: b"\x03" + v.encode() if version == 4 else b"\x01\xff\xfe" + v.encode("utf-16-le")
+    return id3_bytes(version, [f for f in frames if f[0] not in wanted] + [(name, 0, text(v)) for name, v in wanted.items()]) + data[size:]
+
+
 def flac_blocks(data: bytes) -> tuple[int, list[tuple[int, bytes]], int]:
     """Where the stream starts, metadata blocks (kind, payload), and where audio starts."""
     start = id3_frames(data)[2]
@@ -125,14 +141,27 @@ def comments(payload: bytes) -> tuple[bytes, list[tuple[str, str]]]:
 
 
 def with_flac_lyrics(data: bytes, value: str, overwrite: bool) -> bytes | None:
-    start, blocks, audio = flac_blocks(data)
-    vendor, found = next((comments(p) for k, p in blocks if k == 4), (b"", []))
+    found = next((comments(p)[1] for k, p in flac_blocks(data)[1] if k == 4), [])
     old = [v for k, v in found if k.upper() == "LYRICS"]
     if old == [value]:
         return data
     if old and not overwrite:
         return None
-    found = [(k, v) for k, v in found if k.upper() != "LYRICS"] + [("LYRICS", value)]
+    return with_comments(data, {"LYRICS": value})
+
+
+def with_flac_fields(data: bytes, fields: dict[str, str]) -> bytes:
+    found = next((comments(p)[1] for k, p in flac_blocks(data)[1] if k == 4), [])
+    has = {k.upper(): v for k, v in found[::-1]}
+    wanted = {VORBIS_TEXT[f]: v for f, v in fields.items() if f in VORBIS_TEXT and not (f in ONCE and VORBIS_TEXT[f] in has)}
+    return data if all(has.get(k) == v for k, v in wanted.items()) else with_comments(data, wanted)
+
+
+def with_comments(data: bytes, changes: dict[str, str]) -> bytes:
+    """The file with these comments in the place of others of their names."""
+    start, blocks, audio = flac_blocks(data)
+    vendor, found = next((comments(p) for k, p in blocks if k == 4), (b"", []))
+    found = [(k, v) for k, v in found if k.upper() not in changes] + list(changes.items())
     made = [f"{k}={v}".encode() for k, v in found]
     payload = len(vendor).to_bytes(4, "little") + vendor + len(made).to_bytes(4, "little") + b"".join(len(m).to_bytes(4, "little") + m for m in made)
     rest = [(k, p) for k, p in blocks if k not in (1, 4)]
@@ -189,16 +218,29 @@ def atom(kind: bytes, payload: bytes) -> bytes:
 def with_mp4_lyrics(data: bytes, value: str, overwrite: bool) -> bytes | None:
     if mp4_value(data, MP4["lyrics"]) is not None and not overwrite:
         return None
-    item = atom(MP4["lyrics"], atom(b"data", (1).to_bytes(4) + bytes(4) + value.encode()))
+    return with_mp4_items(data, {MP4["lyrics"]: value})
+
+
+def with_mp4_fields(data: bytes, fields: dict[str, str]) -> bytes:
+    wanted: dict[bytes, str | None] = {MP4_TEXT[f]: v for f, v in fields.items() if f in MP4_TEXT and (f != "bpm" or v.isdecimal())}
+    if set(fields) - {"bpm"}:
+        wanted[DROPPED] = None
+    return data if all(mp4_value(data, k) == v for k, v in wanted.items()) else with_mp4_items(data, wanted)
+
+
+def with_mp4_items(data: bytes, changes: dict[bytes, str | None]) -> bytes:
+    """The file with these items in the place of others of their kinds; a null one is taken out."""
+    coded = lambda k, v: (21).to_bytes(4) + bytes(4) + int(v).to_bytes(2) if k == b"tmpo" else (1).to_bytes(4) + bytes(4) + v.encode()
+    item = b"".join(atom(k, atom(b"data", coded(k, v))) for k, v in changes.items() if v is not None)
     handler = atom(b"hdlr", bytes(8) + b"mdirappl" + bytes(9))
     chain = [b"moov", b"udta", b"meta", b"ilst"]
 
     def put(part: bytes, depth: int) -> bytes:
-        """The atoms of one level with the item in the chain's atom, which is made if it is missing."""
+        """The atoms of one level with the items in the chain's last atom, which is made if it is missing."""
         out, done = b"", False
         for kind, start, body, end in atoms(part, 0, len(part)):
             if depth == len(chain):
-                out += b"" if kind == MP4["lyrics"] else part[start:end]
+                out += b"" if kind in changes else part[start:end]
             elif kind == chain[depth] and not done:
                 first = inside(part, kind, body)
                 out += atom(kind, part[body:first] + put(part[first:end], depth + 1))
@@ -245,8 +287,19 @@ def with_aiff_lyrics(data: bytes, translations: list[dict], overwrite: bool) ->
     new = with_id3_lyrics(old, translations, overwrite)
     if new is None:
         return None
-    parts = [(k, c) for k, c in parts if k not in (b"ID3 ", b"id3 ")] + [(b"ID3 ", new)]
-    body = data[8:12] + b"".join(k + len(c).to_bytes(4) + c + bytes(len(c) % 2) for k, c in parts)
+    return with_tag_chunk(data[8:12], parts, new)
+
+
+def with_aiff_fields(data: bytes, fields: dict[str, str]) -> bytes:
+    parts = chunks(data)
+    old = next((c for k, c in parts if k in (b"ID3 ", b"id3 ")), b"")
+    new = with_id3_fields(old, fields)
+    return data if new == old else with_tag_chunk(data[8:12], parts, new)
+
+
+def with_tag_chunk(kind: bytes, parts: list[tuple[bytes, bytes]], tag: bytes) -> bytes:
+    parts = [(k, c) for k, c in parts if k not in (b"ID3 ", b"id3 ")] + [(b"ID3 ", tag)]
+    body = kind + b"".join(k + len(c).to_bytes(4) + c + bytes(len(c) % 2) for k, c in parts)
     return b"FORM" + len(body).to_bytes(4) + body
 
 
@@ -321,3 +374,32 @@ def with_lyrics(files: DataFrame, lyrics: DataFrame, overwrite: bool = False) ->
             yield pd.DataFrame({"path": batch["path"], "outcome": [o for o, _, _ in out], "message": [m for _, m, _ in out], "content": [c for _, _, c in out]})
 
     return rows.mapInPandas(run, "path string, outcome string, message string, content binary")
+
+
+def with_tags(files: DataFrame, fields: DataFrame) -> DataFrame:
+    """(path, outcome, message, content): files (path, content) with standard tags put in.
+
+    fields: path, field (a name of ID3_TEXT) and value, each field of a path once, as
+    rollup.tag_fields gives them.  A field that a format has no place for is left out; those
+    of ONCE are written only where there are none.  A file that has the same already is
+    unchanged; content is null unless it was written.
+    """
+    grouped = fields.where("value is not null").groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("fields"))
+    rows = files.join(grouped, "path", "left").select("path", T.file_format(F.col("path")).alias("format"), "content", F.map_entries("fields").alias("fields"))
+    writers = {"mp4": with_mp4_fields, "flac": with_flac_fields, "aiff": with_aiff_fields, "mp3": with_id3_fields}
+
+    def written(kind: str | None, data: bytes, found: dict[str, str]) -> tuple[str, str | None, bytes | None]:
+        if kind is None:
+            return "unsupported", None, None
+        try:
+            new = writers[kind](data, found)
+        except (ValueError, IndexError, StopIteration) as e:
+            return "failed", str(e), None
+        return ("unchanged", None, None) if new == data else ("written", None, new)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [written(k, bytes(c), {} if f is None else {x["key"]: x["value"] for x in f}) for k, c, f in zip(batch["format"], batch["content"], batch["fields"])]
+            yield pd.DataFrame({"path": batch["path"], "outcome": [o for o, _, _ in out], "message": [m for _, m, _ in out], "content": [c for _, _, c in out]})
+
+    return rows.mapInPandas(run, "path string, outcome string, message string, content binary")

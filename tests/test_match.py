@@ -33,7 +33,9 @@ def test_tiers(spark, title, name, always, fuzzy, wanted):
     assert [("literal" if r.distance is None else r.distance) for r in found] == ([] if wanted is None else [wanted])
 
 
-def test_containment_equals_all_pairs(spark):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_containment_equals_all_pairs(spark, monkeypatch, few):
+    monkeypatch.setattr(match, "FEW", few)
     r = random.Random(3)
     make = lambda n: " ".join("".join(r.choice("abc") for _ in range(r.randint(1, 3))) for _ in range(n))
     names = [make(r.randint(1, 9)) for _ in range(60)] + ["", None, "x"]
@@ -121,9 +123,9 @@ def test_overlapping_occurrences(spark):
 
 def test_status(spark):
     s = lambda *a: F.array(*map(F.lit, a)).cast("array<string>")
-    out = rollup.status(F.lit("O - V - N - 1941 - tango"), F.lit("Tango"), F.lit("3:00"), s("2:00", "3:01"), s("O - V - N (a) - 1941 - TANGO.mp3"), s("x.mp3"), F.lit("Comp"), F.lit("Other"))
+    out = rollup.status(F.lit("O - V - N - 1941 - tango"), F.lit("Tango"), F.lit(60), s("O - V - N (a) - 1941 - TANGO.mp3"), s("x.mp3"), F.lit("Comp"), F.lit("Other"))
     assert spark.range(1).select(out.alias("x")).first().x == "NOGENREINFILENAME TIMEDIFF=60 FUZZY NEEDSTAGWRITE "
-    bare = rollup.status(F.lit("n"), F.lit("vals"), F.lit(""), F.lit(None).cast("array<string>"), s("a.mp3"), s(), F.lit("C"), F.lit(None).cast("string"))
+    bare = rollup.status(F.lit("n"), F.lit("vals"), F.lit(None).cast("int"), s("a.mp3"), s(), F.lit("C"), F.lit(None).cast("string"))
     assert spark.range(1).select(bare.alias("x")).first().x == "NOGENREINFILENAME "
 
 

@@ -2,13 +2,16 @@
 
 import datetime
 import random
+import socket
+import threading
+import time
 from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
 
 from cotejo.functions import diff
-from cotejo.sources import catalogue, library, sinks, tags
+from cotejo.sources import catalogue, library, messages, sinks, tags
 
 AUDIO = bytes(i % 251 for i in range(2048))
 
@@ -116,6 +119,35 @@ def test_what_cannot_be_parsed_is_reported(spark):
     assert put(spark, FILES["c.flac"], "c.flac", words=[]).outcome == "unchanged"
 
 
+FIELDS = {"title": "Niño", "artist": "Orq - Ana", "genre": "Vals", "date": "1955-06-30", "composer": "C", "original_album": "Old", "original_name": "x.mp3", "bpm": "118"}
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_standard_tags_round_trip(spark, name):
+    def put_fields(data, fields):
+        files = spark.createDataFrame([(name, bytearray(data))], "path string, content binary")
+        return tags.with_tags(files, spark.createDataFrame([(name, f, v) for f, v in fields.items()], "path string, field string, value string")).first()
+
+    out = put_fields(FILES[name], FIELDS)
+    data = bytes(out.content)
+    assert out.outcome == "written" and AUDIO in data
+    back = read(spark, data, name)
+    assert (back.title, back.artist, back.genre, back.composer, back.bpm) == ("Niño", "Orq - Ana", "Vals", "C", "118")
+    assert put_fields(data, FIELDS).outcome == "unchanged"
+    # What is written once stays; the rest is written anew, and lyrics are not touched.
+    sung = bytes(put(spark, data, name).content)
+    changed = bytes(put_fields(sung, FIELDS | {"title": "Otro", "original_name": "y.mp3"}).content)
+    last = read(spark, changed, name)
+    assert last.title == "Otro" and "sueño" in last.lyrics and last.original_name in (None, "x.mp3")
+    assert (last.original_name is None) == (name[-3:] in ("m4a", "mp4"))
+
+
+def test_standard_tags_of_odd_files(spark):
+    files = spark.createDataFrame([("a.flac", bytearray(b"nothing")), ("b.txt", bytearray(b"")), ("c.mp3", bytearray(AUDIO))], "path string, content binary")
+    fields = spark.createDataFrame([("a.flac", "title", "T"), ("b.txt", "title", "T"), ("c.mp3", "title", None)], "path string, field string, value string")
+    assert {r.path: r.outcome for r in tags.with_tags(files, fields).collect()} == {"a.flac": "failed", "b.txt": "unsupported", "c.mp3": "unchanged"}
+
+
 CATALOGUE = """<discography orchestra="Orq &amp; Co" source="made">
 <track name="Uno | Otro" vocal="Ana" year="1956--1958" genre="Arr. en Vals" composer="C" author="A" label="L" duration="2:59" popularity="7"/>
 <track name="¿Qué?" vocal="Instrumental" year="?" genre="tango" popularity="x"/>
@@ -174,6 +206,58 @@ def test_renames_and_copies(spark):
     assert {r.file for r in sinks.copies(sources, there, force=True, alternatives=True).collect()} == {"1", "2", "3", "4"}
 
 
+def test_lyrics_folder_and_catalogue_file(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    for name in ("10.xml", "9.XML", "b.txt", ".hidden.xml", "sub/8.xml"):
+        (tmp_path / name).write_text("<lyrics/>")
+    assert [r.file for r in library.lyrics_files(spark, str(tmp_path)).collect()] == ["9.XML", "10.xml"]
+    assert library.catalogue_file(spark, str(tmp_path)).first().path.endswith("/10.xml")
+    assert sorted(r.file for r in library.listing(spark, str(tmp_path), "*.xml", recursive=False).collect()) == ["10.xml"]
+    assert sorted(r.file for r in library.listing(spark, str(tmp_path), "*.xml").collect()) == ["10.xml", "8.xml"]
+
+
+def test_malformed_translations(spark, tmp_path):
+    (tmp_path / "a.xml").write_text('<lyrics><translation lang="spa">x</translation></lyrics>')
+    (tmp_path / "b.xml").write_text('<lyrics><translation lang="spa">x</translation')
+    with pytest.raises(Exception):
+        catalogue.translations(spark, str(tmp_path)).collect()
+    assert {r.file.rsplit("/", 1)[1] for r in catalogue.translations(spark, str(tmp_path), strict=False).collect()} == {"a.xml"}
+
+
+def test_batches_are_sent_once_even_after_a_restart(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    sent = []
+    send = lambda rows, n: sent.append((n, sorted(r.value for r in rows.collect())))
+
+    def run():
+        query = sinks.send_batches(spark.readStream.text(str(tmp_path / "in")), send, str(tmp_path / "check"))
+        query.processAllAvailable()
+        query.stop()
+
+    (tmp_path / "in" / "1").write_text("a\nb")
+    run()
+    # As after a run that ended before its batch was committed: the batch is replayed.
+    for name in ("0", ".0.crc"):
+        (tmp_path / "check" / "commits" / name).unlink(missing_ok=True)
+    run()
+    (tmp_path / "in" / "2").write_text("c")
+    run()
+    assert sent == [(0, ["a", "b"]), (1, ["c"])]
+
+
+def test_socket_messages(spark):
+    with socket.create_server(("127.0.0.1", 0)) as server:
+        threading.Thread(target=lambda: server.accept()[0].sendall(b"A - B | tango\n"), daemon=True).start()
+        stream = messages.parsed(messages.socket_messages(spark, "127.0.0.1", server.getsockname()[1]))
+        query = stream.writeStream.format("memory").queryName("told").start()
+        for _ in range(300):
+            if rows := spark.table("told").collect():
+                break
+            time.sleep(0.1)
+        query.stop()
+    assert [(r.artist, r.code) for r in rows] == [("A", "T")] and rows[0].at > 0
+
+
 def test_replace_files(spark, tmp_path):
     (tmp_path / "a").write_bytes(b"old")
     rows = spark.createDataFrame([(f"file:{tmp_path}/a", bytearray(b"new"))], "path string, content binary")
