@@ -10,8 +10,8 @@
    or if it passes a test of its own form (SOUND), which the features tell only in part.
    Counts of examples by feature values, over all documents, are one bounded table.
 3. Boosted trees are fitted on that table's even half (by a hash of the text), and each
-   kind's threshold is the lowest score from which on the odd half's candidates are positive
-   in at least ``PRECISION`` of cases.
+   kind's threshold is the lowest score from which on the odd half's candidates, without
+   those that are base spans anyway, are positive in at least ``PRECISION`` of cases.
 4. The trees are then an expression of ``CASE WHEN``; candidates at or above their kind's
    threshold that overlap no base span of the kind are added to the base spans.
 
@@ -149,11 +149,11 @@ def examples(found: DataFrame) -> list[dict]:
 
     def labelled(name: str, kind: str) -> Column:
         label = lambda c: c["valid"] if name == kind else c["sound"] if kind not in KINDS else c["sound"] | overlaps(c, base(kind))
-        return F.transform(F.col(name), lambda c: F.struct(*(c[f].cast("int").alias(f) for f in FEATURES), label(c).alias("label")))
+        return F.transform(F.col(name), lambda c: F.struct(*(c[f].cast("int").alias(f) for f in FEATURES), label(c).alias("label"), c["valid"].alias("base")))
 
     every = F.concat(*(labelled(n, kind) for n, kind, _ in GENERATORS))
     rows = found.where(F.greatest(*(F.size(n) for n, _, _ in GENERATORS)) > 0).select("half", F.explode(every).alias("c"))
-    return [r.asDict() for r in rows.select("half", "c.*").groupBy("half", "label", *FEATURES).agg(F.count("*").alias("n")).collect()]
+    return [r.asDict() for r in rows.select("half", "c.*").groupBy("half", "label", "base", *FEATURES).agg(F.count("*").alias("n")).collect()]
 
 
 def grown(rows: list[tuple], depth: int):
@@ -198,12 +198,16 @@ def column_of(tree, c: Column) -> Column:
 def fitted(table: list[dict]) -> dict:
     """Trees and each kind's threshold, from a table of counted examples.
 
-    held_back: of each kind how many positives and negatives of the odd half are chosen, and how many positives are not.
+    held_back: of each kind how many positives and negatives of the odd half are chosen beside
+    base spans, and how many positives are not.
     """
     merged: dict[tuple, list] = {}
+    beside: dict[tuple, list] = {}
     for r in table:
-        m = merged.setdefault(tuple(r[f] for f in FEATURES), [[0, 0], [0, 0]])
-        m[r["half"]][bool(r["label"])] += r["n"]
+        x, label = tuple(r[f] for f in FEATURES), bool(r["label"])
+        merged.setdefault(x, [[0, 0], [0, 0]])[r["half"]][label] += r["n"]
+        if r["half"] and not r["base"]:
+            beside.setdefault(x, [0, 0])[label] += r["n"]
     order = sorted(merged)
     score, trees = dict.fromkeys(order, 0.0), []
     for _ in range(TREES):
@@ -221,7 +225,7 @@ def fitted(table: list[dict]) -> dict:
             score[x] += STEP * value_of(tree, x)
     thresholds, held_back = {}, {}
     for kind in ALL:
-        own = sorted(((score[x], *merged[x][1]) for x in order if GENERATORS[x[0]][1] == kind), reverse=True)
+        own = sorted(((score[x], *n) for x, n in beside.items() if GENERATORS[x[0]][1] == kind), reverse=True)
         no = yes = 0
         for i, (s, a, b) in enumerate(own):
             no, yes = no + a, yes + b

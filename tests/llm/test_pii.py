@@ -61,7 +61,7 @@ def test_base_spans_equal_plain_matching(documents):
 
 def test_trees_learn_and_thresholds_hold():
     """A format that is personal data nearly always is selected, one that is not is left out."""
-    row = lambda g, after, label, half, n: {"generator": g, "length": 3, "digits": 10, "marks": 2, "before": 1, "after": after, "context": 0, "check": 0, "label": label, "half": half, "n": n}
+    row = lambda g, after, label, half, n: {"generator": g, "length": 3, "digits": 10, "marks": 2, "before": 1, "after": after, "context": 0, "check": 0, "base": False, "label": label, "half": half, "n": n}
     table = [row(7, 1, 1, h, 400) for h in (0, 1)] + [row(7, 1, 0, h, 4) for h in (0, 1)] + [row(7, 4, 0, h, 300) for h in (0, 1)]
     model = pii.fitted(table)
     score = lambda after: sum(pii.STEP * pii.value_of(t, (7, 3, 10, 2, 1, after, 0, 0)) for t in model["trees"])
@@ -73,7 +73,7 @@ def test_trees_learn_and_thresholds_hold():
 
 @pytest.mark.parametrize("times", [1, 1000])
 def test_thresholds_do_not_depend_on_the_number_of_rows(times):
-    row = lambda after, label, half, n: {"generator": 7, "length": 3, "digits": 10, "marks": 2, "before": 1, "after": after, "context": 0, "check": 0, "label": label, "half": half, "n": n * times}
+    row = lambda after, label, half, n: {"generator": 7, "length": 3, "digits": 10, "marks": 2, "before": 1, "after": after, "context": 0, "check": 0, "base": False, "label": label, "half": half, "n": n * times}
     model = pii.fitted([row(1, 1, 0, 3), row(1, 1, 1, 3), row(4, 0, 0, 3), row(4, 0, 1, 3)])
     assert model["held_back"]["phone"] == (3 * times, 0, 0)
 
