@@ -48,6 +48,17 @@ def test_decontaminated(spark, documents):
     assert decontaminate.matches(docs.limit(0), items).count() == 0
 
 
+def test_repeated_rows_and_clashing_names(spark):
+    """Rows that share an id are one document; columns that are named like the operator's own don't matter and stay."""
+    names = "doc_id long, text string, shingle string, item string, n_item int, at int, _item int, doc_class int"
+    text = "x one two three four five six y"
+    docs = spark.createDataFrame([(1, text, "s", "i", 5, 6, 7, 8), (1, text, "s", "i", 5, 6, 7, 8), (2, "clean text", "s", "i", 5, 6, 7, 8)], names)
+    items = spark.createDataFrame([(1, "one two three four five six", "t"), (1, "one two three four five six", "t")], "item_id long, text string, n_shared string")
+    assert [(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in decontaminate.matches(docs, items).collect()] == [(1, 1, 2, 2)]
+    kept = decontaminate.decontaminated(docs, items)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(2, "clean text", "s", "i", 5, 6, 7, 8)]
+
+
 def test_main_path_has_no_python(spark, documents):
     items = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
     plan = decontaminate.matches(documents([(1, "x")]), items)._jdf.queryExecution().executedPlan().toString()
