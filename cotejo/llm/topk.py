@@ -1,10 +1,12 @@
 """Exact top-k search by integer inner product, with a table of distances to pivots.
 
-A pivot p at distance d(q, p) of a query and d(x, p) of a candidate says that the two are
-at least |d(q, p) - d(x, p)| apart; the largest such bound over all pivots bounds the inner
-product from above, as 2 <q, x> = |q|^2 + |x|^2 - d(q, x)^2.  Candidates are evaluated in
-the order of that bound, and evaluation stops where the bound falls below the k-th best
-score known, so results are exact.
+The distances of a query and of a candidate to all pivots say how far the two are apart at
+least: one pivot proves |d(q, p) - d(x, p)|, and all together the largest distance that can be
+proved, that of the two points which the distances fix above the pivots' plane if both stand
+on one side of it (Pivots).  It bounds the inner product from above, as
+2 <q, x> = |q|^2 + |x|^2 - d(q, x)^2.  Candidates are evaluated in the order of that bound,
+and evaluation stops where the bound falls below the k-th best score known, so results are
+exact.
 
 1. Every row's distances to the pivots are worked out once and saved beside the vector, in
    blocks of about ``BLOCK`` rows that have the same nearest pivot.
@@ -31,6 +33,8 @@ from .common import discarded, saved
 
 #: Rows of a block, queries at a time, pivots, the rows they are chosen from, and candidates evaluated at a time.
 BLOCK, QUERIES, PIVOTS, SAMPLE, STEP = 1024, 16384, 48, 2048, 64
+#: Queries of which the bounds of a block are worked out at a time.
+QUERIES_AT_ONCE = 256
 #: The sum of squares from which on a vector takes no part, as its products could exceed 64 bits.
 LONGEST = float(1 << 62)
 
@@ -82,6 +86,33 @@ def farthest(x, n: int):
     return x[chosen]
 
 
+class Pivots:
+    """Where distances to pivots place a vector: its coordinates in the plane that holds all pivots, and its distance from the plane."""
+
+    def __init__(self, points):
+        import numpy as np
+
+        self.points = points
+        while len(self.points) > 1:
+            self.corner = np.linalg.qr((self.points[1:] - self.points[0]).T)[1]
+            size = np.zeros(len(self.points) - 1)
+            size[: len(self.corner)] = np.abs(np.diag(self.corner))
+            if (size > 1e-3 * size.max()).all():
+                break
+            # Pivots that lie nearly in the plane of those before them add nothing.
+            self.points = self.points[np.append(True, size > 1e-3 * size.max())]
+        self.gaps = ((self.points[1:] - self.points[:1]) ** 2).sum(1)
+
+    def placed(self, d):
+        import numpy as np
+
+        square = d * d
+        if len(self.points) < 2:
+            return np.zeros((len(d), 0)), d[:, :1].sum(1)
+        along = np.linalg.solve(self.corner.T, ((square[:, :1] + self.gaps - square[:, 1:]) / 2).T).T
+        return along, np.sqrt(np.maximum(0, square[:, 0] - (along**2).sum(1)))
+
+
 def distances(x, pivots):
     """Of each vector to each pivot."""
     import numpy as np
@@ -137,27 +168,33 @@ class Best:
             self.least[i] = max(self.least[i], int(scores[top[-1]]))
 
 
-def search(best: Best, q_ids, q, q_d, ids, x, d) -> int:
+def search(best: Best, pivots: Pivots, q_ids, q, q_d, ids, x, d) -> int:
     """Puts a block's candidates past all queries in bound order; returns how many products that took."""
     import numpy as np
 
     norms, q_norms = (x.astype("f8") ** 2).sum(1), (q.astype("f8") ** 2).sum(1)
-    low, high, longest, taken = d.min(0), d.max(0), norms.max(), 0
-    away = np.maximum(0, np.maximum(low - q_d, q_d - high)).max(1)
-    slack = 1e-9 * (q_norms + longest) + 1
-    hopeful = (q_norms + longest - away**2) / 2 + slack >= best.least
-    for i in np.flatnonzero(hopeful):
-        gap = np.abs(d - q_d[i]).max(1)
-        bound = (q_norms[i] + norms - gap * gap) / 2 + slack[i]
-        order = np.argsort(-bound, kind="stable")
-        for at in range(0, len(order), STEP):
-            part = order[at : at + STEP]
-            part = part[bound[part] >= best.least[i]]
-            if not len(part):
-                break
-            taken += len(part)
-            part = part[ids[part] != q_ids[i]]
-            best.add(i, products(x[part], q[i]), ids[part])
+    # Rounding is relative to the largest number there is, which may be a distance to a far pivot.
+    slack = 1e-6 * (q_norms + norms.max() + d.max() ** 2 + (q_d**2).max(1)) + 1
+    away = np.maximum(0, np.maximum(d.min(0) - q_d, q_d - d.max(0))).max(1, initial=0)
+    hopeful = np.flatnonzero((q_norms + norms.max() - away**2) / 2 + slack >= best.least)
+    along, off = pivots.placed(d)
+    taken = 0
+    for at in range(0, len(hopeful), QUERIES_AT_ONCE):
+        own = hopeful[at : at + QUERIES_AT_ONCE]
+        q_along, q_off = pivots.placed(q_d[own])
+        apart = (q_along**2).sum(1)[:, None] + (along**2).sum(1) - 2 * q_along @ along.T + (q_off[:, None] - off) ** 2
+        bounds = (q_norms[own][:, None] + norms - apart) / 2 + slack[own][:, None]
+        for i, bound in zip(own, bounds):
+            order = np.flatnonzero(bound >= best.least[i])
+            order = order[np.argsort(-bound[order], kind="stable")]
+            for start in range(0, len(order), STEP):
+                part = order[start : start + STEP]
+                part = part[bound[part] >= best.least[i]]
+                if not len(part):
+                    break
+                taken += len(part)
+                part = part[ids[part] != q_ids[i]]
+                best.add(i, products(x[part], q[i]), ids[part])
     return taken
 
 
@@ -180,8 +217,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     dims, n_queries = rows.agg(F.max(F.size("v")), F.count_if("q")).first()
     dims = dims or 0
     sample_ids, sample = matrix(rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("id", "v").collect(), dims)
-    pivots = farthest(sample.astype("f8"), PIVOTS)
-    table = saved(placed(rows, pivots, dims))
+    pivots = Pivots(farthest(sample.astype("f8"), PIVOTS))
+    table = saved(placed(rows, pivots.points, dims))
     sizes = {r.near: r["count"] for r in table.groupBy("near").count().collect()}
     parts = F.coalesce(*(F.when(F.col("near") == at, -(-n // BLOCK)) for at, n in sizes.items()), F.lit(1))
     blocks = saved(table.groupBy("near", F.pmod(F.xxhash64("id"), parts).alias("part")).agg(F.collect_list(F.struct("id", "v", "d")).alias("rows")).select("rows"))
@@ -190,7 +227,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     def best_of(chosen: DataFrame) -> DataFrame:
         found = chosen.orderBy("id").collect()
         q_ids, q = matrix(found, dims)
-        q_d = distances(q.astype("f8"), pivots)
+        q_d = distances(q.astype("f8"), pivots.points)
         least = np.full(len(q), np.iinfo(np.int64).min)
         for i in range(len(q)):
             scores = products(sample[sample_ids != q_ids[i]], q[i])
@@ -205,7 +242,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
                 for i in range(batch.num_rows):
                     block = batch.column(0)[i].values
                     ids = block.field("id").to_numpy(zero_copy_only=False)
-                    search(best, q_ids, q, q_d, ids, filled(block.field("v"), dims, "i8"), filled(block.field("d"), len(pivots), "f8"))
+                    search(best, pivots, q_ids, q, q_d, ids, filled(block.field("v"), dims, "i8"), filled(block.field("d"), len(pivots.points), "f8"))
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, [len(x) for x in best.ids])), pa.array(np.concatenate([*best.ids, np.empty(0, np.int64)])), pa.array(np.concatenate([*best.scores, np.empty(0, np.int64)]))], names=["query_id", "vec_id", "score"])
 
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

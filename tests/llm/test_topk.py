@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cotejo.llm import topk
@@ -49,14 +50,28 @@ def test_large_numbers_and_shared_ids(spark):
     assert sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in found) == brute(left, 5)
 
 
+@pytest.mark.parametrize("kind", ["random", "flat", "equal", "one"])
+def test_bounds_hold(kind):
+    """No two vectors are nearer than their distances to the pivots prove."""
+    r = np.random.default_rng(4)
+    x = {"random": r.integers(-300, 300, (200, 12)), "flat": r.integers(-9, 9, (200, 3)) @ r.integers(-9, 9, (3, 12)), "equal": np.ones((20, 5), int), "one": np.ones((1, 5), int)}[kind].astype(float)
+    pivots = topk.Pivots(topk.farthest(x, 8))
+    along, off = pivots.placed(topk.distances(x, pivots.points))
+    proved = np.sqrt(((along[:, None] - along) ** 2).sum(2) + (off[:, None] - off) ** 2)
+    real = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    d = topk.distances(x, pivots.points)
+    assert (proved <= real + 1e-3).all()
+    assert (proved >= np.abs(d[:, None] - d).max(2) - 1e-3).all()
+
+
 def test_far_blocks_are_left_out():
     """Of two far clusters only the one near the query is evaluated."""
     r = np.random.default_rng(3)
     x = np.concatenate([r.integers(0, 20, (500, 8)) + 1000, r.integers(0, 20, (500, 8)) - 1000])
-    pivots = topk.farthest(x.astype(float), 4)
-    d = topk.distances(x.astype(float), pivots)
+    pivots = topk.Pivots(topk.farthest(x.astype(float), 4))
+    d = topk.distances(x.astype(float), pivots.points)
     best = topk.Best(1, 5, np.full(1, np.iinfo(np.int64).min))
-    taken = [topk.search(best, np.array([0]), x[:1], d[:1], np.arange(a, a + 500), x[a : a + 500], d[a : a + 500]) for a in (0, 500)]
+    taken = [topk.search(best, pivots, np.array([0]), x[:1], d[:1], np.arange(a, a + 500), x[a : a + 500], d[a : a + 500]) for a in (0, 500)]
     scores = x @ x[0]
     wanted = sorted((-int(s), i) for i, s in enumerate(scores) if i)[:5]
     assert list(zip((-best.scores[0]).tolist(), best.ids[0].tolist())) == wanted
