@@ -37,10 +37,10 @@ def kind(c: Column) -> Column:
     return F.when(F.size(interior(c)) > 0, "w").otherwise(F.least(F.length(c), F.lit(GRAM)).cast("string"))
 
 
-def keys(c: Column, of: str, title: bool) -> Column:
-    """The keys of one kind that a title or a name has, marked with the kind."""
-    runs = (interior(c) if title else word_keys(c)) if of == "w" else F.array(F.lit("")) if of == "0" else grams(c, int(of))
-    return F.transform(runs, lambda k: F.concat(F.lit(of), k))
+def keys(c: Column, of: str, title: bool, wanted: Column | None = None) -> Column:
+    """The keys of one kind that a title or a name has, marked with the kind; only those of wanted (without marks) if it is given."""
+    runs = (interior(c) if title else F.split(c, " ") if wanted is not None else word_keys(c)) if of == "w" else F.array(F.lit("")) if of == "0" else grams(c, int(of))
+    return F.transform(runs if wanted is None else F.array_intersect(runs, wanted), lambda k: F.concat(F.lit(of), k))
 
 
 def title_keys(c: Column, kinds: list[str]) -> Column:
@@ -64,15 +64,18 @@ def containment(names: DataFrame, titles: DataFrame, name: str, title: str, with
     kinds = {r.kind: r.n for r in given.groupBy(kind(F.col("_title")).alias("kind")).agg(F.count("*").alias("n")).collect()}
     if not kinds:
         kinds = {"w": 0}
-    of_names = F.concat(*(keys(F.col(name), k, False) for k in kinds))
     every = title_keys(F.col("_title"), list(kinds))
     if sum(kinds.values()) <= FEW:
         best = F.array_sort(every, lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
         keyed = given.withColumn("_key", F.get(best, F.lit(0)))
         wanted = [r[0] for r in keyed.select("_key").distinct().collect()]
-        own = F.array_intersect(of_names, F.array(*map(F.lit, wanted)).cast("array<string>"))
-        found = names.where(F.col(name).isNotNull()).withColumn("_key", F.explode(own)).join(F.broadcast(keyed), on).where(F.contains(name, "_title")).drop("_key")
+        raw = lambda k: F.array(*(F.lit(w[1:]) for w in wanted if w[0] == k)).cast("array<string>")
+        own = F.concat(*(keys(F.col(name), k, False, raw(k)) for k in kinds))
+        # A test that nulls could fail would be moved below and work the name out twice; null names have no keys.
+        whole = F.coalesce(F.col(name), F.lit(""))
+        found = names.withColumn("_key", F.explode(F.when(F.col(name).isNotNull(), own))).join(F.broadcast(keyed), on).where(F.contains(whole, "_title")).drop("_key")
     else:
+        of_names = F.concat(*(keys(F.col(name), k, False) for k in kinds))
         marked = names.where(F.col(name).isNotNull()).withColumn("_row", F.xxhash64(name))
         pairs = rare_candidates(marked.select(*within, "_row", F.explode(of_names).alias("_key")), given.select(*within, "_title", F.explode(every).alias("_key")), list(within))
         found = marked.join(pairs, [*within, "_row"]).where(F.contains(name, "_title")).drop("_row")
