@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, near_dedup, pii, quality, repeats, topk, wrapper
+from . import bpe, centroids, decontaminate, language_id, near_dedup, pii, quality, repeats, secrets, topk, vector_codes, wrapper
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -178,9 +178,105 @@ SELECT page_id, url, array_to_string(b, chr(10) || chr(10)) AS text, length(arra
 """
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets in every document; counts and digest are those of the base patterns."""
+    found = secrets.spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base", lambda c: c["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(kind) for kind in secrets.KINDS]
+    added = (F.size("spans") - F.size("base")).cast("long").alias("n_added")
+    return found.select("doc_id", *counts, F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"), added)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code of every vector, and the errors that codes make."""
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every vector, and the inertia of clusters."""
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def vectors_sql(scale: int, keep: str, number: str) -> str:
+    """The kept vectors as integers, in doubles, with the number that starting rows are chosen by."""
+    return f"""
+v AS MATERIALIZED (
+  SELECT {keep}, {number} AS rn, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * {scale})) AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)"""
+
+
+SQUARED = "CAST(list_dot_product({a}, {a}) - 2 * list_dot_product({a}, {b}) + list_dot_product({b}, {b}) AS BIGINT)"
+
+
+def codes_sql() -> str:
+    """All rounds one after the other, each of two steps: every part's nearest entry, and the entries' means."""
+    steps = [
+        vectors_sql(4096, "vec_id, label", "row_number() OVER (ORDER BY vec_id) - 1"),
+        "parts AS MATERIALIZED (SELECT rn, p, x[p * 8 + 1 : p * 8 + 8] AS y FROM v, range(8) AS t(p))",
+        "c0 AS MATERIALIZED (SELECT p, rn AS k, y AS c FROM parts WHERE rn < 16)",
+    ]
+    for r in range(7):
+        distance = SQUARED.format(a="y", b="c")
+        steps.append(f"a{r} AS MATERIALIZED (SELECT p, rn, min({distance} * 16 + k) AS best FROM parts JOIN c{r} USING (p) GROUP BY p, rn)")
+        if r < 6:
+            steps.append(f"""m{r} AS MATERIALIZED (
+  SELECT p, k, list(m ORDER BY i) AS c FROM (
+    SELECT p, best % 16 AS k, i, floor(sum(y[i]) / count(*)) AS m FROM a{r} JOIN parts USING (p, rn), range(1, 9) AS t(i) GROUP BY ALL
+  ) GROUP BY p, k
+), c{r + 1} AS MATERIALIZED (SELECT p, k, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (p, k))""")
+    return f"""WITH {", ".join(steps)}, coded AS (
+  SELECT vec_id, label, string_agg(printf('%02x', best % 16), '' ORDER BY p) AS code, CAST(sum(best // 16) AS BIGINT) AS error
+  FROM a6 JOIN v USING (rn) GROUP BY rn, vec_id, label
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(CAST(c[i] AS BIGINT) AS VARCHAR), ',' ORDER BY p, k, i)) FROM c6, range(1, 9) AS t(i)) AS codebooks_sha256
+FROM coded"""
+
+
+def clusters_sql() -> str:
+    steps = [
+        vectors_sql(1024, "vec_id", "row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1"),
+        "c0 AS MATERIALIZED (SELECT rn AS k, x AS c FROM v WHERE rn < 8)",
+    ]
+    for r in range(11):
+        distance = SQUARED.format(a="x", b="c")
+        steps.append(f"a{r} AS MATERIALIZED (SELECT rn, min({distance} * 8 + k) AS best FROM v, c{r} GROUP BY rn)")
+        if r < 10:
+            steps.append(f"""m{r} AS MATERIALIZED (
+  SELECT k, list(m ORDER BY i) AS c FROM (
+    SELECT best % 8 AS k, i, floor(sum(x[i]) / count(*)) AS m FROM a{r} JOIN v USING (rn), range(1, 65) AS t(i) GROUP BY ALL
+  ) GROUP BY k
+), c{r + 1} AS MATERIALIZED (SELECT k, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (k))""")
+    return f"""WITH {", ".join(steps)}, hashes AS (
+  SELECT k, sha256(string_agg(CAST(CAST(c[i] AS BIGINT) AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c10, range(1, 65) AS t(i) GROUP BY k
+)
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, best // 8 AS distance, CAST(sum(best // 8) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+       CAST(sum(best // 8) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a10 JOIN v USING (rn) JOIN hashes ON k = best % 8"""
+
+
+QUERIES: dict[str, Query] = {
+    q.__name__: q
+    for q in (
+        op1_quality, op2_decontamination, op3_pii, op4_substring_dedup, op5_near_dedup, op6_topk, op7_line_dedup,
+        op8_bpe, op9_language, op10_html, op11_secrets, op12_vector_codes, op13_centroids,
+    )
+}
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_quality": op1_quality, "op2_decontamination": op2_decontamination, "op3_pii": op3_pii, "op4_substring_dedup": op4_substring_dedup, "op5_near_dedup": op5_near_dedup, "op6_topk": op6_topk, "op7_line_dedup": op7_line_dedup, "op8_bpe": op8_bpe, "op9_language": op9_language, "op10_html": op10_html}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": CONTAINED_SQL, "op5_near_dedup": NEAR_SQL, "op6_topk": TOPK_SQL, "op7_line_dedup": LINES_SQL, "op10_html": ARTICLES_SQL}
+    return {
+        "op2_decontamination": CONTAINED_SQL,
+        "op5_near_dedup": NEAR_SQL,
+        "op6_topk": TOPK_SQL,
+        "op7_line_dedup": LINES_SQL,
+        "op10_html": ARTICLES_SQL,
+        "op12_vector_codes": codes_sql(),
+        "op13_centroids": clusters_sql(),
+    }
