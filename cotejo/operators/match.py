@@ -234,9 +234,13 @@ def tiered(names: DataFrame, titles: DataFrame, always: bool = False, allow_fuzz
     return literal.union(best.join(literal, ["name", "title"], "left_anti").select("name", "title", "distance"))
 
 
+def rank(path: Column) -> list[Column]:
+    """What matches are ordered by when they are shown: literal ones first, then by distance, then by natural path order."""
+    return [F.col("distance").isNotNull(), F.col("distance"), T.natural_key(path), path]
+
+
 def ranked(matches: DataFrame, path: str = "name") -> DataFrame:
-    """Matches in the order they are shown: literal ones first, then by distance, then by natural path order."""
-    return matches.orderBy(F.col("distance").isNotNull(), "distance", T.natural_key(F.col(path)), path)
+    return matches.orderBy(*rank(F.col(path)))
 
 
 def globbed(names: DataFrame, titles: DataFrame) -> DataFrame:

@@ -2,39 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import rollup
 from ..sources import catalogue, library, sinks, tags
+from ..stores import scratch
 from .registry import query, read
 
-MADE: list[tuple[SparkSession, str]] = []
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared one that the cluster names; only a local session may go without one."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    path = f"{(named or tempfile.mkdtemp(prefix='cotejo-')).rstrip('/')}/files-{uuid.uuid4().hex}"
-    MADE.append((spark, path))
-    return path
-
-
-@atexit.register
-def removed() -> None:
-    for spark, path in MADE:
-        with contextlib.suppress(Exception):  # the session may have ended before
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def attribute(name: str, value: Column) -> Column:
     """An XML attribute with a space before it; null is none."""
     return F.coalesce(F.concat(F.lit(f' {name}="'), sinks.quoted(value), F.lit('"')), F.lit(""))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers
 from ..functions import text as T
-from ..operators import match, rollup
+from ..operators import match, order, rollup
 from ..sources import library, messages, sinks
 from ..streaming import sessions
 from .registry import CODE, DECORATED, FILE, decorated_part, event_code, part_file, query, quoted, read, sql_capitalised, sql_deaccent, sql_digits, sql_simplify
@@ -46,15 +46,14 @@ def relative_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT p_partkey, CAST(row_number() OVER (ORDER BY d IS NOT NULL, d, k, name) AS INTEGER) AS place
+    f"""SELECT p_partkey, row_number() OVER (ORDER BY d IS NOT NULL, d, k, name) AS place
 FROM (SELECT p_partkey, CASE WHEN p_size % 4 > 0 THEN p_size % 4 END AS d, 'track ' || {sql_digits('CAST(p_size AS VARCHAR)')} || ' no ' || {sql_digits('CAST(p_partkey AS VARCHAR)')} AS k, 'Track ' || CAST(p_size AS VARCHAR) || ' no ' || CAST(p_partkey AS VARCHAR) AS name FROM part)"""
 )
 def ranked_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of each match in the order that they are shown in; a list that is shown is one library's."""
     name = F.concat(F.lit("Track "), F.col("p_size").cast("string"), F.lit(" no "), F.col("p_partkey").cast("string"))
     rows = read(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") % 4 > 0, F.col("p_size") % 4).alias("distance"), name.alias("name"))
-    order = Window.orderBy(F.col("distance").isNotNull(), "distance", T.natural_key(F.col("name")), "name")
-    return match.ranked(rows).select("p_partkey", F.row_number().over(order).alias("place"))
+    return order.placed(rows, *match.rank(F.col("name"))).select("p_partkey", "place")
 
 
 BAR = "p_name || ' | ' || p_type"

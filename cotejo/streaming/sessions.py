@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import ordered
 
 #: Codes that a history holds at most, bytes of a message that are remembered, and sessions that are shown.
 HISTORY, REMEMBERED, SHOWN = 30, 249, 6
@@ -72,18 +70,42 @@ def advanced(history: list[str], code: str) -> list[str]:
     return history[-HISTORY:]
 
 
-def display_stream(messages: DataFrame, key: str = "key", at: str = "at", text: str = "text") -> DataFrame:
-    """(key, at, display, sessions) for each dance of a stream of messages (key long, at long, text): repeats are dropped, breaks kept in the state."""
+def starts_of(history: list[str]) -> str:
+    """What ``shown`` gives, in plain Python for streams."""
+    starts = [history[i + 1] if i + 1 < len(history) else "" for i, x in enumerate(history) if x == ""]
+    return "".join(starts[-SHOWN:])
+
+
+def history_stream(events: DataFrame, delay: str, key: str = "key", at: str = "at", ident: str = "id", code: str = "code") -> DataFrame:
+    """(key, ident, sessions) for each dance of a stream of codes ('': a break), in order of event time, then ident."""
+
+    def fold(owner: tuple, state: tuple, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
+        history, out = state[0][1:].split(","), []
+        for _, own, c in rows:
+            history = advanced(history, c or "")
+            if c:
+                out.append((owner[0], own, starts_of(history)))
+        return ("," + ",".join(history),), out
+
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
+    output = f"`{key}` {kinds[key]}, `{ident}` {kinds[ident]}, sessions string"
+    return ordered.folded(events, key, at, [ident, code], fold, (",",), "history string", output, delay)
 
-    def code_of(message: str) -> str:
-        at_bar = message.find(" | ")
-        low = message[at_bar + 3 if at_bar >= 0 else 2 :].lower()
-        return next((c for part, c in (("tangon", "M"), ("tango", "T"), ("vals", "V"), ("milong", "M"), ("nuev", "M")) if part in low), "")
 
-    def run(key_: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last, joined = state.get if state.exists else ("", ",")
-        history, out = joined[1:].split(","), []
-        for t, message in sorted((int(a), m or "") for b in batches for a, m in zip(b[at], b[text])):
+def code_of(message: str) -> str:
+    """The dance's code of a message, in plain Python for streams."""
+    at_bar = message.find(" | ")
+    low = message[at_bar + 3 if at_bar >= 0 else 2 :].lower()
+    return next((c for part, c in (("tangon", "M"), ("tango", "T"), ("vals", "V"), ("milong", "M"), ("nuev", "M")) if part in low), "")
+
+
+def display_stream(messages: DataFrame, delay: str, key: str = "key", at: str = "at", ident: str = "id", text: str = "text") -> DataFrame:
+    """(key, ident, display, sessions) for each dance of a stream of messages: repeats are dropped, breaks kept in the state."""
+
+    def fold(owner: tuple, state: tuple, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
+        last, history, out = state[0], state[1][1:].split(","), []
+        for _, own, message in rows:
+            message = message or ""
             if message == last:
                 continue
             last = message.encode()[:REMEMBERED].decode("utf-8", "ignore")
@@ -92,11 +114,9 @@ def display_stream(messages: DataFrame, key: str = "key", at: str = "at", text:
             code = code_of(message)
             history = advanced(history, code)
             if code:
-                starts = [history[i + 1] if i + 1 < len(history) else "" for i, x in enumerate(history) if x == ""]
-                out.append((key_[0], t, message.partition(" | ")[0], "".join(starts[-SHOWN:])))
-        state.update((last, "," + ",".join(history)))
-        yield pd.DataFrame(out, columns=[key, at, "display", "sessions"])
-
-    from pyspark.sql.streaming.state import GroupStateTimeout
+                out.append((owner[0], own, message.partition(" | ")[0], starts_of(history)))
+        return (last, "," + ",".join(history)), out
 
-    return messages.groupBy(key).applyInPandasWithState(run, f"{key} long, {at} long, display string, sessions string", "last string, history string", "update", GroupStateTimeout.NoTimeout)
+    kinds = {f.name: f.dataType.simpleString() for f in messages.schema.fields}
+    output = f"`{key}` {kinds[key]}, `{ident}` {kinds[ident]}, display string, sessions string"
+    return ordered.folded(messages, key, at, [ident, text], fold, ("", ","), "last string, history string", output, delay)

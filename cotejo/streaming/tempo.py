@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import FASTEST, RESET
+from . import ordered
 
 STATE = "count long, last long, total double, bpm double, resets long"
 
@@ -69,16 +69,20 @@ def step(state: tuple, at: int | None, scale: float) -> tuple:
     return count + 1, at, total, bpm, resets
 
 
-def tempo_stream(taps: DataFrame, key: str = "key", at: str = "at", scale: float = 60000.0) -> DataFrame:
-    """(key, taps, total_bpm, last_bpm, resets) after each batch's taps of a stream of (key long, at long), in order of at within the batch."""
+def tempo_stream(taps: DataFrame, delay: str, key: str = "key", at: str = "at", ident: str = "id", scale: float = 60000.0) -> DataFrame:
+    """(key, taps, total_bpm, last_bpm, resets, at_us, n) of a stream of taps: a key's state whenever the watermark passes taps of its own.
 
-    def run(key_: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        s = state.get if state.exists else (0, 0, 0.0, 0.0, 0)
-        for t in sorted(int(x) for b in batches for x in b[at]):
-            s = step(s, t, scale)
-        state.update(s)
-        yield pd.DataFrame({key: [key_[0]], "taps": [s[0]], "total_bpm": [s[2]], "last_bpm": [s[3]], "resets": [s[4]]})
+    at: a timestamp, of which microseconds count; taps of one moment follow each other by
+    ident.  n grows with every row of a key, so the row with the largest n is the last.
+    """
 
-    from pyspark.sql.streaming.state import GroupStateTimeout
+    def fold(owner: tuple, state: tuple, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
+        *s, n = state
+        for us, _ in rows:
+            s = step(tuple(s), us, scale)
+        n += len(rows)
+        return (*s, n), [(owner[0], s[0], s[2], s[3], s[4], rows[-1][0], n)]
 
-    return taps.groupBy(key).applyInPandasWithState(run, f"{key} long, taps long, total_bpm double, last_bpm double, resets long", STATE, "update", GroupStateTimeout.NoTimeout)
+    kind = taps.schema[key].dataType.simpleString()
+    output = f"`{key}` {kind}, taps long, total_bpm double, last_bpm double, resets long, at_us long, n long"
+    return ordered.folded(taps, key, at, [ident], fold, (0, 0, 0.0, 0.0, 0, 0), f"{STATE}, n long", output, delay)

@@ -1,11 +1,13 @@
 """Folds over events, in batches and in streams, against sequential simulations."""
 
+import datetime
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from cotejo.sources import messages
-from cotejo.streaming import sessions, tempo
+from cotejo.streaming import ordered, sessions, tempo
 
 
 def taps(seed, n):
@@ -82,33 +84,65 @@ def test_images(spark):
     assert {r.image for r in sessions.with_images(rows, images.limit(0)).collect()} == {None}
 
 
-def streamed(spark, tmp_path, schema, batches, make, name):
-    source = tmp_path / "in"
-    source.mkdir()
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(source))
-    for i, batch in enumerate(batches):
-        spark.createDataFrame(batch, schema).coalesce(1).write.json(str(tmp_path / f"b{i}"))
-        part = next((tmp_path / f"b{i}").glob("part*"))
-        part.rename(source / f"{i}.json")
-    q = make(stream).writeStream.format("memory").queryName(name).outputMode("update").option("checkpointLocation", str(tmp_path / "state")).start()
-    q.processAllAvailable()
-    q.stop()
-    return spark.table(name).collect()
-
-
-def test_tempo_stream(spark, tmp_path):
-    times = taps(4, 40)
-    batches = [[(1, t) for t in times[:15]], [(1, t) for t in times[15:]]]
-    rows = streamed(spark, tmp_path, "key long, at long", batches, tempo.tempo_stream, "tempo_out")
-    s = simulated(times)
-    assert (s[0], s[2], s[3], s[4]) in {(r.taps, r.total_bpm, r.last_bpm, r.resets) for r in rows}
-
-
-def test_display_stream(spark, tmp_path):
-    batches = [[(1, i, m) for i, m in enumerate(MESSAGES)][:4], [(1, i, m) for i, m in enumerate(MESSAGES)][4:]]
-    rows = streamed(spark, tmp_path, "key long, at long, text string", batches, sessions.display_stream, "display_out")
-    found = [(r.at, r.sessions) for r in sorted(rows, key=lambda r: r.at)]
-    assert found == [(0, "T"), (3, "T"), (6, "TM"), (7, "TM"), (8, "TM")]
+@pytest.fixture(scope="module")
+def keeping(spark):
+    return ordered.with_rocksdb(spark)
+
+
+def at_second(i):
+    return datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=i)
+
+
+def streamed(spark, tmp_path, schema, arrivals, make):
+    """The rows that a stream writes, each arrival a run of its own that goes on from the checkpoint."""
+    source, out, checkpoint = (str(tmp_path / x) for x in ("in", "out", "checkpoint"))
+    for rows in arrivals:
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
+        stream = make(spark.readStream.schema(schema).parquet(source))
+        run = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out).collect()
+
+
+TAP = "key long, at timestamp, id long"
+
+
+def test_tempo_stream_takes_late_taps_where_they_belong(keeping, tmp_path):
+    seconds = [0, 1, 2, 3, 10, 11, 12, 12, 13, 14, 30, 31, 32, 33, 40, 41, 42]
+    rows = [(1, at_second(x), i) for i, x in enumerate(seconds)]
+    random.Random(3).shuffle(rows)
+    early, late = [r for r in rows if r[2] % 3], [r for r in rows if not r[2] % 3]
+    arrivals = [early, late, [(2, at_second(50), 99), (None, at_second(500), None)]]
+    found = streamed(keeping, tmp_path, TAP, arrivals, lambda s: tempo.tempo_stream(s, "100 seconds", scale=6e7))
+    s = (0, 0, 0.0, 0.0, 0)
+    for x in sorted(seconds):
+        s = tempo.step(s, int(at_second(x).replace(tzinfo=datetime.timezone.utc).timestamp()) * 10**6, 6e7)
+    last = max((r for r in found if r.key == 1), key=lambda r: r.n)
+    assert (last.taps, last.total_bpm, last.last_bpm, last.resets, last.n) == (s[0], s[2], s[3], s[4], len(seconds))
+    assert {r.key for r in found} == {1, 2}
+
+
+def test_display_stream(keeping, tmp_path):
+    rows = [(1, at_second(i), i, m) for i, m in enumerate(MESSAGES)]
+    end = [(None, at_second(900), None, None)]
+    found = streamed(keeping, tmp_path, "key long, at timestamp, id long, text string", [rows[4:] + rows[:2], rows[2:4], end], lambda s: sessions.display_stream(s, "60 seconds"))
+    assert sorted((r.id, r.sessions) for r in found) == [(0, "T"), (3, "T"), (6, "TM"), (7, "TM"), (8, "TM")]
+
+
+def test_rows_behind_the_watermark_are_left_out(keeping, tmp_path):
+    arrivals = [[(1, at_second(0), 1), (1, at_second(100), 2)], [(1, at_second(1), 3)], [(None, at_second(900), None)]]
+    found = streamed(keeping, tmp_path, TAP, arrivals, lambda s: tempo.tempo_stream(s, "10 seconds"))
+    assert max(r.n for r in found) == 2
+
+
+def test_idle_keys_lose_their_state(keeping, tmp_path):
+    def fold(key, state, rows):
+        return (state[0] + len(rows),), [(key[0], state[0] + len(rows))]
+
+    arrivals = [[(1, at_second(0), 1)], [(2, at_second(100), 2)], [(1, at_second(200), 3)], [(None, at_second(900), None)]]
+    for idle, wanted in ((None, 2), (datetime.timedelta(seconds=20), 1)):
+        found = streamed(keeping, tmp_path / str(wanted), TAP, arrivals, lambda s: ordered.folded(s, "key", "at", ["id"], fold, (0,), "n long", "key long, n long", "5 seconds", idle))
+        assert max(r.n for r in found if r.key == 1) == wanted
 
 
 def test_tempo_needs_no_array_of_a_keys_taps(spark):
