@@ -17,6 +17,7 @@ U = np.uint64
 GRAMS, SHAPES = 1 << 13, 1 << 10
 #: After shapes and pairs of shapes: repeated neighbours, and a document's share of distinct words in so many steps.
 STEPS = 24
+STRETCH = 200
 STYLE = 2 * SHAPES + 1 + STEPS
 
 
@@ -52,11 +53,19 @@ def grams(texts: list[str | None]) -> np.ndarray:
     return out
 
 
-def by_pieces(count: Callable, texts, dims: int, size: int = 1 << 20) -> np.ndarray:
-    """count's rows for Arrow texts; one of more than so many bytes is counted in pieces, which bounds memory.
+def pieces(data: np.ndarray, size: int) -> Iterator[pa.Array]:
+    """A text's bytes as texts of about so many bytes, cut before white space; where depends on the text alone."""
+    a = 0
+    while a < len(data):
+        b = len(data) if a + size >= len(data) else shingles.cut_after(data, np.array([len(data)]), a + size)
+        while b < len(data) and data[b] & 0xC0 == 0x80:
+            b += 1
+        yield pa.array([data[a:b].tobytes().decode(errors="replace")])
+        a = b
 
-    Pieces end before white space and depend on the text alone; what stands across two of them is not counted.
-    """
+
+def by_pieces(count: Callable, count_long: Callable, texts, dims: int, size: int = 1 << 20) -> np.ndarray:
+    """count's rows for Arrow texts; one of more than so many bytes goes through count_long in pieces, which bounds memory and gives the same row."""
     data, offsets = shingles.buffers(texts)
     if not len(offsets) - 1 or np.diff(offsets).max() <= size:
         return count(texts)
@@ -65,13 +74,19 @@ def by_pieces(count: Callable, texts, dims: int, size: int = 1 << 20) -> np.ndar
     if len(short):
         out[short] = count(texts.take(pa.array(short)))
     for i in np.flatnonzero(np.diff(offsets) > size):
-        a, end = int(offsets[i]), int(offsets[i + 1])
-        while a < end:
-            b = end if a + size >= end else shingles.cut_after(data, np.array([end]), a + size)
-            while b < end and data[b] & 0xC0 == 0x80:
-                b += 1
-            out[i] += count(pa.array([data[a:b].tobytes().decode(errors="replace")]))[0]
-            a = b
+        out[i] = count_long(pieces(data[offsets[i] : offsets[i + 1]], size))
+    return out
+
+
+def long_grams(parts: Iterator[pa.Array]) -> np.ndarray:
+    """grams of a text in pieces: the last letter of a piece goes before the next one, and its own grams are taken away again."""
+    out, carried = np.zeros(GRAMS, np.int64), ""
+    for part in parts:
+        text = part[0].as_py()
+        out += grams([f"{carried} {text}"])[0] - (grams([carried])[0] if carried else 0)
+        letters = code_points([text])[0]
+        letters = letters[letters != 32]
+        carried = chr(int(letters[-1])) if len(letters) else carried
     return out
 
 
@@ -90,14 +105,13 @@ KINDS = byte_kinds()
 
 def style(texts) -> np.ndarray:
     """Counts of word shapes (runs of one kind of character count once), of pairs of them, and of repetition."""
-    return by_pieces(piece_style, texts, STYLE)
+    return by_pieces(short_style, long_style, texts, STYLE)
 
 
-def piece_style(texts) -> np.ndarray:
+def shapes_of(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of all words of some texts, the number of words before each text, and the words' shapes."""
     data, offsets = shingles.buffers(texts)
-    n = len(offsets) - 1
     hashes, before = shingles.word_hashes(texts)
-    rows = np.repeat(np.arange(n), np.diff(before))
     kinds = KINDS[data]
     turn = np.ones(len(kinds), bool)
     turn[1:] = kinds[1:] != kinds[:-1]
@@ -106,15 +120,33 @@ def piece_style(texts) -> np.ndarray:
     first = offsets[:-1][offsets[:-1] < offsets[1:]]
     starts[first] = kinds[first] != 0
     at = np.flatnonzero(starts)
-    out = np.zeros((n, STYLE), np.int64)
     if not len(at):
-        return out
+        return hashes, before, np.empty(0, np.int64)
     turn[at] = True
     # A shape's hash: each kind times a number for its place among the word's runs.
     run = np.cumsum(turn)
-    place = np.minimum(run - np.repeat(run[at], np.diff(np.append(at, len(data)))) if at[0] == 0 else run - np.repeat(run[np.append(0, at)], np.diff(np.concatenate([[0], at, [len(data)]]))), 15)
+    begins = run[np.append(0, at)] if at[0] else run[at]
+    ends = np.concatenate([[0], at, [len(data)]]) if at[0] else np.append(at, len(data))
+    place = np.minimum(run - np.repeat(begins, np.diff(ends)), 15)
     values = np.where(turn & (kinds != 0), shingles.BYTES[(kinds * 7 + 128) % 256] * shingles.PLACES[place], U(0))
-    shapes = (shingles.mixed(np.add.reduceat(values, at)) % U(SHAPES)).astype(np.int64)
+    return hashes, before, (shingles.mixed(np.add.reduceat(values, at)) % U(SHAPES)).astype(np.int64)
+
+
+def varied(words: np.ndarray) -> float:
+    return len(np.unique(words)) / len(words)
+
+
+def with_variety(row: np.ndarray, n_words: int, shares: list[float]) -> None:
+    """Enters in a row of counts the mean share of distinct words; long texts repeat words anyway, so stretches of STRETCH words are compared."""
+    if n_words:
+        row[2 * SHAPES + 1 + min(STEPS - 1, int(np.mean(shares) * STEPS))] = n_words
+
+
+def short_style(texts) -> np.ndarray:
+    hashes, before, shapes = shapes_of(texts)
+    n = len(before) - 1
+    rows = np.repeat(np.arange(n), np.diff(before))
+    out = np.zeros((n, STYLE), np.int64)
     out[:, :SHAPES] = counted(rows, shapes, n, SHAPES)
     same = rows[1:] == rows[:-1]
     pairs = (shapes[:-1] * 31 + shapes[1:]) % SHAPES
@@ -123,10 +155,27 @@ def piece_style(texts) -> np.ndarray:
     out[:, 2 * SHAPES] = np.bincount(rows[1:][again], minlength=n)
     for i in range(n):
         words = hashes[before[i] : before[i + 1]]
-        if len(words):
-            # Long texts repeat words anyway: compare stretches of 200 words.
-            share = np.mean([len(np.unique(words[a : a + 200])) / len(words[a : a + 200]) for a in range(0, len(words), 200)])
-            out[i, 2 * SHAPES + 1 + min(STEPS - 1, int(share * STEPS))] = len(words)
+        with_variety(out[i], len(words), [varied(words[a : a + STRETCH]) for a in range(0, len(words), STRETCH)])
+    return out
+
+
+def long_style(parts: Iterator[pa.Array]) -> np.ndarray:
+    """style of a text in pieces: the last word of a piece, and the words of a stretch that is not full, go on into the next one."""
+    out = np.zeros(STYLE, np.int64)
+    words, shape = np.empty(0, U), np.empty(0, np.int64)
+    stretch, shares, n_words = np.empty(0, U), [], 0
+    for part in parts:
+        hashes, _, shapes = shapes_of(part)
+        out[:SHAPES] += np.bincount(shapes, minlength=SHAPES)
+        joined, near = np.append(shape, shapes), np.append(words, hashes)
+        out[SHAPES : 2 * SHAPES] += np.bincount((joined[:-1] * 31 + joined[1:]) % SHAPES, minlength=SHAPES)
+        out[2 * SHAPES] += (near[1:] == near[:-1]).sum()
+        words, shape = near[-1:], joined[-1:]
+        stretch, n_words = np.append(stretch, hashes), n_words + len(hashes)
+        full = len(stretch) // STRETCH * STRETCH
+        shares += [varied(stretch[a : a + STRETCH]) for a in range(0, full, STRETCH)]
+        stretch = stretch[full:]
+    with_variety(out, n_words, shares + ([varied(stretch)] if len(stretch) else []))
     return out
 
 
@@ -189,10 +238,14 @@ def dense(rows: list, dims: int) -> np.ndarray:
 
 
 def sampled(docs: DataFrame, key: str, label: str, each: int) -> DataFrame:
-    """A bounded part of docs, chosen by a hash of the key: of each label about ``each`` rows, 1.5 times as many in all at most."""
-    sizes = {r[0]: r[1] for r in docs.groupBy(label).count().collect()}
+    """A bounded part of the distinct rows of docs (key, label), chosen by a hash of the key: of each label about ``each``, 1.5 times as many in all at most.
+
+    A label's keys are counted by a sketch, so repeated rows don't make its share smaller.
+    """
+    sizes = {r[0]: r[1] for r in docs.groupBy(label).agg(F.approx_count_distinct(key)).collect()}
     if not sizes:
         return docs.limit(0)
-    share = F.coalesce(*(F.when(F.col(label) == F.lit(k), F.lit(min(1.0, each / n))) for k, n in sizes.items()))
+    share = F.coalesce(*(F.when(F.col(label) == F.lit(k), F.lit(min(1.0, each / max(1, n)))) for k, n in sizes.items()))
     spot = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30))
-    return docs.withColumn("_spot", spot).where(F.col("_spot") < share * (1 << 30)).orderBy("_spot", key).limit(int(1.5 * each * len(sizes))).drop("_spot")
+    chosen = docs.withColumn("_spot", spot).where(F.col("_spot") < share * (1 << 30)).distinct()
+    return chosen.orderBy("_spot", key, label).limit(int(1.5 * each * len(sizes))).drop("_spot")

@@ -32,13 +32,21 @@ def softmax(x):
     return x / x.sum(-1, keepdims=True)
 
 
-def trained(x, y, n: int):
-    """Weights (features + 1, classes) by follow-the-regularised-leader; the last row is the intercept."""
+def weighed(row, idf):
+    """The places and TF-IDF values of a row of sparse counts, of unit length."""
     import numpy as np
 
-    x = np.hstack([x, np.ones((len(x), 1))])
-    z, g2 = np.zeros((x.shape[1], n)), np.zeros((x.shape[1], n))
-    penalty = np.append(np.full(x.shape[1] - 1, L1), 0)[:, None]
+    at = np.array(row["at"], np.int64)
+    v = np.log1p(np.array(row["n"], float)) * idf[at]
+    return at, v / max(np.sqrt((v * v).sum()), 1e-12)
+
+
+def trained(x: list, y, n: int, dims: int):
+    """Weights (dims + 1, classes) by follow-the-regularised-leader on sparse rows (places, values); the last one is the intercept."""
+    import numpy as np
+
+    z, g2 = np.zeros((dims + 1, n)), np.zeros((dims + 1, n))
+    penalty = np.append(np.full(dims, L1), 0)[:, None]
 
     def weights(at):
         w = -(z[at] - np.sign(z[at]) * penalty[at]) / ((BETA + np.sqrt(g2[at])) / ALPHA + L2)
@@ -47,8 +55,8 @@ def trained(x, y, n: int):
     order = np.random.default_rng(1)
     for _ in range(PASSES):
         for i in order.permutation(len(x)):
-            at = np.flatnonzero(x[i])
-            w, v = weights(at), x[i, at]
+            at, v = np.append(x[i][0], dims), np.append(x[i][1], 1.0)
+            w = weights(at)
             wrong = softmax(v @ w)
             wrong[y[i]] -= 1
             g = v[:, None] * wrong
@@ -68,26 +76,33 @@ def temperature(logits, y) -> float:
 
 
 def fitted(docs: DataFrame, key: str = "doc_id", label: str = "lang", text: str = "text") -> dict:
-    """The model learned from the rows of docs that have a label."""
+    """The model learned from the rows of docs that have a label.
+
+    Of rows that share a key the one with the smallest language and text is learned from, so
+    at most 1.5 * EACH rows of each language come to the driver, as sparse counts.
+    """
     import numpy as np
 
     docs = docs.where(F.col(label).isNotNull()).select(F.col(key).alias("_key"), F.col(label).alias("_label"), F.col(text).alias("_text"))
     df, n = features.frequencies(docs, "_text", gram_counts, features.GRAMS)
     idf = features.inverse(df, n)
     chosen = features.sampled(docs.select("_key", "_label"), "_key", "_label", EACH).select("_key").distinct()
-    rows = features.counted_rows(docs.join(F.broadcast(chosen), "_key", "left_semi"), ["_key", "_label"], "_text", gram_counts)
+    own = docs.join(F.broadcast(chosen), "_key", "left_semi").groupBy("_key").agg(F.min(F.struct("_label", "_text")).alias("_row")).select("_key", "_row.*")
+    rows = features.counted_rows(own, ["_key", "_label"], "_text", gram_counts)
     rows = sorted((r for r in rows if r["at"]), key=lambda r: (str(r["_key"]), r["at"], r["n"]))
     names = sorted({r["_label"] for r in rows})
     if not names:
         return {"names": [], "idf": idf}
-    x, y = features.tf_idf(features.dense(rows, features.GRAMS), idf), np.array([names.index(r["_label"]) for r in rows])
-    held = np.arange(len(y)) % 5 == 4
-    w = trained(x[~held], y[~held], len(names))
-    return {"names": names, "idf": idf, "weights": w, "temperature": temperature(x[held] @ w[:-1] + w[-1], y[held])}
+    x, y = [weighed(r, idf) for r in rows], np.array([names.index(r["_label"]) for r in rows])
+    held = [i for i in range(len(y)) if i % 5 == 4]
+    used = [i for i in range(len(y)) if i % 5 != 4]
+    w = trained([x[i] for i in used], y[used], len(names), features.GRAMS)
+    logits = np.array([v @ w[at] + w[-1] for at, v in (x[i] for i in held)]).reshape(len(held), len(names))
+    return {"names": names, "idf": idf, "weights": w, "temperature": temperature(logits, y[held])}
 
 
 def gram_counts(texts):
-    return features.by_pieces(lambda part: features.grams(part.to_pylist()), texts, features.GRAMS)
+    return features.by_pieces(lambda part: features.grams(part.to_pylist()), features.long_grams, texts, features.GRAMS)
 
 
 def predicted(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:

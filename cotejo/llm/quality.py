@@ -25,7 +25,9 @@ EACH, DIMS, NEIGHBOURS, POWER = 1200, 32, 15, 8
 def fitted(docs: DataFrame, labels: DataFrame, key: str, label: str, text: str) -> dict:
     """The model: idf, directions, and the labelled vectors with their labels.
 
-    docs: all documents, whose terms are counted; labels: (key, label) of those to learn from.
+    docs: all documents, whose terms are counted; labels: (key, label) of those to learn
+    from.  Of rows that share a key the one with the smallest text is learned from, so at most
+    1.5 * EACH rows of each label come to the driver.
     """
     import numpy as np
 
@@ -35,7 +37,9 @@ def fitted(docs: DataFrame, labels: DataFrame, key: str, label: str, text: str)
     share = known.agg(F.avg("_label")).first()[0]
     chosen = features.sampled(known, "_key", "_label", EACH)
     own = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
-    rows = features.counted_rows(own.join(F.broadcast(chosen), "_key"), ["_key", "_label"], "_text", features.style)
+    # A key may stand in any number of rows; one of them is learned from.
+    own = own.join(F.broadcast(chosen), "_key").groupBy("_key", "_label").agg(F.min("_text").alias("_text"))
+    rows = features.counted_rows(own, ["_key", "_label"], "_text", features.style)
     rows.sort(key=lambda r: (r["_key"], r["at"], r["n"]))
     x = features.tf_idf(features.dense(rows, features.STYLE), idf)
     met = np.flatnonzero(x.any(0))

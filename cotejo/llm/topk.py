@@ -29,27 +29,29 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discarded, saved
+from . import integers
+from .common import saved
 
+#: What components are multiplied with.
+SCALE = 256
 #: Rows of a block, queries at a time, pivots, the rows they are chosen from, and candidates evaluated at a time.
 BLOCK, QUERIES, PIVOTS, SAMPLE, STEP = 1024, 16384, 48, 2048, 64
 #: Queries of which the bounds of a block are worked out at a time.
 QUERIES_AT_ONCE = 256
-#: The sum of squares from which on a vector takes no part, as its products could exceed 64 bits.
-LONGEST = float(1 << 62)
+#: The sum of squares from which on a vector is long: it is compared with Python's integers, past the pivots.
+LONG = float(1 << 62)
 
 
 def usable(vectors: DataFrame, key: str, vector: str, is_query: Column) -> DataFrame:
-    """(id, v, q): one row for each id with a vector whose components are all finite, each times 256 and rounded down.
+    """(row, id, x, q, long): every row whose components are all finite, with a number of its own; x: the components as doubles."""
+    x = F.transform(vector, lambda c: c.cast("double"))
+    rows = vectors.where(F.col(key).isNotNull() & integers.finite(F.col(vector))).select(F.col(key).cast("long").alias("id"), x.alias("x"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    size = F.aggregate("x", F.lit(0.0), lambda a, c: a + (c * SCALE) * (c * SCALE))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "id", "x", "q", (size >= LONG).alias("long"))
 
-    Of several vectors of one id the smallest counts, by its first different component; q
-    holds if it does for any row of the id.
-    """
-    v = F.col(vector)
-    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    scaled = F.transform(v, lambda x: F.floor(x.cast("double") * 256).try_cast("long"))
-    rows = vectors.where(F.col(key).isNotNull() & v.isNotNull() & ~bad).select(F.col(key).cast("long").alias("id"), F.when(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x.cast("double") * 256) ** 2) < LONGEST, scaled).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    return rows.where("v is not null").groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
+
+def whole(x: Column) -> Column:
+    return F.transform(x, lambda c: F.floor(c * SCALE).cast("long"))
 
 
 def filled(lists, dims: int, kind: str):
@@ -64,13 +66,13 @@ def filled(lists, dims: int, kind: str):
 
 
 def matrix(rows: list, dims: int):
-    """Ids and a matrix of the vectors of collected rows; shorter ones are filled up with zeros."""
+    """Numbers, ids and a matrix of the vectors of collected rows; shorter ones are filled up with zeros."""
     import numpy as np
 
     out = np.zeros((len(rows), dims), np.int64)
     for i, r in enumerate(rows):
         out[i, : len(r.v)] = r.v
-    return np.array([r.id for r in rows], np.int64), out
+    return np.array([r.row for r in rows], np.int64), np.array([r.id for r in rows], np.int64), out
 
 
 def farthest(x, n: int):
@@ -136,7 +138,7 @@ def placed(rows: DataFrame, pivots, dims: int) -> DataFrame:
                 d = distances(filled(part.column("v"), dims, "f8"), known.value)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(d), pa.list_(pa.float64())), pa.array(d.argmin(1), pa.int32())], names=[*part.schema.names, "d", "near"])
 
-    return rows.select("id", "v", "q").mapInArrow(run, "id long, v array<long>, q boolean, d array<double>, near int")
+    return rows.select("row", "id", "v", "q").mapInArrow(run, "row long, id long, v array<long>, q boolean, d array<double>, near int")
 
 
 def products(x, q):
@@ -198,58 +200,110 @@ def search(best: Best, pivots: Pivots, q_ids, q, q_d, ids, x, d) -> int:
     return taken
 
 
+FOUND = "q_row long, query_id long, vec_id long, score long"
+
+
+def found_batch(rows, ids, best: Best):
+    """What a task has found, as an Arrow batch of FOUND."""
+    import numpy as np
+    import pyarrow as pa
+
+    sizes = [len(x) for x in best.ids]
+    every = lambda parts: pa.array(np.concatenate([*parts, np.empty(0, np.int64)]), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(rows, sizes)), pa.array(np.repeat(ids, sizes)), every(best.ids), every(best.scores)], names=["q_row", "query_id", "vec_id", "score"])
+
+
+def turns_of(queries: DataFrame, n: int) -> list[DataFrame]:
+    """n queries dealt into parts of about QUERIES."""
+    parts = max(1, -(-n // QUERIES))
+    turn = F.pmod(F.xxhash64("row", F.lit("turn")), F.lit(parts))
+    return [queries.where(turn == i) for i in range(parts)] if n else []
+
+
+def compared(queries: DataFrame, candidates: DataFrame, dims: int, k: int) -> DataFrame:
+    """FOUND's rows from comparing some queries with all candidates, in Python's integers; scores beyond 64 bits are left out."""
+    import numpy as np
+    import pyarrow as pa
+
+    rows = queries.select("row", "id", "x").orderBy("row").collect()
+    q = integers.scaled(np.array([[*r.x, *[0.0] * (dims - len(r.x))] for r in rows], float).reshape(len(rows), dims), SCALE).astype(object)
+    q_rows, q_ids = np.array([r.row for r in rows], np.int64), np.array([r.id for r in rows], np.int64)
+    known = candidates.sparkSession.sparkContext.broadcast((q_rows, q_ids, q))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q_rows, q_ids, q = known.value
+        best = Best(len(q), k, np.full(len(q), np.iinfo(np.int64).min))
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                ids = part.column(0).to_numpy(zero_copy_only=False)
+                x = integers.scaled(filled(part.column(1), dims, "f8"), SCALE).astype(object)
+                for i in range(len(q)):
+                    scores = x @ q[i]
+                    fits = np.array([-integers.LONG <= s < integers.LONG for s in scores], bool) & (ids != q_ids[i])
+                    best.add(i, scores[fits].astype(np.int64), ids[fits])
+        yield found_batch(q_rows, q_ids, best)
+
+    return candidates.select("id", "x").mapInArrow(run, FOUND)
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best candidates of each query.
 
-    Queries are the rows for which is_query holds; candidates are all rows but the query's
-    own id.  Components are taken times 256 and rounded down; score is the inner product.
-    Ties go to the smaller id.  Rows without id, without vector, or with a component that is
-    null or not finite take no part, and neither do vectors whose products could exceed 64
-    bits (LONGEST); vectors of unequal length are filled up with zeros.  Rows that share an
-    id are one row (usable).  With fewer than k candidates all are returned; an empty table
+    Queries are the rows for which is_query holds; candidates are all rows but those with the
+    query's own id.  Components are taken times SCALE and rounded down; score is the inner
+    product.  Ties go to the smaller id.  Rows without id, without vector, or with a component
+    that is null or not finite take no part; vectors of unequal length are filled up with
+    zeros.  Rows that share an id are candidates, and queries, of their own.  A product that a
+    long cannot hold is no score.  With fewer than k candidates all are returned; an empty table
     gives an empty result.
+
+    Vectors whose sum of squares reaches LONG take no part in the search by pivots, whose
+    bounds they would blunt: each is compared with every query, and as a query with every row.
     """
     import numpy as np
     import pyarrow as pa
 
     spark = vectors.sparkSession
     rows = saved(usable(vectors, key, vector, is_query))
-    dims, n_queries = rows.agg(F.max(F.size("v")), F.count_if("q")).first()
+    dims, n_queries, n_long, n_long_queries = rows.agg(F.max(F.size("x")), F.count_if(F.col("q") & ~F.col("long")), F.count_if("long"), F.count_if(F.col("q") & F.col("long"))).first()
     dims = dims or 0
-    sample_ids, sample = matrix(rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("id", "v").collect(), dims)
+    short = rows.where(~F.col("long")).select("row", "id", whole(F.col("x")).alias("v"), "q")
+    _, sample_ids, sample = matrix(short.orderBy(F.xxhash64("row"), "row").limit(SAMPLE).collect(), dims)
     pivots = Pivots(farthest(sample.astype("f8"), PIVOTS))
-    table = saved(placed(rows, pivots.points, dims))
+    table = saved(placed(short, pivots.points, dims))
     sizes = {r.near: r["count"] for r in table.groupBy("near").count().collect()}
     parts = F.coalesce(*(F.when(F.col("near") == at, -(-n // BLOCK)) for at, n in sizes.items()), F.lit(1))
-    blocks = saved(table.groupBy("near", F.pmod(F.xxhash64("id"), parts).alias("part")).agg(F.collect_list(F.struct("id", "v", "d")).alias("rows")).select("rows"))
-    discarded(rows)
+    blocks = saved(table.groupBy("near", F.pmod(F.xxhash64("row"), parts).alias("part")).agg(F.collect_list(F.struct("id", "v", "d")).alias("rows")).select("rows"))
 
     def best_of(chosen: DataFrame) -> DataFrame:
-        found = chosen.orderBy("id").collect()
-        q_ids, q = matrix(found, dims)
+        """FOUND's rows from reading the blocks past some queries."""
+        q_rows, q_ids, q = matrix(chosen.orderBy("row").collect(), dims)
         q_d = distances(q.astype("f8"), pivots.points)
         least = np.full(len(q), np.iinfo(np.int64).min)
         for i in range(len(q)):
             scores = products(sample[sample_ids != q_ids[i]], q[i])
             if len(scores) >= k:
                 least[i] = np.partition(scores, -k)[-k]
-        known = spark.sparkContext.broadcast((q_ids, q, q_d, least))
+        known = spark.sparkContext.broadcast((q_rows, q_ids, q, q_d, least))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q_ids, q, q_d, least = known.value
+            q_rows, q_ids, q, q_d, least = known.value
             best = Best(len(q), k, least)
             for batch in batches:
                 for i in range(batch.num_rows):
                     block = batch.column(0)[i].values
                     ids = block.field("id").to_numpy(zero_copy_only=False)
                     search(best, pivots, q_ids, q, q_d, ids, filled(block.field("v"), dims, "i8"), filled(block.field("d"), len(pivots.points), "f8"))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, [len(x) for x in best.ids])), pa.array(np.concatenate([*best.ids, np.empty(0, np.int64)])), pa.array(np.concatenate([*best.scores, np.empty(0, np.int64)]))], names=["query_id", "vec_id", "score"])
-
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        found = blocks.mapInArrow(run, "query_id long, vec_id long, score long")
-        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-    n_parts = max(1, -(-n_queries // QUERIES))
-    turn = F.pmod(F.xxhash64("id", F.lit("turn")), F.lit(n_parts))
-    turns = [best_of(table.where(F.col("q") & (turn == i)).select("id", "v")) for i in range(n_parts)]
-    return turns[0] if n_parts == 1 else reduce(DataFrame.unionAll, map(saved, turns))
+            yield found_batch(q_rows, q_ids, best)
+
+        return blocks.mapInArrow(run, FOUND)
+
+    found = [best_of(turn) for turn in turns_of(table.where("q").select("row", "id", "v"), n_queries)]
+    if n_long:
+        long = rows.where("long")
+        found += [compared(turn, long, dims, k) for turn in turns_of(rows.where("q and not long"), n_queries)]
+        found += [compared(turn, rows, dims, k) for turn in turns_of(long.where("q"), n_long_queries)]
+    every = reduce(DataFrame.unionAll, found if len(found) <= 2 else map(saved, found)) if found else spark.createDataFrame([], FOUND)
+    order = Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id")
+    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

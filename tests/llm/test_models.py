@@ -125,7 +125,8 @@ def test_training_equals_steps_one_by_one():
                         g = rows[i, f] * (p[c] - (y[i] == c))
                         z[f][c] += g - ((g2[f][c] + g * g) ** 0.5 - g2[f][c] ** 0.5) / language_id.ALPHA * w[f, c]
                         g2[f][c] += g * g
-    assert np.allclose(language_id.trained(x, y, n), [[weight(f, c) for c in range(n)] for f in range(5)])
+    sparse = [(np.flatnonzero(row), row[row != 0]) for row in x]
+    assert np.allclose(language_id.trained(sparse, y, n, 4), [[weight(f, c) for c in range(n)] for f in range(5)])
 
 
 def test_predictions_equal_plain_products(spark):
@@ -141,14 +142,39 @@ def test_predictions_equal_plain_products(spark):
         assert x.lang_pred == model["names"][int(p.argmax())] and x.score == pytest.approx(p.max() / p.sum())
 
 
-def test_long_texts_are_counted_in_pieces():
-    """Pieces end between words; only pairs across them are missing."""
-    text = " ".join(["Uno, dos"] * 300)
-    whole, pieces = (features.by_pieces(lambda t: features.piece_style(t), pa.array([text, "a b"]), features.STYLE, size) for size in (1 << 20, 100))
-    assert (whole[1] == pieces[1]).all() and (whole[0, : features.SHAPES] == pieces[0, : features.SHAPES]).all()
-    assert 0 < whole[0, features.SHAPES : 2 * features.SHAPES].sum() - pieces[0, features.SHAPES : 2 * features.SHAPES].sum() < 30
-    accents = features.by_pieces(lambda t: features.grams(t.to_pylist()), pa.array(["é" * 3000]), features.GRAMS, 101)
-    assert accents.sum() > 8000
+@pytest.mark.parametrize("seed", range(4))
+def test_pieces_of_a_text_count_as_the_whole(seed):
+    r = random.Random(seed)
+    words = ["Uno,", "dos", "dos", "ΟΔΟΣ", "İl", "é!!", "12-x", "...", "A", "ﬁn", "😀", "a" * 90]
+    texts = ["".join(r.choice(words) + r.choice([" ", "  ", "\n", "\u00a0", " - ", ". "]) for _ in range(r.choice([3, 150, 1500]))) for _ in range(6)] + ["", "x" * 3000, " " * 3000, None]
+    given = pa.array(texts, pa.string())
+    counts = {
+        "style": lambda size: features.by_pieces(features.short_style, features.long_style, given, features.STYLE, size),
+        "grams": lambda size: features.by_pieces(lambda t: features.grams(t.to_pylist()), features.long_grams, given, features.GRAMS, size),
+    }
+    for count in counts.values():
+        whole = count(1 << 20)
+        assert all((count(size) == whole).all() for size in (7, 64, 1000))
+
+
+def test_a_text_of_megabytes_counts_as_the_whole():
+    r = random.Random(4)
+    text = " ".join(r.choice(["Uno,", "dos", "été", "12", "fin."]) for _ in range(800_000))
+    assert len(text) > 3 << 20
+    assert (features.style(pa.array([text]))[0] == features.short_style(pa.array([text]))[0]).all()
+    assert (language_id.gram_counts(pa.array([text]))[0] == features.grams([text])[0]).all()
+
+
+def test_repeated_keys_are_learned_from_once(spark, monkeypatch):
+    """Of a key that stands in thousands of rows one comes to the driver."""
+    rows = [(1, f"text {i} of many", "x") for i in range(3000)] + [(2, "und ein Haus", "y"), (3, "das haus mit", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    collected = []
+    real = features.counted_rows
+    monkeypatch.setattr(features, "counted_rows", lambda *a: collected.append(real(*a)) or collected[-1])
+    quality.fitted(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"), "doc_id", "quality", "text")
+    language_id.fitted(docs)
+    assert [len(x) for x in collected] == [2, 3]
 
 
 def test_features_do_not_depend_on_slices():

@@ -1,5 +1,6 @@
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -9,13 +10,15 @@ from cotejo.llm import topk
 from cotejo.llm.queries import TOPK_SQL, op6_topk
 
 
-def brute(rows, k):
-    good = {i: [math.floor(256 * x) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+def brute(rows, k, every=5):
+    """Every row is a candidate, but for those with the query's id; products that a long cannot hold are no scores."""
+    good = [(i, [math.floor(Fraction(x) * 256) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in good:
-        if q % 5 == 0:
-            best = sorted((-sum(a * b for a, b in zip(good[q], good[i])), i) for i in good if i != q)[:k]
-            out += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    for i, q in good:
+        if i % every == 0:
+            scores = [(-sum(a * b for a, b in zip(q, v)), j) for j, v in good if j != i]
+            best = sorted(s for s in scores if -(1 << 63) <= -s[0] < 1 << 63)[:k]
+            out += [(i, n, j, -s) for n, (s, j) in enumerate(best, 1)]
     return sorted(out)
 
 
@@ -33,21 +36,27 @@ def test_equals_all_pairs(spark, monkeypatch):
 
 def test_few_and_none(spark):
     vectors = spark.createDataFrame([(0, [1.0]), (5, [2.0])], "vec_id long, embedding array<float>")
-    found = topk.top_k(vectors.union(vectors), F.col("vec_id") % 5 == 0).collect()
+    found = topk.top_k(vectors, F.col("vec_id") % 5 == 0).collect()
     assert sorted((x.query_id, x["rank"], x.vec_id) for x in found) == [(0, 1, 5), (5, 1, 0)]
     assert topk.top_k(vectors.limit(0), F.col("vec_id") % 5 == 0).count() == 0
 
 
-def test_large_numbers_and_shared_ids(spark):
-    """Products beyond 2^53 are exact; vectors too long for 64 bits take no part; of one id's vectors the smallest counts."""
+def check(spark, rows):
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 5 == 0)
+    assert sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in found.collect()) == brute(rows, 5)
+
+
+def test_rows_that_share_an_id_are_all_candidates(spark):
+    check(spark, [(0, [1.0, 5.0]), (7, [5.0, 0.0]), (7, [-5.0, 0.0]), (7, [5.0, 0.0]), (5, [1.0, 1.0]), (5, [2.0, -1.0]), (9, [0.5, 0.0])])
+
+
+def test_large_products_and_long_vectors(spark):
     r = random.Random(2)
-    rows = [(i, [float(r.randrange(1 << 20)) + r.random() for _ in range(3)]) for i in range(40)] + [(50, [1e30, 0.0, 0.0]), (55, [3e9, 0.0, 0.0])]
-    rows += [(60, [2.0, 5.0, 1.0]), (60, [2.0, -5.0, 1.0])]
-    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    found = topk.top_k(vectors, F.col("vec_id") % 5 == 0).collect()
-    left = [(i, v) for i, v in rows if i < 45] + [(60, [2.0, -5.0, 1.0]), (55, [3e9, 0.0, 0.0])]
-    left = [(i, v) for i, v in left if sum((256 * x) ** 2 for x in v) < 2.0**62]
-    assert sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in found) == brute(left, 5)
+    rows = [(i, [float(r.randrange(1 << 20)) + r.random() for _ in range(3)]) for i in range(40)]
+    check(spark, rows)
+    check(spark, [*rows, (41, [9e6, 0.0, 0.0]), (50, [1e30, 0.0, 0.0]), (55, [3e9, 0.0, 1.0]), (60, [0.0, 1.0, 0.0]), (65, [1e-3, -1e300, 2.0]), (1, [1e12, 0.5, 0.0])])
+    check(spark, [(0, [1.0, 0.0]), (9, [9e6, 0.0]), (2, [1.0, 1.0])])
+    check(spark, [(i, [1e20 * i, 1.0]) for i in range(12)])
 
 
 @pytest.mark.parametrize("kind", ["random", "flat", "equal", "one"])
