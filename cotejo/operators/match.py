@@ -14,6 +14,8 @@ from ..functions import text as T
 
 #: Characters of a key of titles with too few words, and how many titles' keys go into a query as they are.
 GRAM, FEW = 3, 1000
+#: Places, and lengths, that count as one in the key of a near match.
+BAND = 8
 
 
 def interior(c: Column) -> Column:
@@ -121,16 +123,29 @@ def piece_keys(c: Column) -> Column:
     return F.concat(F.array(F.struct(F.concat(F.lit("="), c).alias("key"), F.lit(0).alias("at"))), runs(3), runs(4), runs(5))
 
 
-def fuzzy(names: DataFrame, titles: DataFrame, name: str, title: str) -> DataFrame:
-    """(name, title, distance) of distinct names and titles whose edit distance is less than a fifth of the title's length.
+def bands(low: Column, high: Column) -> Column:
+    """The numbers of all bands of BAND places from low to high."""
+    return F.explode(F.sequence(F.floor(F.greatest(low, F.lit(0)) / BAND), F.floor(high / BAND)))
 
-    Empty titles and nulls match nothing.  Lengths and edits count code points.
+
+def fuzzy(names: DataFrame, titles: DataFrame, name: str, title: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """(within, name, title, distance) of distinct names and titles whose edit distance is less than a fifth of the title's length.
+
+    within: columns of both sides that must be equal as well.  Empty titles and nulls match
+    nothing.  Lengths and edits count code points.
+
+    Names and titles meet where they share a piece, its band of places and the name's band
+    of lengths, so a piece that very many names have is spread over the bands that a title
+    can reach, and few pairs fail the tests behind the join.
     """
-    n = names.select(F.col(name).alias("name")).where("name is not null").distinct().select("name", F.inline(piece_keys(F.col("name")))).withColumnRenamed("at", "_at")
-    t = titles.select(F.col(title).alias("title")).where("title <> ''").distinct().select("title", F.inline(pieces(F.col("title"))))
-    near = (5 * F.abs(F.length("name") - F.length("title")) < F.length("title")) & (F.abs(F.col("at") - F.col("_at")) <= edits(F.col("title")))
-    pairs = n.join(t, "key").where(near).select("name", "title").distinct()
-    return pairs.withColumn("distance", F.call_function("levenshtein", "name", "title", edits(F.col("title")))).where("distance >= 0")
+    n = names.select(*within, F.col(name).alias("name")).where("name is not null").distinct().select(*within, "name", F.inline(piece_keys(F.col("name")))).withColumnRenamed("at", "_at")
+    n = n.withColumns({"_place": F.floor(F.col("_at") / BAND), "_length": F.floor(F.length("name") / BAND)})
+    t = titles.select(*within, F.col(title).alias("title")).where("title <> ''").distinct().select(*within, "title", F.inline(pieces(F.col("title"))))
+    d, size = edits(F.col("title")), F.length("title")
+    t = t.withColumn("_place", bands(F.col("at") - d, F.col("at") + d)).withColumn("_length", bands(size - d, size + d))
+    near = (F.abs(F.length("name") - size) <= d) & (F.abs(F.col("at") - F.col("_at")) <= d)
+    pairs = n.join(t, [*within, "key", "_place", "_length"]).where(near).select(*within, "name", "title").distinct()
+    return pairs.withColumn("distance", F.call_function("levenshtein", "name", "title", d)).where("distance >= 0")
 
 
 def first_owner(pairs: DataFrame, owned: list[str], rank: list[Column], owner: list[str]) -> DataFrame:
@@ -193,17 +208,19 @@ def fuzzy_title(c: Column) -> Column:
 
 
 def catalogue_fuzzy(tracks: DataFrame, files: DataFrame) -> DataFrame:
-    """(id, file, distance) for tracks and files that have no exact match: file titles near a track's name.
+    """(orchestra, id, file, distance) for tracks and files that have no exact match: titles of an orchestra's files near the names of its tracks.
 
-    files: file and title.  The singer's name is taken out of the file's title first.
+    tracks: orchestra, id, name, vocal; files: orchestra, file, title.  The singer's name is
+    taken out of the file's title first.
     """
-    t = tracks.select("id", fuzzy_title(F.col("name")).alias("n"), fuzzy_title(F.col("vocal")).alias("v"))
-    singers = t.select("v").distinct()
-    cleaned = files.select("file", fuzzy_title(F.col("title")).alias("ft"))
-    held = containment(cleaned.select("ft").distinct(), singers.where("v <> ''"), "ft", "v").select("ft", "v", T.removed(F.col("ft"), F.col("v")).alias("bare"))
-    near = fuzzy(held.select("bare").union(cleaned.select("ft")), t, "bare", "n").withColumnRenamed("name", "near_name").withColumnRenamed("title", "n")
-    bare = cleaned.join(held, "ft").join(near, F.col("bare") == F.col("near_name")).join(t, ["n", "v"]).select("id", "file", "distance")
-    plain = cleaned.join(near, F.col("ft") == F.col("near_name")).join(t, "n").join(held.select(F.col("ft").alias("h"), F.col("v").alias("hv")), (F.col("ft") == F.col("h")) & (F.col("v") == F.col("hv")), "left_anti").select("id", "file", "distance")
+    own = ("orchestra",)
+    t = tracks.select(*own, "id", fuzzy_title(F.col("name")).alias("n"), fuzzy_title(F.col("vocal")).alias("v"))
+    singers = t.select(*own, "v").where("v <> ''").distinct()
+    cleaned = files.select(*own, "file", fuzzy_title(F.col("title")).alias("ft"))
+    held = containment(cleaned.select(*own, "ft").distinct(), singers, "ft", "v", own).select(*own, "ft", "v", T.removed(F.col("ft"), F.col("v")).alias("bare"))
+    near = fuzzy(held.select(*own, "bare").union(cleaned.select(*own, "ft")), t, "bare", "n", own).withColumnRenamed("title", "n")
+    bare = cleaned.join(held, [*own, "ft"]).join(near.withColumnRenamed("name", "bare"), [*own, "bare"]).join(t, [*own, "n", "v"]).select(*own, "id", "file", "distance")
+    plain = cleaned.join(near.withColumnRenamed("name", "ft"), [*own, "ft"]).join(t, [*own, "n"]).join(held, [*own, "ft", "v"], "left_anti").select(*own, "id", "file", "distance")
     return bare.union(plain).distinct()
 
 

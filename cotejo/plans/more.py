@@ -9,6 +9,7 @@ from ..functions import numbers
 from ..functions import text as T
 from ..operators import match, order, rollup
 from ..sources import library, messages, sinks
+from ..stores import stored
 from ..streaming import sessions
 from .registry import CODE, DECORATED, FILE, decorated_part, event_code, part_file, query, quoted, read, sql_capitalised, sql_deaccent, sql_digits, sql_simplify
 
@@ -336,16 +337,16 @@ f AS MATERIALIZED (SELECT *, lower({sql_simplify('file')}) AS whole, replace(low
 pairs AS (SELECT t.*, file FROM t JOIN (SELECT orchestra, file, cut FROM f) f USING (orchestra)
   WHERE (contains(cut, n1) OR (n2 <> '' AND contains(cut, n2))) AND contains(cut, v) AND contains(cut, year) AND (NOT contains(n1, g) OR len(string_split(cut, g)) > 2)),
 owned AS MATERIALIZED (SELECT orchestra, file, id FROM (SELECT *, row_number() OVER (PARTITION BY orchestra, file ORDER BY length(name) DESC, length(vocal) DESC, id) AS k FROM pairs) WHERE k = 1),
-lt AS MATERIALIZED (SELECT DISTINCT {sql_bare('name')} AS n, {sql_bare('vocal')} AS v FROM t WHERE id NOT IN (SELECT id FROM owned)),
-lf AS MATERIALIZED (SELECT DISTINCT {sql_bare('title')} AS ft FROM f WHERE (orchestra, file) NOT IN (SELECT (orchestra, file) FROM owned)),
-d AS MATERIALIZED (SELECT n, v, ft, levenshtein(CASE WHEN v <> '' AND contains(ft, v) THEN replace(ft, v, '') ELSE ft END, n) AS distance FROM lt JOIN lf ON abs(length(n) - length(CASE WHEN v <> '' AND contains(ft, v) THEN replace(ft, v, '') ELSE ft END)) * 5 < length(n)),
-near AS (SELECT DISTINCT t.id, f.file, CAST(d.distance AS INTEGER) AS distance FROM d JOIN t ON {sql_bare('t.name')} = d.n AND {sql_bare('t.vocal')} = d.v AND t.id NOT IN (SELECT id FROM owned) JOIN f ON {sql_bare('f.title')} = d.ft AND (f.orchestra, f.file) NOT IN (SELECT (orchestra, file) FROM owned) WHERE 5 * d.distance < length(d.n))"""
+lt AS MATERIALIZED (SELECT DISTINCT orchestra, {sql_bare('name')} AS n, {sql_bare('vocal')} AS v FROM t WHERE id NOT IN (SELECT id FROM owned)),
+lf AS MATERIALIZED (SELECT DISTINCT orchestra, {sql_bare('title')} AS ft FROM f WHERE (orchestra, file) NOT IN (SELECT (orchestra, file) FROM owned)),
+d AS MATERIALIZED (SELECT lt.orchestra, n, v, ft, levenshtein(CASE WHEN v <> '' AND contains(ft, v) THEN replace(ft, v, '') ELSE ft END, n) AS distance FROM lt JOIN lf ON lt.orchestra = lf.orchestra AND abs(length(n) - length(CASE WHEN v <> '' AND contains(ft, v) THEN replace(ft, v, '') ELSE ft END)) * 5 < length(n)),
+near AS (SELECT DISTINCT t.id, f.file, CAST(d.distance AS INTEGER) AS distance FROM d JOIN t ON d.orchestra = t.orchestra AND {sql_bare('t.name')} = d.n AND {sql_bare('t.vocal')} = d.v AND t.id NOT IN (SELECT id FROM owned) JOIN f ON f.orchestra = d.orchestra AND {sql_bare('f.title')} = d.ft AND (f.orchestra, f.file) NOT IN (SELECT (orchestra, file) FROM owned) WHERE 5 * d.distance < length(d.n))"""
 
 
 def cascade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Tracks, files, exactly matched files, and near pairs of what is left."""
+    """Tracks, files, exactly matched files (worked out once and stored), and near pairs of what is left."""
     tracks, files = library_tracks(spark, sf_dir), library_files(spark, sf_dir)
-    owned = match.catalogue_assigned(tracks, files)
+    owned = stored(match.catalogue_assigned(tracks, files))
     return tracks, files, owned, match.catalogue_fuzzy(match.unmatched(tracks, owned, "id"), files.join(owned, ["orchestra", "file"], "left_anti"))
 
 
@@ -357,7 +358,7 @@ def catalogue_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{CASCADE} SELECT id, file, distance FROM near")
 def catalogue_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cascade(spark, sf_dir)[3]
+    return cascade(spark, sf_dir)[3].select("id", "file", "distance")
 
 
 @query(
@@ -367,7 +368,7 @@ SELECT files - taken - fuzzy AS unmatched, fuzzy, matched, total, CAST(100 * (ma
 def catalogue_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The summary of the whole cascade, near files counted."""
     tracks, files, owned, near = cascade(spark, sf_dir)
-    return rollup.coverage(tracks, files, owned, near, "id", "file")
+    return rollup.coverage(tracks, files, owned, stored(near), "id", "file")
 
 
 @query("SELECT p_partkey, (CASE WHEN p_size % 3 = 0 THEN 'NOGENREINFILENAME ' ELSE '' END) || (CASE WHEN p_size % 2 = 0 THEN 'FUZZY ' ELSE '' END) AS status FROM part WHERE p_size % 3 > 0 OR p_size % 2 = 0")

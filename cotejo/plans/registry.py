@@ -250,8 +250,7 @@ def segment_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = read(spark, sf_dir, "part").select("p_brand", "p_name").distinct()
     names = parts.select("p_brand", F.concat_ws(" - ", "p_brand", "p_name").alias("name")).distinct()
     segments = names.select("p_brand", "name", F.explode(T.segments(F.col("name"))).alias("part"))
-    close = match.fuzzy(segments, parts, "part", "p_name").select(F.col("name").alias("part"), "title", "distance")
-    near = segments.join(close, "part").join(parts.withColumnRenamed("p_name", "title"), ["p_brand", "title"])
+    near = segments.join(match.fuzzy(segments, parts, "part", "p_name", ("p_brand",)).withColumnRenamed("name", "part"), ["p_brand", "part"])
     return near.groupBy("name", "title").agg(F.min("distance").alias("distance"))
 
 

@@ -67,6 +67,9 @@ def test_fuzzy_equals_all_pairs(spark):
     found = match.fuzzy(spark.createDataFrame([(n,) for n in [*names, None, ""]], "n string"), spark.createDataFrame([(t,) for t in [*titles, None, ""]], "t string"), "n", "t").collect()
     wanted = {(n, t, d) for n in [*names, ""] for t in titles if 5 * (d := distance(n, t)) < len(t)}
     assert {(x.name, x.title, x.distance) for x in found} == wanted and len(found) == len(wanted)
+    halves = [spark.createDataFrame([(len(x) % 2, x) for x in some], "half int, n string") for some in (names, titles)]
+    within = match.fuzzy(*halves, "n", "n", ("half",)).collect()
+    assert sorted((x.name, x.title, x.distance) for x in within) == sorted((n, t, d) for n, t, d in wanted if n in names and len(n) % 2 == len(t) % 2)
 
 
 def test_first_owner_equals_handing_out_in_order(spark):
@@ -108,10 +111,10 @@ def test_catalogue_join_of_all_orchestras(spark):
 
 
 def test_catalogue_fuzzy_takes_the_singer_out(spark):
-    tracks = spark.createDataFrame([(1, "Nostalgias (a)", "Charlo"), (2, "Malena", "")], "id int, name string, vocal string")
-    files = spark.createDataFrame([("f1", "Nostalgia Charlo (1936)"), ("f2", "Melena"), ("f3", "Milonga")], "file string, title string")
-    found = {(r.id, r.file, r.distance) for r in match.catalogue_fuzzy(tracks, files).collect()}
-    assert found == {(1, "f1", 1), (2, "f2", 1)}
+    tracks = spark.createDataFrame([("A", 1, "Nostalgias (a)", "Charlo"), ("A", 2, "Malena", ""), ("B", 3, "Melenas", "")], "orchestra string, id int, name string, vocal string")
+    files = spark.createDataFrame([("A", "f1", "Nostalgia Charlo (1936)"), ("A", "f2", "Melena"), ("A", "f3", "Milonga"), ("B", "f4", "Nostalgia Charlo")], "orchestra string, file string, title string")
+    found = {tuple(r) for r in match.catalogue_fuzzy(tracks, files).collect()}
+    assert found == {("A", 1, "f1", 1), ("A", 2, "f2", 1)}
 
 
 def test_overlapping_occurrences(spark):
