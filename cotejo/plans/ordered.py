@@ -8,6 +8,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import diff
 from ..functions import text as T
 from ..operators import order
 from ..stores import scratch
@@ -43,6 +44,24 @@ def events_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.with_previous(rows, ["event_id", "user_id"], F.col("ts"), F.col("event_id")).drop("ts")
 
 
+#: Characters at the beginning of a text that its versions share.
+BEGINNING = 40
+
+
+@query()
+def document_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against the one before it that begins alike, word by word over the whole texts.
+
+    Only ids and beginnings are put in order; texts meet in joins on the id.
+    """
+    docs = read(spark, sf_dir, "documents").where("text is not null")
+    beginnings = docs.select("doc_id", F.lower(F.substring("text", 1, BEGINNING)).alias("beginning"))
+    pairs = order.with_previous(beginnings, ["doc_id", "beginning"], F.col("beginning"), F.col("doc_id")).where("beginning = before_beginning")
+    texts = docs.select("doc_id", "text")
+    both = pairs.select("doc_id", "before_doc_id").join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("before_doc_id"), F.col("text").alias("old")), "before_doc_id")
+    return both.select("doc_id", "before_doc_id", diff.word_diff(F.col("old"), F.col("text")).alias("marked"))
+
+
 # Streams.  Events come up to a day late and in several arrivals, each a run that goes on from the checkpoint of the one before.
 
 DELAY, ARRIVALS = timedelta(days=1), 3

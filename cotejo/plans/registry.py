@@ -498,7 +498,7 @@ def instant_tempo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").groupBy("user_id").agg(F.max(numbers.instant_bpm((1 + F.col("event_id") % 997).cast("double"))).alias("fastest"))
 
 
-# Without SQL: differences of words.
+# Differences of words.
 
 
 @query()
@@ -509,9 +509,16 @@ def word_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", diff.word_diff(F.col("p_name"), F.col("after")).alias("marked"))
 
 
-@query()
+@query(
+    """WITH p AS (SELECT p_partkey, list_transform(string_split(p_name, ''), lambda c: ascii(c)) AS a, list_transform(string_split(p_type, ''), lambda c: ascii(c)) AS b FROM part)
+SELECT p_partkey, CAST(list_reduce(
+  list_prepend(list_transform(range(0, len(b) + 1), lambda j: CAST(0 AS INTEGER)), list_transform(a, lambda x: [x])),
+  lambda above, x: list_prepend(CAST(0 AS INTEGER), list_transform(range(1, len(b) + 1), lambda j: list_max(
+    list_transform(range(1, j + 1), lambda k: CASE WHEN b[k] = x[1] THEN greatest(above[k + 1], above[k] + 1) ELSE above[k + 1] END))))
+)[len(b) + 1] AS INTEGER) AS shared FROM p"""
+)
 def lcs_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many words each part's name has in common, in order, with its type's."""
+    """How many characters each part's name has in common, in order, with its type's."""
     return read(spark, sf_dir, "part").select("p_partkey", diff.lcs_length(F.split("p_name", ""), F.split("p_type", "")).alias("shared"))
 
 

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from cotejo.functions import diff
 from cotejo.operators import order
 from cotejo.plans import ordered
 
@@ -43,3 +44,19 @@ def test_previous(spark):
 def test_no_task_has_all_rows(spark, small, name):
     plan = getattr(ordered, name)(spark, small)._jdf.queryExecution().toString()
     assert "SinglePartition" not in plan
+
+
+def test_documents_are_compared_whole(spark, small):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    begins, wanted = {}, {}
+    for i in sorted(texts):
+        key = texts[i][:40].lower()
+        if key in begins:
+            wanted[i] = begins[key]
+        begins[key] = i
+    found = ordered.document_diffs(spark, small).collect()
+    assert {r.doc_id: r.before_doc_id for r in found} == wanted and len(wanted) > 5
+    for r in found:
+        assert r.marked == diff.marked(diff.differences(texts[r.before_doc_id], texts[r.doc_id]), diff.MARKS)
+        parts = diff.differences(texts[r.before_doc_id], texts[r.doc_id])
+        assert "".join(t for k, t in parts if k != "+") == texts[r.before_doc_id] and "".join(t for k, t in parts if k != "-") == texts[r.doc_id]

@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import tracemalloc
 import socket
 import threading
 import time
@@ -317,3 +318,44 @@ def test_word_diff(spark):
     assert spark.range(1).select(diff.list_diff(words(), words("x", "y")).alias("x")).first().x == "{+xy+}"
     length = spark.range(1).select(diff.lcs_length(F.array(*map(F.lit, "abcbdab")), F.array(*map(F.lit, "bdcaba"))).alias("n")).first().n
     assert length == 4
+
+
+def whole_table(a, b):
+    """The alignment read off the whole table of common lengths."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    out, i, j = [], len(a), len(b)
+    while i or j:
+        if i and j and a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+            out.append(("=", i, j))
+        elif i and (not j or best[i - 1][j] >= best[i][j - 1]):
+            i -= 1
+            out.append(("-", i, -1))
+        else:
+            j -= 1
+            out.append(("+", -1, j))
+    return out[::-1]
+
+
+def test_alignment_equals_that_of_the_whole_table():
+    r = random.Random(12)
+    for _ in range(1500):
+        a, b = ([r.choice("abcd") for _ in range(r.choice([0, 1, 3, 9, 30]))] for _ in range(2))
+        assert diff.aligned(a, b) == whole_table(a, b)
+        assert diff.common(a, b) == sum(k == "=" for k, *_ in whole_table(a, b))
+
+
+def test_long_texts_need_little_memory():
+    """Two texts of 20,000 words: the whole table would have 400 million cells."""
+    r = random.Random(13)
+    old = [f"w{r.randrange(3000)}" for _ in range(20_000)]
+    new = [w if r.random() < 0.9 else f"n{r.randrange(99)}" for w in old if r.random() < 0.95]
+    tracemalloc.start()
+    steps = diff.aligned(old, new)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(k == "=" for k, *_ in steps) >= 16_000 and most < 60 << 20
+    assert [old[i] for k, i, _ in steps if k != "+"] == old and [new[j] for k, _, j in steps if k != "-"] == new
