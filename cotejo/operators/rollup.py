@@ -158,6 +158,17 @@ def report_line(prefix: str) -> Column:
     return F.concat(F.concat_ws(", ", written, part("skipped", " skipped (already tagged)"), part("unchanged", " unchanged"), failed), F.lit("."))
 
 
+def summary_line(prefix: str) -> Column:
+    """A job's row (report and without) as a sentence; a job that has nothing to write says why."""
+    several = F.col("without").cast("string")
+    part = lambda c, text: F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(text)))
+    failed = F.when(F.col("failed") > 0, F.concat(F.col("failed").cast("string"), F.lit(" failed — "), F.col("first_failure")))
+    written = F.concat(F.lit(f"{prefix}: "), F.col("written").cast("string"), F.lit(" written"))
+    done = F.concat_ws(", ", written, part("skipped", " skipped (already tagged)"), part("unchanged", " unchanged"), part("without", " titles have no Spanish lyrics"), failed)
+    none = F.when(F.col("without") > 0, F.concat(F.lit(f"{prefix}: nothing to write — "), several, F.lit(" titles have no Spanish lyrics."))).otherwise(f"{prefix}: nothing to write.")
+    return F.when(F.col("written") + F.col("skipped") + F.col("unchanged") + F.col("failed") > 0, F.concat(done, F.lit("."))).otherwise(none)
+
+
 def targets(jobs: DataFrame, files: str = "targets") -> DataFrame:
     """One row: how many files all jobs together write, and null or 0 of them done as a fraction of 1."""
     return jobs.agg(F.coalesce(F.sum(F.size(files)), F.lit(0)).cast("long").alias("targets"))

@@ -523,4 +523,4 @@ def lcs_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 from . import files as _files  # noqa: E402, F401  (these register their queries here)
-from . import more, ordered  # noqa: E402, F401
+from . import jobs, more, ordered  # noqa: E402, F401
