@@ -1,4 +1,4 @@
-"""Queries over files that are made of the tables first: catalogues, translations, listings and audio containers."""
+"""Queries over files that are made of the tables first: catalogues, translations and listings."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import rollup
-from ..sources import catalogue, library, sinks, tags
+from ..sources import catalogue, library, sinks
 from ..stores import scratch
 from .registry import query, read
 
@@ -64,80 +64,3 @@ def library_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = F.regexp_extract("relative_path", "^name=([^/]*)/", 1)
     index = library.indexed(spark, path).where("length > 0").withColumn("folder", folder).where("folder <> ''")
     return index.groupBy("folder").agg(F.count("*").cast("int").alias("files"), F.first(T.simplify_full(F.col("folder"))).alias("normalized"))
-
-
-TABLES = "('benchmark'), ('conversations'), ('customer'), ('documents'), ('embeddings'), ('events'), ('labels'), ('lineitem'), ('nation'), ('orders'), ('pages'), ('part'), ('region'), ('supplier')"
-
-
-@query(f"SELECT name || '.parquet' AS file, CAST(NULL AS VARCHAR) AS format, name AS base, (SELECT count(*) FROM (VALUES {TABLES}) AS u(name)) AS skipped FROM (VALUES {TABLES}) AS t(name)")
-def file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The files of the tables' folder, none of which tags can be written to."""
-    index = library.indexed(spark, sf_dir)
-    names = index.where(F.endswith("file", F.lit(".parquet"))).select("file", "format", F.col("base_name").alias("base"))
-    return names.join(F.broadcast(library.skipped(index.where(F.endswith("file", F.lit(".parquet"))))))
-
-
-# Audio files: the smallest containers of each format, around a few bytes of sound.
-
-SOUND = bytes(i % 251 for i in range(64))
-
-
-def containers() -> dict[str, bytes]:
-    table = tags.atom(b"stco", bytes(4) + (1).to_bytes(4) + (24).to_bytes(4))
-    for kind in (b"stbl", b"minf", b"mdia", b"trak", b"moov"):
-        table = tags.atom(kind, table)
-    blocks = bytes((128,)) + (34).to_bytes(3) + bytes(34)
-    sound = b"AIFFSSND" + len(SOUND).to_bytes(4) + SOUND
-    return {"mp3": SOUND, "flac": b"fLaC" + blocks + SOUND, "m4a": tags.atom(b"ftyp", b"M4A " + bytes(4)) + tags.atom(b"mdat", SOUND) + table, "aiff": b"FORM" + len(sound).to_bytes(4) + sound}
-
-
-def audio_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, content): a file for each part, of the four formats and one that is none of them."""
-    made = {**containers(), "txt": b"text"}
-    kind = F.get(F.array(*map(F.lit, made)), (F.col("p_partkey") % 5).cast("int"))
-    content = F.get(F.array(*(F.unhex(F.lit(x.hex())) for x in made.values())), (F.col("p_partkey") % 5).cast("int"))
-    return read(spark, sf_dir, "part").select(F.concat(F.col("p_partkey").cast("string"), F.lit("."), kind).alias("path"), content.alias("content"), "p_partkey", "p_name", "p_type", "p_brand")
-
-
-KIND = "CASE p_partkey % 5 WHEN 0 THEN 'mp3' WHEN 1 THEN 'flac' WHEN 2 THEN 'm4a' WHEN 3 THEN 'aiff' ELSE 'txt' END"
-WRITTEN = "CASE WHEN p_partkey % 5 = 4 THEN 'unsupported' ELSE 'written' END"
-
-
-@query(
-    f"""SELECT CAST(p_partkey AS VARCHAR) || '.' || {KIND} AS path, {WRITTEN} AS outcome, CASE WHEN p_partkey % 5 < 4 THEN p_name END AS title, CASE WHEN p_partkey % 5 < 4 THEN p_brand || ' - ' || p_type END AS artist, CASE WHEN p_partkey % 5 < 4 THEN 'Vals' END AS genre,
-CASE WHEN p_partkey % 5 < 4 THEN 'Writer' END AS composer FROM part"""
-)
-def tags_written(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Standard tags put into files of four formats and read again."""
-    files = audio_files(spark, sf_dir)
-    fields = rollup.tag_fields(
-        files.select("path", F.col("p_name").alias("name"), F.lit("").alias("remark"), F.col("p_brand").alias("orchestra"), F.col("p_type").alias("vocal"), F.lit("vals").alias("genre"), F.lit("1955").alias("year"), F.lit("Writer").alias("composer"), *(F.lit("").alias(c) for c in ("author", "label", "old_album"))), "path",
-    )
-    out = tags.with_tags(files.select("path", "content"), fields)
-    return out.join(tags.tags(out.select("path", "content").where("content is not null")), "path", "left").select("path", "outcome", "title", "artist", "genre", "composer")
-
-
-@query(f"SELECT CAST(p_partkey AS VARCHAR) || '.' || {KIND} AS path, {WRITTEN} AS outcome, CASE WHEN p_partkey % 5 < 4 THEN '118' END AS bpm, CASE p_partkey % 5 WHEN 0 THEN 'x.mp3' WHEN 1 THEN 'x.mp3' WHEN 3 THEN 'x.mp3' END AS original_name FROM part")
-def tempo_and_names_written(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tempo and original names; the second run finds the names there and leaves them, and MP4 files have no place for them."""
-    files = audio_files(spark, sf_dir).select("path", "content")
-    fields = lambda bpm, name: files.select("path", F.inline(F.array(*(F.struct(F.lit(f).alias("field"), F.lit(v).alias("value")) for f, v in (("bpm", bpm), ("original_name", name))))))
-    first = tags.with_tags(files, fields("90", "x.mp3"))
-    both = files.join(first.select("path", F.col("content").alias("new")), "path").select("path", F.coalesce("new", "content").alias("content"))
-    out = tags.with_tags(both, fields("118", "y.mp3"))
-    return out.join(tags.tags(out.select("path", "content").where("content is not null")), "path", "left").select("path", "outcome", "bpm", "original_name")
-
-
-@query(
-    f"""SELECT CAST(p_partkey AS VARCHAR) || '.' || {KIND} AS path, {WRITTEN} AS outcome, CASE p_partkey % 5 WHEN 4 THEN 'unsupported' WHEN 1 THEN 'unchanged' ELSE 'skipped' END AS again,
-CASE WHEN p_partkey % 5 IN (1, 2) THEN p_name || chr(13) || chr(10) || chr(13) || chr(10) || p_type WHEN p_partkey % 5 < 4 THEN p_name || chr(13) || chr(10) || chr(13) || chr(10) || p_type || chr(13) || chr(10) || chr(13) || chr(10) END AS lyrics FROM part"""
-)
-def lyrics_written(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Translations put into files of four formats, put in again without overwriting, and read."""
-    files = audio_files(spark, sf_dir)
-    words = files.select("path", F.lit(0).alias("pos"), F.col("p_name").alias("name"), F.lit("spa").alias("language"), F.concat(F.lit("\n "), F.col("p_type"), F.lit(" \n")).alias("contents"))
-    files = files.select("path", "content")
-    out = tags.with_lyrics(files, words)
-    both = files.join(out.select("path", F.col("content").alias("new"), "outcome"), "path").select("path", F.coalesce("new", "content").alias("content"), "outcome")
-    again = tags.with_lyrics(both.select("path", "content"), words).select("path", F.col("outcome").alias("again"))
-    return both.select("path", "outcome").join(again, "path").join(tags.tags(both.select("path", "content")).select("path", "lyrics"), "path", "left")

@@ -246,14 +246,6 @@ def name_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("n_regionkey").agg(sinks.name_lines(F.col("n_name"), F.col("n_nationkey")).alias("lines"))
 
 
-SETTINGS = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in sinks.SETTINGS.items())
-
-
-@query(f"SELECT * FROM (VALUES {SETTINGS}) AS t(name, value)")
-def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(name, sinks.setting(spark, name)) for name in sinks.SETTINGS], "name string, value string")
-
-
 @query("SELECT p_partkey AS path FROM part WHERE p_size = 1 UNION ALL SELECT p_partkey FROM part WHERE p_size BETWEEN 2 AND 9 AND p_partkey % 2 = 0")
 def admitted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dropped files that can be read, behind those that were there."""

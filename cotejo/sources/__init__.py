@@ -1 +1 @@
-"""Readers of catalogues, translations, file listings and tags, and writers of exports and tags."""
+"""Readers of catalogues, translations and file listings, a library's index, and exports."""

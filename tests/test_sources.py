@@ -1,153 +1,18 @@
-"""Readers, tag containers and exports, on files made here."""
+"""Readers, exports and differences, on files made here."""
 
 import datetime
 import random
-import tracemalloc
 import socket
 import threading
 import time
+import tracemalloc
 from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
 
 from cotejo.functions import diff
-from cotejo.sources import catalogue, library, messages, sinks, tags
-
-AUDIO = bytes(i % 251 for i in range(2048))
-
-
-def frame(name, payload):
-    return name.encode() + len(payload).to_bytes(4) + b"\0\0" + payload
-
-
-def id3(*frames, version=3, flags=0, padding=64):
-    body = b"".join(frames) + bytes(padding)
-    if flags & 0x80:
-        body = body.replace(b"\xff", b"\xff\0")
-    return b"ID3" + bytes((version, 0, flags)) + bytes((len(body) >> s) & 127 for s in (21, 14, 7, 0)) + body
-
-
-def flac(*fields, comment=True):
-    info = bytes(34)
-    made = [f.encode() for f in fields]
-    vorbis = (4).to_bytes(4, "little") + b"test" + len(made).to_bytes(4, "little") + b"".join(len(m).to_bytes(4, "little") + m for m in made)
-    blocks = [(0, info)] + ([(4, vorbis)] if comment else [])
-    return b"fLaC" + b"".join(bytes(((i + 1 == len(blocks)) << 7 | k,)) + len(p).to_bytes(3) + p for i, (k, p) in enumerate(blocks)) + AUDIO
-
-
-def mp4(first=False):
-    def moov(offset):
-        stco = tags.atom(b"stco", bytes(4) + (1).to_bytes(4) + offset.to_bytes(4))
-        return tags.atom(b"moov", tags.atom(b"trak", tags.atom(b"mdia", tags.atom(b"minf", tags.atom(b"stbl", stco)))))
-
-    ftyp, mdat = tags.atom(b"ftyp", b"M4A \0\0\0\0"), tags.atom(b"mdat", AUDIO)
-    if first:
-        return ftyp + mdat + moov(len(ftyp) + 8)
-    return ftyp + moov(len(ftyp) + len(moov(0)) + 8) + mdat
-
-
-def aiff(odd=False):
-    comm = b"COMM" + (18).to_bytes(4) + bytes(18)
-    extra = b"NAME" + (3).to_bytes(4) + b"abc\0" if odd else b""
-    body = b"AIFF" + comm + extra + b"SSND" + len(AUDIO).to_bytes(4) + AUDIO
-    return b"FORM" + len(body).to_bytes(4) + body
-
-
-WORDS = [("Poema", "spa", "fué un\nsueño"), ("Poem", "eng", "it was\r\na dream")]
-
-
-def put(spark, data, name, overwrite=False, words=WORDS):
-    files = spark.createDataFrame([(name, bytearray(data))], "path string, content binary")
-    lyrics = spark.createDataFrame([(name, i, *w) for i, w in enumerate(words)], "path string, pos int, name string, language string, contents string")
-    return tags.with_lyrics(files, lyrics, overwrite).first()
-
-
-def read(spark, data, name):
-    return tags.tags(spark.createDataFrame([(name, bytearray(data))], "path string, content binary")).first()
-
-
-FILES = {
-    "a.mp3": id3(frame("TIT2", b"\0Malena"), frame("TBPM", b"\0" + b"123")) + AUDIO,
-    "b.mp3": AUDIO,
-    "c.flac": flac("TITLE=Malena", "BPM=123"),
-    "d.flac": flac(comment=False),
-    "e.m4a": mp4(),
-    "f.mp4": mp4(first=True),
-    "g.aiff": aiff(),
-    "h.aif": aiff(odd=True),
-}
-
-
-@pytest.mark.parametrize("name", FILES)
-def test_lyrics_round_trip(spark, name):
-    out = put(spark, FILES[name], name)
-    assert out.outcome == "written"
-    data = bytes(out.content)
-    assert AUDIO in data
-    back = read(spark, data, name)
-    assert back.error is None and "sueño" in (back.lyrics or "")
-    if FILES[name][:3] == b"ID3" or name == "c.flac":
-        assert (back.title, back.bpm) == ("Malena", "123")
-    again = put(spark, data, name)
-    assert again.outcome == ("unchanged" if name.endswith("flac") else "skipped")
-    twice = put(spark, data, name, overwrite=True)
-    assert twice.outcome == "unchanged"
-
-
-@pytest.mark.parametrize("name", ["e.m4a", "f.mp4"])
-def test_mp4_offsets_point_at_the_audio(spark, name):
-    for text in ("short", "long " * 500, "x"):
-        data = bytes(put(spark, FILES[name], name, words=[("n", "spa", text)]).content)
-        body = next(b for _, _, k, _, b, _ in tags.flat_atoms(data) if k == b"stco")
-        at = int.from_bytes(data[body + 8 : body + 12])
-        assert data[at : at + len(AUDIO)] == AUDIO
-
-
-def test_old_and_unsynchronised_frames():
-    old = b"ID3\x02\0\0" + bytes((0, 0, 0, 20)) + b"TT2" + (6).to_bytes(3) + b"\0Abcde" + bytes(8)
-    assert tags.fields_of(old, "mp3")["title"] == "Abcde"
-    wide = id3(frame("TIT2", b"\x01\xff\xfeA\0"), flags=0x80)
-    assert tags.fields_of(wide, "mp3")["title"] == "A"
-    with pytest.raises(ValueError):
-        tags.id3_frames(b"ID3\x05\0\0\0\0\0\0")
-
-
-def test_what_cannot_be_parsed_is_reported(spark):
-    assert read(spark, b"nothing", "x.flac").error
-    assert put(spark, b"nothing", "x.flac").outcome == "failed"
-    assert put(spark, b"nothing", "x.txt").outcome == "unsupported"
-    assert put(spark, FILES["c.flac"], "c.flac", words=[]).outcome == "unchanged"
-
-
-FIELDS = {"title": "Niño", "artist": "Orq - Ana", "genre": "Vals", "date": "1955-06-30", "composer": "C", "original_album": "Old", "original_name": "x.mp3", "bpm": "118"}
-
-
-@pytest.mark.parametrize("name", FILES)
-def test_standard_tags_round_trip(spark, name):
-    def put_fields(data, fields):
-        files = spark.createDataFrame([(name, bytearray(data))], "path string, content binary")
-        return tags.with_tags(files, spark.createDataFrame([(name, f, v) for f, v in fields.items()], "path string, field string, value string")).first()
-
-    out = put_fields(FILES[name], FIELDS)
-    data = bytes(out.content)
-    assert out.outcome == "written" and AUDIO in data
-    back = read(spark, data, name)
-    assert (back.title, back.artist, back.genre, back.composer, back.bpm) == ("Niño", "Orq - Ana", "Vals", "C", "118")
-    assert put_fields(data, FIELDS).outcome == "unchanged"
-    # What is written once stays; the rest is written anew, and lyrics are not touched.
-    sung = bytes(put(spark, data, name).content)
-    changed = bytes(put_fields(sung, FIELDS | {"title": "Otro", "original_name": "y.mp3"}).content)
-    last = read(spark, changed, name)
-    assert last.title == "Otro" and "sueño" in last.lyrics and last.original_name in (None, "x.mp3")
-    assert (last.original_name is None) == (name[-3:] in ("m4a", "mp4"))
-
-
-def test_standard_tags_of_odd_files(spark):
-    files = spark.createDataFrame([("a.flac", bytearray(b"nothing")), ("b.txt", bytearray(b"")), ("c.mp3", bytearray(AUDIO))], "path string, content binary")
-    fields = spark.createDataFrame([("a.flac", "title", "T"), ("b.txt", "title", "T"), ("c.mp3", "title", None)], "path string, field string, value string")
-    assert {r.path: r.outcome for r in tags.with_tags(files, fields).collect()} == {"a.flac": "failed", "b.txt": "unsupported", "c.mp3": "unchanged"}
-
+from cotejo.sources import catalogue, library, messages, sinks
 
 CATALOGUE = """<discography orchestra="Orq &amp; Co" source="made">
 <track name="Uno | Otro" vocal="Ana" year="1956--1958" genre="Arr. en Vals" composer="C" author="A" label="L" duration="2:59" popularity="7"/>
