@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import diff
 from ..functions import text as T
 from ..operators import order
+from ..sources import sinks
 from ..stores import scratch
 from ..streaming import ordered, sessions, tempo
 from .registry import PAIRS, SQL, TAPS, event_code, passage_pairs, query, read, sql_digits
@@ -105,3 +106,16 @@ def tempo_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def history_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What genre_history gives, from a stream whose events come out of order."""
     return streamed(spark, sf_dir, lambda s: sessions.history_stream(s, "1 day", "user_id", "ts", "event_id", "code"))
+
+
+@query(SQL["current_results"])
+def newest_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What current_results gives, from a stored table that a stream of results fills in any order, one batch of it twice."""
+    events = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", (F.col("event_id") % 5).alias("generation"))
+    source, checkpoint, out = (scratch(spark) for _ in range(3))
+    for i in range(ARRIVALS):
+        part = events.where(F.pmod(F.xxhash64("event_id"), F.lit(ARRIVALS)) == i)
+        part.write.mode("append").parquet(source)
+        sinks.keep_results(spark.readStream.schema(events.schema).parquet(source), out, checkpoint).awaitTermination()
+    sinks.keep_batch(part, ARRIVALS - 1, out)
+    return sinks.newest_results(spark, out, "user_id", "generation").select("event_id", "user_id", "event_type")

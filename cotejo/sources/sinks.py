@@ -147,3 +147,21 @@ def send_batches(stream: DataFrame, send, checkpoint: str):
             files.create(mark, True).close()
 
     return stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(each).start()
+
+
+def keep_batch(batch: DataFrame, batch_id: int, path: str) -> None:
+    """Stores a batch of results below path, under its number: a batch that is replayed takes its own place again."""
+    batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
+
+
+def keep_results(stream: DataFrame, path: str, checkpoint: str):
+    """A streaming query that stores all results as they come, whatever the order of their generations; it ends with the files there are."""
+    query = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    return query.foreachBatch(lambda batch, batch_id: keep_batch(batch, batch_id, path)).start()
+
+
+def newest_results(spark: SparkSession, path: str, key: str, generation: str) -> DataFrame:
+    """The stored results of each key's newest generation; older ones that came in later change nothing."""
+    rows = spark.read.parquet(path).drop("batch")
+    newest = rows.groupBy(F.col(key).alias("_key")).agg(F.max(generation).alias("_newest"))
+    return rows.join(newest, F.col(key).eqNullSafe(F.col("_key")) & (F.col(generation) == F.col("_newest"))).drop("_key", "_newest")

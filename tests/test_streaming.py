@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cotejo.sources import messages
+from cotejo.sources import messages, sinks
 from cotejo.streaming import ordered, sessions, tempo
 
 
@@ -155,3 +155,12 @@ def test_tempo_needs_no_array_of_a_keys_taps(spark):
         k = i % 3 % 2
         wanted[k] = tempo.step(wanted.get(k, (0, 0, 0.0, 0.0, 0)), i * 300 + i % 7, 60000.0)
     assert {r.k: (r.taps, r.total_bpm, r.last_bpm, r.resets) for r in found.collect()} == {k: (s[0], *s[2:]) for k, s in wanted.items()}
+
+
+def test_older_generations_and_replays_change_nothing(spark, tmp_path):
+    path = str(tmp_path / "results")
+    batches = [[(1, 2, "a"), (2, 1, "b")], [(1, 1, "old"), (2, 3, "c"), (2, 3, "d")], [(1, 2, "e"), (None, 1, "f")]]
+    for n in (0, 1, 2, 1, 0):
+        sinks.keep_batch(spark.createDataFrame(batches[n], "key long, generation int, value string"), n, path)
+    found = sinks.newest_results(spark, path, "key", "generation").collect()
+    assert sorted((r.key or 0, r.value) for r in found) == [(0, "f"), (1, "a"), (1, "e"), (2, "c"), (2, "d")]
