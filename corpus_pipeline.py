@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cotejo.llm import bpe, decontaminate, near_dedup, quality, repeats
-from cotejo.llm.common import saved, table
+from cotejo.llm.common import discarded, saved, table
 from cotejo.llm.queries import tokenizer
 
 #: Documents with a lower quality score go; near duplicates have this similarity in percent at least.
@@ -74,8 +74,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir))
+    for n, (_, stage) in enumerate(STAGES):
+        kept = saved(stage(spark, docs, sf_dir))
+        if n:
+            discarded(docs)
+        docs = kept
     return docs
 
 
