@@ -63,6 +63,15 @@ def document_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "before_doc_id", diff.word_diff(F.col("old"), F.col("text")).alias("marked"))
 
 
+@query(SQL["genre_history"].replace("FROM events", "FROM (SELECT * REPLACE (CASE WHEN event_id % 2 = 0 THEN 0 ELSE user_id END AS user_id) FROM events)"))
+def history_in_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What genre_history gives where one user has half of all events."""
+    hot = F.when(F.col("event_id") % 2 == 0, 0).otherwise(F.col("user_id")).alias("user_id")
+    events = read(spark, sf_dir, "events").select(hot, "event_id", "ts", "event_type")
+    rows = sessions.histories_in_ranges(events, "user_id", ["ts", "event_id"], event_code())
+    return rows.where("code <> ''").select("user_id", "event_id", sessions.shown(F.col("history")).alias("sessions"))
+
+
 # Streams.  Events come up to a day late and in several arrivals, each a run that goes on from the checkpoint of the one before.
 
 DELAY, ARRIVALS = timedelta(days=1), 3

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import order as ranges
 from . import ordered
 
 #: Codes that a history holds at most, bytes of a message that are remembered, and sessions that are shown.
@@ -37,6 +38,38 @@ def histories(events: DataFrame, key: str, order: list[str], code: Column) -> Da
     return kept.withColumn("history", F.when(n < HISTORY, F.concat(F.array(F.lit("")), codes)).otherwise(codes)).drop("_before")
 
 
+def histories_in_ranges(events: DataFrame, key: str, order: list[str], code: Column) -> DataFrame:
+    """What ``histories`` gives, for keys that may have any share of all events.
+
+    Events are dealt into ranges by key and order, so a hot key's lie in many tasks.  What a
+    range must know of those before it is the last event's key and code, and the last codes
+    of the key that goes on into it: HISTORY of them at most, one row for each range.
+    """
+    coded = events.withColumn("code", code)
+    columns = [F.col(key), *map(F.col, order)]
+    before = ranges.with_previous(coded, [key, "code"], *columns)
+    same = F.col(key).eqNullSafe(F.col(f"before_{key}"))
+    kept = before.where((F.col("code") != "") | F.coalesce(same & (F.col("before_code") != ""), F.lit(False))).drop(f"before_{key}", "before_code")
+    dealt = ranges.ranged(kept, *columns)
+    ends = dealt.groupBy("_range").agg(F.min_by(key, "_at").alias("first"), F.max_by(key, "_at").alias("last")).select("_range", "first", "last")
+    newest = Window.partitionBy("_range").orderBy(F.desc("_at"))
+    tails = dealt.withColumn("_newest", F.row_number().over(newest)).where(F.col("_newest") <= HISTORY).groupBy("_range").agg(F.sort_array(F.collect_list(F.struct("_at", F.col(key).alias("key"), "code"))).alias("tail"))
+    carried, codes, owner = {}, [], None
+    for r in sorted(ends.join(tails, "_range").collect()):
+        carried[r["_range"]] = codes if codes and r["first"] == owner else None
+        own = [x["code"] for x in r["tail"] if x["key"] == r["last"]]
+        codes = ((codes if r["first"] == r["last"] == owner else []) + own)[-HISTORY:]
+        owner = r["last"]
+    told = ranges.per_range(dealt, carried, "_carried array<string>")
+    firsts = F.broadcast(ends.select("_range", F.col("first").alias("_first")))
+    rows = dealt.join(told, "_range").join(firsts, "_range")
+    local = F.collect_list("code").over(Window.partitionBy("_range", key).orderBy("_at").rowsBetween(-(HISTORY - 1), 0))
+    goes_on = F.col("_carried").isNotNull() & F.col(key).eqNullSafe(F.col("_first"))
+    every = F.concat(F.when(goes_on, F.col("_carried")).otherwise(F.array().cast("array<string>")), local)
+    short = F.when(F.size(every) < HISTORY, F.concat(F.array(F.lit("")), every)).otherwise(F.slice(every, -HISTORY, HISTORY))
+    return rows.withColumn("history", short).drop("_range", "_at", "_carried", "_first")
+
+
 def session_starts(history: Column) -> Column:
     """The first code behind each break, oldest first; '' behind a break at the end."""
     after = F.transform(history, lambda x, i: F.when(x == "", F.coalesce(F.get(history, i + 1), F.lit(""))))

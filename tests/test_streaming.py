@@ -164,3 +164,21 @@ def test_older_generations_and_replays_change_nothing(spark, tmp_path):
         sinks.keep_batch(spark.createDataFrame(batches[n], "key long, generation int, value string"), n, path)
     found = sinks.newest_results(spark, path, "key", "generation").collect()
     assert sorted((r.key or 0, r.value) for r in found) == [(0, "f"), (1, "a"), (1, "e"), (2, "c"), (2, "d")]
+
+
+@pytest.mark.parametrize("n_keys", [1, 3, 200])
+def test_histories_in_ranges_equal_those_of_whole_keys(spark, n_keys):
+    """Ranges cut a key's events anywhere; a hot key has most of them."""
+    r = random.Random(n_keys)
+    rows = [(0 if r.random() < 0.6 else r.randrange(n_keys), i, r.choice(["T", "V", "M", "", ""])) for i in range(1500)]
+    table = spark.createDataFrame(rows, "key long, i int, c string").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        found = sessions.histories_in_ranges(table, "key", ["i"], F.col("c")).select("key", "i", "code", "history").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    wanted = sessions.histories(table, "key", ["i"], F.col("c")).select("key", "i", "code", "history").collect()
+    assert sorted(found) == sorted(wanted)
+    assert sessions.histories_in_ranges(table.limit(0), "key", ["i"], F.col("c")).count() == 0
