@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import rollup
 from ..sources import catalogue, library, sinks
 from ..stores import scratch
 from .registry import query, read
