@@ -263,6 +263,15 @@ def natural_key(c: Column) -> Column:
     return F.array_join(padded, "")
 
 
+#: Letters as most languages order them, accents after letters, in any case; the other has letters alike whatever their accents.
+BY_LOCALE, UNACCENTED = "UNICODE_CI", "UNICODE_CI_AI"
+
+
+def natural_order(c: Column, collation: str = BY_LOCALE) -> Column:
+    """What names are ordered by for a reader: their natural key under a locale's collation, so that accented letters stand with plain ones."""
+    return F.collate(natural_key(c), collation)
+
+
 def transcoded(c: Column, charset: str) -> Column:
     """Text as bytes of another character set."""
     return F.encode(c, charset)

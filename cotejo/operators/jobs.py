@@ -58,7 +58,7 @@ def written(documents: DataFrame, files: DataFrame, translations: DataFrame, tag
     """
     aims = targets(listed(documents), files, **how).join(contents(translations, wanted), "doc", "left")
     rows = outcomes(aims.where("value is not null").join(tags, "path", "left"), overwrite)
-    order = F.struct("doc", F.col("distance").isNotNull().alias("near"), "distance", T.natural_key(F.col("name")).alias("key"), "path")
+    order = F.struct("doc", F.col("distance").isNotNull().alias("near"), "distance", T.natural_order(F.col("name")).alias("key"), "path")
     report = rollup.write_report(rows.select("outcome", F.lit(None).cast("string").alias("message"), order.alias("pos")))
     totals = aims.agg(F.countDistinct("doc").alias("jobs"), F.count("*").alias("targets"), F.countDistinct(F.when(F.col("value").isNull(), F.col("doc"))).alias("without"))
     # Both sides are one row.

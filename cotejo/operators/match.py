@@ -252,8 +252,8 @@ def tiered(names: DataFrame, titles: DataFrame, always: bool = False, allow_fuzz
 
 
 def rank(path: Column) -> list[Column]:
-    """What matches are ordered by when they are shown: literal ones first, then by distance, then by natural path order."""
-    return [F.col("distance").isNotNull(), F.col("distance"), T.natural_key(path), path]
+    """What matches are ordered by when they are shown: literal ones first, then by distance, then by natural path order in a locale."""
+    return [F.col("distance").isNotNull(), F.col("distance"), T.natural_order(path), path]
 
 
 def ranked(matches: DataFrame, path: str = "name") -> DataFrame:

@@ -34,13 +34,19 @@ def popularity_shown(c: Column) -> Column:
     return F.when(F.length(shown) >= 2, shown).otherwise(F.lpad(shown, 2, " "))
 
 
-def any_column_has(columns: Iterable[str], part: str) -> Column:
-    """Whether any column holds a text, in any case."""
-    return reduce(lambda a, b: a | b, [F.coalesce(F.contains(F.lower(F.col(c).cast("string")), F.lit(part.lower())), F.lit(False)) for c in columns])
+def any_column_has(columns: Iterable[str], part: str, collation: str | None = None) -> Column:
+    """Whether any column holds a text, in any case or as a collation has it; null holds nothing."""
+    return reduce(lambda a, b: a | b, [F.coalesce(holds(F.col(c).cast("string"), part, collation), F.lit(False)) for c in columns])
 
 
-def holds(c: Column, part: str) -> Column:
-    """Whether a name or path has a part, in any case."""
+def holds(c: Column, part: str, collation: str | None = None) -> Column:
+    """Whether a name or path has a part, in any case.
+
+    Under a collation letters are alike as it has them: with UNICODE_CI composed and
+    decomposed accents are one, with UNICODE_CI_AI accents make no difference.
+    """
+    if collation:
+        return F.contains(F.collate(c, collation), F.collate(F.lit(part), collation))
     return F.contains(F.lower(c), F.lit(part.lower()))
 
 

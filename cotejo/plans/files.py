@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..operators import order, rollup
 from ..sources import catalogue, library, sinks
-from ..stores import scratch
+from ..stores import scratch, stored
 from .registry import query, read
 
 def attribute(name: str, value: Column) -> Column:
@@ -58,8 +60,29 @@ def library_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder for each region with one file, as a library: folders, how many files, and the folders' names in their normal form."""
     path = scratch(spark)
     read(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.col("r_name").alias("text")).repartition(1).write.partitionBy("name").text(path)
-    from ..functions import text as T
-
     folder = F.regexp_extract("relative_path", "^name=([^/]*)/", 1)
     index = library.indexed(spark, path).where("length > 0").withColumn("folder", folder).where("folder <> ''")
     return index.groupBy("folder").agg(F.count("*").cast("int").alias("files"), F.first(T.simplify_full(F.col("folder"))).alias("normalized"))
+
+
+#: Parts whose names are the content of one file.
+NAMES = 50
+
+
+@query(
+    f"""SELECT 'Partes ' || n || CASE WHEN n % 2 = 0 THEN '.xml' ELSE '.XML' END AS file, row_number() OVER (ORDER BY n) AS place, content
+FROM (SELECT p_partkey // {NAMES} AS n, string_agg(p_name, chr(10) ORDER BY p_partkey) AS content FROM part GROUP BY n)"""
+)
+def replaced_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of parts' names, put in the place of shorter ones, as the folder lists them: by name, with 9 before 10, and without what is no XML."""
+    folder = scratch(spark)
+    n = F.floor(F.col("p_partkey") / NAMES).alias("n")
+    groups = read(spark, sf_dir, "part").groupBy(n).agg(F.array_join(rollup.in_order(F.col("p_name"), F.col("p_partkey")), "\n").alias("content"))
+    name = F.concat(F.lit("Partes "), F.col("n").cast("string"), F.when(F.col("n") % 2 == 0, ".xml").otherwise(".XML"))
+    files = groups.select(F.concat(F.lit(f"{folder}/"), name).alias("path"), F.col("content"))
+    files.select("content").write.text(folder)
+    for content in (F.substring("content", 1, 5), F.col("content")):
+        stored(sinks.replace_files(files.select("path", F.encode(content, "UTF-8").alias("content"))))
+    found = library.lyrics_files(spark, folder).select("file", "path")
+    texts = spark.read.format("binaryFile").load(folder).select("path", F.decode("content", "UTF-8").alias("content"))
+    return order.placed(found, T.natural_order(F.col("file")), F.col("file")).join(texts, "path").select("file", "place", "content")

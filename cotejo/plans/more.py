@@ -11,7 +11,7 @@ from ..operators import match, order, rollup
 from ..sources import library, messages, sinks
 from ..stores import stored
 from ..streaming import sessions
-from .registry import CODE, DECORATED, FILE, decorated_part, event_code, part_file, query, quoted, read, sql_capitalised, sql_deaccent, sql_digits, sql_simplify
+from .registry import CODE, DECORATED, FILE, PAIRS, decorated_part, event_code, part_file, passage_pairs, query, quoted, read, sql_capitalised, sql_deaccent, sql_digits, sql_simplify
 
 # Display and filters.
 
@@ -32,6 +32,18 @@ def list_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(rollup.holds(F.col("file"), "BRAND#1"))
 
 
+@query(
+    """SELECT doc_id, contains(lower(text), 'ère') AS as_written, contains(lower(coalesce(source, '')), 'c1') AS source_has
+FROM documents WHERE contains(lower(strip_accents(text)), 'ere') OR contains(lower(strip_accents(lang)), 'ere') OR contains(lower(strip_accents(source)), 'ere')"""
+)
+def accent_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold some letters in any case and with any accents, and whether in any case they hold them with these."""
+    rows = read(spark, sf_dir, "documents").where(rollup.any_column_has(["text", "lang", "source"], "ERE", T.UNACCENTED))
+    return rows.select(
+        "doc_id", rollup.holds(F.col("text"), "ÈRE", T.BY_LOCALE).alias("as_written"), rollup.any_column_has(["source"], "C1", T.BY_LOCALE).alias("source_has")
+    )
+
+
 @query("SELECT conv_id, turn FROM conversations WHERE turn % 3 = 2 OR role = 'user'")
 def language_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every third turn names no language, which counts as the wanted one."""
@@ -240,6 +252,19 @@ def lyrics_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.pages(rows).select(F.col("file").alias("conv_id"), "html")
 
 
+@query(
+    f"""{PAIRS}, titles AS (SELECT doc_id, text, split_part(text, '.', 1) AS title FROM documents WHERE doc_id IN (SELECT doc_id FROM pairs))
+SELECT doc_id, '<h3>' || title || '</h3><p>' || replace(replace(text, chr(10) || chr(10), '</p><p>'), chr(10), '<br/>') || '</p>' AS html
+FROM titles QUALIFY row_number() OVER (PARTITION BY title ORDER BY doc_id) = 1"""
+)
+def matched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage as pages below their first sentence; of those that begin alike the first."""
+    matched = passage_pairs(spark, sf_dir).select("doc_id").distinct()
+    rows = read(spark, sf_dir, "documents").join(matched, "doc_id", "left_semi")
+    title = F.substring_index("text", ".", 1).alias("name")
+    return sinks.pages(rows.select(F.col("doc_id").alias("file"), F.lit(0).alias("pos"), title, F.col("text").alias("contents"))).withColumnRenamed("file", "doc_id")
+
+
 @query("SELECT n_regionkey, CASE WHEN count(*) > 1 THEN string_agg(n_name || chr(10), '' ORDER BY n_nationkey) ELSE min(n_name) END AS lines FROM nation WHERE n_regionkey > 0 OR n_nationkey = 0 GROUP BY n_regionkey")
 def name_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "nation").where("n_regionkey > 0 or n_nationkey = 0")
@@ -275,9 +300,27 @@ def message_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "artist", "display", T.message_genre(F.col("text")).alias("genre"))
 
 
+def sql_framed(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN 'FFFFFFFF' ELSE printf('%08X', 2 * length({x})) || array_to_string(list_transform(string_split({x}, ''), lambda c: printf('%04X', unicode(c))), '') END"
+
+
+IMAGE = "CASE WHEN event_type <> 'purchase' THEN event_type || '.jpg' END"
+
+
+@query(f"SELECT event_id, {sql_framed('text')} || {sql_framed('image')} AS frame, text, image FROM (SELECT event_id, {MESSAGE} AS text, {IMAGE} AS image FROM events)")
+def framed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages with the names of their images, which some have not, as they are sent and as they are read."""
+    image = F.when(F.col("event_type") != "purchase", F.concat("event_type", F.lit(".jpg")))
+    events = read(spark, sf_dir, "events").select("event_id", "event_type")
+    rows = message_rows(spark, sf_dir).join(events, "event_id").select("event_id", messages.framed(F.col("text"), image).alias("frame"))
+    return rows.select("event_id", F.hex("frame").alias("frame"), *(c.alias(n) for n, c in messages.unframed(F.col("frame"), ["text", "image"]).items()))
+
+
 @query("SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN 'Artist ' || event_type || '.jpg' ELSE 'default.jpg' END AS image FROM events")
 def artist_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    images = spark.createDataFrame([("Artist click.jpg",), ("Artist view.jpg",), ("default.jpg",)], "file string")
+    """There are images of some kinds of events, and one for all others."""
+    kinds = read(spark, sf_dir, "events").select("event_type").where("event_type in ('click', 'view')").distinct()
+    images = kinds.select(F.concat(F.lit("Artist "), "event_type", F.lit(".jpg")).alias("file")).union(spark.range(1).select(F.lit("default.jpg")))
     return sessions.with_images(messages.parsed(message_rows(spark, sf_dir)), images).select("event_id", "image")
 
 

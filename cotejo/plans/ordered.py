@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import diff
 from ..functions import text as T
 from ..operators import order
-from ..sources import sinks
-from ..stores import scratch
+from ..sources import messages, sinks
+from ..stores import deleted, scratch
 from ..streaming import ordered, sessions, tempo
+from .more import MESSAGE, message_rows
 from .registry import PAIRS, SQL, TAPS, event_code, passage_pairs, query, read, sql_digits
 
 # One order over all rows.
@@ -38,6 +39,16 @@ def natural_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("l_orderkey", "l_linenumber", "place")
 
 
+KEY = f"array_to_string(list_transform(regexp_extract_all(lower(text), '[0-9]+|[^0-9]+'), lambda t: CASE WHEN regexp_matches(t, '^[0-9]') THEN {sql_digits('t')} ELSE t END), '')"
+
+
+@query(f"SELECT conv_id, turn, row_number() OVER (ORDER BY k COLLATE fr, conv_id, turn) AS place FROM (SELECT *, {KEY} AS k FROM conversations)")
+def locale_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every turn among all by its text, in natural order as a locale has it: accented letters stand with plain ones."""
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return order.placed(rows, T.natural_order(F.col("text")), F.col("conv_id"), F.col("turn")).select("conv_id", "turn", "place")
+
+
 @query("SELECT event_id, user_id, lag(event_id) OVER (ORDER BY ts, event_id) AS before_event_id, lag(user_id) OVER (ORDER BY ts, event_id) AS before_user_id FROM events")
 def events_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every event the one before it, whoever's that was."""
@@ -128,3 +139,30 @@ def newest_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         sinks.keep_results(spark.readStream.schema(events.schema).parquet(source), out, checkpoint).awaitTermination()
     sinks.keep_batch(part, ARRIVALS - 1, out)
     return sinks.newest_results(spark, out, "user_id", "generation").select("event_id", "user_id", "event_type")
+
+
+@query(f"SELECT event_id, {MESSAGE} AS text FROM events WHERE contains({MESSAGE}, '|')")
+def sent_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valid messages as they came in at the other end of a stream that sends them framed; its last batch is replayed after a restart."""
+    rows = message_rows(spark, sf_dir).select("event_id", "text")
+    source, checkpoint, out = (scratch(spark) for _ in range(3))
+
+    def send(batch: DataFrame, batch_id: int) -> None:
+        framed = messages.framed(F.col("event_id").cast("string"), F.col("text"))
+        sessions.valid(batch).select(framed.alias("frame")).write.mode("append").parquet(out)
+
+    def run() -> None:
+        stream = sinks.send_batches(spark.readStream.schema(rows.schema).parquet(source), send, checkpoint)
+        try:
+            stream.processAllAvailable()
+        finally:
+            stream.stop()
+
+    for i in range(ARRIVALS):
+        rows.where(F.pmod(F.xxhash64("event_id"), F.lit(ARRIVALS)) == i).write.mode("append").parquet(source)
+        run()
+    # As after a run that ended before its last batch was committed.
+    deleted(spark, f"{checkpoint}/commits/{ARRIVALS - 1}")
+    run()
+    texts = messages.unframed(F.col("frame"), ["id", "text"])
+    return spark.read.schema("frame binary").parquet(out).select(texts["id"].cast("long").alias("event_id"), texts["text"].alias("text"))

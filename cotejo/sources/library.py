@@ -32,7 +32,7 @@ def indexed(spark: SparkSession, root: str) -> DataFrame:
 
 def taggable(index: DataFrame) -> DataFrame:
     """The library's files that tags can be written to, in natural order of their paths."""
-    return index.where("format is not null").orderBy(T.natural_key(F.col("relative_path")), "relative_path")
+    return index.where("format is not null").orderBy(T.natural_order(F.col("relative_path")), "relative_path")
 
 
 def skipped(index: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def skipped(index: DataFrame) -> DataFrame:
 def lyrics_files(spark: SparkSession, root: str) -> DataFrame:
     """The XML files of one folder in natural order."""
     rows = listing(spark, root, recursive=False).where(F.rlike("file", F.lit(r"(?i)\.xml$")))
-    return rows.orderBy(T.natural_key(F.col("file")), "file")
+    return rows.orderBy(T.natural_order(F.col("file")), "file")
 
 
 def catalogue_file(spark: SparkSession, root: str) -> DataFrame:

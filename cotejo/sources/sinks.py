@@ -116,15 +116,16 @@ def replace_files(written: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for path, content in zip(batch["path"], batch["content"]):
-                at = path.removeprefix("file:")
-                handle, beside = tempfile.mkstemp(dir=os.path.dirname(at))
+                at, beside = path.removeprefix("file:"), None
                 try:
+                    handle, beside = tempfile.mkstemp(dir=os.path.dirname(at))
                     with os.fdopen(handle, "wb") as f:
                         f.write(content)
                     os.replace(beside, at)
                     out.append("written")
                 except OSError as e:
-                    os.unlink(beside)
+                    if beside:
+                        os.unlink(beside)
                     out.append(f"failed: {e.strerror}")
             yield pd.DataFrame({"path": batch["path"], "outcome": out})
 

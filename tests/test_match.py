@@ -143,6 +143,11 @@ def test_counts(spark):
     rows = spark.createDataFrame([("a", None), ("b", 1)], "name string, distance int")
     assert tuple(rollup.match_counts(rows).first()) == (2, 1)
     assert [r.name for r in rows.where(rollup.holds(F.col("name"), "B")).collect()] == ["b"]
+    names = spark.createDataFrame([("Épica",), ("E\u0301PICA",), ("epica",), ("x",), (None,)], "name string")
+    held = lambda *how: {r.name for r in names.where(rollup.any_column_has(["name"], *how)).collect()}
+    assert held("épi") == {"Épica"}
+    assert held("épi", "UNICODE_CI") == {"Épica", "E\u0301PICA"}
+    assert held("épi", "UNICODE_CI_AI") == held("EPI", "UNICODE_CI_AI") == {"Épica", "E\u0301PICA", "epica"}
     docs = spark.createDataFrame([("x",), ("y",), ("z",)], "file string")
     lyrics = spark.createDataFrame([("x", ""), ("y", "eng"), ("z", "SPA")], "file string, language string")
     assert rollup.without_translation(docs, lyrics).first()["without"] == 1

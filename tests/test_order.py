@@ -40,7 +40,7 @@ def test_previous(spark):
     assert order.with_previous(table(spark, []), ["id"], F.col("id")).count() == 0
 
 
-@pytest.mark.parametrize("name", ["natural_places", "next_matches", "events_before"])
+@pytest.mark.parametrize("name", ["natural_places", "locale_places", "next_matches", "events_before"])
 def test_no_task_has_all_rows(spark, small, name):
     plan = getattr(ordered, name)(spark, small)._jdf.queryExecution().toString()
     assert "SinglePartition" not in plan

@@ -124,6 +124,31 @@ def test_socket_messages(spark):
     assert [(r.artist, r.code) for r in rows] == [("A", "T")] and rows[0].at > 0
 
 
+MESSAGES = [("A - B | tango", "A.jpg"), ("", ""), (None, "x"), ("Ñ \U0001f3b5", None), (None, None), ("x" * 70000, "y")]
+
+
+def test_framed_messages(spark):
+    rows = spark.createDataFrame(MESSAGES, "text string, image string").select("*", messages.framed(F.col("text"), F.col("image")).alias("frame"))
+    back = rows.select("text", "image", "frame", *(c.alias(n) for n, c in messages.unframed(F.col("frame"), ["one", "two"]).items())).collect()
+    assert [(r.one, r.two) for r in back] == [(r.text, r.image) for r in back] == MESSAGES
+    wanted = lambda t: b"\xff\xff\xff\xff" if t is None else len(t.encode("utf-16-be")).to_bytes(4, "big") + t.encode("utf-16-be")
+    assert [bytes(r.frame) for r in back] == [wanted(t) + wanted(i) for t, i in MESSAGES]
+
+
+def test_messages_that_are_cut_off(spark):
+    whole = (6).to_bytes(4, "big") + "abc".encode("utf-16-be")
+    frames = [bytearray(whole[:n]) for n in range(len(whole) + 1)] + [bytearray(b"\x7f\xff\xff\xffab"), None]
+    rows = spark.createDataFrame([(f,) for f in frames], "frame binary")
+    back = rows.select(*(c.alias(n) for n, c in messages.unframed(F.col("frame"), ["one", "two"]).items())).collect()
+    assert [(r.one, r.two) for r in back] == [("abc" if f is not None and bytes(f) == whole else None, None) for f in frames]
+
+
+def test_a_file_without_a_folder_fails_alone(spark, tmp_path):
+    rows = spark.createDataFrame([(f"{tmp_path}/none/a", bytearray(b"1")), (f"{tmp_path}/b", bytearray(b"2"))], "path string, content binary")
+    found = {r.path.rsplit("/", 1)[1]: r.outcome.split(":")[0] for r in sinks.replace_files(rows).collect()}
+    assert found == {"a": "failed", "b": "written"} and [p.name for p in tmp_path.iterdir()] == ["b"]
+
+
 def test_replace_files(spark, tmp_path):
     (tmp_path / "a").write_bytes(b"old")
     rows = spark.createDataFrame([(f"file:{tmp_path}/a", bytearray(b"new"))], "path string, content binary")

@@ -93,6 +93,19 @@ def test_natural_key(spark):
     assert [r.n for r in rows] == ["a", "b", "b 2", "B9", "b010", "b10"]
 
 
+@pytest.mark.parametrize("collation", [T.BY_LOCALE, T.UNACCENTED])
+def test_natural_order_of_a_locale(spark, collation):
+    names = ["Zeta", "Épica", "É 10", None, "nz", "e 9", "ñandú", "Arbola", "Árbol"]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").orderBy(T.natural_order(F.col("n"), collation).asc_nulls_last(), "n").collect()
+    assert [r.n for r in rows] == ["Árbol", "Arbola", "e 9", "É 10", "Épica", "ñandú", "nz", "Zeta", None]
+
+
+def test_accents_before_case(spark):
+    names = ["resumé", "Resume", "résumé", "resume"]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").orderBy(T.natural_order(F.col("n")), "n").collect()
+    assert [r.n for r in rows] == ["Resume", "resume", "resumé", "résumé"]
+
+
 def test_numbers(spark):
     assert value(spark, numbers.duration(F.lit(185))) == "3:05"
     assert value(spark, numbers.instant_bpm(F.lit(0.0))) == 220.0
