@@ -57,10 +57,10 @@ def index_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TITLE = "CASE p_partkey % 4 WHEN 0 THEN '- ' || p_name || ' ' || p_size WHEN 1 THEN p_name || ' ' || p_size || ' -' WHEN 2 THEN '- ' || p_name || ' ' || p_size || '__ -' ELSE p_name || ' ' || p_size || '_' END"
 BARE = sql_simplify_full(sql_bare("title"))
-JOB = f"""WITH texts AS (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS value FROM conversations WHERE lower(trim(role)) = 'assistant' GROUP BY conv_id),
+AIMS = f"""WITH texts AS (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS value FROM conversations WHERE lower(trim(role)) = 'assistant' GROUP BY conv_id),
 docs AS (SELECT doc, title, bare FROM (SELECT *, row_number() OVER (PARTITION BY bare ORDER BY doc) AS k FROM (SELECT doc, title, {BARE} AS bare FROM (SELECT p_partkey AS doc, {TITLE} AS title FROM part))) WHERE k = 1),
 plans AS (SELECT *, starts_with(title, '- ') AS s, ends_with(title, ' -') AS e FROM docs WHERE bare <> ''),
-files AS (SELECT p_partkey AS path, {NAME} AS name FROM part WHERE p_partkey % 7 > 0),
+files AS (SELECT p_partkey AS path, {NAME} AS name FROM part),
 n AS MATERIALIZED (SELECT DISTINCT name, {sql_simplify_full('name')} AS f FROM files),
 held AS MATERIALIZED (SELECT name, f, doc, bare, s, e FROM n JOIN plans ON contains(n.f, bare)),
 literal AS (SELECT name, doc FROM held n WHERE {LITERAL}),
@@ -68,7 +68,8 @@ parts AS MATERIALIZED (SELECT DISTINCT name, unnest({sql_segments('n.f')}) AS pa
 pairs AS MATERIALIZED (SELECT part, doc, bare FROM (SELECT DISTINCT part FROM parts) JOIN plans ON 5 * abs(length(part) - length(bare)) < length(bare)),
 near AS (SELECT DISTINCT name, doc FROM pairs JOIN parts USING (part) WHERE 5 * levenshtein(part, bare) < length(bare)),
 aims AS MATERIALIZED (SELECT doc, path, t.value, CASE path % 3 WHEN 1 THEN o.value WHEN 2 THEN 'Old text' END AS old
-  FROM (SELECT * FROM literal UNION SELECT * FROM near) JOIN files USING (name) LEFT JOIN texts t ON t.conv_id = doc % 128 LEFT JOIN texts o ON o.conv_id = path % 128),
+  FROM (SELECT * FROM literal UNION SELECT * FROM near) JOIN files USING (name) LEFT JOIN texts t ON t.conv_id = doc % 128 LEFT JOIN texts o ON o.conv_id = path % 128)"""
+JOB = f"""{AIMS},
 turns AS (SELECT *, lag(value) OVER w AS before, first_value(value) OVER w AS first FROM aims WHERE value IS NOT NULL WINDOW w AS (PARTITION BY path ORDER BY doc)),
 met AS (SELECT overwrite, value, CASE WHEN before IS NULL THEN old WHEN overwrite THEN before ELSE coalesce(old, first) END AS met FROM turns, (VALUES (true), (false)) AS o(overwrite)),
 counts AS (SELECT overwrite, count(*) FILTER (met IS DISTINCT FROM value AND (met IS NULL OR overwrite)) AS written, count(*) FILTER (met IS DISTINCT FROM value AND met IS NOT NULL AND NOT overwrite) AS skipped,
@@ -78,14 +79,27 @@ SELECT counts.*, (SELECT count(DISTINCT doc) FROM aims) AS jobs, (SELECT count(*
   || CASE WHEN (SELECT count(DISTINCT doc) FROM aims WHERE value IS NULL) > 0 THEN ', ' || (SELECT count(DISTINCT doc) FROM aims WHERE value IS NULL) || ' titles have no Spanish lyrics' ELSE '' END || '.' AS line FROM counts"""
 
 
+def documents_and_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every part as a document with a marked title, and as a file."""
+    k, plain = F.col("p_partkey"), F.concat_ws(" ", "p_name", F.col("p_size").cast("string"))
+    title = F.when(k % 4 == 0, F.concat(F.lit("- "), plain)).when(k % 4 == 1, F.concat(plain, F.lit(" -"))).when(k % 4 == 2, F.concat(F.lit("- "), plain, F.lit("__ -"))).otherwise(F.concat(plain, F.lit("_")))
+    parts = read(spark, sf_dir, "part")
+    return parts.select(k.alias("doc"), title.alias("title")), parts.select(k.alias("path"), F.concat_ws(" - ", "p_brand", plain).alias("name"))
+
+
+@query(f"{AIMS} SELECT doc, title, count(*) AS targets FROM aims JOIN docs USING (doc) GROUP BY doc, title")
+def write_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The jobs of writing all: documents whose title no earlier one has and that have any match, with the number of their files."""
+    documents, files = documents_and_files(spark, sf_dir)
+    listed = jobs.listed(documents)
+    return jobs.targets(listed, files).groupBy("doc").agg(F.count("*").alias("targets")).join(listed, "doc").select("doc", "title", "targets")
+
+
 @query(JOB)
 def write_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reports of writing all documents' texts to all matching files, with and without overwriting.  The wanted language is a role."""
     parts, turns = read(spark, sf_dir, "part"), read(spark, sf_dir, "conversations")
-    k, plain = F.col("p_partkey"), F.concat_ws(" ", "p_name", F.col("p_size").cast("string"))
-    title = F.when(k % 4 == 0, F.concat(F.lit("- "), plain)).when(k % 4 == 1, F.concat(plain, F.lit(" -"))).when(k % 4 == 2, F.concat(F.lit("- "), plain, F.lit("__ -"))).otherwise(F.concat(plain, F.lit("_")))
-    documents = parts.select(k.alias("doc"), title.alias("title"))
-    files = parts.where("p_partkey % 7 > 0").select(k.alias("path"), F.concat_ws(" - ", "p_brand", plain).alias("name"))
+    k, (documents, files) = F.col("p_partkey"), documents_and_files(spark, sf_dir)
     translations = turns.select("conv_id", F.col("turn").alias("pos"), F.col("role").alias("language"), "text")
     of = parts.select(k.alias("doc"), (k % 128).alias("conv_id")).join(translations, "conv_id")
     own = jobs.contents(translations.withColumnRenamed("conv_id", "doc"), "assistant").withColumnRenamed("doc", "conv_id")

@@ -140,12 +140,13 @@ def current_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.current(rows, rows.groupBy("user_id").agg(F.max("version").alias("version")), "user_id").select("event_id", "user_id", "event_type")
 
 
-@query("SELECT s_suppkey, files FROM (SELECT s_suppkey, (SELECT count(*) FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity = 50) AS files FROM supplier WHERE s_nationkey % 2 = 0) WHERE files > 0")
+@query("SELECT s_suppkey, (SELECT count(*) FROM lineitem WHERE l_suppkey = s_suppkey) AS files FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey > 0) AND s_suppkey IN (SELECT l_suppkey FROM lineitem)")
 def selected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Selected suppliers that have a file at all."""
-    files = read(spark, sf_dir, "lineitem").where("l_quantity = 50").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.collect_list("l_orderkey").alias("files"))
+    """Suppliers of the regions that are selected, of those that have a file at all."""
+    files = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.collect_list("l_orderkey").alias("files"))
     rows = read(spark, sf_dir, "supplier").join(files, "s_suppkey", "left").withColumn("files", F.coalesce("files", F.array().cast("array<long>")))
-    chosen = read(spark, sf_dir, "supplier").where("s_nationkey % 2 = 0").select("s_suppkey")
+    regions = read(spark, sf_dir, "nation").where("n_regionkey > 0")
+    chosen = read(spark, sf_dir, "supplier").join(regions, F.col("s_nationkey") == F.col("n_nationkey"), "left_semi").select("s_suppkey")
     return match.selected(rows, chosen, "s_suppkey").select("s_suppkey", F.size("files").cast("long").alias("files"))
 
 
@@ -164,8 +165,10 @@ def target_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT count(*) AS without FROM (SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(*) FILTER (role = 'assistant' AND turn > 2) = 0)")
 def untranslated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dialogs without a later turn of the wanted language, which is a role; first turns are of another one."""
     turns = read(spark, sf_dir, "conversations")
-    return rollup.without_translation(turns.select("conv_id").distinct(), turns.where("turn > 2").select("conv_id", F.col("role").alias("language")), "conv_id", "assistant")
+    language = F.when(F.col("turn") > 2, F.col("role")).otherwise("first").alias("language")
+    return rollup.without_translation(turns.select("conv_id").distinct(), turns.select("conv_id", language), "conv_id", "assistant")
 
 
 REPORT = "SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'failed' WHEN 1 THEN 'skipped' WHEN 2 THEN 'unsupported' WHEN 3 THEN 'unchanged' ELSE 'written' END AS outcome, p_name AS message FROM part"
@@ -201,14 +204,6 @@ def written_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.changed(rows, "has", "bpm").select("p_partkey", "original", F.lit(True).alias("writes"))
 
 
-@query("SELECT stem, p_partkey, t FROM (SELECT p_partkey, t, stem, row_number() OVER (PARTITION BY stem ORDER BY p_partkey, t) AS k FROM (SELECT p_partkey, p_size, " + DECORATED + " AS t, lower(p_name) AS stem FROM part)) WHERE k = 1 AND EXISTS (SELECT 1 FROM part q WHERE lower(q.p_name) = stem AND q.p_size = 50)")
-def write_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a title that no earlier one has, of those that have any match."""
-    parts = read(spark, sf_dir, "part")
-    first = match.first_of(parts.select("p_partkey", decorated_part().alias("t"), F.lower("p_name").alias("low")), F.col("low"), ["p_partkey", "t"]).select("stem", "p_partkey", "t")
-    return first.join(parts.where("p_size = 50").select(F.lower("p_name").alias("stem")).distinct(), "stem", "left_semi")
-
-
 # Plans and exports.
 
 
@@ -220,12 +215,14 @@ def rename_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.renames(read(spark, sf_dir, "part").select(k.alias("old"), new.alias("new")))
 
 
-@query("""SELECT o_orderkey AS file, 'x' || CAST(o_orderkey AS VARCHAR) AS target FROM orders LEFT JOIN (SELECT l_orderkey, max(l_shipdate) AS made FROM lineitem WHERE l_orderkey % 4 > 0 GROUP BY l_orderkey) ON l_orderkey = o_orderkey WHERE o_orderpriority <> '5-LOW' AND (made IS NULL OR made <= o_orderdate)""")
+@query("""SELECT o_orderkey AS file, 'x' || CAST(o_orderkey AS VARCHAR) AS target FROM orders LEFT JOIN (SELECT l_orderkey, max(CASE WHEN l_returnflag = 'R' THEN l_shipdate END) AS made FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey
+WHERE o_orderpriority <> '5-LOW' AND (made IS NULL OR made <= o_orderdate)""")
 def copy_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Copies that are missing or older than their source; alternatives are left out."""
+    """Copies that are missing or older than their source; alternatives (orders of low priority) are left out.  Lines that came back are copies."""
     name = F.concat(F.lit("x?"), F.col("o_orderkey").cast("string"))
     sources = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file"), name.alias("name"), F.col("o_orderdate").alias("modified"), (F.col("o_orderpriority") == "5-LOW").alias("alternative"))
-    made = read(spark, sf_dir, "lineitem").where("l_orderkey % 4 > 0").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("modified"))
+    back = F.when(F.col("l_returnflag") == "R", F.col("l_shipdate"))
+    made = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max(back).alias("modified")).where("modified is not null")
     return sinks.copies(sources, made.select(F.concat(F.lit("x"), F.col("l_orderkey").cast("string")).alias("name"), "modified")).select("file", "target")
 
 
@@ -239,16 +236,17 @@ def tempo_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH d AS (SELECT conv_id, arg_min(left(text, 12), turn) AS title, string_agg('<' || h || '>' || left(text, 12) || '</' || h || '><p>' || replace(replace(text, chr(10) || chr(10), '</p><p>'), chr(10), '<br/>') || '</p>', chr(10) ORDER BY turn) AS html
-FROM (SELECT *, CASE WHEN turn = m THEN 'h3' ELSE 'h4' END AS h FROM conversations JOIN (SELECT conv_id AS c, min(turn) AS m FROM conversations GROUP BY conv_id) ON c = conv_id) WHERE conv_id % 3 > 0 GROUP BY conv_id)
+    """WITH d AS (SELECT conv_id, arg_min(split_part(text, '.', 1), turn) AS title,
+  string_agg('<' || h || '>' || split_part(text, '.', 1) || '</' || h || '><p>' || replace(replace(text, chr(10) || chr(10), '</p><p>'), chr(10), '<br/>') || '</p>', chr(10) ORDER BY turn) AS html
+FROM (SELECT *, CASE WHEN turn = m THEN 'h3' ELSE 'h4' END AS h FROM conversations JOIN (SELECT conv_id AS c, min(turn) AS m FROM conversations GROUP BY conv_id) ON c = conv_id) GROUP BY conv_id)
 SELECT conv_id, html FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY conv_id) AS k FROM d) WHERE k = 1"""
 )
 def lyrics_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dialogs that have a match (by id) as pages of translations; of those with one title the first."""
+    """Dialogs as pages of translations below their first sentences; of those that begin alike the first."""
     turns = read(spark, sf_dir, "conversations")
-    matched = turns.where("conv_id % 3 > 0").select("conv_id").distinct()
     first = turns.groupBy("conv_id").agg(F.min("turn").alias("first"))
-    rows = turns.join(matched, "conv_id", "left_semi").join(first, "conv_id").select(F.col("conv_id").alias("file"), (F.col("turn") - F.col("first")).alias("pos"), F.substring("text", 1, 12).alias("name"), F.col("text").alias("contents"))
+    title = F.substring_index("text", ".", 1).alias("name")
+    rows = turns.join(first, "conv_id").select(F.col("conv_id").alias("file"), (F.col("turn") - F.col("first")).alias("pos"), title, F.col("text").alias("contents"))
     return sinks.pages(rows).select(F.col("file").alias("conv_id"), "html")
 
 
@@ -265,17 +263,19 @@ def matched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.pages(rows.select(F.col("doc_id").alias("file"), F.lit(0).alias("pos"), title, F.col("text").alias("contents"))).withColumnRenamed("file", "doc_id")
 
 
-@query("SELECT n_regionkey, CASE WHEN count(*) > 1 THEN string_agg(n_name || chr(10), '' ORDER BY n_nationkey) ELSE min(n_name) END AS lines FROM nation WHERE n_regionkey > 0 OR n_nationkey = 0 GROUP BY n_regionkey")
+@query("SELECT n_regionkey, right(n_name, 1) AS ending, CASE WHEN count(*) > 1 THEN string_agg(n_name || chr(10), '' ORDER BY n_nationkey) ELSE min(n_name) END AS lines FROM nation GROUP BY ALL")
 def name_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "nation").where("n_regionkey > 0 or n_nationkey = 0")
-    return rows.groupBy("n_regionkey").agg(sinks.name_lines(F.col("n_name"), F.col("n_nationkey")).alias("lines"))
+    """Nations of a region whose names end alike; many are alone."""
+    rows = read(spark, sf_dir, "nation").groupBy("n_regionkey", F.right("n_name", F.lit(1)).alias("ending"))
+    return rows.agg(sinks.name_lines(F.col("n_name"), F.col("n_nationkey")).alias("lines"))
 
 
-@query("SELECT p_partkey AS path FROM part WHERE p_size = 1 UNION ALL SELECT p_partkey FROM part WHERE p_size BETWEEN 2 AND 9 AND p_partkey % 2 = 0")
+@query("SELECT p_partkey AS path FROM part WHERE p_type = 'ECONOMY' UNION ALL SELECT p_partkey FROM part WHERE p_type <> 'ECONOMY' AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50)")
 def admitted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dropped files that can be read, behind those that were there."""
-    parts = read(spark, sf_dir, "part").withColumnRenamed("p_partkey", "path")
-    return library.admitted(parts.where("p_size = 1").select("path"), parts.where("p_size between 2 and 9").select("path"), parts.where("path % 2 = 0").select("path"), True)
+    """Dropped files that can be read (parts that came in the largest packs), behind those that were there (all of one type)."""
+    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("path"), "p_type")
+    readable = read(spark, sf_dir, "lineitem").where("l_quantity = 50").select(F.col("l_partkey").alias("path"))
+    return library.admitted(parts.where("p_type = 'ECONOMY'").select("path"), parts.where("p_type <> 'ECONOMY'").select("path"), readable, True)
 
 
 # Messages.
@@ -406,12 +406,12 @@ def catalogue_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.coverage(tracks, files, owned, stored(near), "id", "file")
 
 
-@query("SELECT p_partkey, (CASE WHEN p_size % 3 = 0 THEN 'NOGENREINFILENAME ' ELSE '' END) || (CASE WHEN p_size % 2 = 0 THEN 'FUZZY ' ELSE '' END) AS status FROM part WHERE p_size % 3 > 0 OR p_size % 2 = 0")
+@query("SELECT p_partkey, (CASE WHEN p_size % 6 = 0 THEN 'NOGENREINFILENAME ' ELSE '' END) || (CASE WHEN p_size % 2 = 0 THEN 'FUZZY ' ELSE '' END) AS status FROM part")
 def fuzzy_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows without exact files, half of which have a near one, of which a third lack the genre in its name."""
     none = F.array().cast("array<string>")
     near = F.when(F.col("p_size") % 2 == 0, F.array(F.concat("p_name", F.when(F.col("p_size") % 3 == 0, ".mp3").otherwise(" tango.mp3")))).otherwise(none)
     flags = rollup.status(F.col("p_name"), F.lit("tango"), F.lit(None).cast("int"), none, near, F.lit(""), F.lit(None).cast("string"))
-    return read(spark, sf_dir, "part").where("p_size % 3 > 0 or p_size % 2 = 0").select("p_partkey", flags.alias("status"))
+    return read(spark, sf_dir, "part").select("p_partkey", flags.alias("status"))
 
 

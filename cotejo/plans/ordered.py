@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import diff
@@ -83,6 +83,29 @@ def history_in_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("code <> ''").select("user_id", "event_id", sessions.shown(F.col("history")).alias("sessions"))
 
 
+#: One user has half of all events.
+HOT = "(SELECT * REPLACE (CASE WHEN event_id % 2 = 0 THEN 0 ELSE user_id END AS user_id) FROM events)"
+
+
+def hot_user() -> Column:
+    return F.when(F.col("event_id") % 2 == 0, 0).otherwise(F.col("user_id")).cast("long")
+
+
+@query(SQL["session_leads"].replace("FROM events", f"FROM {HOT}"))
+def leads_in_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What session_leads gives where one user has half of all events."""
+    events = read(spark, sf_dir, "events").select(hot_user().alias("user_id"), "event_id", "ts", "event_type")
+    rows = sessions.histories_in_ranges(events, "user_id", ["ts", "event_id"], event_code())
+    return rows.select("user_id", "event_id", sessions.previous(F.col("history"), 0).alias("now"), sessions.previous(F.col("history"), 1).alias("before"))
+
+
+@query(SQL["valid_messages"].replace("FROM events", f"FROM {HOT}"))
+def repeats_in_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What valid_messages gives where one user has half of all events."""
+    rows = message_rows(spark, sf_dir).withColumn("user_id", hot_user())
+    return sessions.valid(sessions.without_repeats_in_ranges(rows, "user_id", ["ts", "event_id"])).select("event_id", "user_id")
+
+
 # Streams.  Events come up to a day late and in several arrivals, each a run that goes on from the checkpoint of the one before.
 
 DELAY, ARRIVALS = timedelta(days=1), 3

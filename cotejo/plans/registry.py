@@ -289,17 +289,19 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select(F.col("p_brand").alias("orchestra"), F.concat_ws(" - ", "p_brand", "p_type", "p_name", (1900 + F.col("p_size")).cast("string"), F.lit("tango.mp3")).alias("file")).distinct()
 
 
-CATALOGUE = f"""WITH t AS (SELECT p_partkey AS id, p_name AS name, p_type AS vocal, 'tango' AS g, CAST(1900 + p_size AS VARCHAR) AS y, {sql_simplify('p_name')} AS n1, {sql_simplify('p_type')} AS v FROM part WHERE p_brand = '{ORCHESTRA}'),
-f AS (SELECT DISTINCT p_brand || ' - ' || p_type || ' - ' || p_name || ' - ' || CAST(1900 + p_size AS VARCHAR) || ' - tango.mp3' AS file FROM part WHERE p_brand = '{ORCHESTRA}'),
+CATALOGUE = f"""WITH t AS (SELECT p_partkey AS id, p_name AS name, p_type AS vocal, 'tango' AS g, CAST(1900 + p_size AS VARCHAR) AS y, {sql_simplify('p_name')} AS n1, {sql_simplify('p_type')} AS v FROM part),
+f AS (SELECT DISTINCT p_brand || ' - ' || p_type || ' - ' || p_name || ' - ' || CAST(1900 + p_size AS VARCHAR) || ' - tango.mp3' AS file FROM part),
 c AS (SELECT file, replace({sql_simplify('file')}, {sql_simplify(quoted(ORCHESTRA))}, '') AS fn FROM f),
 pairs AS (SELECT * FROM t JOIN c ON contains(fn, n1) AND contains(fn, v) AND contains(fn, y) AND NOT contains(n1, g))"""
 
 
 @query(f"{CATALOGUE} SELECT file, id, name, vocal FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY length(name) DESC, length(vocal) DESC, id) AS k FROM pairs) WHERE k = 1")
 def catalogue_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One orchestra's catalogue; catalogue_match_all has those of all."""
-    one = F.col("orchestra") == ORCHESTRA
-    return match.catalogue_assigned(tracks(spark, sf_dir).where(one), files(spark, sf_dir).where(one)).drop("orchestra")
+    """All parts as one orchestra's catalogue; catalogue_match_all has a catalogue for each."""
+    one = F.lit(ORCHESTRA).alias("orchestra")
+    rows, names = tracks(spark, sf_dir), files(spark, sf_dir)
+    own = lambda df: df.select(one, *(c for c in df.columns if c != "orchestra"))
+    return match.catalogue_assigned(own(rows), own(names)).drop("orchestra")
 
 
 CATALOGUES = f"""WITH t AS (SELECT p_brand AS orchestra, p_partkey AS id, p_name AS name, p_type AS vocal, 'tango' AS g, CAST(1900 + p_size AS VARCHAR) AS y, {sql_simplify('p_name')} AS n1, {sql_simplify('p_type')} AS v FROM part),

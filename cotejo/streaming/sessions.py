@@ -20,6 +20,19 @@ def without_repeats(messages: DataFrame, key: str, order: list[str], text: str =
     return messages.withColumn("_repeated", repeated).where("not _repeated").drop("_repeated")
 
 
+def without_repeats_in_ranges(messages: DataFrame, key: str, order: list[str], text: str = "text") -> DataFrame:
+    """What ``without_repeats`` gives, for keys that may have any share of all messages: these are dealt into ranges by key and order.
+
+    Of the message before each no more is carried than what is remembered.  A key's first message stays, even without a text.
+    """
+    short = F.when(F.octet_length(text) <= REMEMBERED, F.col(text))
+    known = messages.withColumns({"_key": F.col(key), "_short": short, "_null": F.col(text).isNull()})
+    rows = ranges.with_previous(known, ["_key", "_short", "_null"], F.col(key), *map(F.col, order))
+    same_key = F.col("before__null").isNotNull() & F.col("_key").eqNullSafe(F.col("before__key"))
+    repeated = same_key & F.coalesce(F.col("_short") == F.col("before__short"), F.col("_null") & F.col("before__null"))
+    return rows.where(~repeated).drop("_key", "_short", "_null", "before__key", "before__short", "before__null")
+
+
 def valid(messages: DataFrame, text: str = "text") -> DataFrame:
     return messages.where(F.contains(text, F.lit("|")))
 

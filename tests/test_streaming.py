@@ -182,3 +182,27 @@ def test_histories_in_ranges_equal_those_of_whole_keys(spark, n_keys):
     wanted = sessions.histories(table, "key", ["i"], F.col("c")).select("key", "i", "code", "history").collect()
     assert sorted(found) == sorted(wanted)
     assert sessions.histories_in_ranges(table.limit(0), "key", ["i"], F.col("c")).count() == 0
+
+
+@pytest.mark.parametrize("n_keys", [1, 3, 200])
+def test_repeats_in_ranges_equal_those_of_whole_keys(spark, n_keys):
+    r = random.Random(n_keys)
+    texts = ["a | x", "b | y", "é" * 124, "é" * 125, "z" * 250]
+    rows = [(None if r.random() < 0.1 else 0 if r.random() < 0.6 else r.randrange(n_keys), i, r.choice(texts)) for i in range(1500)]
+    table = spark.createDataFrame(rows, "key long, i int, text string").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        found = sessions.without_repeats_in_ranges(table, "key", ["i"])
+        assert found.columns == ["key", "i", "text"]
+        found = {r.i for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found == {r.i for r in sessions.without_repeats(table, "key", ["i"]).collect()} and len(found) < 1500
+    assert sessions.without_repeats_in_ranges(table.limit(0), "key", ["i"]).count() == 0
+
+
+def test_repeats_without_a_text(spark):
+    rows = spark.createDataFrame([(1, 0, None), (1, 1, None), (1, 2, "a"), (1, 3, None), (2, 4, "a")], "key int, i int, text string")
+    assert sorted(r.i for r in sessions.without_repeats_in_ranges(rows, "key", ["i"]).collect()) == [0, 2, 3, 4]
