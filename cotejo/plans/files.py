@@ -16,8 +16,8 @@ def attribute(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f' {name}="'), sinks.quoted(value), F.lit('"')), F.lit(""))
 
 
-#: Tracks of one catalogue file, and translations of one document, about.
-TRACKS = 50
+#: Tracks of one file, which has a catalogue for each orchestra and source, and translations of one, about.
+TRACKS = 5000
 
 
 @query(
@@ -31,10 +31,13 @@ def catalogue_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("<track"), attribute("name", F.concat_ws(" | ", "p_name", "p_type")), attribute("vocal", F.col("p_type")), attribute("year", F.when(size % 3 == 0, "?").otherwise("1955-06-30")), attribute("genre", F.when(size % 4 != 0, "Arr. en Vals")),
         attribute("author", F.col("p_partkey").cast("string")), attribute("duration", F.lit("2:59")), attribute("popularity", F.when(size % 5 == 0, "x").otherwise(size.cast("string"))), F.lit("/>"),
     )
-    rows = read(spark, sf_dir, "part").groupBy("p_brand", (F.col("p_partkey") % 2).alias("odd"), F.floor(F.col("p_partkey") / (2 * TRACKS)).alias("part")).agg(F.array_join(F.collect_list(track), "\n").alias("tracks"))
+    rows = read(spark, sf_dir, "part").groupBy("p_brand", (F.col("p_partkey") % 2).alias("odd"), F.floor(F.col("p_partkey") / TRACKS).alias("part")).agg(F.array_join(F.collect_list(track), "\n").alias("tracks"))
     opening = F.concat(F.lit("<discography"), attribute("orchestra", F.concat("p_brand", F.lit(' & "co"'))), attribute("source", F.when(F.col("odd") == 0, "made")), F.lit(">"))
     path = scratch(spark)
-    rows.select(F.concat(opening, "tracks", F.lit("</discography>"))).write.option("maxRecordsPerFile", 1).text(path)
+    # Catalogues go many to a file: opening a file takes longer than reading hundreds of tracks.
+    made = rows.select("part", F.concat(opening, "tracks", F.lit("</discography>")).alias("made"))
+    files = made.groupBy("part").agg(F.concat(F.lit("<catalogues>"), F.array_join(F.collect_list("made"), "\n"), F.lit("</catalogues>")).alias("value"))
+    files.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return catalogue.tracks(spark, path).orderBy(*catalogue.in_catalogue_order()).drop("file", "pos")
 
 

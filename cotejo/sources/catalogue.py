@@ -1,4 +1,4 @@
-"""Catalogue and translation files in XML, each file one small document."""
+"""Catalogue and translation files in XML, each file one small document; it may hold several catalogues."""
 
 from __future__ import annotations
 
