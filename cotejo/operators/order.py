@@ -6,6 +6,8 @@ each range (its number of rows, its first match, its last row), a table as small
 number of ranges, which is worked out on the driver and broadcast.
 
 Rows that are equal in the order go to one range, so an order should end in a unique column.
+What is more than a column should be made one first: a sort works its order out again for
+every comparison.
 """
 
 from __future__ import annotations

@@ -88,4 +88,5 @@ def replaced_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         stored(sinks.replace_files(files.select("path", F.encode(content, "UTF-8").alias("content"))))
     found = library.lyrics_files(spark, folder).select("file", "path")
     texts = spark.read.format("binaryFile").load(folder).select("path", F.decode("content", "UTF-8").alias("content"))
-    return order.placed(found, T.natural_order(F.col("file")), F.col("file")).join(texts, "path").select("file", "place", "content")
+    keyed = found.withColumn("key", T.natural_order(F.col("file")))
+    return order.placed(keyed, F.col("key"), F.col("file")).join(texts, "path").select("file", "place", "content")

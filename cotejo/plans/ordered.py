@@ -34,8 +34,8 @@ FROM (SELECT *, 'track ' || {sql_digits('CAST(l_linenumber AS VARCHAR)')} || ' n
 def natural_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every line in the natural order of names, which begin with one of seven numbers."""
     name = F.concat(F.lit("Track "), F.col("l_linenumber").cast("string"), F.lit(" no "), F.col("l_partkey").cast("string"))
-    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", name.alias("name"))
-    found = order.placed(rows, T.natural_key(F.col("name")), F.col("l_orderkey"), F.col("l_linenumber"))
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", T.natural_key(name).alias("key"))
+    found = order.placed(rows, F.col("key"), F.col("l_orderkey"), F.col("l_linenumber"))
     return found.select("l_orderkey", "l_linenumber", "place")
 
 
@@ -45,8 +45,8 @@ KEY = f"array_to_string(list_transform(regexp_extract_all(lower(text), '[0-9]+|[
 @query(f"SELECT conv_id, turn, row_number() OVER (ORDER BY k COLLATE fr, conv_id, turn) AS place FROM (SELECT *, {KEY} AS k FROM conversations)")
 def locale_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every turn among all by its text, in natural order as a locale has it: accented letters stand with plain ones."""
-    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    return order.placed(rows, T.natural_order(F.col("text")), F.col("conv_id"), F.col("turn")).select("conv_id", "turn", "place")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", T.natural_order(F.col("text")).alias("key"))
+    return order.placed(rows, F.col("key"), F.col("conv_id"), F.col("turn")).select("conv_id", "turn", "place")
 
 
 @query("SELECT event_id, user_id, lag(event_id) OVER (ORDER BY ts, event_id) AS before_event_id, lag(user_id) OVER (ORDER BY ts, event_id) AS before_user_id FROM events")

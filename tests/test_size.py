@@ -1,8 +1,9 @@
-"""What must not grow faster than the tables: files that are opened."""
+"""What must not grow faster than the tables: files that are opened, and sorts that work out what they compare."""
 
 import glob
 
-from cotejo.plans import files
+from cotejo.operators import order
+from cotejo.plans import files, ordered
 
 
 def test_catalogues_go_many_to_a_file(spark, small, monkeypatch, tmp_path):
@@ -13,3 +14,14 @@ def test_catalogues_go_many_to_a_file(spark, small, monkeypatch, tmp_path):
     assert found.count() == parts
     assert len(glob.glob(f"{made}/*.txt")) <= parts // files.TRACKS + 1
 
+
+def test_orders_are_columns(spark, small, monkeypatch):
+    """A sort works out an expression again for every comparison."""
+    given = []
+    real = order.ranged
+    monkeypatch.setattr(order, "ranged", lambda rows, *keys: given.append((rows, keys)) or real(rows, *keys))
+    for query in (ordered.natural_places, ordered.locale_places):
+        query(spark, small)
+        rows, keys = given.pop()
+        # A column of the rows is shown by its name alone.
+        assert {str(k) for k in keys} <= {f"Column<'{c}'>" for c in rows.columns}
