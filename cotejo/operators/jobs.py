@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..stores import stored
 from . import match, rollup
 
 
@@ -21,9 +22,27 @@ def targets(documents: DataFrame, files: DataFrame, always: bool = False, allow_
     documents: doc and title; files: path and name, without its folder and its format; part:
     what paths must hold.  Equal names and titles are matched once.
     """
-    chosen = files.where(rollup.holds(F.col("path").cast("string"), part)) if part else files
-    found = match.tiered(chosen.select("name"), documents.select("title"), always, allow_fuzzy)
-    return found.join(documents, "title").join(chosen.select("path", "name"), "name").select("doc", "path", "name", "distance")
+    chosen = holding(files, part)
+    return named(documents, chosen, always, allow_fuzzy).join(chosen.select("path", "name"), "name").select("doc", "path", "name", "distance")
+
+
+def holding(files: DataFrame, part: str) -> DataFrame:
+    return files.where(rollup.holds(F.col("path").cast("string"), part)) if part else files
+
+
+def named(documents: DataFrame, files: DataFrame, always: bool = False, allow_fuzzy: bool = True) -> DataFrame:
+    """(doc, name, distance): the different names of files that match a document, however many files have each."""
+    found = match.tiered(files.select("name"), documents.select("title"), always, allow_fuzzy)
+    return found.join(documents, "title").select("doc", "name", "distance")
+
+
+def counted(matches: DataFrame, files: DataFrame) -> DataFrame:
+    """(doc, targets): how many files each document's translations go to; files are counted by name and not listed.
+
+    matches: doc and name, each pair once.
+    """
+    own = files.groupBy("name").agg(F.count("*").alias("_files"))
+    return matches.select("doc", "name").join(own, "name").groupBy("doc").agg(F.sum("_files").alias("targets"))
 
 
 def contents(translations: DataFrame, wanted: str = "spa") -> DataFrame:
@@ -49,6 +68,36 @@ def outcomes(rows: DataFrame, overwrite: bool) -> DataFrame:
     return rows.withColumn("outcome", rollup.upsert(met, F.col("value"), F.lit(overwrite)))
 
 
+def same(value: Column) -> Column:
+    """What stands for a text where texts are only compared: 16 bytes of its hash, or null."""
+    return F.substring(F.unhex(F.sha2(value, 256)), 1, 16)
+
+
+def reports(documents: DataFrame, files: DataFrame, translations: DataFrame, tags: DataFrame, wanted: str = "spa", prefix: str = "Lyrics", part: str = "", **how) -> dict[bool, DataFrame]:
+    """By whether values are overwritten the job's report (``written``); titles and names are matched once for both.
+
+    A document's texts are put together once, and only if it has a job; what goes on to
+    files are their hashes.
+    """
+    chosen = holding(files, part)
+    matches = stored(named(listed(documents), chosen, **how).select("doc", "name"))
+    jobs = counted(matches, chosen)
+    texts = translations.join(matches.select("doc").distinct(), "doc", "left_semi")
+    values = contents(texts, wanted).select("doc", same(F.col("value")).alias("value"))
+    with_values = stored(jobs.join(values, "doc", "left"))
+    totals = with_values.agg(F.count("*").alias("jobs"), F.coalesce(F.sum("targets"), F.lit(0)).alias("targets"), F.count_if(F.col("value").isNull()).alias("without"))
+    aims = matches.join(with_values.where("value is not null").select("doc", "value"), "doc").join(chosen.select("path", "name"), "name").select("doc", "path", "value")
+    rows = aims.join(tags.select("path", same(F.col("old")).alias("old")), "path", "left")
+    # Nothing fails here, so no order is needed to find the first failure.
+    none = F.lit(None).cast("string").alias("message")
+    made = {}
+    for overwrite in (True, False):
+        report = rollup.write_report(outcomes(rows, overwrite).select("outcome", none, F.lit(0).alias("pos")))
+        # Both sides are one row.
+        made[overwrite] = totals.join(F.broadcast(report)).withColumn("line", rollup.summary_line(prefix)).drop("first_failure")
+    return made
+
+
 def written(documents: DataFrame, files: DataFrame, translations: DataFrame, tags: DataFrame, overwrite: bool = False, wanted: str = "spa", prefix: str = "Lyrics", **how) -> DataFrame:
     """One row: jobs, targets, without (documents without a translation in the wanted language), the outcomes' numbers, and the line that is shown.
 
@@ -56,10 +105,4 @@ def written(documents: DataFrame, files: DataFrame, translations: DataFrame, tag
     path and old, the values that files have.  how: always, allow_fuzzy, part (``targets``).
     Documents without a matching file have no job.
     """
-    aims = targets(listed(documents), files, **how).join(contents(translations, wanted), "doc", "left")
-    rows = outcomes(aims.where("value is not null").join(tags, "path", "left"), overwrite)
-    order = F.struct("doc", F.col("distance").isNotNull().alias("near"), "distance", T.natural_order(F.col("name")).alias("key"), "path")
-    report = rollup.write_report(rows.select("outcome", F.lit(None).cast("string").alias("message"), order.alias("pos")))
-    totals = aims.agg(F.countDistinct("doc").alias("jobs"), F.count("*").alias("targets"), F.countDistinct(F.when(F.col("value").isNull(), F.col("doc"))).alias("without"))
-    # Both sides are one row.
-    return totals.join(F.broadcast(report)).withColumn("line", rollup.summary_line(prefix)).drop("first_failure")
+    return reports(documents, files, translations, tags, wanted, prefix, **how)[overwrite]

@@ -104,5 +104,5 @@ def write_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = parts.select(k.alias("doc"), (k % 128).alias("conv_id")).join(translations, "conv_id")
     own = jobs.contents(translations.withColumnRenamed("conv_id", "doc"), "assistant").withColumnRenamed("doc", "conv_id")
     tags = files.select("path", (F.col("path") % 128).alias("conv_id")).join(own, "conv_id", "left").select("path", F.when(F.col("path") % 3 == 1, F.col("value")).when(F.col("path") % 3 == 2, "Old text").alias("old"))
-    report = lambda overwrite: jobs.written(documents, files, of, tags, overwrite, "assistant").withColumn("overwrite", F.lit(overwrite))
-    return report(True).unionByName(report(False))
+    made = jobs.reports(documents, files, of, tags, "assistant")
+    return made[True].withColumn("overwrite", F.lit(True)).unionByName(made[False].withColumn("overwrite", F.lit(False)))

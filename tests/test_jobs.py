@@ -104,3 +104,17 @@ def test_the_whole_job(spark):
     assert jobs.written(documents.where("doc = 3"), files, translations, tags).first().line == "Lyrics: nothing to write — 1 titles have no Spanish lyrics."
     assert jobs.written(documents.where("doc = 4"), files, translations, tags).first().line == "Lyrics: nothing to write."
     assert jobs.written(documents, files.withColumn("path", F.col("path").cast("string")), translations, tags.withColumn("path", F.col("path").cast("string")), part="1").first().targets == 4
+
+
+def test_texts_do_not_go_to_every_file(spark, monkeypatch):
+    """What is dealt by file are hashes; titles and names are matched once for both reports."""
+    documents = spark.createDataFrame([(1, "Malena"), (2, "Sur")], "doc long, title string")
+    files = spark.createDataFrame([(i, "Troilo - Malena") for i in range(20)] + [(99, "Sur")], "path long, name string")
+    translations = spark.createDataFrame([(1, 0, "spa", "letra" * 1000)], "doc long, pos int, language string, text string")
+    tags = spark.createDataFrame([(3, "letra" * 1000), (4, "own")], "path long, old string")
+    seen, matched, real, tiered = [], [], jobs.outcomes, jobs.match.tiered
+    monkeypatch.setattr(jobs, "outcomes", lambda rows, overwrite: seen.append(rows) or real(rows, overwrite))
+    monkeypatch.setattr(jobs.match, "tiered", lambda *a: matched.append(a) or tiered(*a))
+    found = jobs.written(documents, files, translations, tags).first()
+    assert (found.jobs, found.targets, found.without, found.written, found.skipped, found.unchanged) == (2, 21, 1, 18, 1, 1)
+    assert all(len(r.value) == 16 for rows in seen for r in rows.collect()) and len(matched) == 1
