@@ -92,7 +92,7 @@ def write_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The jobs of writing all: documents whose title no earlier one has and that have any match, with the number of their files."""
     documents, files = documents_and_files(spark, sf_dir)
     listed = jobs.listed(documents)
-    return jobs.targets(listed, files).groupBy("doc").agg(F.count("*").alias("targets")).join(listed, "doc").select("doc", "title", "targets")
+    return jobs.counted(jobs.named(listed, files), files).join(listed, "doc").select("doc", "title", "targets")
 
 
 @query(JOB)

@@ -118,3 +118,12 @@ def test_texts_do_not_go_to_every_file(spark, monkeypatch):
     found = jobs.written(documents, files, translations, tags).first()
     assert (found.jobs, found.targets, found.without, found.written, found.skipped, found.unchanged) == (2, 21, 1, 18, 1, 1)
     assert all(len(r.value) == 16 for rows in seen for r in rows.collect()) and len(matched) == 1
+
+
+def test_targets_are_counted_by_name(spark):
+    """However many files have a name, one row of it meets the documents."""
+    documents = spark.createDataFrame([(1, "Malena"), (2, "Sur")], "doc long, title string")
+    files = spark.createDataFrame([(i, "Troilo - Malena") for i in range(50)] + [(99, "Sur"), (100, "Nada")], "path long, name string")
+    matches = jobs.named(documents, files)
+    assert sorted((r.doc, r.name) for r in matches.collect()) == [(1, "Troilo - Malena"), (2, "Sur")]
+    assert sorted(map(tuple, jobs.counted(matches, files).collect())) == [(1, 50), (2, 1)]
