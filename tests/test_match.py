@@ -151,3 +151,14 @@ def test_counts(spark):
     docs = spark.createDataFrame([("x",), ("y",), ("z",)], "file string")
     lyrics = spark.createDataFrame([("x", ""), ("y", "eng"), ("z", "SPA")], "file string, language string")
     assert rollup.without_translation(docs, lyrics).first()["without"] == 1
+
+
+def test_tracks_that_are_alike_are_matched_once(spark, monkeypatch):
+    rows = [("Troilo", i, "Malena", "Fiorentino", "tango", "1942") for i in range(30, 5, -1)] + [("Troilo", 3, "Sur", "Rivero", "tango", "1948")]
+    tracks = spark.createDataFrame(rows, "orchestra string, id long, name string, vocal string, genre string, year string")
+    files = spark.createDataFrame([("Troilo", "x malena fiorentino 1942.mp3"), ("Troilo", "sur rivero 1948.mp3")], "orchestra string, file string")
+    given, real = [], match.catalogue_pairs
+    monkeypatch.setattr(match, "catalogue_pairs", lambda t, *a: given.append(t) or real(t, *a))
+    found = match.catalogue_assigned(tracks, files).select("file", "id").collect()
+    assert sorted(map(tuple, found)) == [("sur rivero 1948.mp3", 3), ("x malena fiorentino 1942.mp3", 6)]
+    assert given[0].count() == 2
