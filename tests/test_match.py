@@ -162,3 +162,15 @@ def test_tracks_that_are_alike_are_matched_once(spark, monkeypatch):
     found = match.catalogue_assigned(tracks, files).select("file", "id").collect()
     assert sorted(map(tuple, found)) == [("sur rivero 1948.mp3", 3), ("x malena fiorentino 1942.mp3", 6)]
     assert given[0].count() == 2
+
+
+def test_near_titles_of_tracks_that_are_alike_are_matched_once(spark, monkeypatch):
+    rows = [("Troilo", i, "Malena", "Fiorentino") for i in range(20)]
+    tracks = spark.createDataFrame(rows, "orchestra string, id long, name string, vocal string")
+    files = spark.createDataFrame([("Troilo", "a.mp3", "Molena"), ("Troilo", "b.mp3", "Fiorentino Melena"), ("Troilo", "c.mp3", "Sur")], "orchestra string, file string, title string")
+    given, real = [], match.fuzzy
+    monkeypatch.setattr(match, "fuzzy", lambda names, titles, *a: given.append(titles) or real(names, titles, *a))
+    found = match.catalogue_fuzzy(tracks, files)
+    wanted = {("Troilo", i, f) for i in range(20) for f in ("a.mp3",)}
+    assert wanted <= {(r.orchestra, r.id, r.file) for r in found.collect()}
+    assert given[0].count() == 1
