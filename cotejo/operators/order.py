@@ -52,7 +52,8 @@ def next_matches(rows: DataFrame, matched: DataFrame, key: str, position: str, n
 
     rows: key and position, which is unique and not null; matched: key, any number of times.
     """
-    found = matched.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_found", F.lit(True))
+    # Matches are found once: sampling ranges works their rows out again, and a test for nulls would move below what finds the matches.
+    found = stored(matched.select(key).distinct()).where(F.col(key).isNotNull()).withColumn("_found", F.lit(True))
     dealt = ranged(rows.join(found, key, "left").withColumn("_match", F.when(F.col("_found"), F.col(position))).drop("_found"), F.col(position))
     firsts = sorted(dealt.groupBy("_range").agg(F.min("_match")).collect(), reverse=True)
     behind, following = {}, None
@@ -60,7 +61,8 @@ def next_matches(rows: DataFrame, matched: DataFrame, key: str, position: str, n
         behind[at] = following
         following = first if first is not None else following
     kind = rows.schema[position].dataType.simpleString()
-    later = Window.partitionBy("_range").orderBy("_at").rowsBetween(1, Window.unboundedFollowing)
+    # From the end, as a frame that only grows is gone through once; one that shrinks would be gone through again for every row.
+    later = Window.partitionBy("_range").orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, -1)
     near = dealt.withColumn("_near", F.min("_match").over(later))
     return near.join(per_range(dealt, behind, f"_behind {kind}"), "_range").withColumn(name, F.coalesce("_near", "_behind")).drop("_range", "_at", "_match", "_near", "_behind")
 

@@ -2,6 +2,8 @@
 
 import glob
 
+from pyspark.sql import functions as F
+
 from cotejo.operators import order
 from cotejo.plans import files, ordered
 
@@ -25,3 +27,19 @@ def test_orders_are_columns(spark, small, monkeypatch):
         rows, keys = given.pop()
         # A column of the rows is shown by its name alone.
         assert {str(k) for k in keys} <= {f"Column<'{c}'>" for c in rows.columns}
+
+
+def test_next_matches_goes_through_ranges_and_matches_once(spark):
+    """A frame that ends with its range is gone through again for every row, and ranges are sampled by working out their rows."""
+    worked = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            worked.add(b.num_rows)
+            yield b
+
+    rows = spark.range(3000)
+    found = order.next_matches(rows, rows.where("id % 7 = 0").mapInArrow(seen, "id long"), "id", "id")
+    assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert {r.id: r.next for r in found.collect()} == {i: None if i >= 2996 else i // 7 * 7 + 7 for i in range(3000)}
+    assert worked.value == 429
