@@ -12,14 +12,17 @@ from __future__ import annotations
 
 import sys
 import zlib
+from math import isqrt
 
 import numpy as np
 
 MASK = (1 << 64) - 1
 #: Fixed odd multipliers; any would do, but results must not change between tasks.
 STEP, TURN = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
-#: Pairs of siblings that are compared; longer lists are paired by their equal subtrees.
+#: Pairs of siblings from which lists are compared row by row in arrays, or by their equal subtrees alone where a matching is so limited.
 WIDE = 10_000
+#: Pairs of nodes, and weights, that are remembered while long lists are compared; what is forgotten is worked out again.
+KNOWN, HELD = 100_000, 1 << 24
 
 
 class Tree:
@@ -56,10 +59,11 @@ class Tree:
 
 
 class Matching:
-    """One tree matched with another."""
+    """One tree matched with another; if it is limited, lists of more than WIDE pairs by their equal subtrees alone."""
 
-    def __init__(self, a: Tree, b: Tree):
-        self.a, self.b = a, b
+    def __init__(self, a: Tree, b: Tree, limited: bool = True):
+        self.a, self.b, self.limited = a, b, limited
+        self.alike: tuple[list[int], list[int]] | None = None
         self.known: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
 
     def weight(self, i: int, j: int) -> int:
@@ -87,6 +91,9 @@ class Matching:
             total += 2 * a.size[xs[m]]
             out.append((xs[m], ys[n]))
         xs, ys = xs[first:m], ys[first:n]
+        if len(xs) * len(ys) > WIDE and not self.limited:
+            most, pairs = self.in_rows(xs, ys)
+            return total + most, out + pairs
         if len(xs) * len(ys) > WIDE:
             pairs = self.in_step(xs, ys)
             return total + sum(2 * a.size[i] for i, _ in pairs), out + pairs
@@ -115,6 +122,73 @@ class Matching:
                 out.append((xs[p], ys[q]))
         return total + best[-1][-1], out
 
+    def classes(self) -> tuple[list[int], list[int]]:
+        """A number for each node of both trees; nodes of one number weigh the same: they differ only in texts that the other tree has nowhere."""
+        if self.alike is None:
+            shared, numbers, out = set(self.a.texts) & set(self.b.texts), {}, []
+            for tree in (self.a, self.b):
+                own = [0] * len(tree.kinds)
+                for i in range(len(own) - 1, -1, -1):
+                    shape = tree.kinds[i], tree.texts[i] if tree.texts[i] in shared else None, tuple(own[k] for k in tree.kids[i])
+                    own[i] = numbers.setdefault(shape, len(numbers))
+                out.append(own)
+            self.alike = out[0], out[1]
+        return self.alike
+
+    def in_rows(self, xs: list[int], ys: list[int]) -> tuple[int, list[tuple[int, int]]]:
+        """What ``paired`` finds, for long lists: a row at a time, of which every sqrt(n)-th is kept; nodes that weigh the same are compared once."""
+        a, b = self.a, self.b
+        of_a, of_b = self.classes()
+        kinds, texts, leaf = np.array([b.kinds[j] for j in ys]), np.array([b.texts[j] for j in ys]), np.array([not b.kids[j] for j in ys])
+        same, (_, first, number) = np.array([b.same[j] for j in ys], np.uint64), np.unique([of_b[j] for j in ys], return_index=True, return_inverse=True)
+        held: dict[int, np.ndarray] = {}
+
+        def weights(i: int) -> np.ndarray:
+            if of_a[i] in held:
+                return held[of_a[i]]
+            kind = kinds == a.kinds[i]
+            equal = kind & (same == np.uint64(a.same[i]))
+            row = np.where(equal, 2 * a.size[i], np.where(kind, 1 + (texts == a.texts[i]), 0))
+            inner = kind & ~equal & ~leaf
+            if a.kids[i] and inner.any():
+                own = np.zeros(len(first), np.int64)
+                for c in np.unique(number[inner]):
+                    own[c] = self.weight(i, ys[first[c]])
+                    if len(self.known) > KNOWN:
+                        self.known.clear()
+                row[inner] = own[number[inner]]
+                if (len(held) + 1) * len(ys) <= HELD:
+                    held[of_a[i]] = row
+            return row
+
+        def following(above: np.ndarray, i: int) -> np.ndarray:
+            row = np.zeros_like(above)
+            np.maximum.accumulate(np.maximum(above[1:], above[:-1] + weights(i)), out=row[1:])
+            return row
+
+        step, p, q, out = isqrt(len(xs)) + 1, len(xs), len(ys), []
+        kept, row = [], np.zeros(len(ys) + 1, np.int64)
+        for k, i in enumerate(xs):
+            if k % step == 0:
+                kept.append(row)
+            row = following(row, i)
+        most = int(row[-1])
+        while p and q:
+            start = (p - 1) // step * step
+            best = [kept[start // step]]
+            for i in xs[start:p]:
+                best.append(following(best[-1], i))
+            while p > start and q:
+                here = best[p - start][q]
+                if here == best[p - start - 1][q]:
+                    p -= 1
+                elif here == best[p - start][q - 1]:
+                    q -= 1
+                else:
+                    p, q = p - 1, q - 1
+                    out.append((xs[p], ys[q]))
+        return most, out
+
     def in_step(self, xs: list[int], ys: list[int]) -> list[tuple[int, int]]:
         """Pairs of equal subtrees in order, each with the next one there is."""
         places: dict[int, list[int]] = {}
@@ -163,7 +237,7 @@ def marks(page: Tree, exemplars: list[Tree]) -> list[list[int]]:
     """For each node of a page that may be a constant its marks by all exemplars it has a partner in; of others none."""
     out: list[list[int]] = [[] for _ in page.kinds]
     for e, exemplar in enumerate(exemplars):
-        for i, j in enumerate(Matching(page, exemplar).pairs()):
+        for i, j in enumerate(Matching(page, exemplar, limited=False).pairs()):
             if j >= 0 and page.free[i]:
                 out[i].append(mark(e, j, page.texts[i]))
     return out

@@ -121,6 +121,21 @@ def test_long_lists_of_siblings_are_paired_by_equal_subtrees():
     assert len(pairs) > 40 and all(a.texts[i] == b.texts[j] for i, j in pairs)
 
 
+def test_pairs_do_not_depend_on_the_length_of_lists(monkeypatch):
+    """Long lists are paired as short ones are, whatever is below the siblings."""
+    r = random.Random(8)
+    for n in (101, 140):
+        many = [("a", "x", [nested(r, 2) if k % 3 else (r.choice("ab"), chr(200 + r.randrange(900)), []) for k in range(n)]) for _ in range(2)]
+        a, b = map(flat, many)
+        found = trees.Matching(a, b, limited=False).pairs()
+        with monkeypatch.context() as m:
+            m.setattr(trees, "WIDE", n * n)
+            assert found == trees.Matching(a, b, limited=False).pairs()
+        pairs = [(i, j) for i, j in enumerate(found) if j >= 0]
+        assert sum(1 + (a.texts[i] == b.texts[j]) for i, j in pairs) == best(*many)
+        assert trees.marks(a, [b]) == [[trees.mark(0, j, a.texts[i])] if j >= 0 else [] for i, j in enumerate(found)]
+
+
 ARTICLES = {
     "two articles": ("<article><h1>One</h1><p>first {0}</p></article><div><p>between</p></div><article><p>second {0}</p></article>", "One\n\nfirst {0}\n\nsecond {0}"),
     "a by-line": ("<article><h1>T{0}</h1><p>By the staff of the paper</p><p>story {0}</p></article>", "T{0}\n\nBy the staff of the paper\n\nstory {0}"),
