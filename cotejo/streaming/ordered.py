@@ -1,8 +1,8 @@
 """Folds over streams in the order of event time, whatever the order of arrival.
 
-Rows wait in a key's list state until the watermark has passed them; an event-time timer
-stands at the first of them.  When it goes off, all rows that the watermark has passed are
-folded in order and leave the list.  A row can be late by the watermark's delay, across any
+Keys are dealt into BUCKETS buckets.  Rows wait in their bucket's list state until the watermark
+has passed them; an event-time timer stands at the first of them.  When it goes off, all rows that the watermark has passed are
+folded key by key in order and leave the list.  A row can be late by the watermark's delay, across any
 number of micro-batches, and still counts where it belongs, so the stream gives what the same
 fold gives over the sorted table.
 
@@ -13,6 +13,7 @@ lies between two of its rows, and the state of a key without rows is deleted aft
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from datetime import timedelta
 
@@ -24,6 +25,9 @@ from pyspark.sql.streaming import StatefulProcessor
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Buckets of keys (a checkpoint holds for one number of them), that of rows without a key, which only move the watermark, and rows of a piece of state.
+BUCKETS, KEYLESS, CHUNK = 1024, -1, 10_000
+
 #: A fold over some rows in order: (key, state, rows of (microseconds, *values)) -> (state, output rows).
 Fold = Callable[[tuple, tuple, list[tuple]], tuple[tuple, list[tuple]]]
 
@@ -38,52 +42,80 @@ def with_rocksdb(spark: SparkSession) -> SparkSession:
 
 
 class Ordered(StatefulProcessor):
-    """One key's waiting rows and the fold's state."""
+    """The waiting rows and the fold's states of the keys of one bucket, in few values: calls to the state cost more than its rows."""
 
-    def __init__(self, fold: Fold, first: tuple, state: t.StructType, waiting: t.StructType, columns: list[str], idle: int | None):
-        self.fold, self.first, self.state, self.waiting, self.columns, self.idle = fold, first, state, waiting, columns, idle
+    def __init__(self, fold: Fold, first: tuple, key: str, values: list[str], columns: list[str], idle: int | None):
+        self.fold, self.first, self.key, self.values, self.columns, self.idle = fold, first, key, values, columns, idle
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.folded = handle.getValueState("folded", self.state)
-        self.rows = handle.getListState("rows", self.waiting)
-        self.last = handle.getValueState("last", t.StructType([t.StructField("ms", t.LongType())]))
+        packed = t.StructType([t.StructField("packed", t.BinaryType())])
+        #: (state, last millisecond) of each key, and pieces of CHUNK waiting rows (key, microseconds, *values).
+        self.folded, self.rows = handle.getValueState("folded", packed), handle.getListState("rows", packed)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        given = [r for batch in rows for r in batch[self.waiting.names].astype(object).where(batch[self.waiting.names].notna(), None).itertuples(index=False, name=None)]
-        self.rows.appendList(given)
+        first = None
+        for batch in rows:
+            if key[0] != KEYLESS and len(batch):
+                given = self.given(batch)
+                self.keep(given, self.rows.appendList)
+                earliest = min(r[1] for r in given)
+                first = earliest if first is None else min(first, earliest)
         # Timers have milliseconds: one goes off when the watermark has passed all of them.
-        self.handle.registerTimer(-(-min(r[0] for r in given) // 1000))
+        if first is not None:
+            self.handle.registerTimer(-(-first // 1000))
         return iter(())
 
+    def given(self, batch: pd.DataFrame) -> list[tuple]:
+        columns = [batch[self.key].tolist(), batch["moment_us"].tolist()]
+        for v in self.values:
+            if f"_none_{v}" in batch:
+                columns.append([None if none else x for x, none in zip(batch[v].tolist(), batch[f"_none_{v}"].tolist())])
+            else:
+                columns.append(batch[v].astype(object).where(batch[v].notna(), None).tolist())
+        return list(zip(*columns))
+
+    def keep(self, rows: list[tuple], write: Callable[[list[tuple]], None]) -> None:
+        write([(pickle.dumps(rows[i : i + CHUNK]),) for i in range(0, len(rows), CHUNK)])
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = list(self.rows.get()) if self.rows.exists() else []
-        ready = sorted((r for r in waiting if r[0] <= passed), key=lambda r: tuple((x is not None, x) for x in r))
-        rest = [r for r in waiting if r[0] > passed]
-        if rest:
-            self.rows.put(rest)
-            self.handle.registerTimer(-(-min(r[0] for r in rest) // 1000))
-        elif waiting:
+        ready: dict[object, list[tuple]] = {}
+        rest = []
+        for (packed,) in self.rows.get() if self.rows.exists() else ():
+            for r in pickle.loads(packed):
+                if r[1] <= passed:
+                    ready.setdefault(r[0], []).append(r[1:])
+                else:
+                    rest.append(r)
+        # Without ready rows nothing changes, and the timer at the first of the others stands.
+        if ready and rest:
+            self.keep(rest, self.rows.put)
+            self.handle.registerTimer(-(-min(r[1] for r in rest) // 1000))
+        elif ready:
             self.rows.clear()
-        last = self.last.get()[0] if self.last.exists() else None
-        if ready:
-            state, out = self.folded.get() if self.folded.exists() else self.first, []
-            for rows in self.without_gaps(ready):
+        states = pickle.loads(self.folded.get()[0]) if self.folded.exists() else {}
+        out, before = [], len(states)
+        for owner, own in ready.items():
+            state, last = states.get(owner, (self.first, None))
+            for rows in self.without_gaps(in_order(own)):
                 if self.idle is not None and last is not None and rows[0][0] // 1000 - last >= self.idle:
                     state = self.first
-                state, more = self.fold(key, state, rows)
+                state, more = self.fold((owner,), state, rows)
                 out += more
                 last = rows[-1][0] // 1000
-            self.folded.update(state)
-            if self.idle is not None:
-                self.last.update((last,))
-                self.handle.registerTimer(last + self.idle)
-            if out:
-                yield pd.DataFrame(out, columns=self.columns)
-        elif last is not None and passed // 1000 >= last + self.idle:
+            states[owner] = state, last
+        if self.idle is not None:
+            before = max(before, len(states))
+            states = {k: v for k, v in states.items() if passed // 1000 < v[1] + self.idle}
+            if states:
+                self.handle.registerTimer(min(last for _, last in states.values()) + self.idle)
+        if states and (ready or len(states) < before):
+            self.folded.update((pickle.dumps(states),))
+        elif before and not states:
             self.folded.clear()
-            self.last.clear()
+        if out:
+            yield pd.DataFrame(out, columns=self.columns, dtype=object)
 
     def without_gaps(self, rows: list[tuple]) -> Iterator[list[tuple]]:
         """Rows in order, cut where idle lies between two of them."""
@@ -98,6 +130,14 @@ class Ordered(StatefulProcessor):
         pass
 
 
+def in_order(rows: list[tuple]) -> list[tuple]:
+    """Sorted rows, nulls first."""
+    try:
+        return sorted(rows)
+    except TypeError:
+        return sorted(rows, key=lambda r: tuple((x is not None, x) for x in r))
+
+
 def folded(events: DataFrame, key: str, at: str, values: list[str], fold: Fold, first: tuple, state: str, output: str, delay: str, idle: timedelta | None = None) -> DataFrame:
     """The output rows of a fold over each key's events in order of at (a timestamp), then values; an append-only stream.
 
@@ -106,12 +146,14 @@ def folded(events: DataFrame, key: str, at: str, values: list[str], fold: Fold,
     the next row; ``closing`` makes one for sources that are over.
     """
     kinds = {f.name: f.dataType for f in events.schema.fields}
-    waiting = t.StructType([t.StructField("moment_us", t.LongType()), *(t.StructField(v, kinds[v]) for v in values)])
-    rows = events.withWatermark(at, delay).where(F.col(at).isNotNull()).select(key, at, F.unix_micros(at).alias("moment_us"), *values)
+    # Whole numbers would become floating ones beside nulls.
+    whole = [v for v in values if isinstance(kinds[v], t.IntegralType)]
+    given = [F.coalesce(v, F.lit(0)).cast(kinds[v]).alias(v) if v in whole else F.col(v) for v in values]
+    bucket = F.when(F.col(key).isNull(), KEYLESS).otherwise(F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")).alias("_bucket")
+    rows = events.withWatermark(at, delay).where(F.col(at).isNotNull()).select(bucket, key, at, F.unix_micros(at).alias("moment_us"), *given, *(F.col(v).isNull().alias(f"_none_{v}") for v in whole))
     schema = t.StructType.fromDDL(output)
     held = None if idle is None else int(idle.total_seconds() * 1000)
-    made = rows.groupBy(key).transformWithStateInPandas(Ordered(fold, first, t.StructType.fromDDL(state), waiting, schema.names, held), schema, "append", "eventTime")
-    return made.where(F.col(key).isNotNull())
+    return rows.groupBy("_bucket").transformWithStateInPandas(Ordered(fold, first, key, values, schema.names, held), schema, "append", "eventTime")
 
 
 def closing(events: DataFrame, at: str, delay: timedelta) -> DataFrame:

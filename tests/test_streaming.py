@@ -145,6 +145,29 @@ def test_idle_keys_lose_their_state(keeping, tmp_path):
         assert max(r.n for r in found if r.key == 1) == wanted
 
 
+def test_keys_share_buckets(keeping, tmp_path, monkeypatch):
+    """Calls to the state go by buckets, not keys; large ids and nulls stay as they are beside each other."""
+    monkeypatch.setattr(ordered, "BUCKETS", 2)
+    calls, big = str(tmp_path / "calls"), (1 << 60) + 1
+    real = ordered.Ordered.handleInputRows
+
+    def counted(self, key, rows, timerValues):
+        with open(calls, "a") as f:
+            f.write("x")
+        return real(self, key, rows, timerValues)
+
+    def fold(key, state, rows):
+        return (state[0] + len(rows),), [(key[0], r[1], state[0] + i) for i, r in enumerate(rows)]
+
+    monkeypatch.setattr(ordered.Ordered, "handleInputRows", counted)
+    rows = [(big + k, at_second(i), None if (i + k) % 5 == 0 else big + i) for k in range(20) for i in range(6)]
+    random.Random(4).shuffle(rows)
+    found = streamed(keeping, tmp_path, TAP, [rows, [(None, at_second(900), None)]], lambda s: ordered.folded(s, "key", "at", ["id"], fold, (0,), "n long", "key long, id long, n long", "5 seconds"))
+    assert sorted((r.key, r.n, r.id or 0) for r in found) == [(big + k, i, 0 if (i + k) % 5 == 0 else big + i) for k in range(20) for i in range(6)]
+    with open(calls) as f:
+        assert len(f.read()) <= 4
+
+
 def test_tempo_needs_no_array_of_a_keys_taps(spark):
     taps = spark.range(30000).select((F.col("id") % 3 % 2).alias("k"), (F.col("id") * 300 + F.col("id") % 7).alias("t"), "id")
     found = tempo.tempo(taps, "k", F.col("t"), ["id"])
