@@ -4,7 +4,7 @@ import glob
 
 from pyspark.sql import functions as F
 
-from cotejo.operators import order
+from cotejo.operators import match, order
 from cotejo.plans import files, ordered
 
 
@@ -43,3 +43,20 @@ def test_next_matches_goes_through_ranges_and_matches_once(spark):
     assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
     assert {r.id: r.next for r in found.collect()} == {i: None if i >= 2996 else i // 7 * 7 + 7 for i in range(3000)}
     assert worked.value == 429
+
+
+def test_names_are_normalised_once_each(spark, monkeypatch):
+    """A test of a normal form is moved below what makes names distinct, to all files and documents there are."""
+    worked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def lowered(x):
+        worked.add(1)
+        return x.lower()
+
+    monkeypatch.setattr(match.T, "simplify_full", lowered)
+    k = F.col("id").cast("string")
+    names = spark.range(600).select(F.concat(F.lit("Canaro - Poema "), F.right(k, F.lit(1))).alias("name"))
+    titles = spark.range(600).select(F.concat(F.lit("- Poema "), F.right(k, F.lit(1))).alias("title")).distinct()
+    assert match.tiered(names, titles, allow_fuzzy=False).count() == 10
+    assert worked.value == 20
