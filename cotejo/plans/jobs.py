@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import jobs
 from ..sources import index
+from ..stores import stored
 from .registry import LITERAL, query, read, sql_bare, sql_segments, sql_simplify_full
 
 # A library of parts, of which some are renamed and some removed after it was indexed.
@@ -40,8 +41,9 @@ def index_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts, orders, lines = (read(spark, sf_dir, t) for t in ("part", "orders", "lineitem"))
     name = F.concat_ws(" ", F.concat_ws(" - ", "p_brand", "p_name"), F.col("p_size").cast("string"))
     since = orders.agg((F.max("o_orderdate") - F.expr("INTERVAL 20 DAY")).alias("since"))
-    days = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).groupBy(F.col("l_partkey").alias("path")).agg(F.max("o_orderdate").alias("day"))
-    changed = days.join(F.broadcast(since)).where("day >= since").select("path", "day")
+    # A part's last day is among the last days there are, or is not asked for.
+    last = stored(orders.join(F.broadcast(since)).where("o_orderdate >= since").select("o_orderkey", "o_orderdate"))
+    changed = lines.join(last, lines["l_orderkey"] == last["o_orderkey"]).groupBy(F.col("l_partkey").alias("path")).agg(F.max("o_orderdate").alias("day"))
     first = parts.select(F.col("p_partkey").alias("path"), F.lit(None).cast("timestamp_ntz").alias("modified"), F.concat(name, F.lit(".mp3")).alias("name"))
     own = f"library_{uuid.uuid4().hex[:12]}"
     NAMED.append((spark, own))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cotejo.operators import match, order
 from cotejo.plans import files, ordered
+from cotejo.sources import index
 
 
 def test_catalogues_go_many_to_a_file(spark, small, monkeypatch, tmp_path):
@@ -60,3 +61,39 @@ def test_names_are_normalised_once_each(spark, monkeypatch):
     titles = spark.range(600).select(F.concat(F.lit("- Poema "), F.right(k, F.lit(1))).alias("title")).distinct()
     assert match.tiered(names, titles, allow_fuzzy=False).count() == 10
     assert worked.value == 20
+
+
+def test_index_keys_a_name_once(spark, monkeypatch):
+    """Keys are those of different names, however many files have each; files that share a name go in parts."""
+    names = [f"el tango {x} de mala junta.mp3" for x in ("negro", "viejo", "del sur")]
+    titles = spark.createDataFrame([("tango viejo",), ("a junta",), ("ju",), ("nothing",)], "title string")
+    made = {}
+    for copies, at_most in ((1, 200), (90, 200), (90, 20)):
+        monkeypatch.setattr(index, "PATHS", at_most)
+        files = [(i, 0, n) for i, n in enumerate(names * copies)]
+        index.built(spark, "library_three", spark.createDataFrame(files, "path long, modified long, name string"))
+        kept = index.table(spark, "library_three", "keys")
+        made[copies, at_most] = kept.count()
+        assert kept.agg(F.max(F.size("paths"))).first()[0] <= 2 * at_most
+        found = sorted(map(tuple, index.matches(spark, "library_three", titles).collect()))
+        assert found == sorted((t, i) for i, _, n in files for t in ("tango viejo", "a junta", "ju") if t in n)
+        index.dropped(spark, "library_three", index.version(spark, "library_three"))
+    assert made[1, 200] == made[90, 200] < made[90, 20] <= 5 * made[1, 200]
+
+
+def test_index_goes_through_a_listing_once(spark):
+    """A refresh asks for the listing once, however often it needs it."""
+    worked = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            worked.add(b.num_rows)
+            yield b
+
+    files = spark.range(100).select(F.col("id").alias("path"), F.lit(0).cast("long").alias("modified"), F.lit("mala junta.mp3").alias("name"))
+    index.built(spark, "library_four", files)
+    listing = files.select("path", (F.col("path") % 3).alias("modified")).mapInArrow(seen, "path long, modified long")
+    index.refreshed(spark, "library_four", listing, lambda rows: rows.join(files.select("path", "name"), "path"))
+    assert worked.value == 100
+    assert index.table(spark, "library_four", "files").where("modified = path % 3").count() == 100
+    index.dropped(spark, "library_four", 2)
