@@ -5,7 +5,7 @@ import glob
 from pyspark.sql import functions as F
 
 from cotejo.operators import match, order
-from cotejo.plans import files, ordered
+from cotejo.plans import files, more, ordered
 from cotejo.sources import index
 
 
@@ -97,3 +97,38 @@ def test_index_goes_through_a_listing_once(spark):
     assert worked.value == 100
     assert index.table(spark, "library_four", "files").where("modified = path % 3").count() == 100
     index.dropped(spark, "library_four", 2)
+
+
+def joins(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_what_grows_with_titles_is_not_broadcast(spark, monkeypatch):
+    """Sizes that Spark goes by are those of files, a hundredth of what keys unfold to."""
+    monkeypatch.setattr(match, "FEW", 0)
+    names = spark.createDataFrame([("A", "el tango malena fiorentino", "x")], "o string, n string, more string")
+    titles = spark.createDataFrame([("A", "tango malena fiorentino", 1)], "o string, t string, id int")
+    for most, broadcasts in ((match.KEYS, True), (0, False)):
+        monkeypatch.setattr(match, "KEYS", most)
+        given = []
+        monkeypatch.setattr(match, "stored", lambda df, given=given: given.append(joins(df)) or df)
+        for within in ((), ("o",)):
+            found = match.containment(names if within else names.drop("o"), titles, "n", "t", within)
+            assert found.count() == 1
+            assert broadcasts or "Broadcast" not in joins(found)
+        assert any("Broadcast" in x for x in given) == broadcasts
+
+
+def test_exact_files_of_a_catalogue_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(match, "FEW", 0)
+    monkeypatch.setattr(match, "KEYS", 0)
+    tracks = spark.createDataFrame([("Troilo", 1, "Toda mi vida", "Fiorentino", "tango", "1942")], "orchestra string, id long, name string, vocal string, genre string, year string")
+    files = spark.createDataFrame([("Troilo", "x toda mi vida fiorentino 1942.mp3")], "orchestra string, file string")
+    found = match.catalogue_assigned(tracks, files)
+    assert "Broadcast" not in joins(found)
+    assert found.first().id == 1
+
+
+def test_exact_files_do_not_wait_for_near_ones(spark, small, monkeypatch):
+    monkeypatch.setattr(match, "fuzzy", None)
+    assert more.catalogue_exact(spark, small).count() > 0
