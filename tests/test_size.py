@@ -132,3 +132,12 @@ def test_exact_files_of_a_catalogue_are_not_broadcast(spark, monkeypatch):
 def test_exact_files_do_not_wait_for_near_ones(spark, small, monkeypatch):
     monkeypatch.setattr(match, "fuzzy", None)
     assert more.catalogue_exact(spark, small).count() > 0
+
+
+def test_near_files_are_not_broadcast(spark):
+    tracks = spark.createDataFrame([("A", 1, "Nostalgias", "Charlo")], "orchestra string, id long, name string, vocal string")
+    files = spark.createDataFrame([("A", "f1", "Nostalgia Charlo")], "orchestra string, file string, title string")
+    assert "Broadcast" not in joins(match.fuzzy(files, tracks, "title", "name", ("orchestra",)))
+    found = match.catalogue_fuzzy(tracks, files)
+    assert "Broadcast" not in joins(found)
+    assert [tuple(r) for r in found.collect()] == [("A", 1, "f1", 1)]
