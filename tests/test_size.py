@@ -141,3 +141,11 @@ def test_near_files_are_not_broadcast(spark):
     found = match.catalogue_fuzzy(tracks, files)
     assert "Broadcast" not in joins(found)
     assert [tuple(r) for r in found.collect()] == [("A", 1, "f1", 1)]
+
+
+def test_what_exact_files_leave_is_not_broadcast(spark, small, monkeypatch):
+    """Tracks and files that are left go without those that have a match, which are as many as the library's files."""
+    given, real = [], match.catalogue_fuzzy
+    monkeypatch.setattr(match, "catalogue_fuzzy", lambda tracks, files: given.extend((joins(tracks), joins(files))) or real(tracks, files))
+    assert more.catalogue_coverage(spark, small).count() == 1
+    assert len(given) == 2 and not any("Broadcast" in x for x in given)
